@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from .odd_sketch import near_duplicates
+from . import license_rules, spot_signatures
 from .common import table
+from .odd_sketch import near_duplicates
 
 
 def op1_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
-ORACLE: dict[str, str] = {}
+def op2_license_scan(spark, sf_dir):
+    return license_rules.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_spotsigs_fingerprints(spark, sf_dir):
+    return spot_signatures.edited(table(spark, sf_dir, "documents"))
+
+
+#: Links by all pairs with a common shingle, components by recursion.
+OP1 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest([array_to_string(ws[k:k + 4], ' ') FOR k IN range(1, greatest(len(ws) - 4, 1) + 1)]) AS g FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.a = doc_id"""
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op4_spotsigs_fingerprints)}
+ORACLE: dict[str, str] = {"op1_minhash_near_dedup": OP1, "op2_license_scan": license_rules.oracle(), "op4_spotsigs_fingerprints": spot_signatures.oracle()}
