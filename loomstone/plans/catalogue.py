@@ -2,5 +2,620 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import code, policy, text
+from ..operators import graph, history, intervals, ranking, search, usage
+from . import carriers as C
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+LIKE_ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Search ----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {C.SQL_LINES} SELECT path, ln, line FROM lines WHERE contains(line, 'tion the')")
+def grep_literal(spark, d):
+    return search.grep(C.files(spark, d), "tion the")
+
+
+@query(f"WITH {C.SQL_LINES} SELECT path, ln, line FROM lines WHERE contains(lower(line), 'licensed under')")
+def grep_ignore_case(spark, d):
+    return search.grep(C.files(spark, d), "Licensed UNDER", ignore_case=True)
+
+
+@query(f"WITH {C.SQL_LINES} SELECT path, ln, line FROM lines WHERE regexp_matches(line, '[0-9]{{3}}-[0-9]{{4}}$|^The .*ing\\.$')")
+def grep_regex(spark, d):
+    return search.grep(C.files(spark, d), r"[0-9]{3}-[0-9]{4}$|^The .*ing\.$", regex=True)
+
+
+SQL_GREP_ENCLOSING = f"""{C.SQL_SYMBOLS}, h AS (SELECT path, ln, line FROM lines WHERE contains(line, 'ation')),
+e AS (SELECT h.path, h.ln, h.line, coalesce(arg_max(qualified, struct_pack(a := start_line, b := -end_line, c := ord)), '') AS symbol
+      FROM h LEFT JOIN symbols s ON s.path = h.path AND h.ln BETWEEN s.start_line AND s.end_line GROUP BY ALL)"""
+
+
+@query(f"WITH {SQL_GREP_ENCLOSING} SELECT path, ln, trim(line) AS line, symbol FROM e")
+def grep_enclosing(spark, d):
+    hits = search.grep(C.files(spark, d), "ation")
+    return intervals.enclosing(hits, C.symbols(spark, d)).withColumn("line", F.trim("line"))
+
+
+@query(f"WITH {SQL_GREP_ENCLOSING} SELECT path, ln, symbol FROM e")
+def grep_enclosing_dense(spark, d):
+    hits = search.grep(C.files(spark, d), "ation").select("path", "ln")
+    return intervals.enclosing_dense(hits, C.symbols(spark, d))
+
+
+@query(f"WITH {SQL_GREP_ENCLOSING} SELECT path, ln, trim(line) AS line, symbol, (SELECT count(*) FROM e) > 50 AS more FROM e ORDER BY path, ln LIMIT 50")
+def grep_top_with_flag(spark, d):
+    hits = intervals.enclosing(search.grep(C.files(spark, d), "ation"), C.symbols(spark, d)).withColumn("line", F.trim("line"))
+    return ranking.clip(hits, ["path", "ln"], search.LIMITS["grep"])
+
+
+@query(f"WITH {C.SQL_LINES} SELECT path, ln, line FROM lines WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])ation($|[^A-Za-z0-9_])')")
+def refs_word_boundary(spark, d):
+    return search.refs(C.files(spark, d), "ation")
+
+
+@query(f"WITH {C.SQL_LINES}, m AS (SELECT path, ln FROM lines WHERE contains(line, 'on the')), c AS (SELECT DISTINCT l.path, l.ln, strlen(l.line) AS b FROM lines l JOIN m ON l.path = m.path AND abs(l.ln - m.ln) <= 2) SELECT path, (sum(b + 1) + 3)::BIGINT // 4 AS tokens FROM c GROUP BY path")
+def baseline_tokens(spark, d):
+    lines = C.file_lines(spark, d)
+    hits = lines.where(F.col("line").contains("on the")).select("path", "ln")
+    hit_files = lines.join(hits.select("path").distinct(), "path", "left_semi")
+    return intervals.baseline_tokens(hit_files.select("path", "ln", F.octet_length("line").alias("n_bytes")), hits, pad=2)
+
+
+@query(f"WITH {C.SQL_LINES}, m AS (SELECT DISTINCT path FROM lines WHERE contains(line, 'on the')) SELECT count(*) AS files, (sum(size)::BIGINT + 3) // 4 AS tokens FROM files WHERE path IN (SELECT path FROM m)")
+def baseline_bytes(spark, d):
+    f = C.files(spark, d)
+    hits = search.grep(f, "on the").select("path").distinct()
+    return f.join(hits, "path", "left_semi").agg(F.count("*").alias("files"), text.est_tokens(F.sum("size")).alias("tokens"))
+
+
+# Lookup ----------------------------------------------------------------------------------------------------------------
+
+_LIKE = LIKE_ASCII
+SQL_FIND = "SELECT path, name, qualified, kind, start_line, end_line FROM symbols WHERE (name = '{0}' OR qualified = '{0}' OR {1} LIKE '%{2}%' OR {3} LIKE '%{2}%') {4} ORDER BY CASE WHEN name = '{0}' OR qualified = '{0}' THEN 0 ELSE 1 END, length(qualified), path, start_line, ord LIMIT {5}"
+_FOUND = ("path", "name", "qualified", "kind", "start_line", "end_line")
+
+
+@query(f"WITH {C.SQL_SYMBOLS} " + SQL_FIND.format("S1.B", _LIKE.format("name"), "s1.b", _LIKE.format("qualified"), "", 26))
+def find_exact_like(spark, d):
+    return search.find(C.symbols(spark, d), "S1.B").select(*_FOUND)
+
+
+@query(f"WITH {C.SQL_SYMBOLS} " + SQL_FIND.format("s_", _LIKE.format("name"), "s_", _LIKE.format("qualified"), "AND kind = 'struct' AND (path = 'src1' OR starts_with(path, 'src1/') OR starts_with(path, 'src1'))", 26))
+def find_kind_scoped(spark, d):
+    s = C.symbols(spark, d).where(code.path_filter(F.col("path"), "src1"))
+    return search.find(s, "s_", kind="struct").select(*_FOUND)
+
+
+def _fuzzy_sql(q: str, c: str) -> str:
+    """Nested positions of the query's characters, one after another."""
+    rest, gaps, ok = c, "0", "true"
+    for ch in q:
+        gaps += f" + greatest(instr({rest}, '{ch}') - 1, 0)"
+        ok += f" AND instr({rest}, '{ch}') > 0"
+        rest = f"substr({rest}, instr({rest}, '{ch}') + 1)"
+    seq = f"500 - 2 * ({gaps}) - strlen({rest}) // 2"
+    return f"CASE WHEN instr({c}, '{q}') > 0 THEN 1000 - 4 * (instr({c}, '{q}') - 1) - (strlen({c}) - {len(q)}) WHEN {ok} AND {seq} > 0 THEN {seq} END"
+
+
+@query(f"WITH {C.SQL_SYMBOLS}, z AS (SELECT path, qualified, ord, greatest({_fuzzy_sql('sb2', 'name')}, {_fuzzy_sql('sb2', 'qualified')})::BIGINT AS score FROM symbols) SELECT path, qualified, score FROM z WHERE score IS NOT NULL ORDER BY score DESC, strlen(qualified), path, ord LIMIT 10")
+def find_fuzzy(spark, d):
+    return search.fuzzy(C.symbols(spark, d), "SB2").select("path", "qualified", "score")
+
+
+@query(f"WITH {C.SQL_FILES} SELECT path, lang, size FROM files WHERE path = 'src1/en' OR starts_with(path, 'src1/en/')")
+def path_filter_dir(spark, d):
+    return C.files(spark, d).where(code.path_filter(F.col("path"), "src1/en/", is_dir=True)).select("path", "lang", "size")
+
+
+@query(f"WITH {C.SQL_SYMBOLS} SELECT path, kind, qualified, start_line, end_line, signature FROM symbols WHERE path = 'EN/7' OR ends_with({_LIKE.format('path')}, '/en/7')")
+def outline_suffix(spark, d):
+    return C.symbols(spark, d).where(code.file_match(F.col("path"), "EN/7")).select("path", "kind", "qualified", "start_line", "end_line", "signature")
+
+
+@query(f"WITH {C.SQL_SYMBOLS} SELECT path, kind, qualified, start_line, end_line FROM symbols WHERE parent IS NULL")
+def tree_top_level(spark, d):
+    return C.symbols(spark, d).where("parent is null").select("path", "kind", "qualified", "start_line", "end_line")
+
+
+@query(
+    f"""WITH {C.SQL_SYMBOLS}, c AS (SELECT path, qualified, ord, (strlen(kind || ' ' || qualified || ' ' || signature) + 3) // 4 AS cost FROM symbols),
+r AS (SELECT *, sum(cost) OVER (PARTITION BY path ORDER BY ord) AS s FROM c) SELECT path, qualified FROM r WHERE s <= 60"""
+)
+def tree_budget_prefix(spark, d):
+    cost = search.chunk_cost(F.concat_ws(" ", "kind", "qualified", "signature"))
+    return search.budget_prefix(C.symbols(spark, d), ["path"], ["ord"], cost, 60).select("path", "qualified")
+
+
+# Ranking ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {C.SQL_LINES}, {C.SQL_IDENTS} SELECT name, count(*) AS n FROM idents WHERE name IN (SELECT name FROM idents WHERE ln = 1) GROUP BY name")
+def ident_counts(spark, d):
+    i = C.idents(spark, d)
+    return ranking.ident_counts(i, i.where("ln = 1"))
+
+
+#: Defined names for ranking: the first identifier of each block of ten lines.
+SQL_DEFS = f"{C.SQL_LINES}, {C.SQL_IDENTS}, defs AS (SELECT path, name, min(ln) AS ln FROM idents WHERE ln % 10 = 1 GROUP BY path, name)"
+
+
+def _defs(i):
+    return i.where("ln % 10 = 1").groupBy("path", "name").agg(F.min("ln").alias("ln"))
+
+
+SQL_FAN = f"{SQL_DEFS}, own AS (SELECT path, name, count(*) AS own FROM idents GROUP BY path, name), total AS (SELECT name, sum(own)::BIGINT AS total FROM own GROUP BY name), fan AS (SELECT defs.path, defs.name, ln, total - own AS fan_in FROM defs JOIN total USING (name) JOIN own USING (path, name))"
+
+
+@query(f"WITH {SQL_FAN} SELECT path, name, ln, fan_in FROM fan")
+def fan_in_rank(spark, d):
+    i = C.idents(spark, d)
+    return ranking.fan_in(_defs(i), i).select("path", "name", "ln", "fan_in")
+
+
+@query(
+    f"""WITH {SQL_FAN}, p AS (SELECT path, fan_in > 100 AS hot, length(name) > 4 AS long_, row_number() OVER w AS pos, lag(fan_in > 100) OVER w AS ph, lag(length(name) > 4) OVER w AS pl FROM fan WINDOW w AS (PARTITION BY path ORDER BY fan_in DESC, name)),
+g AS (SELECT *, sum(CASE WHEN ph IS NULL OR ph <> hot OR pl <> long_ THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY pos) AS run_id FROM p),
+s AS (SELECT *, count(*) OVER (PARTITION BY path, run_id) AS n, min(pos) OVER (PARTITION BY path, run_id) AS f FROM g)
+SELECT path, hot, long_, pos::INT AS first_pos, CASE WHEN n < 3 THEN 1 ELSE n END::BIGINT AS run FROM s WHERE n < 3 OR pos = f"""
+)
+def rank_run_collapse(spark, d):
+    i = C.idents(spark, d)
+    fan = ranking.fan_in(_defs(i), i)
+    rows = fan.withColumn("hot", F.col("fan_in") > 100).withColumn("long_", F.char_length("name") > 4)
+    return ranking.collapse_runs(rows, ["path"], [F.desc("fan_in"), "name"], ["hot", "long_"])
+
+
+@query(f"WITH {C.SQL_LINES}, {C.SQL_IDENTS} SELECT path, name, min(ln) AS ln FROM idents GROUP BY path, name")
+def first_sighting(spark, d):
+    return ranking.first_sighting(C.idents(spark, d), ["path", "name"], F.col("ln"))
+
+
+@query(f"WITH {SQL_DEFS} SELECT path, name, ln FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, ln) AS rn FROM defs) WHERE rn <= 6")
+def top_n_per_key(spark, d):
+    return ranking.top_n(_defs(C.idents(spark, d)), ["name"], ["path", "ln"], 6)
+
+
+@query(f"WITH {C.SQL_SYMBOLS} SELECT path, qualified, (SELECT count(*) FROM symbols WHERE kind = 'fn') > 25 AS more FROM symbols WHERE kind = 'fn' ORDER BY path, ord LIMIT 25")
+def clip_flag(spark, d):
+    return ranking.clip(C.symbols(spark, d).where("kind = 'fn'"), ["path", "ord"], 25).select("path", "qualified", "more")
+
+
+# Graph -----------------------------------------------------------------------------------------------------------------
+
+SQL_CALLS = f"{SQL_DEFS}, calls AS (SELECT path, name, min(ln) AS ln FROM idents WHERE length(name) >= 8 GROUP BY path, name)"
+
+
+@query(f"WITH {SQL_CALLS} SELECT c.path AS caller, c.name AS name, c.ln AS ln, x.path AS callee_file, x.ln AS start_line FROM calls c JOIN defs x ON x.name = c.name WHERE x.path <> c.path")
+def callees_join(spark, d):
+    i = C.idents(spark, d)
+    calls = i.where(F.char_length("name") >= 8).groupBy("path", "name").agg(F.min("ln").alias("ln")).withColumnRenamed("path", "caller")
+    s = _defs(i).select("name", F.col("path").alias("qualified"), "path", F.col("ln").alias("start_line"), F.lit("fn").alias("kind"))
+    return graph.callees(calls, s).select("caller", "name", "ln", "callee_file", "start_line")
+
+
+@query(
+    f"""WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R'),
+cands AS (SELECT call_id, 'm' || l_suppkey % 5 AS my_scope, 'd' || l_suppkey % 4 || '/f' || l_suppkey % 9 AS my_file, (l_quantity % 4)::INT AS argc, p_partkey, 'm' || p_size % 5 AS scope, 'd' || p_size % 4 || '/f' || p_partkey % 9 AS file, (p_size % 5)::INT AS params, p_size % 2 = 0 AS m
+  FROM l JOIN part ON p_partkey % 40 = l_partkey % 40 AND p_partkey <= 200),
+r AS (SELECT *, scope = my_scope AS r0, file = my_file AS r1, split_part(file, '/', 1) = split_part(my_file, '/', 1) AS r2, greatest(params - m::INT, 0) = argc AS r3 FROM cands),
+n AS (SELECT *, sum(r0::INT) OVER w AS n0, sum(r1::INT) OVER w AS n1, sum(r2::INT) OVER w AS n2, sum(r3::INT) OVER w AS n3 FROM r WINDOW w AS (PARTITION BY call_id)),
+k AS (SELECT * FROM n WHERE CASE WHEN n0 = 1 THEN r0 WHEN n1 = 1 THEN r1 WHEN n2 = 1 THEN r2 WHEN n3 = 1 THEN r3 ELSE true END)
+SELECT call_id, p_partkey AS callee, count(*) OVER (PARTITION BY call_id) > 1 AS ambiguous FROM k"""
+)
+def narrow_by_scope(spark, d):
+    l = C.table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    name = lambda p, c, n: F.concat(F.lit(p), F.pmod(c, F.lit(n)).cast("string"))
+    calls = l.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), name("m", F.col("l_suppkey"), 5).alias("my_scope"),
+        F.concat(name("d", F.col("l_suppkey"), 4), name("/f", F.col("l_suppkey"), 9)).alias("my_file"), (F.col("l_quantity") % 4).cast("int").alias("argc"), F.pmod("l_partkey", F.lit(40)).alias("k"),
+    )
+    p = C.table(spark, d, "part").where("p_partkey <= 200")
+    cands = p.select(
+        F.pmod("p_partkey", F.lit(40)).alias("k"), F.col("p_partkey").alias("callee"), name("m", F.col("p_size"), 5).alias("scope"),
+        F.concat(name("d", F.col("p_size"), 4), name("/f", F.col("p_partkey"), 9)).alias("file"), F.pmod("p_size", F.lit(5)).cast("int").alias("params"), (F.col("p_size") % 2 == 0).alias("is_method"),
+    )
+    return graph.narrow_by_scope(calls.join(cands, "k")).select("call_id", "callee", "ambiguous")
+
+
+@query(f"WITH {SQL_GREP_ENCLOSING.replace(chr(39) + 'ation' + chr(39), chr(39) + 'tion' + chr(39))}, u AS (SELECT path, symbol, ln, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS name FROM e) SELECT path, symbol, min(ln) AS ln FROM u WHERE name = 'tion' AND symbol <> '' AND string_split(symbol, '.')[-1] <> 'tion' GROUP BY path, symbol")
+def callers(spark, d):
+    hits = search.grep(C.files(spark, d), "tion")
+    named = intervals.enclosing(hits, C.symbols(spark, d))
+    uses = named.select("path", "symbol", "ln", F.explode(text.identifiers(F.col("line"))).alias("name"))
+    return graph.callers(uses, "tion")
+
+
+SQL_BFS = f"WITH RECURSIVE {C.SQL_EDGES}, r AS (SELECT 7::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < {{}}) SELECT node::BIGINT AS node, min(depth)::INT AS depth FROM r GROUP BY node"
+
+
+@query(SQL_BFS.format(2))
+def calls_depth2(spark, d):
+    start = spark.createDataFrame([(7,)], "node long")
+    return graph.reach(C.edges(spark, d), start, search.LIMITS["calls_depth"])
+
+
+@query(
+    f"""WITH RECURSIVE {C.SQL_EDGES}, r AS (SELECT 7::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 8),
+b AS (SELECT node, min(depth) AS depth FROM r GROUP BY node),
+q AS (SELECT node, depth, (SELECT min(e.src) FROM edges e JOIN b p ON p.node = e.src AND p.depth = b.depth - 1 WHERE e.dst = b.node) AS prev FROM b),
+w AS (SELECT node, depth, prev FROM q WHERE node = 150 UNION ALL SELECT q.node, q.depth, q.prev FROM w JOIN q ON q.node = w.prev)
+SELECT depth::INT AS pos, node::BIGINT AS node FROM w"""
+)
+def path_bfs(spark, d):
+    one = lambda n: spark.createDataFrame([(n,)], "node long")
+    return graph.shortest_path(C.edges(spark, d), one(7), one(150), search.LIMITS["path_depth"])
+
+
+@query(f"WITH {C.SQL_EDGES} SELECT DISTINCT a.src AS a, a.dst AS b FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
+def mutual_cycles(spark, d):
+    return graph.mutual_pairs(C.edges(spark, d))
+
+
+@query(f"WITH {C.SQL_EDGES} SELECT dst AS node, count(*) AS n FROM edges GROUP BY dst ORDER BY n DESC, node LIMIT 10")
+def most_imported(spark, d):
+    return graph.in_degree(C.edges(spark, d)).orderBy(F.desc("n"), "node").limit(10)
+
+
+SQL_LINKS = "links AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS spec FROM pages)"
+
+
+def _links(spark, d):
+    p = C.table(spark, d, "pages")
+    return p.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("spec"))
+
+
+@query(f"WITH {SQL_LINKS} SELECT DISTINCT page_id, spec FROM links")
+def import_edges(spark, d):
+    return _links(spark, d).select("page_id", "spec").distinct()
+
+
+@query(
+    f"""WITH s AS (SELECT event_id AS importer, 'd' || user_id % 7 AS dir, 'n' || event_id % 50 AS spec FROM events),
+files AS (SELECT 'd' || p_size % 7 || '/n' || p_partkey % 61 || ['.js', '.ts', '/index.js'][p_partkey % 3 + 1] AS path FROM part),
+c AS (SELECT importer, spec, unnest([dir || '/' || spec || '.js', dir || '/' || spec || '.ts', dir || '/' || spec || '/index.js']) AS path, unnest([0, 1, 2]) AS prio FROM s)
+SELECT importer, spec, arg_min(path, prio) AS path FROM c WHERE path IN (SELECT path FROM files) GROUP BY importer, spec"""
+)
+def import_resolution_priority(spark, d):
+    e, p = C.table(spark, d, "events"), C.table(spark, d, "part")
+    n = lambda prefix, c, m: F.concat(F.lit(prefix), F.pmod(c, F.lit(m)).cast("string"))
+    spec = n("n", F.col("event_id"), 50)
+    base = F.concat_ws("/", n("d", F.col("user_id"), 7), spec)
+    specs = e.select(F.col("event_id").alias("importer"), spec.alias("spec"), F.array(*[F.concat(base, F.lit(x)) for x in (".js", ".ts", "/index.js")]).alias("candidates"))
+    end = F.element_at(F.array(*map(F.lit, (".js", ".ts", "/index.js"))), F.pmod("p_partkey", F.lit(3)).cast("int") + 1)
+    return graph.resolve_imports(specs, p.select(F.concat(n("d", F.col("p_size"), 7), n("/n", F.col("p_partkey"), 61), end).alias("path")))
+
+
+@query("WITH u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages) SELECT host, count(*) AS n FROM (SELECT DISTINCT page_id, host FROM u WHERE host <> '') GROUP BY host")
+def external_hosts(spark, d):
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    return C.table(spark, d, "pages").select("page_id", host.alias("host")).where("host <> ''").distinct().groupBy("host").agg(F.count("*").alias("n"))
+
+
+_SPECS = "['serde::de::Value', 'std::fmt', 'crate::x', 'mod:y', 'numpy.linalg', '.local', 'os', '@scope/pkg/sub', './rel', 'react/jsx', '/abs']"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, ['rust', 'python', 'javascript'][doc_id % 3 + 1] AS lang, {_SPECS}[doc_id % 11 + 1] AS spec FROM documents),
+x AS (SELECT doc_id, CASE lang WHEN 'rust' THEN CASE WHEN starts_with(spec, 'mod:') OR trim(split_part(spec, '::', 1)) IN ('crate', 'self', 'super', 'std', 'core', 'alloc', '') THEN NULL ELSE trim(split_part(spec, '::', 1)) END
+  WHEN 'python' THEN CASE WHEN NOT starts_with(spec, '.') THEN nullif(trim(split_part(spec, '.', 1)), '') END
+  ELSE CASE WHEN starts_with(spec, '.') OR starts_with(spec, '/') THEN NULL WHEN starts_with(spec, '@') THEN nullif(regexp_extract(spec, '^(@[^/]+/[^/]+)', 1), '') ELSE nullif(trim(split_part(spec, '/', 1)), '') END END AS package FROM s)
+SELECT package, count(*) AS n FROM x WHERE package IS NOT NULL GROUP BY package"""
+)
+def external_counts(spark, d):
+    lang = F.element_at(F.array(*map(F.lit, ("rust", "python", "javascript"))), F.pmod("doc_id", F.lit(3)).cast("int") + 1)
+    specs = ("serde::de::Value", "std::fmt", "crate::x", "mod:y", "numpy.linalg", ".local", "os", "@scope/pkg/sub", "./rel", "react/jsx", "/abs")
+    spec = F.element_at(F.array(*map(F.lit, specs)), F.pmod("doc_id", F.lit(11)).cast("int") + 1)
+    rows = C.table(spark, d, "documents").select("doc_id", lang.alias("lang"), spec.alias("spec"))
+    named = rows.select("doc_id", code.external_name(F.col("lang"), F.col("spec")).alias("package")).where("package is not null")
+    return named.distinct().groupBy("package").agg(F.count("*").alias("n"))
+
+
+# Entries and tests -----------------------------------------------------------------------------------------------------
+
+SQL_ENTRIES = """e0 AS (SELECT p_partkey, ['rust', 'python', 'typescript', 'go'][p_partkey % 4 + 1] AS lang, ['main', 'run', 'test_a', '_hide', 'Api'][p_partkey % 5 + 1] AS name, ['fn', 'def', 'method', 'class', 'struct'][p_size % 5 + 1] AS kind,
+  CASE WHEN p_partkey % 7 = 0 THEN 'tests' WHEN p_partkey % 7 = 1 THEN 'Owner' END AS parent, ['pub fn x()', ' export function y()', 'fn z()'][p_size % 3 + 1] AS sig, ['src/a.rs', 'pkg/__main__.py', 'Tests/b.py', 'web/c.spec.ts', 'lib/d_test.go', 'test_e.py'][p_partkey % 6 + 1] AS path FROM part),
+e1 AS (SELECT *, kind IN ('fn', 'fn*', 'def', 'method') AS callable,
+  len(list_intersect(string_split(lower(path), '/'), ['tests', 'test', '__tests__', 'spec', 'specs'])) > 0 OR regexp_matches(lower(path), '(^|/)test_[^/]*$|\\.test\\.[^/]*$|\\.spec\\.[^/]*$|_(test|spec)\\.[^./]*$') AS tp,
+  coalesce(parent = 'tests', false) OR regexp_matches(name, '^tests?$|^test_|_test$') AS ts FROM e0),
+entries AS (SELECT *, CASE WHEN tp OR ts THEN CASE WHEN callable THEN 'test' END WHEN callable AND name = 'main' AND parent IS NULL THEN 'main' WHEN lang = 'python' AND parent IS NULL AND callable AND ends_with(path, '__main__.py') THEN 'main'
+  WHEN (lang = 'rust' AND parent IS NULL AND starts_with(ltrim(sig), 'pub ')) OR (lang = 'typescript' AND starts_with(ltrim(sig), 'export ')) OR (lang = 'python' AND parent IS NULL AND kind IN ('def', 'class') AND NOT starts_with(name, '_')) THEN 'api' END AS class FROM e1)"""
+
+
+def _entries(spark, d):
+    p = C.table(spark, d, "part")
+    of = lambda values, c, n: F.element_at(F.array(*map(F.lit, values)), F.pmod(c, F.lit(n)).cast("int") + 1)
+    k, s = F.col("p_partkey"), F.col("p_size")
+    rows = p.select(
+        k, of(("rust", "python", "typescript", "go"), k, 4).alias("lang"), of(("main", "run", "test_a", "_hide", "Api"), k, 5).alias("name"), of(("fn", "def", "method", "class", "struct"), s, 5).alias("kind"),
+        F.when(F.pmod(k, F.lit(7)) == 0, "tests").when(F.pmod(k, F.lit(7)) == 1, "Owner").alias("parent"), of(("pub fn x()", " export function y()", "fn z()"), s, 3).alias("sig"),
+        of(("src/a.rs", "pkg/__main__.py", "Tests/b.py", "web/c.spec.ts", "lib/d_test.go", "test_e.py"), k, 6).alias("path"),
+    )
+    return rows.withColumn("class", code.entry_class(*map(F.col, ("lang", "name", "kind", "parent", "sig", "path"))))
+
+
+@query(f"WITH {SQL_ENTRIES} SELECT p_partkey, class FROM entries")
+def entries_class(spark, d):
+    return _entries(spark, d).select("p_partkey", "class")
+
+
+@query(f"WITH {SQL_ENTRIES} SELECT count(*) FILTER (class = 'main') AS main, count(*) FILTER (class = 'api') AS api_total, count(*) FILTER (class = 'test') AS test_symbols, count(DISTINCT path) FILTER (class = 'test') AS test_files FROM entries")
+def entries_summary(spark, d):
+    c = F.col("class")
+    return _entries(spark, d).agg(F.count_if(c == "main").alias("main"), F.count_if(c == "api").alias("api_total"), F.count_if(c == "test").alias("test_symbols"), F.count_distinct(F.when(c == "test", F.col("path"))).alias("test_files"))
+
+
+@query(
+    f"""WITH {SQL_GREP_ENCLOSING}, t AS (SELECT path, ln, symbol, (hash_ % 3 = 0) AS test FROM (SELECT *, length(path) + ln AS hash_ FROM e))
+SELECT path, symbol, min(ln) AS ln, (SELECT count(*) FROM t WHERE NOT test) AS non_test_refs FROM t WHERE test GROUP BY path, symbol"""
+)
+def tests_for_symbol(spark, d):
+    hits = intervals.enclosing(search.grep(C.files(spark, d), "ation"), C.symbols(spark, d))
+    marked = hits.withColumn("test", (F.char_length("path") + F.col("ln")) % 3 == 0)
+    others = marked.agg(F.count_if(~F.col("test")).alias("non_test_refs"))
+    return marked.where("test").groupBy("path", "symbol").agg(F.min("ln").alias("ln")).crossJoin(F.broadcast(others))  # one row
+
+
+# Diffs and history -----------------------------------------------------------------------------------------------------
+
+SQL_RANGES = f"{C.SQL_SYMBOLS}, ranges AS (SELECT DISTINCT path, (doc_id % 17 + 1)::INT AS lo, (doc_id % 17 + 1 + doc_id % 4)::INT AS hi FROM files UNION SELECT path, (doc_id % 5 + 2)::INT, (doc_id % 5 + 2)::INT FROM files), touched AS (SELECT DISTINCT s.path, qualified, start_line, end_line FROM symbols s JOIN ranges r ON s.path = r.path AND s.start_line <= r.hi AND s.end_line >= r.lo)"
+
+
+def _ranges(spark, d):
+    f, i = C.files(spark, d), F.col("doc_id")
+    a = f.select("path", (i % 17 + 1).cast("int").alias("lo"), (i % 17 + 1 + i % 4).cast("int").alias("hi"))
+    return a.unionByName(f.select("path", (i % 5 + 2).cast("int").alias("lo"), (i % 5 + 2).cast("int").alias("hi"))).distinct()
+
+
+@query(f"WITH {SQL_RANGES} SELECT * FROM touched")
+def diff_touched(spark, d):
+    return intervals.overlapping(C.symbols(spark, d), _ranges(spark, d)).select("path", "qualified", "start_line", "end_line")
+
+
+@query(
+    f"""WITH {SQL_RANGES}, cl AS (SELECT DISTINCT path, unnest(range(lo, hi + 1)) AS l FROM ranges)
+SELECT DISTINCT t.path, t.qualified, t.start_line, t.end_line FROM touched t JOIN cl ON cl.path = t.path AND cl.l BETWEEN t.start_line AND t.end_line
+WHERE NOT EXISTS (SELECT 1 FROM touched n WHERE n.path = t.path AND n.qualified <> t.qualified AND n.start_line >= t.start_line AND n.end_line <= t.end_line AND cl.l BETWEEN n.start_line AND n.end_line)"""
+)
+def diff_drop_covered(spark, d):
+    ranges = _ranges(spark, d)
+    touched = intervals.overlapping(C.symbols(spark, d), ranges).select("path", "qualified", "start_line", "end_line")
+    return intervals.uncovered(touched, ranges)
+
+
+@query("SELECT o_orderkey AS id, 'src/f' || o_custkey % 50 || '.rs' AS path, greatest(o_custkey % 30, 1)::INT AS lo, CASE WHEN o_orderkey % 4 = 0 THEN greatest(o_custkey % 30, 1) ELSE o_custkey % 30 + o_orderkey % 4 - 1 END::INT AS hi, o_orderkey % 11 = 0 AS deleted FROM orders")
+def parse_hunks(spark, d):
+    o = C.table(spark, d, "orders")
+    s = lambda c: c.cast("string")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    file = F.concat(F.lit("src/f"), s(c % 50), F.lit(".rs"))
+    new = F.when(k % 11 == 0, F.lit("/dev/null")).otherwise(F.concat(F.lit("b/"), file))
+    raw = F.concat(F.lit("diff --git a/x b/x\n--- a/"), file, F.lit("\n+++ "), new, F.lit("\n@@ -1,2 +"), s(c % 30), F.when(k % 4 == 1, F.lit("")).otherwise(F.concat(F.lit(","), s(k % 4))), F.lit(" @@ fn x()\n+line"))
+    return history.parse_hunks(o.select(k.alias("id"), raw.alias("raw")))
+
+
+@query("SELECT p_partkey, ['a/new.rs', 'src/lib/m.rs', 'new.rs', 'plain/x.rs', 'a/b.rs'][p_partkey % 5 + 1] AS path FROM part")
+def normalize_rename(spark, d):
+    raw = ("a/{old.rs => new.rs}", "src/{core => lib}/m.rs", "old.rs => new.rs", "plain/x.rs", "a/{sub => }/b.rs")
+    k = F.col("p_partkey")
+    path = F.element_at(F.array(*map(F.lit, raw)), F.pmod(k, F.lit(5)).cast("int") + 1)
+    return C.table(spark, d, "part").select(k, history.normalize_rename(path).alias("path"))
+
+
+@query(f"WITH {C.SQL_COMMITS} SELECT path, count(*) AS commits, sum(greatest(adds, 0) + greatest(dels, 0))::BIGINT AS lines, arg_max(author, struct_pack(a := ts, b := hash, c := -l_linenumber)) AS last_author, max(ts) AS last_ts FROM cf GROUP BY path ORDER BY commits DESC, lines DESC, path LIMIT 20")
+def churn(spark, d):
+    return history.churn(C.commit_files(spark, d)).orderBy(F.desc("commits"), F.desc("lines"), "path").limit(search.LIMITS["hot"])
+
+
+@query(f"WITH {C.SQL_COMMITS} SELECT path, count(*) AS together FROM cf WHERE path <> 17 AND hash IN (SELECT hash FROM cf WHERE path = 17) GROUP BY path")
+def co_change(spark, d):
+    return history.co_change(C.commit_files(spark, d), 17)
+
+
+# Usage -----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {C.SQL_USAGE} SELECT count(*) AS calls, sum(tokens_out)::BIGINT AS tokens_out, sum(tokens_saved)::BIGINT AS tokens_saved, sum(ms)::BIGINT AS ms, count(*) FILTER (cmd LIKE 'hook:%-block') AS blocks, sum(tokens_out + tokens_saved)::BIGINT AS baseline, round(100.0::DOUBLE * sum(tokens_saved) / sum(tokens_out + tokens_saved), 6)::DOUBLE AS pct_saved FROM usage")
+def usage_totals(spark, d):
+    return usage.totals(C.usage(spark, d))
+
+
+@query(f"WITH {C.SQL_USAGE} SELECT cmd, count(*) AS calls, round(avg(ms), 6) AS avg_ms, sum(tokens_out)::BIGINT AS tokens_out, sum(tokens_saved)::BIGINT AS tokens_saved FROM usage GROUP BY cmd")
+def usage_per_command(spark, d):
+    return usage.per_command(C.usage(spark, d))
+
+
+@query(f"WITH {C.SQL_USAGE} SELECT detail, count(*) AS calls, sum(tokens_saved)::BIGINT AS tokens_saved FROM usage WHERE detail <> '' GROUP BY detail ORDER BY calls DESC, tokens_saved DESC, detail LIMIT 8")
+def usage_top_targets(spark, d):
+    return usage.top_targets(C.usage(spark, d), 8)
+
+
+@query(f"WITH {C.SQL_USAGE} SELECT id, ts, project, cmd, ms FROM usage WHERE cmd NOT IN ('index', 'edit', 'rename', 'note') AND cmd NOT LIKE 'hook:%' ORDER BY id DESC LIMIT 40")
+def usage_recent(spark, d):
+    return usage.recent(C.usage(spark, d), 40).select("id", "ts", "project", "cmd", "ms")
+
+
+@query(f"WITH {C.SQL_USAGE} SELECT project, round(100.0::DOUBLE * sum(tokens_saved) / sum(tokens_out + tokens_saved), 6)::DOUBLE AS pct_saved FROM usage GROUP BY project HAVING sum(tokens_out + tokens_saved) > 0")
+def usage_pct_saved(spark, d):
+    t = C.usage(spark, d).groupBy("project").agg(F.sum("tokens_saved").alias("s"), F.sum(F.col("tokens_out") + F.col("tokens_saved")).alias("b")).where("b > 0")
+    return t.select("project", F.round(100.0 * F.col("s") / F.col("b"), 6).alias("pct_saved"))
+
+
+@query(f"WITH {C.SQL_USAGE}, n AS (SELECT max(ts) AS t FROM usage), y AS (SELECT usage.* FROM usage, n WHERE ts >= t - 864000), c AS (SELECT * FROM y ORDER BY id DESC LIMIT 500) SELECT id, ts, project FROM c WHERE project IN (SELECT c_custkey FROM customer)")
+def tidy_age_and_cap(spark, d):
+    u = C.usage(spark, d)
+    now = u.agg(F.max("ts")).first()[0]
+    projects = C.table(spark, d, "customer").select(F.col("c_custkey").alias("project"))
+    return usage.tidy(u, now, keep_seconds=864_000, keep_rows=500, projects=projects).select("id", "ts", "project")
+
+
+@query("SELECT count(*) AS projects, sum(c_nationkey)::BIGINT AS files, sum(length(c_name))::BIGINT AS symbols FROM customer")
+def registry_totals(spark, d):
+    return C.table(spark, d, "customer").agg(F.count("*").alias("projects"), F.sum("c_nationkey").alias("files"), F.sum(F.char_length("c_name")).alias("symbols"))
+
+
+@query(f"WITH {C.SQL_USAGE} SELECT project, arg_max(cmd, struct_pack(a := ts, b := id)) AS cmd, max(ts) AS ts FROM usage GROUP BY project")
+def registry_upsert(spark, d):
+    u = C.usage(spark, d).select("project", "cmd", "ts", "id")
+    return usage.last_write_wins(u, ["project"], F.struct("ts", "id")).select("project", "cmd", "ts")
+
+
+# Index maintenance -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def vanished_files(spark, d):
+    seen = C.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    return C.table(spark, d, "part").join(seen, "p_partkey", "left_anti").select("p_partkey", "p_name")
+
+
+@query(f"WITH {C.SQL_FILES}, disk AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN size + 1 ELSE size END AS size, doc_id AS mtime FROM files WHERE doc_id % 7 <> 0), idx AS (SELECT path, size, CASE WHEN doc_id % 6 = 0 THEN doc_id - 1 ELSE doc_id END AS mtime FROM files WHERE doc_id % 11 <> 0) SELECT d.path, i.path IS NULL AS is_new FROM disk d LEFT JOIN idx i ON d.path = i.path WHERE i.path IS NULL OR d.size <> i.size OR d.mtime <> i.mtime")
+def changed_files(spark, d):
+    from ..sources.index import changed
+
+    f, i = C.files(spark, d), F.col("doc_id")
+    disk = f.where(i % 7 != 0).select("path", F.when(i % 5 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), i.alias("mtime_ns"))
+    indexed = f.where(i % 11 != 0).select("path", "size", F.when(i % 6 == 0, i - 1).otherwise(i).alias("mtime_ns"))
+    return changed(disk, indexed).select("path", "is_new")
+
+
+@query("WITH s AS (SELECT l.doc_id, 'm.q' || l.doc_id % 9 AS sym FROM labels l), n AS (SELECT item_id, 'x.y.q' || item_id % 12 AS k FROM benchmark) SELECT s.doc_id, n.item_id FROM s JOIN n ON split_part(s.sym, '.', -1) = split_part(n.k, '.', -1)")
+def notes_for_tail(spark, d):
+    key = lambda p, c, n: F.concat(F.lit(p), F.pmod(c, F.lit(n)).cast("string"))
+    s = C.table(spark, d, "labels").select("doc_id", text.name_tail(key("m.q", F.col("doc_id"), 9)).alias("tail"))
+    n = C.table(spark, d, "benchmark").select("item_id", text.name_tail(key("x.y.q", F.col("item_id"), 12)).alias("tail"))
+    return s.join(n, "tail").select("doc_id", "item_id")
+
+
+@query("SELECT DISTINCT doc_id, path FROM (SELECT doc_id, source AS path FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0)")
+def changed_union(spark, d):
+    docs = C.table(spark, d, "documents").select("doc_id", F.col("source").alias("path"))
+    return docs.where("doc_id % 3 = 0").unionByName(docs.where("doc_id % 2 = 0")).dropDuplicates()
+
+
+@query(
+    """WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(main|nav|header|footer|section|article|aside|form|table|ul|ol|h1|h2|h3|h4|h5|h6)(\\s[^>]*)?>', 1)) AS tag FROM pages)
+SELECT page_id, tag, count(*) AS n FROM t GROUP BY page_id, tag"""
+)
+def html_elements(spark, d):
+    pattern = r"<(main|nav|header|footer|section|article|aside|form|table|ul|ol|h1|h2|h3|h4|h5|h6)(\s[^>]*)?>"
+    tags = C.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(pattern), 1)).alias("tag"))
+    return tags.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+# Session policies ------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {C.SQL_READS} SELECT event_id, row_number() OVER (PARTITION BY session, path ORDER BY ts, event_id) AS nth, row_number() OVER (PARTITION BY session, path ORDER BY ts, event_id) > 1 AS reread FROM reads")
+def reread_detection(spark, d):
+    return usage.rereads(C.reads(spark, d)).select("event_id", "nth", "reread")
+
+
+@query(f"WITH {C.SQL_READS}, r AS (SELECT *, row_number() OVER (PARTITION BY session, path ORDER BY ts, event_id) > 1 AS reread FROM reads), c AS (SELECT event_id, reread, (sum((NOT reread)::INT) OVER (PARTITION BY session ORDER BY ts, event_id))::BIGINT AS n FROM r) SELECT event_id, n AS count, NOT reread AND n % 4 = 0 AS fires FROM c")
+def read_streak(spark, d):
+    return usage.streaks(C.reads(spark, d), policy.READ_STREAK).select("event_id", "count", "fires")
+
+
+@query(f"WITH {C.SQL_READS} SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY session, path ORDER BY ts, event_id) = 1 THEN 'deny' ELSE 'advise' END AS decision FROM reads")
+def deny_once(spark, d):
+    return usage.rereads(C.reads(spark, d)).select("event_id", F.when(F.col("nth") == 1, "deny").otherwise("advise").alias("decision"))
+
+
+SQL_FACTS = "f AS (SELECT doc_id, doc_id % 5 = 0 AS partial, lang <> 'es' AS code, doc_id % 3 > 0 AS indexed, doc_id % 7 > 0 AS repo, octet_length(encode(text)) // 10 AS lines, doc_id % 4 > 0 AS callable, doc_id % 6 = 0 AS reread FROM documents)"
+
+
+@query(
+    f"""WITH {SQL_FACTS} SELECT doc_id, CASE WHEN partial OR NOT code THEN 'allow' WHEN lines <= 300 THEN CASE WHEN indexed AND callable AND (reread OR lines >= 120) THEN 'advise' ELSE 'allow' END
+WHEN indexed THEN 'redirect' WHEN repo THEN 'nudge' ELSE 'allow' END AS decision FROM f"""
+)
+def decide_read(spark, d):
+    i = F.col("doc_id")
+    facts = (i % 5 == 0, F.col("lang") != "es", i % 3 > 0, i % 7 > 0, F.floor(F.octet_length("text") / 10), i % 4 > 0, i % 6 == 0)
+    return C.table(spark, d, "documents").select("doc_id", policy.decide_read(*facts).alias("decision"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'allow' WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 'advise' ELSE 'redirect' END
+WHEN doc_id % 13 > 3 AND doc_id % 7 <> 0 THEN 'nudge' ELSE 'allow' END AS decision FROM documents"""
+)
+def decide_grep(spark, d):
+    i = F.col("doc_id")
+    return C.table(spark, d, "documents").select("doc_id", policy.decide_grep(i % 5 == 0, i % 7 == 0, i % 3 != 0, i % 2 == 0, i % 13 > 3, i % 11 == 0).alias("decision"))
+
+
+@query("SELECT event_id, (n > 0 AND n % 10 = 0) AS fires FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)")
+def cadence(spark, d):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return C.table(spark, d, "events").withColumn("n", n).select("event_id", policy.fires(F.col("n"), policy.NUDGE_EVERY).alias("fires"))
+
+
+@query("WITH e AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT event_id, coalesce(epoch(ts) - epoch(p) > 604800, true) AS expired FROM e")
+def retention_state_ttl(spark, d):
+    p = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
+    e = C.table(spark, d, "events").withColumn("p", p)
+    return e.select("event_id", F.coalesce(seconds(F.col("ts")) - seconds(F.col("p")) > 7 * 86_400, F.lit(True)).alias("expired"))
+
+
+# Scalars ---------------------------------------------------------------------------------------------------------------
+
+_SIGS = ("fn a()", "fn b(x: i32)", "def c(self, y=(1, 2), z=[3, 4])", "no parens", "f(a: Vec<Map<K, V>>, b)", 'g("x,y", \'z\')', "h( )", "fn m(&mut self, other: T)", "fn cb(f: impl Fn(i32) -> i32, n: u8)")
+_PARAMS = "[0, 1, 3, NULL, 2, 1, 0, 2, 2]"
+
+
+@query(f"SELECT p_partkey, {_PARAMS}[p_partkey % 9 + 1]::INT AS params, p_partkey % 9 IN (2, 7) AS receiver FROM part")
+def param_count(spark, d):
+    sig = F.element_at(F.array(*map(F.lit, _SIGS)), F.pmod("p_partkey", F.lit(9)).cast("int") + 1)
+    p = C.table(spark, d, "part").select("p_partkey", sig.alias("sig"))
+    return p.select("p_partkey", text.param_count(F.col("sig")).alias("params"), text.first_param_is_receiver(F.col("sig")).alias("receiver"))
+
+
+@query("WITH n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name ELSE replace(p_name, ' ', '.') || '.end' END AS q FROM part) SELECT p_partkey, string_split(q, '.')[-1] AS tail, CASE WHEN contains(q, '.') THEN regexp_extract(q, '^(.*)\\.[^.]*$', 1) END AS scope FROM n")
+def name_tail_scope(spark, d):
+    q = F.when(F.pmod("p_partkey", F.lit(3)) == 0, F.col("p_name")).otherwise(F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.lit(".end")))
+    p = C.table(spark, d, "part").select("p_partkey", q.alias("q"))
+    return p.select("p_partkey", text.name_tail(F.col("q")).alias("tail"), text.scope_parent(F.col("q")).alias("scope"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) ELSE printf('%.1f GB', n / 1073741824.0::DOUBLE) END AS size,
+CASE WHEN s < 5 THEN 'just now' WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS age
+FROM (SELECT o_orderkey, (o_orderkey * 7919) % 2000000011 AS n, o_orderkey * o_orderkey % 200003 AS s FROM orders)"""
+)
+def humanize(spark, d):
+    k = F.col("o_orderkey")
+    return C.table(spark, d, "orders").select("o_orderkey", text.human_bytes(k * 7919 % 2000000011).alias("size"), text.ago(k * k % 200003).alias("age"))
+
+
+@query("SELECT p_partkey, ['rust', 'python', NULL, 'make', 'dockerfile', 'typescript', NULL, 'json', 'r'][p_partkey % 9 + 1] AS lang, [true, true, false, true, true, false, false, false, true][p_partkey % 9 + 1] AS indexed FROM part")
+def detect_language(spark, d):
+    paths = ("src/a.rs", "x/y.pyi", "notes.txt", "tools/Makefile", "Dockerfile.dev", "node_modules/q/a.ts", "README", "web/package-lock.json", "plot.R")
+    path = F.element_at(F.array(*map(F.lit, paths)), F.pmod("p_partkey", F.lit(9)).cast("int") + 1)
+    p = C.table(spark, d, "part").select("p_partkey", path.alias("path"))
+    return p.select("p_partkey", code.detect_lang(F.col("path")).alias("lang"), code.is_indexed_path(F.col("path")).alias("indexed"))
+
+
+@query("SELECT p_partkey, ['a/c', 'x', '', 'a/b', 'b'][p_partkey % 5 + 1] AS path, ['a/b/..', 'x/.', '../..', './a/', 'a/../..'][p_partkey % 5 + 1] AS dir FROM part")
+def normalize_paths(spark, d):
+    raw = ("a/b/../c", "x/./", "../../", "./a//b", "a/../../b")
+    path = F.element_at(F.array(*map(F.lit, raw)), F.pmod("p_partkey", F.lit(5)).cast("int") + 1)
+    return C.table(spark, d, "part").select("p_partkey", text.normalize_path(path).alias("path"), text.dir_of(path).alias("dir"))
