@@ -1,0 +1,526 @@
+"""Each operator against plain versions on small fixtures, and on nulls, empty tables, repeats and clashing columns."""
+
+import hashlib
+import html
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from loomstone.llm import license_rules, mixture, odd_sketch, perplexity_bands, piece_backend, pii_spans, quote_links, site_templates, spot_signatures, toxic_segments
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns named like the operators' own, with values that would do harm if they were read.
+CLASH = ", id long, key long, n long, rep long, comp long, h long, size long, target double, sig string, ord long, block int, score double, of string, toxic int, spans string, ids string, page long, bands string"
+
+
+def documents(spark, rows, clash=False):
+    data = [(i, t, lang, source, len(t or "")) for i, t, lang, source in rows]
+    if not clash:
+        return spark.createDataFrame(data, DOC)
+    extra = (1, 1, 1, 1, 1, 1, 1, 1.0, "x", 1, 1, 1.0, "x", 1, "x", "x", 1, "x")
+    return spark.createDataFrame([r + extra for r in data], DOC + CLASH)
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def words(rng, n, letters="abcdefghijklmnop"):
+    return [rng.choice(letters) + rng.choice("aeiou") + rng.choice(letters) for _ in range(n)]
+
+
+def edge_rows():
+    rng = random.Random(3)
+    long_text = " ".join(words(rng, 30_000))
+    return [(1, None, "en", "a"), (2, "", "en", None), (3, " \n\t ", None, "a"), (4, "one", "en", "a"), (5, long_text, "en", "b"), (6, "one", "en", "a"), (6, "one", "en", "a"), (None, "no id here", "en", "a"), (8, "x" * 50_000, "en", "c")]
+
+
+# Near duplicates -------------------------------------------------------------------------------------------------------
+
+
+def brute_components(rows):
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    sets = {i: shingles(t) for i, t, *_ in rows}
+    comp = {i: i for i in sets}
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[:x]:
+            p, q = sets[a], sets[b]
+            if p and q and 100 * len(p & q) >= 85 * len(p | q):
+                ra, rb = root(a), root(b)
+                comp[max(ra, rb)] = min(ra, rb)
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def near_rows():
+    """A group of near copies large enough for blocks, with stragglers, chains, exact copies and unrelated texts."""
+    rng, rows = random.Random(1), []
+    base = words(rng, 130)
+    for _ in range(90):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+            w[rng.randrange(len(w))] = "edit%d" % rng.randrange(12)
+        rows.append(" ".join(w))
+    chain = words(rng, 300)
+    for step in range(12):
+        chain = list(chain)
+        chain[step * 20] = f"step{step}"
+        rows.append(" ".join(chain))
+    rows += [" ".join(words(rng, 80)) for _ in range(25)]
+    rows += [rows[3].upper(), rows[3], "a b c", "A b C", "a b c d", "", None]
+    rng.shuffle(rows)
+    return [(i * 3 + 1, t, "en", "s") for i, t in enumerate(rows)]
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rows = near_rows()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in odd_sketch.near_duplicates(documents(spark, rows, clash=True)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_duplicates_edges(spark):
+    rows = odd_sketch.near_duplicates(documents(spark, edge_rows())).collect()
+    assert len(rows) == len(edge_rows())
+    got = {r.doc_id: r for r in rows}
+    assert got[4].component_id == 4 and got[6].component_id == 4 and not got[6].kept
+    assert all(got[i].n_shingles == 0 and got[i].component_id == i and got[i].kept for i in (1, 2, 3))
+    assert got[None].component_id is None and got[None].kept
+    assert odd_sketch.near_duplicates(documents(spark, [])).collect() == []
+
+
+def test_odd_sketch_estimates_similarity():
+    rng = np.random.default_rng(1)
+    a, b = odd_sketch.sketch_functions()
+    common, own, other = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (900, 50, 50))
+    x, y = (odd_sketch.min_hashes(np.concatenate([common, o]), a, b) for o in (own, other))
+    p = int(np.bitwise_count(odd_sketch.odd_sketch(x) ^ odd_sketch.odd_sketch(y)).sum())
+    estimate = 1 + odd_sketch.SKETCH_BITS / (4 * len(a)) * np.log(1 - 2 * p / odd_sketch.SKETCH_BITS)
+    assert abs(estimate - 0.9) < 0.08 and p <= odd_sketch.MOST_XOR
+
+
+# Licences --------------------------------------------------------------------------------------------------------------
+
+MIT = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files, to deal in the Software.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND."""
+GPL = """/* This program is free software: you can redistribute it and/or modify it under the terms of the
+ * GNU General Public License, version 3.
+ * This program is distributed WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY. */"""
+
+
+def test_licences(spark):
+    rows = [(1, MIT, "en", "a"), (2, "Text.\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.", "en", "a"), (3, "// SPDX-License-Identifier: Apache-2.0\ncode", "en", "a"), (4, GPL, "en", "a"), (5, "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n  http://x", "en", "a"), (6, "An apache licence to thrill. Not a word on terms.", "en", "a")]
+    got = {k: (r.sentence_ids, r.licenses) for k, r in by_id(license_rules.scan(documents(spark, rows, clash=True))).items()}
+    assert got[1] == ("MITGrant,MITNotice,AsIs", "MIT")
+    assert got[2] == ("MITShort,CCBYNC", "MIT,CC-BY-NC")
+    assert got[3][1] == "apache-2.0"
+    assert got[4][1] == "GPL-3.0"
+    assert got[5] == ("Apache2,ApacheUse,ApacheCopy", "Apache-2.0")
+    assert got[6] == ("", "")
+
+
+def test_licence_edges(spark):
+    rows = license_rules.scan(documents(spark, edge_rows())).collect()
+    assert len(rows) == len(edge_rows()) and all(r.n_sentences == 0 and r.licenses == "" and r.unmatched == 0 for r in rows)
+    assert license_rules.scan(documents(spark, [])).collect() == []
+
+
+# Personal data ---------------------------------------------------------------------------------------------------------
+
+PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def plain_spans(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(s):
+        d = [int(c) for c in s[::-1]]
+        return sum(d[::2] + [x * 2 - 9 * (x > 4) for x in d[1::2]]) % 10 == 0
+
+    ok = [lambda s: True, lambda s: all(int(p) <= 255 for p in s.split(".")), lambda s: 16 <= len(digits(s)) <= 19 and luhn(digits(s)), lambda s: 8 <= len(digits(s)) <= 15]
+    return [[m.span() for m in re.finditer(p, text) if f(m[0])] for p, f in zip(PATTERNS, ok)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="0123456789.+- ()@ab_%é\n", max_size=60))
+def test_base_spans_match_patterns(text):
+    assert pii_spans.base_spans(text) == plain_spans(text)
+
+
+def test_pii_spans(spark):
+    rng = random.Random(2)
+    rows = [(i, f"{' '.join(words(rng, 12))} {name}@mail{i % 5}.example.com {' '.join(words(rng, 6))} +1 ({200 + i}) 555-{1000 + i} or 10.1.{i % 250}.7 {' '.join(words(rng, 5))}", "en", "a") for i, name in enumerate(["anna", "bob.c", "d_e", "ff"] * 30)]
+    rows += [(900, "write to kim [at] mail3 [dot] example [dot] com for more", "en", "a"), (901, "call (523) 555-1055 now", "en", "a"), (902, "the year 2024 and 12 of 15 parts", "en", "a"), (903, "4465758382889437 4465758382889437", "en", "a"), (904, None, "en", "a"), (905, "", "en", "a")]
+    df = documents(spark, rows, clash=True)
+    field = pii_spans.train(df)
+    got = by_id(pii_spans.find(df, field))
+    for i, text, *_ in rows:
+        base = plain_spans(text or "")
+        listed = pii_spans.listed(base)
+        assert got[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(filter(None, listed.split(","))) <= set(got[i].spans.split(","))
+    assert got[900].spans == "email:9:46" and got[901].spans.startswith("phone:") and got[902].spans == ""
+    assert got[903].spans == "card:0:16,card:17:33"
+    hidden = by_id(pii_spans.mask(documents(spark, rows), field))
+    assert hidden[901].text == "call [PHONE] now" and hidden[901].n_chars == len("call [PHONE] now") and hidden[904].text is None and hidden[902].text == rows[-4][1]
+
+
+def test_pii_edges(spark):
+    df = documents(spark, edge_rows())
+    assert len(pii_spans.find(df).collect()) == len(edge_rows())
+    assert pii_spans.find(documents(spark, [])).collect() == []
+    assert pii_spans.base_spans("1" * 200_000)[2] == []
+
+
+# Fingerprints ----------------------------------------------------------------------------------------------------------
+
+
+def plain_signatures(text):
+    w = [x for x in re.sub(r"[^\w\x20\x09-\x0D]|_", "", (text or "").lower()).split() if x]
+    stop = set(spot_signatures.ANCHORS)
+    content = [x for x in w if x not in stop]
+    found = {"^ " + " ".join(content[:2])} if w else set()
+    found = {f.strip() for f in found}
+    for p, x in enumerate(w):
+        after = [y for y in w[p + 1 :] if y not in stop][:2]
+        if x in stop and len(after) == 2:
+            found.add(" ".join([x, *after]))
+    return {hashlib.md5(f.encode()).hexdigest()[:16] for f in found}
+
+
+def test_fingerprints(spark):
+    rng = random.Random(4)
+    texts = [" ".join(x for w in words(rng, 40) for x in ([w, rng.choice(["the", "of", "la"])] if rng.random() < 0.4 else [w])) for _ in range(30)] + ["", None, "the of", "word"]
+    rows = [(i * 7, t, "en", "s") for i, t in enumerate(texts)]
+    got = by_id(spot_signatures.edited(documents(spark, rows, clash=True)))
+    for k, (i, text, *_) in enumerate(rows):
+        text, after = text or "", rows[(k + 1) % len(rows)][1] or ""
+        quarter = len(text) // 4
+        edit = text[: len(text) - quarter] + after[:quarter]
+        a, b, c = map(plain_signatures, (text, edit, after))
+        near = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        assert got[i].n_chars == len(text) and got[i].edited_sha256 == hashlib.sha256(edit.encode()).hexdigest()
+        assert got[i].fingerprint == " ".join(sorted(a)) and got[i].edited_fingerprint == " ".join(sorted(b))
+        assert got[i].near_edited == pytest.approx(near(a, b)) and got[i].near_next == pytest.approx(near(a, c))
+
+
+def test_next_row_over_many_ranges(spark):
+    rows = spark.createDataFrame([(o, f"t{k}") for k, o in enumerate([5, 5, 5, 9, 100, 7, -3, 2**60])], "ord long, text string")
+    got = sorted((r.ord, r.text, r.next.text) for r in spot_signatures.with_next(rows, ["text"], side=3).collect())
+    order = sorted((o, t) for o, t, _ in got)
+    assert [n for *_, n in got] == [t for _, t in order[1:] + order[:1]]
+
+
+def test_fingerprint_edges(spark):
+    assert len(spot_signatures.edited(documents(spark, edge_rows())).collect()) == len(edge_rows())
+    assert spot_signatures.edited(documents(spark, [])).collect() == []
+
+
+def test_similar_pairs_match_brute_force(spark):
+    rng = random.Random(6)
+    pool = [f"{x:016x}" for x in range(60)]
+    base = [sorted(rng.sample(pool, rng.randrange(4, 30))) for _ in range(12)]
+    sets = [sorted(set(b) - set(rng.sample(b, rng.randrange(0, 3)))) for b in base for _ in range(5)]
+    got = {(r.a, r.b): r.likeness for r in spot_signatures.similar_pairs(spark.createDataFrame(list(enumerate(sets)), "doc_id long, signatures array<string>"), 0.8).collect()}
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(tuple(s), i)
+    wanted = {(a, b) for s, a in first.items() for t, b in first.items() if a < b and len(set(s) & set(t)) >= 0.8 * len(set(s) | set(t))}
+    assert set(got) == wanted
+
+
+# Perplexity ------------------------------------------------------------------------------------------------------------
+
+
+def test_probabilities_add_up(spark):
+    rng = random.Random(5)
+    text = " ".join(words(rng, 3000, "bcd"))
+    grams = perplexity_bands.count_grams(documents(spark, [(1, text, "en", "a")]).select("lang", "text"))
+    p = {r.gram: r.p for r in perplexity_bands.probabilities(grams).collect()}
+    contexts = {}
+    for g, x in p.items():
+        contexts.setdefault(g[:-1], []).append(x)
+    # Seen continuations leave some mass to unseen ones.
+    assert all(0 < sum(x) <= 1 + 1e-9 for x in contexts.values()) and max(map(sum, contexts.values())) > 0.9
+    # A plain count of the same model's raw counts.
+    marked = [perplexity_bands.marked(w) for w in text.split()]
+    assert sum(r.n for r in grams.collect()) == sum(len(m) - 3 for m in marked)
+
+
+def test_quality_rules(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(words(rng, 120, "bcdfg")), "en", "a") for i in range(60)]
+    rows += [(100, "".join(rng.choice("qxzvw#$0123456789") + (" " if k % 5 == 0 else "") for k in range(900)), "en", "a"), (101, "a b c " * 60, "en", "a"), (102, "short text", "en", "a"), (103, None, None, "a"), (104, "x y\nx y\n\n z\nx y", "en", "a")]
+    got = by_id(perplexity_bands.judge(documents(spark, rows, clash=True)))
+    assert all(got[i].kept for i in range(60)) and not got[100].kept and not got[100].base_failed
+    assert got[101].base_failed and got[101].n_repeat_words == 180 and got[102].base_failed and got[103].n_words == 0
+    assert got[104].n_dup_lines == 2 and got[104].n_words == 7 and got[104].word_chars == 7
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "#c", "é"]), max_size=40))
+def test_base_counts_match_plain_version(parts):
+    text = " ".join(parts)
+    windows = [tuple(parts[i : i + 3]) for i in range(len(parts) - 2)]
+    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    assert perplexity_bands.base_counts(text)[1:3] == (sum(map(len, parts)), text.count("#")) and perplexity_bands.base_counts(text)[4] == len(covered)
+
+
+def test_quality_edges(spark):
+    assert len(perplexity_bands.judge(documents(spark, edge_rows())).collect()) == len(edge_rows())
+    assert perplexity_bands.judge(documents(spark, [])).collect() == []
+
+
+# Pages -----------------------------------------------------------------------------------------------------------------
+
+
+def page(k, extra=""):
+    return f"<html><head><title>t{k}</title><style>p{{}}</style></head><body><nav><a href='/'>Home</a></nav><div class=\"ad\">buy {k}</div><article><h1>Head {k}</h1><p>First &amp; <b>bold</b>\n para {k}<br>more<p>Second {k}</p>{extra}</article><footer>f</footer></body></html>"
+
+
+def test_main_text(spark):
+    shared = "<div><span>Read our rules</span></div>"
+    rows = [(k, f"http://h.example/{k}", page(k, shared)) for k in range(20)] + [(50, "http://other.example/1", page(50, shared)), (51, None, None), (52, "x", ""), (53, "http://p.example", "<p>only <script>if (a < b) {}</script>text</p><aside>side</aside><!-- <p>no</p> -->&eacute;"), (54, "http://p.example", "<div><ul><li>one<li>two</ul>tail"), (55, "http://p.example", "a < b and <unknown attr='>'>c</unknown> & d")]
+    got = by_id(site_templates.extract(spark.createDataFrame([r + (1,) for r in rows], "page_id long, url string, html string, key long")), "page_id")
+    assert all(got[k].text == f"Head {k} First & bold para {k} more Second {k}" for k in range(20))
+    assert got[50].text.endswith("Second 50 Read our rules")
+    assert got[51].text == "" and got[52].text == "" and got[53].text == "only text é" and got[54].text == "one two tail" and got[55].text == "a < b and c & d"
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_both_ways_to_delete_templates_agree(spark):
+    rows = [(k, f"http://h{k % 2}.example/{k}", f"<body><div><p>menu of the site</p></div><div>text {k} {html.escape('<x>')}</div></body>") for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    a, b = (sorted(map(tuple, site_templates.extract(df, most_keys=m).collect())) for m in (1000, 0))
+    assert a == b and all("menu" not in r[2] and f"text {r[0]} <x>" in r[2] for r in a)
+
+
+def test_deep_and_empty_pages(spark):
+    df = spark.createDataFrame([(1, "http://a.b", "<div>" * 20_000 + "deep" + "</div>" * 10)], "page_id long, url string, html string")
+    assert site_templates.extract(df).collect()[0].text == "deep"
+    assert site_templates.extract(df.limit(0)).collect() == []
+
+
+# Mixing ----------------------------------------------------------------------------------------------------------------
+
+
+def plain_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: k % 3 + 1 for k, s in enumerate(names)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        rest = [s for s in names if s not in capped]
+        left = total - sum(3 * sizes[s] for s in capped)
+        t = {s: 3 * sizes[s] if s in capped else left * w[s] / sum(w[r] for r in rest) for s in names}
+        over = {s for s in rest if t[s] > 3 * sizes[s] + 1e-9}
+        if not over:
+            return t
+        capped |= over
+
+
+def test_mix(spark):
+    rng = random.Random(9)
+    rows = []
+    for source, n in (("a", 300), ("b", 40), ("c", 500), ("Z", 5), (None, 60), ("é", 2)):
+        for _ in range(n):
+            rows.append((len(rows), " ".join(["w"] * rng.choice([1, 2, 3, 40, 41, 500, rng.randrange(1, 200)])), "en", source))
+    rows += [(9000, None, "en", "a"), (9001, "", "en", "empty")]
+    df = documents(spark, rows, clash=True)
+    got = by_id(mixture.mix(df))
+    sizes = {}
+    for i, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+        assert got[i].size == len((t or "").split()) and got[i].taken in [k * got[i].size for k in range(4)]
+    wanted, taken = plain_targets(sizes), {}
+    for i, _, _, s in rows:
+        taken[s] = taken.get(s, 0) + got[i].taken
+        assert got[i].target == pytest.approx(wanted[s]) and got[i].source_size == sizes[s]
+    assert all(abs(taken[s] - wanted[s]) <= 1 for s in wanted)
+    again = by_id(mixture.mix(df.repartition(7)))
+    assert {k: r.taken for k, r in again.items()} == {k: r.taken for k, r in got.items()}
+
+
+def test_mix_of_one_length_goes_through_buckets(spark):
+    rows = [(i, "w w", "en", "ab"[i < 2500]) for i in range(3000)]
+    got = mixture.mix(documents(spark, rows)).groupBy("source").sum("taken").collect()
+    assert {r[0]: r[1] for r in got} == {s: pytest.approx(t, abs=2) for s, t in plain_targets({"b": 5000, "a": 1000}).items()}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 6)), min_size=1, max_size=8, unique_by=lambda x: x[0]), st.integers(0, 400))
+def test_fill_is_exact_where_the_lengths_allow(items, budget):
+    lengths, counts = np.array([a for a, _ in items]), np.array([b for _, b in items])
+    taken = mixture.fill(lengths, counts, budget)
+    assert (taken >= 0).all() and (taken <= counts).all()
+    total = int((taken * lengths).sum())
+    assert total <= max(budget, 0) or budget >= (lengths * counts).sum()
+    if (lengths == 1).any() and counts[lengths == 1].sum() >= 60 and budget <= (lengths * counts).sum():
+        assert total == budget
+
+
+def test_mix_edges(spark):
+    assert len(mixture.mix(documents(spark, edge_rows())).collect()) == len(edge_rows())
+    assert mixture.mix(documents(spark, [])).collect() == []
+
+
+# Toxicity --------------------------------------------------------------------------------------------------------------
+
+
+def brute_segments(scores):
+    """Maximal segments by their recursive definition."""
+    best = max(((sum(scores[i:j]), -(j - i), i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0, 0, 0))
+    if best[0] <= 0:
+        return []
+    i, j = best[2], best[3]
+    return brute_segments(scores[:i]) + [(i, j, best[0])] + [(a + j, b + j, s) for a, b, s in brute_segments(scores[j:])]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-5, 5), max_size=14))
+def test_segments_have_the_maximal_scores(scores):
+    scores = [s + 0.001 * (k * 37 % 11) for k, s in enumerate(scores)]
+    got = toxic_segments.segments(np.array(scores))
+    assert sorted(round(s, 6) for *_, s in got) == sorted(round(s, 6) for *_, s in brute_segments(scores))
+
+
+def test_toxicity(spark):
+    rng = random.Random(10)
+    rows, labels = [], []
+    for i in range(900):
+        w = words(rng, rng.randrange(40, 160))
+        toxic = i % 6 == 0
+        if toxic:
+            for _ in range(rng.randrange(2, 6)):
+                w.insert(rng.randrange(len(w)), rng.choice(["slurone", "slurtwo", "slurthree"]))
+        rows.append((i, " ".join(w), "en", "s"))
+        labels.append((i, 1, int(toxic)))
+    rows += [(2000, None, "en", "s"), (2001, "", "en", "s"), (2002, "SlurOne! slurtwo, slurthree. " + " ".join(words(rng, 60)), "en", "s")]
+    labels += [(None, 1, 1), (2000, 1, None), (3, 1, 0)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = documents(spark, rows, clash=True)
+    got = by_id(toxic_segments.classify(df, marks))
+    wrong = sum(got[i].predicted != (i % 6 == 0) for i in range(900))
+    assert wrong <= 9 and got[2002].predicted == 1 and got[2000].predicted == 0 and got[2001].score < 0.5
+    kept = {r.doc_id for r in toxic_segments.without_toxic(df, marks).collect()}
+    assert kept == {i for i, r in got.items() if r.predicted == 0}
+
+
+def test_toxicity_edges(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = toxic_segments.classify(documents(spark, edge_rows()), none).collect()
+    assert len(rows) == len(edge_rows()) and all(r.predicted == 0 for r in rows)
+    assert toxic_segments.classify(documents(spark, []), none).collect() == []
+
+
+# Tokens ----------------------------------------------------------------------------------------------------------------
+
+TEXTS = ["Hello world", "  two  spaces ", "", " ", "tabs\tand\nlines\r\n", "naïve café — “quotes”", "日本語のテキスト", "🙂🙃 \U0001f9ff", "▁marker ▁▁x", "<s> </s> <0x41> <unk>", "a" * 3000, "x " * 2000, "\u0000\u0001", "ﬁ ligature ＡＢＣ", "   ", "12345 67,890.12"]
+
+
+def test_bpe_parity_with_reference():
+    import sentencepiece
+
+    path = piece_backend.default_model()
+    codec = piece_backend.Codec(open(path, "rb").read())
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    for text, (ids, same) in zip(TEXTS, codec.encode(TEXTS)):
+        assert ids.tolist() == sp.encode(text) and same, text
+        assert codec.decode(ids.tolist()) == sp.decode(ids.tolist()) == text.replace("▁", " ")
+
+
+def _field(number, value):
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    import struct
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def test_unigram_parity_with_reference():
+    import sentencepiece
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    pieces += [(p, -float(k) / 7 - 2, 1) for k, p in enumerate(["▁", "▁a", "▁the", "▁cat", "▁ca", "t", "th", "e", "c", "a", "at", "s", "▁sat", "he", "▁t", "on", "o", "n"])]
+    model = b"".join(_field(1, _field(1, p.encode()) + _field(2, s) + _field(3, k)) for p, s, k in pieces)
+    model += _field(2, _field(3, 1) + _field(35, 1) + _field(40, 0)) + _field(3, _field(1, b"identity") + _field(3, 1) + _field(4, 0) + _field(5, 1))
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    codec = piece_backend.Codec(model)
+    texts = ["the cat sat on the cat", "cats  at the", "é the", "", "ttt aaa"]
+    for text, (ids, same) in zip(texts, codec.encode(texts)):
+        assert ids.tolist() == sp.encode(text) and same, text
+        assert codec.decode(ids.tolist()) == text
+
+
+def test_tokenise(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_backend.default_model())
+    rows = [(i, t, "en", "s") for i, t in enumerate([*TEXTS, None])]
+    got = by_id(piece_backend.tokenise(documents(spark, rows, clash=True)))
+    for i, t, *_ in rows[:-1]:
+        assert got[i].ids == sp.encode(t) and got[i].round_trip and got[i].parity and got[i].n_tokens == len(got[i].ids)
+    assert got[len(TEXTS)].ids is None and got[len(TEXTS)].n_tokens is None
+    assert len(piece_backend.tokenise(documents(spark, edge_rows())).collect()) == len(edge_rows())
+    assert piece_backend.tokenise(documents(spark, [])).collect() == []
+
+
+# Quotations ------------------------------------------------------------------------------------------------------------
+
+
+def test_quotations(spark):
+    rows = [
+        (1, 0, "user", "First question\nabout things."),
+        (1, 1, "assistant", "An answer."),
+        (1, 2, "user", "On Monday A wrote:\n> First question\n> about THINGS.\n\nSome more on that."),
+        (1, 3, "assistant", "> Some more on  that.\n>> First question\n>> about things.\n\nReply."),
+        (1, 4, "user", "> not known\nNo link."),
+        (2, 0, "user", "> An answer.\nOther conversation."),
+        (2, 1, "user", None),
+        (None, 0, "user", "x"),
+        (3, 0, "user", "same"),
+        (3, 0, "user", "same"),
+    ]
+    df = spark.createDataFrame([r + (1,) for r in rows], "conv_id long, turn long, role string, text string, level int")
+    linked = quote_links.link(df)
+    got = {(r.conv_id, r.turn): r for r in linked.collect()}
+    assert linked.count() == len(rows)
+    assert got[1, 2].reply_to == 0 and got[1, 2].text == "Some more on that." and got[1, 3].reply_to == 2 and got[1, 3].text == "Reply." and got[1, 3].quote_levels == 2 and got[1, 3].n_linked == 2
+    assert got[1, 4].reply_to is None and got[1, 4].n_quotes == 1 and got[2, 0].reply_to is None
+    order = [k[1] for k in sorted((k for k in got if k[0] == 1), key=lambda k: got[k].reply_key)]
+    assert order == [0, 2, 3, 1, 4]
+    chats = {r.conv_id: r for r in quote_links.conversations(linked).collect()}
+    assert chats[1].chat.startswith("<|user|>\nFirst question\nabout things.\n<|user|>\nSome more") and chats[1].n_messages == 5
+    assert quote_links.link(df.limit(0)).collect() == []
+
+
+def test_long_reply_chain(spark):
+    rows = [(1, k, "user", f"message {k}" if not k else f"> message {k - 1}\n\nmessage {k}") for k in range(37)]
+    got = {r.turn: r for r in quote_links.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(got[k].reply_to == k - 1 and got[k].reply_key.count("/") == k for k in range(1, 37))
