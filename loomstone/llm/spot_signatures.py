@@ -44,10 +44,10 @@ def _chains(words: Column) -> Column:
     )
 
     def chains(x: Column) -> Column:
-        chain = lambda s, j: F.when(F.get(x["c"], s["p"] - j + 1).isNotNull(), _digest(F.concat_ws(" ", s["w"], F.get(x["c"], s["p"] - j), F.get(x["c"], s["p"] - j + 1))))
-        first = _digest(F.concat_ws(" ", F.lit(START), F.get(x["c"], F.lit(0)), F.get(x["c"], F.lit(1))))
+        chain = lambda s, j: F.when(F.get(x["c"], s["p"] - j + 1).isNotNull(), F.concat_ws(" ", s["w"], F.get(x["c"], s["p"] - j), F.get(x["c"], s["p"] - j + 1)))
+        first = F.concat_ws(" ", F.lit(START), F.get(x["c"], F.lit(0)), F.get(x["c"], F.lit(1)))
         start = F.when((F.size(x["c"]) > 0) | (F.size(x["s"]) > 0), F.array(first)).otherwise(F.array().cast("array<string>"))
-        return F.array_sort(F.array_distinct(F.concat(start, F.filter(F.transform(x["s"], chain), lambda v: v.isNotNull()))))
+        return F.sort_array(F.transform(F.array_distinct(F.concat(start, F.filter(F.transform(x["s"], chain), lambda v: v.isNotNull()))), _digest))
 
     return F.get(F.transform(F.array(parts), chains), F.lit(0))
 
@@ -126,11 +126,10 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     empty. (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("ord"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    df = with_next(rows.withColumn("sig", signatures(F.col("text"))), ["text", "sig"])
-    df = df.withColumn("n", F.char_length("text"))
+    df = with_next(rows, ["text"]).withColumn("n", F.char_length("text"))
     quarter = F.floor(F.col("n") / 4).cast("int")
     df = df.withColumn("edit", F.concat(F.substring("text", F.lit(1), F.col("n") - quarter), F.substring("next.text", F.lit(1), quarter)))
-    df = df.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), "sig", F.col("next.sig").alias("next_sig"), signatures(F.col("edit")).alias("edit_sig"))
+    df = df.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), signatures(F.col("text")).alias("sig"), signatures(F.col("next.text")).alias("next_sig"), signatures(F.col("edit")).alias("edit_sig"))
     return df.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sig")).alias("fingerprint"), fingerprint(F.col("edit_sig")).alias("edited_fingerprint"), likeness(F.col("sig"), F.col("edit_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))
 
 
