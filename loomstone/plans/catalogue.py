@@ -579,14 +579,14 @@ def retention_state_ttl(spark, d):
 # Scalars ---------------------------------------------------------------------------------------------------------------
 
 _SIGS = ("fn a()", "fn b(x: i32)", "def c(self, y=(1, 2), z=[3, 4])", "no parens", "f(a: Vec<Map<K, V>>, b)", 'g("x,y", \'z\')', "h( )", "fn m(&mut self, other: T)", "fn cb(f: impl Fn(i32) -> i32, n: u8)")
-_PARAMS = "[0, 1, 3, NULL, 2, 1, 0, 2, 2]"
+_PARAMS = "[0, 1, 3, NULL, 2, 0, 0, 2, 2]"
 
 
-@query(f"SELECT p_partkey, {_PARAMS}[p_partkey % 9 + 1]::INT AS params, p_partkey % 9 IN (2, 7) AS receiver FROM part")
+@query(f"SELECT p_partkey, coalesce({_PARAMS}[p_partkey % 9 + 1], -1)::INT AS params, p_partkey % 9 IN (2, 7) AS receiver FROM part")
 def param_count(spark, d):
     sig = F.element_at(F.array(*map(F.lit, _SIGS)), F.pmod("p_partkey", F.lit(9)).cast("int") + 1)
     p = C.table(spark, d, "part").select("p_partkey", sig.alias("sig"))
-    return p.select("p_partkey", text.param_count(F.col("sig")).alias("params"), text.first_param_is_receiver(F.col("sig")).alias("receiver"))
+    return p.select("p_partkey", F.coalesce(text.param_count(F.col("sig")), F.lit(-1)).alias("params"), text.first_param_is_receiver(F.col("sig")).alias("receiver"))
 
 
 @query("WITH n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name ELSE replace(p_name, ' ', '.') || '.end' END AS q FROM part) SELECT p_partkey, string_split(q, '.')[-1] AS tail, CASE WHEN contains(q, '.') THEN regexp_extract(q, '^(.*)\\.[^.]*$', 1) END AS scope FROM n")
@@ -619,3 +619,54 @@ def normalize_paths(spark, d):
     raw = ("a/b/../c", "x/./", "../../", "./a//b", "a/../../b")
     path = F.element_at(F.array(*map(F.lit, raw)), F.pmod("p_partkey", F.lit(5)).cast("int") + 1)
     return C.table(spark, d, "part").select("p_partkey", text.normalize_path(path).alias("path"), text.dir_of(path).alias("dir"))
+
+
+# Composites ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {C.SQL_SYMBOLS} SELECT s.path, s.qualified, string_agg(l.line, chr(10) ORDER BY l.ln) AS code FROM symbols s JOIN lines l ON l.path = s.path AND l.ln BETWEEN s.start_line AND s.end_line WHERE s.qualified = 's1.b0' GROUP BY ALL")
+def show_bodies(spark, d):
+    from ..operators.composite import bodies
+
+    return bodies(C.files(spark, d), C.symbols(spark, d).where("qualified = 's1.b0'")).select("path", "qualified", "code")
+
+
+@query(f"WITH {C.SQL_SYMBOLS}, m AS (SELECT *, max((path = 'src7/en/7')::INT) OVER () AS exact FROM symbols WHERE qualified = 's0' AND (path = 'src7/en/7' OR ends_with({_LIKE.format('path')}, '/src7/en/7') OR ends_with({_LIKE.format('path')}, '/7'))) SELECT path, qualified, start_line FROM m WHERE exact = 0 OR path = 'src7/en/7'")
+def locate_narrowed(spark, d):
+    from ..operators.composite import locate
+
+    return locate(C.symbols(spark, d), "s0", "7").select("path", "qualified", "start_line")
+
+
+@query(
+    f"""WITH {C.SQL_LINES}, {C.SQL_IDENTS}, t AS (SELECT DISTINCT name, path, ln FROM idents WHERE ln % 10 = 1 AND length(name) = 7),
+b AS (SELECT DISTINCT path AS of, name FROM idents WHERE ln BETWEEN 1 AND 5), r AS (SELECT of, b.name, t.path, t.ln, row_number() OVER (PARTITION BY of, b.name ORDER BY t.path, t.ln) AS rn FROM b JOIN t ON t.name = b.name WHERE t.path <> of)
+SELECT of, name, path, ln FROM r WHERE rn <= 2"""
+)
+def shape_types(spark, d):
+    from ..operators.composite import referenced_types
+
+    i = C.idents(spark, d)
+    types = i.where((F.col("ln") % 10 == 1) & (F.char_length("name") == 7)).select("name", "path", "ln", F.lit("struct").alias("kind")).distinct()
+    used = i.where("ln between 1 and 5").select(F.col("path").alias("of"), "name")
+    return referenced_types(used, types, per_name=2).select("of", "name", "path", "ln")
+
+
+@query(f"WITH {C.SQL_FILES} SELECT path, len(regexp_extract_all(' ' || replace(text, 'the', ' the ') || ' ', '')) * 0 + (len(string_split(regexp_replace(regexp_replace(text, '([A-Za-z0-9_]+)', '<\\1>', 'g'), '<the>', chr(1), 'g'), chr(1))) - 1)::BIGINT AS hits FROM files WHERE contains(regexp_replace(text, '([A-Za-z0-9_]+)', '<\\1>', 'g'), '<the>')")
+def rename_plan(spark, d):
+    from ..operators.editing import rename_plan as plan
+
+    return plan(C.files(spark, d), "the", "thee").select("path", "hits")
+
+
+@query(
+    f"""WITH {SQL_GREP_ENCLOSING}, t AS (SELECT *, (length(path) + ln) % 3 = 0 AS test FROM e)
+SELECT 'refs' AS section, path, ln, symbol FROM (SELECT * FROM t ORDER BY path, ln LIMIT 100)
+UNION ALL SELECT 'callers', path, min(ln), symbol FROM t WHERE symbol <> '' GROUP BY path, symbol
+UNION ALL SELECT 'tests', path, min(ln), symbol FROM t WHERE test GROUP BY path, symbol"""
+)
+def impact_sections(spark, d):
+    from ..operators.composite import impact
+
+    hits = intervals.enclosing(search.grep(C.files(spark, d), "ation"), C.symbols(spark, d))
+    return impact(hits, (F.char_length("path") + F.col("ln")) % 3 == 0).select("section", "path", "ln", "symbol")

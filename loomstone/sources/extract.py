@@ -203,30 +203,30 @@ def _markdown(text: str) -> list[tuple]:
 
 def _markup(lang: str, text: str) -> list[tuple]:
     """Elements: in XML all, named by an id attribute or child; in HTML structural ones and those with an id."""
-    found, stack = [], []
+    nodes: list[list] = []  # tag, name, parent node, start line, end line, text position
+    open_: list[int] = []
     for m in _TAG.finditer(text):
         if not m[2]:
             continue
         tag, line = m[2], text.count("\n", 0, m.start()) + 1
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    _, name, start, inner = stack[k]
-                    del stack[k:]
-                    if name is not None:
-                        if lang == "xml" and "#" not in name and (i := re.match(r"\s*<id>\s*([^<]{1,80}?)\s*</id>", text[inner : m.start()])):
-                            name += f"#{i[1]}"
-                        found.append((name, "element", start, line, True))
-                    break
+            at = next((k for k in range(len(open_) - 1, -1, -1) if nodes[open_[k]][0] == tag), None)
+            if at is not None:
+                nodes[open_[at]][4] = line
+                del open_[at:]
             continue
-        ident = re.search(r"\bid\s*=\s*[\"']([^\"']{1,80})[\"']", m[3] or "")
+        ident = re.search(r"\bid\s*=\s*[\"']([^\"']{1,80})[\"']", m[3] or "") or (lang == "xml" and re.match(r"\s*<id>\s*([^<]{1,80}?)\s*</id>", text[m.end() : m.end() + 200]))
         name = f"{tag}#{ident[1]}" if ident else tag if lang == "xml" or tag.lower() in STRUCTURAL else None
-        if m[4] or lang == "html" and tag.lower() in VOID:
-            if name is not None:
-                found.append((name, "element", line, line, True))
-        else:
-            stack.append((tag, name, line, m.end()))
-    return _rows(found, text.split("\n"))
+        nodes.append([tag, name, open_[-1] if open_ else None, line, line, m.end()])
+        if not m[4] and not (lang == "html" and tag.lower() in VOID):
+            open_.append(len(nodes) - 1)
+    out, qualified, lines = [], {}, text.split("\n")
+    for k, (_, name, up, start, end, _) in enumerate(nodes):
+        parent = qualified.get(up)
+        qualified[k] = parent if name is None else f"{parent}.{name}" if parent else name
+        if name is not None:
+            out.append((name, qualified[k], "element", parent, start, end, signature(lines[start - 1]), len(out)))
+    return out
 
 
 def symbols_of(lang: str, text: str) -> tuple[list[tuple], list[int], bool]:
