@@ -209,7 +209,7 @@ def _signed(x: int) -> int:
 
 
 def _counted(batches):
-    """(host, key, page): text-bearing subtrees of the article, or of a body without article, once for each different page."""
+    """(host, key, page, article, element): the content's subtrees for each different page, and the page itself (not element)."""
     for batch in batches:
         rows = set()
         for source, url in zip(batch["html"], batch["url"]):
@@ -217,19 +217,19 @@ def _counted(batches):
             inside, whole = candidates(order, mains)
             host, whole = _signed(xxhash.xxh3_64_intdigest(host_of(url).encode("utf-8", "surrogatepass"))), _signed(whole)
             article = mains[0] is not order[0]
-            rows.update((host, _signed(k), whole, article) for k in inside)
-            rows.add((host, None, whole, article))
-        yield pd.DataFrame(list(rows), columns=["host", "key", "page", "article"]).astype({"key": "Int64"})
+            rows.update((host, _signed(k), whole, article, True) for k in inside)
+            rows.add((host, 0, whole, article, False))
+        yield pd.DataFrame(list(rows), columns=["host", "key", "page", "article", "element"])
 
 
 def templates(pages: DataFrame, least: int = 8, share: float = 0.3, inner: float = 0.6) -> DataFrame:
     """(key, article): subtrees to delete, in pages with and without an article."""
-    rows = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(_counted, "host long, key long, page long, article boolean")
+    rows = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(_counted, "host long, key long, page long, article boolean, element boolean")
     # The distinct rows are dealt by all columns, and the counts after them are partial sums, so no subtree is one task's work.
-    sliced = rows.distinct().groupBy("host", "key", "article").agg(F.count("*").alias("n"))
-    sliced = materialise(sliced.where(f"key is null or n >= {least}"), "subtrees")
-    hosts = sliced.where("key is null").select(F.col("host").alias("h"), F.col("article").alias("a"), F.col("n").alias("pages"))
-    hit = sliced.where("key is not null").join(hosts, (F.col("host") == F.col("h")) & (F.col("article") == F.col("a")))
+    sliced = rows.distinct().groupBy("host", "key", "article", "element").agg(F.count("*").alias("n"))
+    sliced = materialise(sliced.where(f"not element or n >= {least}"), "subtrees")
+    hosts = sliced.where("not element").select(F.col("host").alias("h"), F.col("article").alias("a"), F.col("n").alias("pages"))
+    hit = sliced.where("element").join(hosts, (F.col("host") == F.col("h")) & (F.col("article") == F.col("a")))
     return hit.where(F.col("n") >= F.when(F.col("article"), inner).otherwise(share) * F.col("pages")).select("key", "article").distinct()
 
 
