@@ -89,7 +89,7 @@ _OPENING = r"(?i)\n[ \t]*([/*#;-]*[ \t]*(?:spdx-license-identifier|licen[cs]ed u
 
 def sentences(text: Column) -> Column:
     """Normalised sentences in order."""
-    cut = F.regexp_replace(text, r"\r\n?", "\n")
+    cut = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?i)(spdx-license-identifier):[ \t]*", "$1 ")
     cut = F.regexp_replace(cut, r"\n[ \t]*\n", "\u0001")
     cut = F.regexp_replace(cut, _OPENING, "\u0001$1")
     cut = F.regexp_replace(cut, r"([.!?;:])[ \t\n]+", "$1\u0001")
@@ -150,7 +150,7 @@ def oracle() -> str:
     for k, (name, ids) in enumerate(RULES):
         source = f"r{k - 1}" if k else f"({steps[0]})"
         ctes.append(f"r{k} AS (SELECT doc_id, ids, tags, CASE WHEN contains(rest, {q(',' + ids)}) THEN replace(rest, {q(',' + ids)}, ',') ELSE rest END AS rest, CASE WHEN contains(rest, {q(',' + ids)}) THEN list_append(got, {q(name)}) ELSE got END AS got FROM {source})")
-    cut = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '\\n[ \\t]*\\n', chr(1), 'g'), " + q(_OPENING) + ", chr(1) || '\\1', 'g'), '([.!?;:])[ \\t\\n]+', '\\1' || chr(1), 'g')"
+    cut = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '(?i)(spdx-license-identifier):[ \\t]*', '\\1 ', 'g'), '\\n[ \\t]*\\n', chr(1), 'g'), " + q(_OPENING) + ", chr(1) || '\\1', 'g'), '([.!?;:])[ \\t\\n]+', '\\1' || chr(1), 'g')"
     clean = f"regexp_replace(regexp_replace(translate(lower({cut}), '\"''', '  '), '[^\\x01a-z0-9.+-]+', ' ', 'g'), ' *[.]?\\x01[ .]*', chr(1), 'g')"
     return f"""
 WITH s AS (SELECT doc_id, [regexp_replace(trim(x), '[.]$', '') FOR x IN string_split({clean}, chr(1))] AS found FROM documents),
