@@ -97,8 +97,8 @@ def _shape(tokens: list[str]) -> str:
     return "".join(map(kind, tokens))
 
 
-def span_features(tokens: list[str], i: int, j: int) -> list[str] | None:
-    """Features of the whole segment tokens[i:j]; None if it can't be a span."""
+def span_features(tokens: list[str], i: int, j: int) -> tuple[list[str], tuple[bool, ...]] | None:
+    """Features of the whole segment tokens[i:j] and which kinds it may be; None if it can't be a span."""
     part = tokens[i:j]
     if part[0].isspace() or part[-1].isspace() or not (part[-1][-1].isalnum()) or not (part[0][0].isalnum() or part[0] in "+("):
         return None
@@ -112,6 +112,11 @@ def span_features(tokens: list[str], i: int, j: int) -> list[str] | None:
         return None
     numbers = [t for t in part if t.isdigit()]
     letters = sum(t[0].isalpha() for t in part)
+    # An address has one word before its sign; the other kinds have what their base patterns ask of digits.
+    name = re.split(r"@|[ \[({<]+(?:at|AT)[ \])}>]+", text, maxsplit=1)[0] if at else ""
+    may = (bool(at) and not re.search(r"\s", name.strip()) and bool(name), len(numbers) == 4 and not letters and all(map(octet, numbers)), 16 <= digits <= 19 and not letters and luhn("".join(numbers)), 8 <= digits <= 15 and not letters)
+    if not any(may):
+        return None
     only = "".join(numbers)
     gaps = sum(t.isspace() for t in part)
     edge = lambda t: "" if t is None else "d" if t.isdigit() else "a" if t[0].isalnum() else "_" if t.isspace() else t
@@ -121,7 +126,7 @@ def span_features(tokens: list[str], i: int, j: int) -> list[str] | None:
         out.append("shape" + _shape(part))
     if len(numbers) == 4 and not letters and all(map(octet, numbers)):
         out.append("octets")
-    return out
+    return out, may
 
 
 class Field:
@@ -137,11 +142,13 @@ class Field:
         return np.array([zlib.crc32(f.encode()) % Field.SLOTS for f in features] + [0], np.int64)
 
     @staticmethod
-    def candidates(tokens: list[str]) -> list[tuple[int, int, np.ndarray]]:
-        return [(i, j, Field.slots(f)) for i in range(len(tokens)) for j in range(i + 1, min(len(tokens), i + LONGEST) + 1) if (f := span_features(tokens, i, j))]
+    def candidates(tokens: list[str]) -> list[tuple[int, int, np.ndarray, tuple[bool, ...]]]:
+        return [(i, j, Field.slots(f[0]), f[1]) for i in range(len(tokens)) for j in range(i + 1, min(len(tokens), i + LONGEST) + 1) if (f := span_features(tokens, i, j))]
 
     def scores(self, found) -> np.ndarray:
-        return np.array([self.w[:, s].sum(axis=1) for _, _, s in found]).reshape(-1, len(KINDS))
+        """Scores of the candidates by kind; -30 for kinds that a candidate can't be."""
+        sums = np.array([self.w[:, s].sum(axis=1) for _, _, s, _ in found]).reshape(-1, len(KINDS))
+        return np.where(np.array([may for *_, may in found]).reshape(-1, len(KINDS)), sums, -30.0)
 
     def decode(self, tokens: list[str], margin: float) -> list[tuple[int, int, int]]:
         """Best segmentation: (start, end, kind) of its segments with a score of at least the margin."""
@@ -150,7 +157,7 @@ class Field:
             return []
         s = self.scores(found)
         into: dict[int, list[int]] = {}
-        for k, (_, j, _) in enumerate(found):
+        for k, (_, j, *_) in enumerate(found):
             into.setdefault(j, []).append(k)
         kind, top = s.argmax(axis=1), s.max(axis=1) - margin
         best, back = [0.0] * (len(tokens) + 1), [-1] * (len(tokens) + 1)
@@ -170,7 +177,7 @@ class Field:
 
     def fit(self, examples: list[tuple[list[str], set[tuple[int, int, int]]]], rounds: int = 6, rate: float = 0.5, shrink: float = 1e-3) -> "Field":
         """AdaGrad on the conditional log-likelihood; forward and backward sums over segment ends."""
-        prepared = [(len(t), c, [[(i, j, k) in gold for k in range(len(KINDS))] for i, j, _ in c]) for t, gold in examples if (c := self.candidates(t))]
+        prepared = [(len(t), c, [[(i, j, k) in gold for k in range(len(KINDS))] for i, j, *_ in c]) for t, gold in examples if (c := self.candidates(t))]
         seen = np.full_like(self.w, 1e-2)
         for _ in range(rounds):
             for n, found, gold in prepared:
@@ -180,7 +187,7 @@ class Field:
                 ahead[0] = behind[n] = 0.0
                 into: dict[int, list[int]] = {}
                 out: dict[int, list[int]] = {}
-                for k, (i, j, _) in enumerate(found):
+                for k, (i, j, *_) in enumerate(found):
                     into.setdefault(j, []).append(k)
                     out.setdefault(i, []).append(k)
                 for j in range(1, n + 1):
@@ -188,7 +195,7 @@ class Field:
                 for i in range(n - 1, -1, -1):
                     behind[i] = np.logaddexp.reduce([behind[i + 1], *[behind[found[k][1]] + seg[k] for k in out.get(i, ())]])
                 z = ahead[n]
-                for k, (i, j, slots) in enumerate(found):
+                for k, (i, j, slots, _) in enumerate(found):
                     g = np.array(gold[k], float) - np.exp(ahead[i] + s[k] + behind[j] - z)
                     if abs(g).max() < 1e-4:
                         continue
@@ -238,15 +245,17 @@ def examples(region: str) -> list[tuple[list[str], set[tuple[int, int, int]]]]:
 
 def _region_batches(batches):
     for batch in batches:
-        rows = sorted({text[a:b][:400] for text in batch["text"] if isinstance(text, str) for a, b in regions(text)}, key=lambda r: (hashlib.md5(r.encode("utf-8", "surrogatepass")).digest(), r))
-        yield pd.DataFrame({"region": [r for r in rows], "order": [hashlib.md5(r.encode("utf-8", "surrogatepass")).hexdigest() for r in rows]})
+        found = {text[a:b][:400] for text in batch["text"] if isinstance(text, str) for a, b in regions(text)}
+        # Rows as tuples: an empty frame made of empty lists would have columns of floats.
+        yield pd.DataFrame([(r, hashlib.md5(r.encode("utf-8", "surrogatepass")).hexdigest()) for r in found], columns=["region", "order"])
 
 
-def train(docs: DataFrame, sample: int = 160) -> Field:
-    """A field fitted to at most ``sample`` regions of the corpus, the first by a hash of their texts."""
+def train(docs: DataFrame, sample: int = 160, versions: int = 400) -> Field:
+    """A field fitted to at most ``sample`` regions of the corpus, the first by a hash of their texts, and at most
+    so many versions of them."""
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(_region_batches, "region string, order string")
     chosen = [r[0] for r in rows.orderBy("order", "region").limit(sample).collect()]
-    return Field().fit([e for r in dict.fromkeys(chosen) for e in examples(r)])
+    return Field().fit([e for r in dict.fromkeys(chosen) for e in examples(r)][:versions])
 
 
 def all_spans(text: str, field: Field, margin: float) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
