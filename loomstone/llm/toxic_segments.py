@@ -8,8 +8,8 @@ towards zero. A token scores its weight minus a drift, so clean text scores belo
 A linear-time scan (Ruzzo and Tompa, 1999) finds every maximal segment of a document. The other two
 fifths calibrate: lambda solves E[exp(lambda s)] = 1 over clean tokens, K fits the extreme-value law
 P(best > x) = 1 - exp(-K N exp(-lambda x)) to clean documents of N tokens (Karlin and Altschul,
-1990), and a logistic curve turns the excess lambda x - ln(K N) of the best segment, and the sum of all
-segments' excesses over ln K, into the probability of label 1.
+1990), and a logistic curve turns the surprise -ln P of the best segment, and the sum of all segments'
+excesses over ln K, into the probability of label 1. A text without segments has no surprise, however short.
 
 Every row of the input gets a score. Null and empty texts have no segments and get the low score that
 goes with that. Labels with nulls are ignored, repeated ones count once (the larger). Without
@@ -111,9 +111,13 @@ class Model:
         self.weights, self.lam, self.log_k, self.curve = weights or {}, lam, log_k, curve
 
     def features(self, n: int, found: list[float]) -> tuple[float, float]:
-        best = max(found, default=0.0)
-        excess = self.lam * best - self.log_k - math.log(max(n, 1))
-        return max(-20.0, min(excess, 40.0)), math.log1p(sum(max(0.0, self.lam * x - self.log_k) for x in found))
+        """Surprise of the best segment, -ln P(best), 0 without segments, and the sum of what the segments exceed ln K by."""
+        if not len(found):
+            return 0.0, 0.0
+        excess = self.lam * max(found) - self.log_k - math.log(max(n, 1))
+        chance = -math.expm1(-math.exp(min(-excess, 50.0)))
+        surprise = min(excess, 40.0) if chance < 1e-15 else -math.log(chance)
+        return surprise, math.log1p(sum(max(0.0, self.lam * x - self.log_k) for x in found))
 
     def score(self, n: int, found: list[float]) -> float:
         x, y = self.features(n, found)
