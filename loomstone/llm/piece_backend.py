@@ -16,9 +16,11 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ MARK = "▁"
 # Piece types and model types of the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KEPT = 200_000
+KEPT = 400_000
 
 
 def fields(data: bytes):
@@ -130,6 +132,15 @@ def backend(spec: Spec):
     return t
 
 
+class Segment(NamedTuple):
+    """What a segment is coded as: ids as little-endian 32-bit numbers, their spelling, byte ids, agreement with the reference."""
+
+    ids: bytes
+    text: str
+    n_bytes: int
+    agrees: bool
+
+
 class Codec:
     """Encodes and decodes with the backend; ``checks`` compares with the reference library."""
 
@@ -138,9 +149,13 @@ class Codec:
         self.tokenizer = backend(self.spec)
         self.names = [p for p, _, _ in self.spec.pieces]
         self.bytes_ = {k: int(p[3:-1], 16) for k, (p, _, kind) in enumerate(self.spec.pieces) if kind == BYTE}
+        self.is_byte = np.zeros(len(self.names), bool)
+        self.is_byte[list(self.bytes_)] = True
         self.control = {k for k, (_, _, kind) in enumerate(self.spec.pieces) if kind == CONTROL}
-        # A piece that spells like a control or byte piece must not come from text; see encode_segments.
-        self.kept: dict[str, tuple[np.ndarray, bool]] = {}
+        self.kept: dict[str, Segment] = {}
+        # Pieces that spell as they stand, but for the marker.
+        self.spelled = [p.replace(MARK, " ") for p in self.names]
+        self.ordinary = frozenset(range(len(self.names))) - {self.spec.unk, *self.control, *self.bytes_}
         self.reference = None
         if checks:
             import sentencepiece
@@ -167,11 +182,11 @@ class Codec:
 
     def learn(self, segments: set[str]) -> None:
         """Encode segments that aren't known yet, in one batch, and check them."""
-        new = sorted(s for s in segments if s not in self.kept)
+        new = [s for s in segments if s not in self.kept]
         if len(self.kept) + len(new) > KEPT:
             self.kept.clear()
-            new = sorted(segments)
-        ids = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+            new = list(segments)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         same = [True] * len(new)
         if self.reference is not None and new:
             # The reference puts the dummy prefix before its input.
@@ -181,13 +196,24 @@ class Codec:
             for k, wanted in zip(plain, self.reference.encode([raw[k][1:] if cut else raw[k] for k in plain], num_threads=1)):
                 # A segment of markers alone is checked as they are: the reference adds no prefix to an empty text.
                 if raw[k] != " ":
-                    same[k] = wanted == ids[k].tolist()
-        self.kept.update((s, (i, k)) for s, i, k in zip(new, ids, same))
+                    same[k] = wanted == ids[k]
+        ends = np.cumsum([0, *map(len, ids)])
+        flat = np.fromiter(chain.from_iterable(ids), "<i4", int(ends[-1]))
+        raw_ids = flat.tobytes()
+        n_bytes = np.diff(np.concatenate([[0], np.cumsum(self.is_byte[flat])])[ends]).tolist() if len(new) else []
+        ends = (ends * 4).tolist()
+        for k, (segment, own) in enumerate(zip(new, ids)):
+            text = self.pieces(own) if n_bytes[k] or not self.ordinary.issuperset(own) else "".join([self.spelled[i] for i in own])
+            self.kept[segment] = Segment(raw_ids[ends[k] : ends[k + 1]], text, n_bytes[k], same[k])
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """Ids of each text, and whether they agree with the reference wherever that was asked."""
+        """Ids of each text, and whether all its segments agree with the reference."""
+        return [(np.frombuffer(b"".join(x.ids for x in parts), "<i4"), all(x.agrees for x in parts)) for parts in self.coded(texts)]
+
+    def coded(self, texts: list[str]):
+        """The coded segments of each text in turn."""
         cut = [self.segments(self.normalise(t)) for t in texts]
-        out, at = [], 0
+        at = 0
         while at < len(cut):  # groups of texts whose segments fit into what is kept
             need: set[str] = set()
             end = at
@@ -196,13 +222,11 @@ class Codec:
                 end += 1
             self.learn(need)
             for parts in cut[at:end]:
-                known = [self.kept[s] for s in parts]
-                out.append((np.concatenate([i for i, _ in known]) if known else np.empty(0, np.int32), all(k for _, k in known)))
+                yield [self.kept[s] for s in parts]
             at = end
-        return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids: bytes join to UTF-8 (invalid ones become U+FFFD), markers become spaces, the dummy prefix goes."""
+    def pieces(self, ids: list[int]) -> str:
+        """Spelling of ids: bytes join to UTF-8 (invalid ones become U+FFFD), markers become spaces."""
         out: list[str] = []
         raw = bytearray()
         for k in ids:
@@ -218,30 +242,46 @@ class Codec:
                 out.append(self.names[k])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        return "".join(out).replace(MARK, " ")
+
+    def without_prefix(self, text: str) -> str:
         return text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text
 
+    def decode(self, ids: list[int]) -> str:
+        """Text of ids, without the dummy prefix."""
+        return self.without_prefix(self.pieces(ids))
+
 
-def _encode(path: str, data: bytes, checks: bool):
+def _encode(data: bytes, checks: bool, with_ids: bool):
     def run(batches):
         codec = Codec(data, checks)
-        is_byte = np.zeros(len(codec.names), bool)
-        is_byte[list(codec.bytes_)] = True
-        for batch in batches:
-            there = [isinstance(t, str) for t in batch["text"]]
-            texts = [t for t, x in zip(batch["text"], there) if x]
-            done = iter(zip(texts, codec.encode(texts)))
-            rows = []
-            for x in there:
-                if not x:
-                    rows.append((None, None, None, None, None, None))
-                    continue
-                text, (ids, same) = next(done)
-                back = codec.decode(ids.tolist())
-                whole = codec.normalise(text).replace(MARK, " ")
-                whole = whole[1:] if codec.spec.dummy_prefix and whole else whole
-                rows.append((ids.tolist(), len(ids), int(is_byte[ids].sum()), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), back, (back == whole, same)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "ids": [r[0] for r in rows], "n_tokens": pd.array([r[1] for r in rows], "Int64"), "n_bytes": pd.array([r[2] for r in rows], "Int64"), "ids_sha256": [r[3] for r in rows], "decoded": [r[4] for r in rows], "round_trip": [r[5] and r[5][0] for r in rows], "parity": [r[5] and r[5][1] for r in rows]})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):  # so that what a batch makes stays small
+                batch = whole.slice(at, 512)
+                texts = batch.column("text").to_pylist()
+                coded = codec.coded([t for t in texts if t is not None])
+                ids, columns = [], {n: [] for n in ("n_tokens", "n_bytes", "ids_sha256", "decoded", "round_trip", "parity")}
+                for text in texts:
+                    if text is None:
+                        ids.append(None)
+                        for c in columns.values():
+                            c.append(None)
+                        continue
+                    parts = next(coded)
+                    raw = b"".join([x.ids for x in parts])
+                    back = codec.without_prefix("".join([x.text for x in parts]))
+                    ids.append(raw)
+                    wanted = codec.without_prefix(codec.normalise(text).replace(MARK, " "))
+                    for c, v in zip(columns.values(), (len(raw) // 4, sum(x.n_bytes for x in parts), hashlib.sha256(raw).hexdigest(), back, back == wanted, all(x.agrees for x in parts))):
+                        c.append(v)
+                arrays = {"doc_id": batch.column("doc_id")}
+                if with_ids:
+                    offsets = np.concatenate([[0], np.cumsum([len(i or b"") // 4 for i in ids])]).astype(np.int32)
+                    flat = pa.array(np.frombuffer(b"".join(i or b"" for i in ids), "<i4"), pa.int32())
+                    arrays["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array([i is None for i in ids]))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
+                arrays |= {n: pa.array(v, k) for (n, v), k in zip(columns.items(), kinds)}
+                yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
 
     return run
 
@@ -253,15 +293,15 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def tokenise(docs: DataFrame, model: str | None = None, checks: bool = True) -> DataFrame:
+def tokenise(docs: DataFrame, model: str | None = None, checks: bool = True, with_ids: bool = True) -> DataFrame:
     """(doc_id, ids, n_tokens, n_bytes, ids_sha256, decoded, round_trip, parity) for each row of docs.
 
     The driver reads the model, half a megabyte, and sends it with the plan. n_bytes counts byte-fallback
     ids, ids_sha256 is of the ids as little-endian 32-bit numbers, decoded is the text decoded from the ids,
     round_trip says that it equals the normalised text, parity that all segments agree with the reference library.
     """
-    path = model or default_model()
-    with open(path, "rb") as f:
+    with open(model or default_model(), "rb") as f:
         data = f.read()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(_encode(path, data, checks), "doc_id long, ids array<int>, n_tokens long, n_bytes long, ids_sha256 string, decoded string, round_trip boolean, parity boolean")
+    ids = "ids array<int>, " if with_ids else ""
+    return rows.mapInArrow(_encode(data, checks, with_ids), f"doc_id long, {ids}n_tokens long, n_bytes long, ids_sha256 string, decoded string, round_trip boolean, parity boolean")
