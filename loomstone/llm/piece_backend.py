@@ -28,7 +28,7 @@ MARK = "▁"
 # Piece types and model types of the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KEPT = 400_000
+KEPT = 200_000
 
 
 def fields(data: bytes):
@@ -252,9 +252,21 @@ class Codec:
         return self.without_prefix(self.pieces(ids))
 
 
+def worker_codec(data: bytes, checks: bool) -> Codec:
+    """One codec for all tasks of a worker process. It hangs on a library's module, as functions sent with a plan have globals of their own for each task."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_loomstone_codecs", {})
+    key = (hashlib.sha256(data).digest(), checks)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Codec(data, checks)
+    return kept[key]
+
+
 def _encode(data: bytes, checks: bool, with_ids: bool):
     def run(batches):
-        codec = Codec(data, checks)
+        codec = worker_codec(data, checks)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):  # so that what a batch makes stays small
                 batch = whole.slice(at, 512)
