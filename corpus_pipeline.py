@@ -34,9 +34,9 @@ def personal_data(spark, docs, sf_dir):
 
 def mixing(spark, docs, sf_dir):
     """Every document as many times as the mix takes it."""
-    taken = mixture.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
-    mixed = docs.select(COLUMNS).join(taken, "doc_id")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(COLUMNS)
+    taken = mixture.mix(docs, carry=COLUMNS).where("taken > 0")
+    times = (F.col("taken") / F.col("size")).cast("int")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")
 
 
 def tokens(spark, docs, sf_dir):

@@ -109,14 +109,18 @@ def _plan(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["source", "size", "n", "source_size", "target"]].assign(times=times, extra=extra)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for each row of docs.
 
+    With ``carry`` there is also ``row``, a struct of those columns, so that each row has its own ``taken``
+    even where ids are null or repeated. Rows without an id are dealt by their text.
+
     Null texts have size 0; such documents, and empty ones, take nothing. A null source is a source of its
     own. Rows with equal ids and sizes are alike, so it doesn't matter which of them is taken.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"))
-    rows = materialise(rows.withColumn("h", F.xxhash64("doc_id", F.lit(seed))), "sizes")
+    extra = [F.struct(*carry).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"), F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit(seed))).otherwise(F.xxhash64(id_col, F.lit(seed))).alias("h"), *extra)
+    rows = materialise(rows, "sizes")
     lengths = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     sizes = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     shares = targets(sizes).withColumnRenamed("source", "of")
@@ -128,6 +132,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quota = some.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("of", "length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     quota = quota.select(F.col("of").alias("qo"), F.col("length").alias("ql"), F.col("bucket").alias("qb"), F.greatest(F.lit(0), F.least("m", F.col("extra") - F.col("before"))).alias("quota"))
     ranked = dealt.join(quota, dealt["of"].eqNullSafe(quota["qo"]) & (dealt["length"] == quota["ql"]) & (dealt["bucket"] == quota["qb"]), "left")
-    rank = F.row_number().over(Window.partitionBy("of", "length", "bucket").orderBy("h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("of", "length", "bucket").orderBy("h", "doc_id", *([F.xxhash64("row")] if carry else [])))
     one = F.when(rank <= F.coalesce("quota", F.lit(0)), 1).otherwise(0)
-    return ranked.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), ((F.col("times") + one) * F.col("size")).cast("long").alias("taken"))
+    return ranked.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), ((F.col("times") + one) * F.col("size")).cast("long").alias("taken"), *(["row"] if carry else []))

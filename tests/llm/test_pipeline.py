@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from loomstone.llm import pii_spans
+from loomstone.llm import mixture, pii_spans
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -45,3 +45,35 @@ def test_stages(spark, tmp_path):
     assert any("[PHONE]" in (r.text or "") for r in masked.values()) and all(r.n_chars == len(r.text) for r in masked.values() if r.text and r.doc_id < 1000)
     assert ids["mixing"] <= ids["personal_data"] and len(seen["sentencepiece"]) == len(seen["mixing"])
     assert all(r.round_trip and r.parity and len(r.ids) == r.n_tokens for r in seen["sentencepiece"])
+
+
+def test_null_and_repeated_ids_in_every_stage(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+    docs = [(None, text(rng.randrange(20, 60)), "en", "abc"[i % 3], 0) for i in range(90)]
+    docs += [(i, text(rng.randrange(20, 60)), "en", "abc"[i % 3], 0) for i in range(120)]
+    docs += [(i, text(rng.randrange(20, 60)), "en", "abc"[(i + 1) % 3], 0) for i in range(60)]  # other texts and sources under the same ids
+    labels = [(i, 1, 0) for i in range(120)]
+    path = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    now = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, now, path)
+        out.write.parquet(f"{path}/{name}")
+        now = spark.read.parquet(f"{path}/{name}")
+        assert {(r.doc_id, r.text) for r in now.collect()} == {d[:2] for d in docs}, name
+    mixed = corpus_pipeline.mixing(spark, now, path)
+    mixed.write.parquet(f"{path}/mixing")
+    mixed = spark.read.parquet(f"{path}/mixing")
+    words, times = {}, {}
+    for r in mixed.collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+        times[r.doc_id, r.text, r.source] = times.get((r.doc_id, r.text, r.source), 0) + 1
+    target = {r.source: r.target for r in mixture.mix(now).select("source", "target").distinct().collect()}
+    # Each source has its words to the word, and no row is repeated beyond its quota.
+    assert all(abs(words.get(s, 0) - t) <= 1 for s, t in target.items())
+    size = {s: sum(len(d[1].split()) for d in docs if d[3] == s) for s in target}
+    assert set(times) <= {(d[0], d[1], d[3]) for d in docs} and all(n <= target[s] // size[s] + 1 for (_, _, s), n in times.items())
+    tokens = corpus_pipeline.tokens(spark, mixed, path).collect()
+    assert len(tokens) == sum(times.values()) and sum(r.doc_id is None for r in tokens) == sum(n for (i, *_), n in times.items() if i is None) > 0
