@@ -4,9 +4,10 @@ Base kinds, leftmost and non-overlapping for each kind: e-mail, ip, card, phone,
 scans are linear: e-mail looks at "@" signs and the runs before them, the others start at run starts,
 where the patterns can't match later if they fail.
 
-The field (Sarawagi and Cohen, 2004) reads regions: stretches around "@", spelled-out "at" signs, and runs
-with seven digits or more. A region is cut into tokens (letters, digits, blanks, single signs); a segment of
-up to ``LONGEST`` tokens gets a kind, by features of the whole span: its shape, digit count, number of
+The field (Sarawagi and Cohen, 2004) reads regions: stretches around "@", spelled-out "at" signs, dotted quads
+(blanks or brackets about their dots) and runs with seven digits or more; they reach to the start of an address's
+name and to the end of its dot-joined host. Only where all of these lie inside base spans is it not run. A region is cut into tokens (letters, digits, blanks, single signs); a segment of
+up to ``LONGEST`` tokens, or to the end of a longer host, gets a kind, by features of the whole span: its shape, digit count, number of
 parts, Luhn and octet tests, "@" and dots and their spelled-out forms, ends and neighbours. A dynamic
 programme over segment ends with bounded segment length chooses boundaries and kinds jointly. Weights
 maximise the conditional likelihood of segmentations of up to ``regions`` regions of the corpus, chosen by a
@@ -22,6 +23,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -35,7 +38,11 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-REGION = re.compile(r"@|[(\[{<](?:at|AT)[)\]}>]|\b(?:at|AT)\b(?= \S{1,80} (?:dot|DOT) )|[0-9+(](?:[ ().+/-]{0,3}[0-9]){6,}")
+_AT = r"@|[(\[{<][ \t]?(?i:at)[ \t]?[)\]}>]|\b(?i:at)\b(?= \S{1,80} (?i:dot) )"
+REGION = re.compile(_AT + r"|(?<![0-9])[0-9]{1,3}(?:[ \t]{0,2}[(\[{<]?\.[)\]}>]?[ \t]{0,2}[0-9]{1,3}){3}|[0-9+(](?:[ ().+/-]{0,3}[0-9]){6,}")
+#: The host after a sign, its dots as they are, in brackets or spelled out.
+HOST = re.compile(r"[ \t]*[A-Za-z0-9-]++(?:(?:\.|[ \t]*[(\[{<][ \t]?(?:(?i:dot)|\.)[ \t]?[)\]}>][ \t]*|[ \t]+(?i:dot)[ \t]+)[A-Za-z0-9-]++)+")
+SIGN = re.compile(_AT)
 TOKEN = re.compile(r"[A-Za-z_%]+|[0-9]+|\s+|.", re.S)
 AROUND, LONGEST = 40, 24
 
@@ -80,16 +87,37 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [emails(text), ips, cards, phones]
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around what may belong to a span, merged where they overlap."""
-    out: list[list[int]] = []
+def hosts(text: str) -> list[tuple[int, int]]:
+    """Signs and where the hosts after them end; each run is read once."""
+    out, reach = [], 0
+    for m in SIGN.finditer(text):
+        if m.end() >= reach and (host := HOST.match(text, m.end())):
+            reach = host.end()
+            out.append((m.start(), reach))
+    return out
+
+
+def _regions(text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """Regions and the matches that they are made of."""
+    out: list[tuple[int, int, list[tuple[int, int]]]] = []
+    ends = dict(hosts(text))
     for m in REGION.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+        a, b = max(0, m.start() - AROUND), min(len(text), max(m.end(), ends.get(m.start(), 0)) + AROUND)
+        free = out[-1][1] if out else 0
+        # A name that reaches further back.
+        while a > free and text[a] in LOCAL_CHARS and text[a - 1] in LOCAL_CHARS:
+            a -= 1
+        if out and a <= free:
+            out[-1][2].append(m.span())
+            out[-1] = (out[-1][0], max(b, free), out[-1][2])
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out.append((a, b, [m.span()]))
+    return out
+
+
+def regions(text: str) -> list[tuple[int, int]]:
+    """Stretches around what may belong to a span, merged where they overlap."""
+    return [(a, b) for a, b, _ in _regions(text)]
 
 
 def _shape(tokens: list[str]) -> str:
@@ -108,12 +136,12 @@ def span_features(tokens: list[str], i: int, j: int) -> tuple[list[str], tuple[b
     at, dot = ("@" in low) + 2 * ("at" in low), ("." in low) + 2 * ("dot" in low)
     if digits < 7 and not at and not (digits >= 4 and text.count(".") == 3):
         return None
-    if at and not dot or len(text) > 120:
+    if at and not dot or not at and len(text) > 120:
         return None
     numbers = [t for t in part if t.isdigit()]
     letters = sum(t[0].isalpha() for t in part)
     # An address has one word before its sign; the other kinds have what their base patterns ask of digits.
-    name = re.split(r"@|[ \[({<]+(?:at|AT)[ \])}>]+", text, maxsplit=1)[0] if at else ""
+    name = re.split(r"@|[ \[({<]+(?i:at)[ \])}>]+", text, maxsplit=1)[0] if at else ""
     may = (bool(at) and not re.search(r"\s", name.strip()) and bool(name), len(numbers) == 4 and not letters and all(map(octet, numbers)), 16 <= digits <= 19 and not letters and luhn("".join(numbers)), 8 <= digits <= 15 and not letters)
     if not any(may):
         return None
@@ -143,7 +171,22 @@ class Field:
 
     @staticmethod
     def candidates(tokens: list[str]) -> list[tuple[int, int, np.ndarray, tuple[bool, ...]]]:
-        return [(i, j, Field.slots(f[0]), f[1]) for i in range(len(tokens)) for j in range(i + 1, min(len(tokens), i + LONGEST) + 1) if (f := span_features(tokens, i, j))]
+        ends = [0]
+        for t in tokens:
+            ends.append(ends[-1] + len(t))
+        # Hosts that segments of bounded length may not reach: (token of the sign, token after the host).
+        long = [(bisect_right(ends, a) - 1, bisect_left(ends, b)) for a, b in hosts("".join(tokens))]
+        out, first = [], 0
+        for i in range(len(tokens)):
+            last = min(len(tokens), i + LONGEST)
+            while first < len(long) and long[first][0] <= i:
+                first += 1
+            sign, end = long[first] if first < len(long) else (len(tokens), 0)
+            far = [end] if sign < last < end else []
+            for j in [*range(i + 1, last + 1), *far]:
+                if f := span_features(tokens, i, j):
+                    out.append((i, j, Field.slots(f[0] + ([f"host{(j > end) - (j < end)}"] if sign < j else [])), f[1]))
+        return out
 
     def scores(self, found) -> np.ndarray:
         """Scores of the candidates by kind; -30 for kinds that a candidate can't be."""
@@ -262,10 +305,12 @@ def all_spans(text: str, field: Field, margin: float) -> tuple[list[list[tuple[i
     """Base spans, and base spans with those that the field adds, by kind."""
     base = base_spans(text)
     every = [list(x) for x in base]
-    for a, b in regions(text) if text else ():
+    flat = sorted(x for found in base for x in found)
+    starts, reach = [x for x, _ in flat], [0, *accumulate((y for _, y in flat), max)]
+    for a, b, matches in _regions(text) if text else ():
         taken = [(x, y) for found in base for x, y in found if x < b and y > a]
-        tokens = TOKEN.findall(text[a:b])
-        if not taken or len(taken) < sum(1 for _ in REGION.finditer(text, a, b)):
+        if any(reach[bisect_right(starts, p)] < q for p, q in matches):  # not all inside base spans
+            tokens = TOKEN.findall(text[a:b])
             ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]) + a
             for i, j, kind in field.decode(tokens, margin):
                 x, y = int(ends[i]), int(ends[j])

@@ -187,6 +187,29 @@ def test_pii_spans(spark):
     assert hidden[901].text == "call [PHONE] now" and hidden[901].n_chars == len("call [PHONE] now") and hidden[904].text is None and hidden[902].text == rows[-4][1]
 
 
+def test_disguises_beside_base_spans_and_in_any_case(spark):
+    rng = random.Random(2)
+    hosts = ["bar.com", "mail.example.com", "mail3.example.com", "a.mail.example.co.uk", "a.b.office.mail.example.co.uk"]
+    rows = [(i, f"{' '.join(words(rng, 12))} {name}@{hosts[i % 5]} {' '.join(words(rng, 25))} 10.1.{i % 250}.7 {' '.join(words(rng, 5))}", "en", "a") for i, name in enumerate(["anna", "bob", "kim", "ff"] * 30)]
+    field = pii_spans.train(documents(spark, rows))
+    found = lambda t: [[t[a:b] for a, b in spans] for spans in pii_spans.all_spans(t, field, 2.0)[1]]
+    both = found("ping 8.8.8.8 or mail foo [at] bar [dot] com")
+    assert both[0] == ["foo [at] bar [dot] com"] and both[1] == ["8.8.8.8"]
+    for quad in ("192[.]168[.]10[.]1", "8 . 8 . 8 . 8", "10.1.2.3"):
+        assert found(f"the host {quad} is down")[1] == [quad]
+    far = "kim [At] " + " [Dot] ".join(["mail", "department", "international", "example", "university", "co", "uk"])
+    assert found(f"write to {far} today")[0] == [far]
+    for kind, span in enumerate(["anna.b@mail.example.com", "10.20.30.40", "4111111111111111", "+15552001000"]):
+        for hidden in pii_spans._disguises(kind, span):
+            for text in (hidden, hidden.title()):
+                assert any(a <= 2 and b >= 2 + len(text) for a, b in pii_spans.regions(f"x {text} y")), text
+
+
+def test_regions_are_linear():
+    for text in ("a@" * 100_000, "a." * 100_000 + "@", " at x dot" * 40_000, "1.2." * 50_000, "a" * 200_000 + "@b.c"):
+        assert pii_spans._regions(text)
+
+
 def test_pii_edges(spark):
     df = documents(spark, edge_rows())
     assert len(pii_spans.find(df).collect()) == len(edge_rows())
