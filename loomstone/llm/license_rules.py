@@ -82,8 +82,9 @@ RULES = [
     ("CC0-1.0", "CC0,"),
     ("Unlicense", "Unlicense,"),
 ]
-#: Texts without any of these hold no known sentence.
-HINT = r"(?i)licen[cs]e|permi(ssion|tted)|redistribution|as is|any later version|without any warranty|endorse or promote|above copyright|cc by|cc0|public domain|rights reserved"
+#: Every match of a sentence pattern holds one of these words. They have no blank, so they stand in the lower-case text as they
+#: do in its normalised sentences, however it is wrapped or cut; a text or sentence without any holds no known sentence.
+HINT = r"licen[cs]e|permission|redistribution|provided|later|warranty|endorse|creative|cc[^a-z0-9.+-]|cc0|dedication|unencumbered|reserved"
 _OPENING = r"(?i)\n[ \t]*([/*#;-]*[ \t]*(?:spdx-license-identifier|licen[cs]ed under|released under|distributed under|this work is licen[cs]ed|this (?:program|software|library|file|project) is|copyright|permission|redistribution|unless required|you may|creative commons))"
 
 
@@ -120,7 +121,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
-    df = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(HINT), identifiers(sentences(text))).otherwise(none).alias("ids"))
+    df = docs.select(F.col(id_col).alias("doc_id"), F.when(F.lower(text).rlike(HINT), identifiers(sentences(text))).otherwise(none).alias("ids"))
     df = df.withColumn("tags", F.transform(F.filter("ids", lambda x: x.startswith("SPDX:")), lambda x: F.substring(x, 6, 200)))
     left = F.array_join(F.transform(F.filter("ids", lambda x: ~x.startswith("SPDX:")), lambda x: F.concat(x, F.lit(","))), "")
     # Rules in order, each on what earlier ones have left: an accumulator of (sequence, licences).

@@ -144,6 +144,21 @@ def test_licence_edges(spark):
     assert license_rules.scan(documents(spark, [])).collect() == []
 
 
+def test_hint_spares_no_sentence(spark):
+    texts = ["Text under Creative Commons Attribution 4.0.", "License: Creative Commons Attribution 4.0", "Shared under CC\nBY 4.0", "see the _cc by_ mark", "This is a Public\nDomain   Dedication.", "All rights\n reserved", "The software is provided\nas is", "Gnu Affero General Public\n * License, version 3"]
+    got = by_id(license_rules.scan(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])))
+    assert [got[i].sentence_ids for i in range(len(texts))] == ["CCBY", "CCBY", "CCBY", "CCBY", "CC0", "AllRights", "AsIs", "AGPL3"]
+    assert got[0].licenses == got[1].licenses == got[2].licenses == "CC-BY"
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sampled_from(license_rules.SENTENCES).flatmap(lambda s: st.from_regex(s[1])))
+def test_every_known_sentence_has_a_hint(sentence):
+    # Sentences have letters, digits and . + - and single blanks only.
+    normal = re.sub("[^a-z0-9.+-]+", " ", sentence)
+    assert re.search(license_rules.HINT, normal) or not any(re.search(p, normal) for _, p in license_rules.SENTENCES)
+
+
 # Personal data ---------------------------------------------------------------------------------------------------------
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
