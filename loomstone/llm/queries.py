@@ -48,7 +48,7 @@ def op9_sentencepiece(spark, sf_dir):
 
 
 def op10_quote_links(spark, sf_dir):
-    return quote_links.link(table(spark, sf_dir, "conversations"))
+    return quote_links.conversations(quote_links.link(table(spark, sf_dir, "conversations")))
 
 
 #: Links by all pairs with a common shingle, components by recursion.

@@ -3,8 +3,10 @@
 A message's lines have a quote level, the number of ">" before them. Lines of one level that follow each
 other, cut at empty lines, make a passage; it is normalised (markers removed, lower case, white space
 joined) and hashed. Own passages (level 0) keep the message's text; lines that only introduce a quotation
-("... wrote:") are dropped with it. Quoted passages of level 1 and more are joined by (conversation, hash)
-to own passages of earlier turns. A message replies to the latest message that its outermost quotations
+("... wrote:") are dropped with it. A passage is also hashed in pieces, its lines and its sentences, cut at "[...]",
+so that trimmed or rewrapped quotations and paragraphs quoted as one are found. Pieces of quoted passages of level 1
+and more are joined by (conversation, hash) to those of own passages of earlier turns; a passage links to the
+message that holds most of it by words, the latest of equals. A message replies to the latest message that its outermost quotations
 (level 1) link to, else to the latest that any of them does; without a link it starts a thread of its own.
 
 Replies are ordered below what they reply to: the key of a message is its parent's key and its own turn,
@@ -27,11 +29,14 @@ from pyspark.sql import functions as F
 from ..plans.shared import materialise
 
 PREFIX = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
+SHORTEST = 3
+CUT = re.compile(r"\[ ?(?:\.{3}|…) ?\]|…")
+SENTENCE = re.compile(r"(?<=[.!?;:])\s")
 INTRO = re.compile(r"^.{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t]*$", re.I)
 
 
-def passages(text: str) -> tuple[str, list[tuple[int, str]]]:
-    """Own text without quotations, and all passages as (level, normalised text)."""
+def passages(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
+    """Own text without quotations, and all passages as (level, lines)."""
     found: list[tuple[int, list[str]]] = []
     own: list[str] = []
     lines = text.split("\n")
@@ -55,7 +60,24 @@ def passages(text: str) -> tuple[str, list[tuple[int, str]]]:
         else:
             found[-1][1].append(body)
     kept = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n")
-    return kept if any(level for level, _ in found) else text, [(level, " ".join(" ".join(b).lower().split())) for level, b in found]
+    return kept if any(level for level, _ in found) else text, found
+
+
+def normal(text: str) -> str:
+    return " ".join(text.lower().split())
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True)
+
+
+def pieces(lines: list[str]) -> dict[int, int]:
+    """Hash and words of a passage as a whole, and of its lines and sentences of ``SHORTEST`` words or more."""
+    whole = normal(" ".join(lines))
+    parts = {normal(x) for line in lines for x in CUT.split(line)} | {x.strip() for y in CUT.split(whole) for x in SENTENCE.split(y)}
+    out = {digest(x): n for x in parts if (n := len(x.split())) >= SHORTEST}
+    # The mark keeps it apart from pieces: a whole paragraph is held by more than its line is.
+    return out | {digest("\0" + whole): len(whole.split())}
 
 
 def _parse(batches):
@@ -63,23 +85,24 @@ def _parse(batches):
         rows = []
         for text in batch["text"]:
             own, found = passages(text if isinstance(text, str) else "")
-            digest = lambda p: hashlib.md5(p.encode("utf-8", "surrogatepass")).hexdigest()
-            rows.append((own, [{"level": level, "hash": digest(p)} for level, p in found]))
+            rows.append((own, [{"level": level, "hash": hashlib.md5(normal(" ".join(b)).encode("utf-8", "surrogatepass")).hexdigest(), "pieces": [{"piece": p, "words": n} for p, n in pieces(b).items()]} for level, b in found]))
         yield batch.drop(columns="text").assign(text=[r[0] for r in rows], passages=[r[1] for r in rows])
 
 
 def link(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, reply_to, quote_levels, n_quotes, n_linked, reply_key) for each row of messages."""
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    shape = "conv_id long, turn long, role string, text string, passages array<struct<level:int,hash:string>>"
+    shape = "conv_id long, turn long, role string, text string, passages array<struct<level:int,hash:string,pieces:array<struct<piece:long,words:int>>>>"
     parsed = materialise(rows.mapInPandas(_parse, shape), "messages")
-    each = parsed.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", F.col("p.level").alias("level"), F.col("p.hash").alias("hash"))
-    quotes = each.where("level > 0").distinct()
-    own = each.where("level = 0").select(F.col("conv_id").alias("c"), F.col("turn").alias("of"), F.col("hash").alias("h")).distinct()
+    each = parsed.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", F.col("p.level").alias("level"), F.col("p.hash").alias("hash"), F.explode("p.pieces").alias("x"))
+    each = each.select("conv_id", "turn", "level", "hash", F.col("x.piece").alias("piece"), F.col("x.words").alias("words"))
+    quotes = each.where("level > 0").groupBy("conv_id", "turn", "level", "hash", "piece").agg(F.max("words").alias("words"))
+    own = each.where("level = 0").select(F.col("conv_id").alias("c"), F.col("turn").alias("of"), F.col("piece").alias("h")).distinct()
     # Own passages matter only where the conversation has quotations.
     own = own.join(quotes.select(F.col("conv_id").alias("c")).distinct(), "c", "left_semi")
-    hits = quotes.join(own, (F.col("conv_id") == F.col("c")) & (F.col("hash") == F.col("h")) & (F.col("of") < F.col("turn")))
-    hits = hits.groupBy("conv_id", "turn", "level", "hash").agg(F.max("of").alias("of"))
+    hits = quotes.join(own, (F.col("conv_id") == F.col("c")) & (F.col("piece") == F.col("h")) & (F.col("of") < F.col("turn")))
+    held = hits.groupBy("conv_id", "turn", "level", "hash", "of").agg(F.sum("words").alias("words"))
+    hits = held.groupBy("conv_id", "turn", "level", "hash").agg(F.max(F.struct("words", "of"))["of"].alias("of"))
     links = hits.groupBy("conv_id", "turn").agg(F.coalesce(F.max(F.when(F.col("level") == 1, F.col("of"))), F.max("of")).alias("reply_to"), F.count("*").alias("n_linked"))
     links = materialise(links, "replies")
     # Pointer doubling: path is the key from up (exclusive) down to the message itself.
@@ -96,7 +119,7 @@ def link(messages: DataFrame) -> DataFrame:
     out = parsed.join(links.withColumnsRenamed({"conv_id": "lc", "turn": "lt"}), (F.col("conv_id") == F.col("lc")) & (F.col("turn") == F.col("lt")), "left")
     out = out.join(keys, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left")
     levels = F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0))
-    quoted = F.size(F.array_distinct(F.filter("passages", lambda p: p["level"] > 0)))
+    quoted = F.size(F.array_distinct(F.transform(F.filter("passages", lambda p: p["level"] > 0), lambda p: F.struct(p["level"], p["hash"]))))
     return out.select("conv_id", "turn", "role", "text", "reply_to", levels.cast("int").alias("quote_levels"), quoted.cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce("key", pad("turn")).alias("reply_key"))
 
 
@@ -110,10 +133,14 @@ def chat_lines(linked: DataFrame, template: str = "<|{role}|>\n{text}\n") -> Dat
 def conversations(linked: DataFrame, at_once: int = 1024) -> DataFrame:
     """(conv_id, part, n_messages, chat): each conversation in reply order, in parts of roots that start in ``at_once`` turns.
 
-    Parts bound what one task gathers; sorted by (conv_id, part) and joined they are the whole conversation.
+    Parts bound what one task gathers; sorted by (conv_id, part) and joined they are the whole conversation. Rows with a
+    null conv_id or turn have no place in one; each makes a row of its own, with a null part.
     """
     root = F.split("reply_key", "/")[0]
     part = F.floor(root.cast("long") / at_once).alias("part")
-    rows = chat_lines(linked.where("conv_id is not null and turn is not null"))
+    every = chat_lines(linked)
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    rows, loose = every.where(placed), every.where(~placed)
     grouped = rows.groupBy("conv_id", part).agg(F.array_sort(F.collect_list(F.struct("reply_key", "turn", "chat"))).alias("m"))
-    return grouped.select("conv_id", "part", F.size("m").cast("long").alias("n_messages"), F.array_join(F.transform("m", lambda x: x["chat"]), "").alias("chat"))
+    built = grouped.select("conv_id", "part", F.size("m").cast("long").alias("n_messages"), F.array_join(F.transform("m", lambda x: x["chat"]), "").alias("chat"))
+    return built.unionByName(loose.select("conv_id", F.lit(None).cast("long").alias("part"), F.lit(1).cast("long").alias("n_messages"), "chat"))

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomstone.llm import license_rules, mixture, odd_sketch, perplexity_bands, piece_backend, pii_spans, quote_links, site_templates, spot_signatures, toxic_segments
+from loomstone.llm import license_rules, mixture, odd_sketch, perplexity_bands, piece_backend, pii_spans, queries, quote_links, site_templates, spot_signatures, toxic_segments
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns named like the operators' own, with values that would do harm if they were read.
@@ -565,3 +565,28 @@ def test_long_reply_chain(spark):
     rows = [(1, k, "user", f"message {k}" if not k else f"> message {k - 1}\n\nmessage {k}") for k in range(37)]
     got = {r.turn: r for r in quote_links.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert all(got[k].reply_to == k - 1 and got[k].reply_key.count("/") == k for k in range(1, 37))
+
+
+def test_trimmed_and_nested_quotations(spark, tmp_path):
+    first = "The first line of a paragraph\ngoes on in a second line. Then a sentence ends it.\n\nAnother paragraph of the same message stands here."
+    rows = [
+        (1, 0, "user", first),
+        (1, 1, "assistant", "Something else that nobody quotes."),
+        (1, 2, "user", "> Then a sentence ends it.\n\nOne sentence."),
+        (1, 3, "user", "> The first line of a paragraph\n\nFirst line."),
+        (1, 4, "user", "> The first line of a paragraph\n> [...]\n> Another paragraph of the same message stands here.\n\nWith a gap."),
+        (1, 5, "user", "> " + first.replace("\n\n", "\n").replace("\n", "\n> ") + "\n\nParagraphs joined."),
+        (1, 6, "user", "> With a gap.\n>> Another paragraph of the same [...]\n>> Then a sentence ends it.\n\nNested."),
+        (1, 7, "user", "> unknown words that nobody wrote\n\nNone."),
+        (None, 0, "user", "no conversation"),
+        (2, None, "user", "no turn"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in quote_links.link(df).where("conv_id = 1").collect()}
+    assert [got[k].reply_to for k in range(2, 8)] == [0, 0, 0, 0, 4, None]
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    built = queries.QUERIES["op10_quote_links"](spark, str(tmp_path)).collect()
+    assert sum(r.n_messages for r in built) == len(rows)
+    (chat,) = [r.chat for r in built if r.conv_id == 1]
+    ends = ["stands here.", "One sentence.", "First line.", "With a gap.", "Nested.", "Paragraphs joined.", "nobody quotes.", "None."]
+    assert [chat.index(e + "\n<|") if e != "None." else chat.index(e) for e in ends] == sorted(chat.index(e + "\n<|") if e != "None." else chat.index(e) for e in ends)
