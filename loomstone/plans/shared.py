@@ -25,12 +25,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def materialise(df: DataFrame, tag: str = "step") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table or folder, wherever its file system is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Steps:
+    """The tables of one job: ``steps(df, tag)`` writes df as Parquet in the shared folder and reads it back.
 
-    Unlike a local checkpoint this survives lost executors, and later stages start from files.
+    Unlike a local checkpoint this survives lost executors, and later stages start from files. ``drop``
+    deletes tables that nothing reads any more, ``drop_all_but`` those that the job's result doesn't read.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomstone-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.tables = spark, f"{shared_dir(spark)}/loomstone-{uuid.uuid4().hex}", []
+
+    def __call__(self, df: DataFrame, tag: str = "step") -> DataFrame:
+        path = f"{self.root}/{len(self.tables)}-{tag}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, *done: DataFrame) -> None:
+        for table, path in self.tables:
+            if any(table is d for d in done):
+                delete(self.spark, path)
+
+    def drop_all_but(self, *needed: DataFrame) -> None:
+        self.drop(*[table for table, _ in self.tables if not any(table is n for n in needed)])
+
+
+def materialise(df: DataFrame, tag: str = "step") -> DataFrame:
+    """One table of a job that has no others to delete."""
+    return Steps(df.sparkSession)(df, tag)
