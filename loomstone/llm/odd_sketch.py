@@ -34,11 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialise
+from ..plans.shared import Steps
+from .common import Bounded, map_slices
 
 BANDS, ROWS, SKETCH_BITS, MOST_XOR = 25, 5, 512, 84
-#: Members of a bucket that emits its pairs, and of a side of a block.
-FEW, SIDE = 32, 256
+#: Members of a bucket that emits its pairs, and of a side of a block; bytes of text that a block holds, about.
+FEW, SIDE, BLOCK_BYTES = 32, 256, 16 << 20
 WORDS = SKETCH_BITS // 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -55,17 +56,12 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept while there are at most two million of them."""
+def word_hashes() -> Bounded:
+    """64-bit hashes of words."""
+    return Bounded(xxhash.xxh3_64_intdigest)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-
-def shingle_hashes(words: list[bytes], hashes: WordHashes, size: int = 5) -> np.ndarray:
+def shingle_hashes(words: list[bytes], hashes: Bounded, size: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
     if not words:
         return np.empty(0, np.uint64)
@@ -105,7 +101,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 
 def _sketch_batches(batches):
-    hashes, (a, b) = WordHashes(), sketch_functions()
+    hashes, (a, b) = word_hashes(), sketch_functions()
     for batch in batches:
         n, digests, odd, bands = [], [], [], []
         for text in batch["text"]:
@@ -125,7 +121,7 @@ def _sketch_batches(batches):
 
 def _confirm(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
     """The linked pairs of a block, by the full sets of the texts that it needs."""
-    hashes = WordHashes()
+    hashes = word_hashes()
     sets = {key: shingle_hashes(tokens(text), hashes) for key, text in zip(texts["id"], texts["text"])}
     keep = []
     for a, b in zip(pairs["a"], pairs["b"]):
@@ -137,11 +133,12 @@ def _confirm(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) that the full sets link. They are dealt into a square of blocks by both ids, each of about
-    4,000 pairs and with at most some 2,000 partners of one id, so a text is sent once for each block, not pair."""
-    size, = pairs.agg(F.count("*")).first()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count().agg(F.max("count")).first()[0] or 0
-    side = max(1, math.ceil(math.sqrt(size / 4000)), math.ceil(ends / 2000))
-    pairs = pairs.withColumn("g", F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b", F.lit(1)), F.lit(side)))
+    4,000 pairs, with at most some 2,000 partners of one id and about ``BLOCK_BYTES`` of texts, so a text is sent
+    once for each block, not pair."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    size, most, n_bytes = ends.join(texts.select("id", "bytes"), "id").agg(F.sum("n"), F.max("n"), F.sum("bytes")).first()
+    side = max(1, math.ceil(math.sqrt((size or 0) / 8000)), math.ceil((most or 0) / 2000), math.ceil(2 * (n_bytes or 0) / BLOCK_BYTES))
+    pairs = pairs.withColumn("g", F.pmod(F.xxhash64("a"), F.lit(side)).cast("long") * side + F.pmod(F.xxhash64("b", F.lit(1)), F.lit(side)))
     needed = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select(F.col("g").alias("block"), "id", "text")
     return pairs.groupBy("g").cogroup(needed.groupBy("block")).applyInPandas(_confirm, "a long, b long")
 
@@ -162,7 +159,7 @@ def _compare_block(rows: pd.DataFrame) -> pd.DataFrame:
     p, q = np.nonzero(todo)
     if not len(p):
         return pd.DataFrame({"a": i[:0], "b": i[:0]})
-    hashes = WordHashes()
+    hashes = word_hashes()
     sets = [[shingle_hashes(tokens(t), hashes) for t in d["text"]] for d in (x, y)]
     sizes = [np.array([len(v) for v in part]) for part in sets]
     vocabulary = np.intersect1d(np.unique(np.concatenate(sets[0])), np.unique(np.concatenate(sets[1])), assume_unique=True)
@@ -179,24 +176,28 @@ def _compare_block(rows: pd.DataFrame) -> pd.DataFrame:
 
 def in_blocks(many: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of large buckets: rows (key, id, comp, most, n, o)."""
-    rows = many.join(reps, "id").join(texts, "id")
-    wide, high = F.ceil(F.col("n") / SIDE).cast("int"), F.ceil(F.col("o") / SIDE).cast("int")
+    # Blocks of at most about SIDE members and half of BLOCK_BYTES on either side.
+    held = many.join(texts.select("id", "bytes"), "id").groupBy("key").agg(F.ceil(2 * F.sum("bytes") / BLOCK_BYTES).alias("shares"))
+    rows = many.join(held, "key").join(reps, "id").join(texts.drop("bytes"), "id")
+    count = lambda c: F.greatest(F.ceil(F.col(c) / SIDE), F.least("shares", c), F.lit(1)).cast("int")
+    wide, high = count("n"), count("o")
     own = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, high).otherwise(wide)).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("side") == 0, wide).otherwise(high) - 1)
     dealt = rows.withColumn("side", F.explode(F.when(F.col("comp") != F.col("most"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
     dealt = dealt.withColumn("i", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")))
-    return dealt.drop("n", "o", "own", "other").groupBy("key", "i", "j").applyInPandas(_compare_block, "a long, b long")
+    return dealt.drop("n", "o", "shares", "own", "other").groupBy("key", "i", "j").applyInPandas(_compare_block, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, step: Steps | None = None) -> DataFrame:
     """(id, comp) of every node of the edges (a, b) that isn't the smallest of its component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each needs one aggregate and one
     equi-join and never gathers a component; the edges become stars after O(log^2 n) steps at worst.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    e = materialise(e, "edges")
+    step = step or Steps(edges.sparkSession)
+    e = step(e, "edges")
     mark = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("u").cast("decimal(38,0)"))).first()
     last = mark(e)
     while True:
@@ -205,7 +206,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "stars")
+        old, e = e, step(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "stars")
+        step.drop(old)
         now = mark(e)
         if now == last:
             return e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
@@ -218,22 +220,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have no shingles and form components of their own, as do rows without an id
     (component_id null, kept true). Repeated rows get the same component_id. Other columns are not read.
     """
-    spark = docs.sparkSession
+    spark, step = docs.sparkSession, Steps(docs.sparkSession)
     shape = "id long, n long, h1 long, h2 long, " + ", ".join(f"s{i} long" for i in range(WORDS)) + ", bands array<long>"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = materialise(rows.mapInPandas(_sketch_batches, shape), "sketches")
+    sketched = step(map_slices(rows, _sketch_batches, shape), "sketches")
     copies = sketched.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     # Only groups with several rows need the join; every other row is its own representative.
     folded = sketched.select("id", "n", "h1", "h2").join(copies.where("copies > 1"), ["h1", "h2"], "left")
-    folded = materialise(folded.select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep")), "copies")
+    folded = step(folded.select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep")), "copies")
     reps = sketched.where("n > 0").join(folded.where("n > 0 and id is not null and id = rep").select("id").distinct(), "id", "left_semi")
-    reps = materialise(reps.drop("h1", "h2", "n"), "representatives")
+    reps = step(reps.drop("h1", "h2", "n"), "representatives")
 
     banded = reps.select("id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    members = materialise(banded.join(shared, "key").select("key", "id"), "buckets")
-    texts = rows.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = materialise(texts, "texts")
+    members = step(banded.join(shared, "key").select("key", "id"), "buckets")
+    texts = rows.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).withColumn("bytes", F.octet_length("text"))
+    texts = step(texts, "texts")
     sketch = reps.drop("bands")
     left = sketch.select(F.col("id").alias("a"), *[F.col(f"s{i}").alias(f"p{i}") for i in range(WORDS)])
     right = sketch.select(F.col("id").alias("b"), *[F.col(f"s{i}").alias(f"q{i}") for i in range(WORDS)])
@@ -242,24 +244,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def linked(pairs: DataFrame) -> DataFrame:
         likely = pairs.distinct().join(left, "a").join(right, "b").where(odd <= MOST_XOR).select("a", "b")
-        return materialise(confirm(materialise(likely, "likely"), texts), "links")
+        return step(confirm(step(likely, "likely"), texts), "links")
 
     pivots = members.groupBy("key").agg(F.min("id").alias("a"))
     links = linked(members.join(pivots, "key").where("id > a").select("a", F.col("id").alias("b")))
     if not links.isEmpty():
-        comps = components(links)
+        comps = components(links, step)
     rest = members.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     by_comp = rest.groupBy("key", "comp").agg(F.count("*").alias("m"))
     most = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("n"), F.max_by("comp", F.struct("m", "comp")).alias("most"), F.max("m").alias("m")).where("comps > 1")
     # n members, o of them outside; the smallest id has met all others already
     rest = rest.join(most.select("key", "most", "n", (F.col("n") - F.col("m")).alias("o")), "key").join(pivots, "key").where("id <> a").drop("a")
-    rest = materialise(rest, "open")
+    rest = step(rest, "open")
     few, many = rest.where(f"n <= {FEW}"), rest.where(f"n > {FEW}")
     outer = few.where("comp <> most").select("key", F.col("id").alias("x"), F.col("comp").alias("xc"))
     more = linked(few.join(outer, "key").where("comp <> xc").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")))
     if not many.isEmpty():
-        more = more.unionByName(materialise(in_blocks(many, reps, texts), "links"))
+        more = more.unionByName(step(in_blocks(many, reps, texts), "links"))
     if not more.isEmpty():
-        comps = components(links.unionByName(more))
+        comps = components(links.unionByName(more), step)
+    comps = step(comps, "components")
+    step.drop_all_but(folded, comps)
     out = folded.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -3,12 +3,13 @@
 The model file is a protobuf, read here field by field. From it the backend is rebuilt: the normaliser (its
 compiled character map, white-space rules and the dummy prefix), the metaspace marker, and either the
 unigram scores or, for a BPE model, merges in the order of the piece scores; both with byte fallback.
+Control, byte, unknown and unused pieces never match text: BPE merges make none of them, and the unigram
+lattice knows them by names with a blank, which no normalised text holds; what it doesn't know becomes bytes
+here, by its place in the text.
 
-No piece of the usual vocabularies has a marker after another character. Then no piece crosses the
-place between a character and a marker, and a text's encoding is the concatenation of the encodings
-of its segments cut there. So every worker encodes each different segment once, in multithreaded batches,
-and checks each of those against the reference library; texts of models without that property are
-encoded and checked whole. Null texts give null results, empty ones no ids.
+Whole texts are encoded in multithreaded batches of bounded bytes. ``parity`` is the result of a comparison of each
+whole text: the reference library's ids of the raw text equal the backend's, and so do its decoded texts. It is
+null where nothing was compared (``checks`` off, null texts). Null texts give null results, empty ones no ids.
 """
 
 from __future__ import annotations
@@ -16,19 +17,20 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from itertools import chain
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, slices
+
 MARK = "▁"
 # Piece types and model types of the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KEPT = 200_000
+#: Rows and bytes of text that are encoded at once.
+ROWS, BYTES = 512, 1 << 20
 
 
 def fields(data: bytes):
@@ -102,6 +104,9 @@ class Spec:
                         self.escape = bool(v)
         if self.model not in (UNIGRAM, BPE) or self.suffix:
             raise ValueError("only unigram and BPE models with markers before words are supported")
+        if self.model == UNIGRAM and not self.escape:
+            raise ValueError("unigram models without a marker for blanks aren't supported")
+        #: Whether no piece crosses the place between a character and a marker.
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.pieces if kind in (NORMAL, USER))
 
 
@@ -119,10 +124,13 @@ def merges(spec: Spec) -> list[tuple[str, str]]:
 
 def backend(spec: Spec):
     """A tokenizers.Tokenizer for normalised text, in which markers already stand for spaces."""
-    from tokenizers import AddedToken, Tokenizer, models
+    from tokenizers import AddedToken, Regex, Tokenizer, models, pre_tokenizers
 
     if spec.model == UNIGRAM:
-        t = Tokenizer(models.Unigram([(p, s) for p, s, _ in spec.pieces], spec.unk, spec.byte_fallback))
+        least = min((s for _, s, kind in spec.pieces if kind == NORMAL), default=0.0)
+        t = Tokenizer(models.Unigram([(p, s) if kind in (NORMAL, USER) else (" " + p, least) for p, s, kind in spec.pieces], spec.unk, False))
+        if spec.splits:  # the library remembers what it has split, which had better be short
+            t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), behavior="isolated")
     else:
         vocab = {p: k for k, (p, _, _) in enumerate(spec.pieces)}
         t = Tokenizer(models.BPE(vocab, merges(spec), unk_token=spec.pieces[spec.unk][0], fuse_unk=True, byte_fallback=spec.byte_fallback))
@@ -132,30 +140,22 @@ def backend(spec: Spec):
     return t
 
 
-class Segment(NamedTuple):
-    """What a segment is coded as: ids as little-endian 32-bit numbers, their spelling, byte ids, agreement with the reference."""
-
-    ids: bytes
-    text: str
-    n_bytes: int
-    agrees: bool
-
-
 class Codec:
-    """Encodes and decodes with the backend; ``checks`` compares with the reference library."""
+    """Encodes and decodes with the backend; ``checks`` loads the reference library to compare with."""
 
     def __init__(self, data: bytes, checks: bool = True):
         self.spec = Spec(data)
         self.tokenizer = backend(self.spec)
         self.names = [p for p, _, _ in self.spec.pieces]
         self.bytes_ = {k: int(p[3:-1], 16) for k, (p, _, kind) in enumerate(self.spec.pieces) if kind == BYTE}
+        self.byte_ids = {value: k for k, value in self.bytes_.items()}
         self.is_byte = np.zeros(len(self.names), bool)
         self.is_byte[list(self.bytes_)] = True
         self.control = {k for k, (_, _, kind) in enumerate(self.spec.pieces) if kind == CONTROL}
-        self.kept: dict[str, Segment] = {}
         # Pieces that spell as they stand, but for the marker.
         self.spelled = [p.replace(MARK, " ") for p in self.names]
-        self.ordinary = frozenset(range(len(self.names))) - {self.spec.unk, *self.control, *self.bytes_}
+        self.plain = np.ones(len(self.names), bool)
+        self.plain[[self.spec.unk, *self.control, *self.bytes_]] = False
         self.reference = None
         if checks:
             import sentencepiece
@@ -177,53 +177,32 @@ class Codec:
             text = " " + text
         return text.replace(" ", MARK) if self.spec.escape else text
 
-    def segments(self, normal: str) -> list[str]:
-        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", normal) if self.spec.splits else [normal] if normal else []
-
-    def learn(self, segments: set[str]) -> None:
-        """Encode segments that aren't known yet, in one batch, and check them."""
-        new = [s for s in segments if s not in self.kept]
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-            new = list(segments)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        same = [True] * len(new)
-        if self.reference is not None and new:
-            # The reference puts the dummy prefix before its input.
-            raw = [s.replace(MARK, " ") for s in new]
-            cut = self.spec.dummy_prefix
-            plain = [k for k, s in enumerate(raw) if not self.spec.collapse and not self.normalizer and (not cut or s.startswith(" "))]
-            for k, wanted in zip(plain, self.reference.encode([raw[k][1:] if cut else raw[k] for k in plain], num_threads=1)):
-                # A segment of markers alone is checked as they are: the reference adds no prefix to an empty text.
-                if raw[k] != " ":
-                    same[k] = wanted == ids[k]
-        ends = np.cumsum([0, *map(len, ids)])
-        flat = np.fromiter(chain.from_iterable(ids), "<i4", int(ends[-1]))
-        raw_ids = flat.tobytes()
-        n_bytes = np.diff(np.concatenate([[0], np.cumsum(self.is_byte[flat])])[ends]).tolist() if len(new) else []
-        ends = (ends * 4).tolist()
-        for k, (segment, own) in enumerate(zip(new, ids)):
-            text = self.pieces(own) if n_bytes[k] or not self.ordinary.issuperset(own) else "".join([self.spelled[i] for i in own])
-            self.kept[segment] = Segment(raw_ids[ends[k] : ends[k + 1]], text, n_bytes[k], same[k])
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """Ids of each text, and whether all its segments agree with the reference."""
-        return [(np.frombuffer(b"".join(x.ids for x in parts), "<i4"), all(x.agrees for x in parts)) for parts in self.coded(texts)]
-
-    def coded(self, texts: list[str]):
-        """The coded segments of each text in turn."""
-        cut = [self.segments(self.normalise(t)) for t in texts]
-        at = 0
-        while at < len(cut):  # groups of texts whose segments fit into what is kept
-            need: set[str] = set()
-            end = at
-            while end < len(cut) and (end == at or len(need) < KEPT // 2):
-                need.update(cut[end])
-                end += 1
-            self.learn(need)
-            for parts in cut[at:end]:
-                yield [self.kept[s] for s in parts]
-            at = end
+    def encode(self, normal: list[str]) -> list[list[int]]:
+        """Ids of normalised texts."""
+        if self.spec.model == BPE or not self.spec.byte_fallback:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(normal, add_special_tokens=False)]
+        out = []
+        for text, e in zip(normal, self.tokenizer.encode_batch(normal, add_special_tokens=False)):
+            ids = e.ids
+            if self.spec.unk in ids:
+                parts = ([k] if k != self.spec.unk else [self.byte_ids[b] for b in text[i:j].encode()] for k, (i, j) in zip(ids, e.offsets))
+                ids = [k for part in parts for k in part]
+            out.append(ids)
+        return out
+
+    def agrees(self, texts: list[str], ids: list[list[int]], decoded: list[str]) -> list[bool | None]:
+        """Whether the reference library encodes each raw text to the same ids and decodes those to the same text."""
+        if self.reference is None:
+            return [None] * len(texts)
+        wanted = self.reference.encode(texts, num_threads=1) if texts else []
+        return [a == b and self.reference.decode(b) == c for a, b, c in zip(wanted, ids, decoded)]
+
+    def code(self, texts: list[str]) -> list[tuple[list[int], str, str, bool | None]]:
+        """Ids, decoded text, normalised text and agreement with the reference of each text."""
+        normal = [self.normalise(t) for t in texts]
+        ids = self.encode(normal)
+        back = [self.decode(x) for x in ids]
+        return list(zip(ids, back, [self.without_prefix(x.replace(MARK, " ")) for x in normal], self.agrees(texts, ids, back)))
 
     def pieces(self, ids: list[int]) -> str:
         """Spelling of ids: bytes join to UTF-8 (invalid ones become U+FFFD), markers become spaces."""
@@ -249,51 +228,33 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids, without the dummy prefix."""
-        return self.without_prefix(self.pieces(ids))
-
-
-def worker_codec(data: bytes, checks: bool) -> Codec:
-    """One codec for all tasks of a worker process. It hangs on a library's module, as functions sent with a plan have globals of their own for each task."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_loomstone_codecs", {})
-    key = (hashlib.sha256(data).digest(), checks)
-    if key not in kept:
-        kept.clear()
-        kept[key] = Codec(data, checks)
-    return kept[key]
+        ordinary = self.plain[np.asarray(ids, np.int64)].all() if len(ids) else True
+        return self.without_prefix("".join([self.spelled[k] for k in ids]) if ordinary else self.pieces(ids))
 
 
 def _encode(data: bytes, checks: bool, with_ids: bool):
     def run(batches):
-        codec = worker_codec(data, checks)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):  # so that what a batch makes stays small
-                batch = whole.slice(at, 512)
-                texts = batch.column("text").to_pylist()
-                coded = codec.coded([t for t in texts if t is not None])
-                ids, columns = [], {n: [] for n in ("n_tokens", "n_bytes", "ids_sha256", "decoded", "round_trip", "parity")}
-                for text in texts:
-                    if text is None:
-                        ids.append(None)
-                        for c in columns.values():
-                            c.append(None)
-                        continue
-                    parts = next(coded)
-                    raw = b"".join([x.ids for x in parts])
-                    back = codec.without_prefix("".join([x.text for x in parts]))
-                    ids.append(raw)
-                    wanted = codec.without_prefix(codec.normalise(text).replace(MARK, " "))
-                    for c, v in zip(columns.values(), (len(raw) // 4, sum(x.n_bytes for x in parts), hashlib.sha256(raw).hexdigest(), back, back == wanted, all(x.agrees for x in parts))):
-                        c.append(v)
-                arrays = {"doc_id": batch.column("doc_id")}
-                if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum([len(i or b"") // 4 for i in ids])]).astype(np.int32)
-                    flat = pa.array(np.frombuffer(b"".join(i or b"" for i in ids), "<i4"), pa.int32())
-                    arrays["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array([i is None for i in ids]))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
-                arrays |= {n: pa.array(v, k) for (n, v), k in zip(columns.items(), kinds)}
-                yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+        codec = Codec(data, checks)
+        try:
+            for whole in batches:
+                for batch in slices(whole, ROWS, BYTES):
+                    all_texts = batch.column("text").to_pylist()
+                    coded = codec.code([t for t in all_texts if t is not None])
+                    arrays = [np.asarray(ids, "<i4") for ids, *_ in coded]
+                    rows = ((x, len(x), int(codec.is_byte[x].sum()), hashlib.sha256(x.tobytes()).hexdigest(), back, back == wanted, same) for x, (_, back, wanted, same) in zip(arrays, coded))
+                    none = (None,) * 7
+                    columns = list(zip(*[next(rows) if t is not None else none for t in all_texts]))
+                    out = {"doc_id": batch.column("doc_id")}
+                    if with_ids:
+                        offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in columns[0]])]).astype(np.int32)
+                        flat = pa.array(np.concatenate([np.empty(0, "<i4"), *arrays]), pa.int32())
+                        out["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array([x is None for x in columns[0]]))
+                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
+                    names = ("n_tokens", "n_bytes", "ids_sha256", "decoded", "round_trip", "parity")
+                    out |= {n: pa.array(v, k) for n, v, k in zip(names, columns[1:], kinds)}
+                    yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+        finally:
+            release()
 
     return run
 
@@ -310,7 +271,8 @@ def tokenise(docs: DataFrame, model: str | None = None, checks: bool = True, wit
 
     The driver reads the model, half a megabyte, and sends it with the plan. n_bytes counts byte-fallback
     ids, ids_sha256 is of the ids as little-endian 32-bit numbers, decoded is the text decoded from the ids,
-    round_trip says that it equals the normalised text, parity that all segments agree with the reference library.
+    round_trip says that it equals the normalised text, parity that the reference library codes the whole text
+    alike both ways (null without ``checks``).
     """
     with open(model or default_model(), "rb") as f:
         data = f.read()

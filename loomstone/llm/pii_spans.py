@@ -28,9 +28,12 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_slices, release, slices
+
 # Kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -296,7 +299,7 @@ def _region_batches(batches):
 def train(docs: DataFrame, sample: int = 160, versions: int = 400) -> Field:
     """A field fitted to at most ``sample`` regions of the corpus, the first by a hash of their texts, and at most
     so many versions of them."""
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(_region_batches, "region string, order string")
+    rows = map_slices(docs.select(F.col("text").cast("string").alias("text")), _region_batches, "region string, order string")
     chosen = [r[0] for r in rows.orderBy("order", "region").limit(sample).collect()]
     return Field().fit([e for r in dict.fromkeys(chosen) for e in examples(r)][:versions])
 
@@ -342,7 +345,7 @@ def find(docs: DataFrame, field: Field | None = None, margin: float = 2.0) -> Da
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts and digest of base spans, and all spans."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shape = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return rows.mapInPandas(_find(field or train(docs), margin), shape)
+    return map_slices(rows, _find(field or train(docs), margin), shape)
 
 
 def masked(text: str, spans: list[list[tuple[int, int]]]) -> str:
@@ -355,18 +358,26 @@ def masked(text: str, spans: list[list[tuple[int, int]]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _mask(field: Field, margin: float):
+def _mask(field: Field, margin: float, text_at: int, chars_at: int):
     def run(batches):
-        for batch in batches:
-            texts = [masked(t, all_spans(t, field, margin)[1]) if isinstance(t, str) else None for t in batch["text"]]
-            new = batch.assign(text=pd.Series(texts, index=batch.index, dtype=object))
-            if "n_chars" in batch:
-                new["n_chars"] = [len(t) if t is not None else n for t, n in zip(texts, batch["n_chars"])]
-            yield new
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    old = part.column(text_at)
+                    texts = [masked(t, all_spans(t, field, margin)[1]) if t is not None else None for t in old.to_pylist()]
+                    part = part.set_column(text_at, part.schema.field(text_at), pa.array(texts, old.type))
+                    if chars_at >= 0:
+                        counts = part.column(chars_at)
+                        new = [len(t) if t is not None else n for t, n in zip(texts, counts.to_pylist())]
+                        part = part.set_column(chars_at, part.schema.field(chars_at), pa.array(new, counts.type))
+                    yield part
+        finally:
+            release()
 
     return run
 
 
 def mask(docs: DataFrame, field: Field | None = None, margin: float = 2.0) -> DataFrame:
     """docs with personal data masked in text, n_chars counted anew; other columns as they are."""
-    return docs.mapInPandas(_mask(field or train(docs), margin), docs.schema)
+    names = docs.columns
+    return docs.mapInArrow(_mask(field or train(docs), margin, names.index("text"), names.index("n_chars") if "n_chars" in names else -1), docs.schema)

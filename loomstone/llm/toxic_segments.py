@@ -22,10 +22,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialise
+from .common import Bounded, map_slices, release, slices
 
 DRIFT, PRIOR, SHRINK = 1.0, 2500.0, 1.65
 MARKS = ".,;:!?\"'()[]{}<>#*$%&|~`_-+=/\\…«»¿¡“”„‘’"
@@ -35,18 +37,9 @@ def plain(word: str) -> str:
     return word.lower().strip(MARKS)
 
 
-class TokenScores(dict):
-    """Scores of raw words, kept while there are at most a million."""
-
-    def __init__(self, weights: dict[str, float]):
-        super().__init__()
-        self.weights = weights
-
-    def __missing__(self, word: str) -> float:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = self.weights.get(plain(word), 0.0) - DRIFT
-        return value
+def token_scores(weights: dict[str, float]) -> Bounded:
+    """Scores of raw words."""
+    return Bounded(lambda word: weights.get(plain(word), 0.0) - DRIFT)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -90,16 +83,30 @@ def _counts(batches):
         yield pd.DataFrame([(w, a, b) for w, (a, b) in counts.items()], columns=["token", "clean", "toxic"])
 
 
-def _measures(weights, toxic_column):
+def _measures(weights):
+    """(toxic, n, best) of each text: its words and the score of its best segment."""
+
+    def run(batches):
+        scores = token_scores(weights)
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                s = np.fromiter(map(scores.__getitem__, text.split()), float) if isinstance(text, str) else np.empty(0)
+                rows.append((len(s), max((x for _, _, x in segments(s)), default=0.0)))
+            yield pd.DataFrame({"toxic": batch["toxic"], "n": [n for n, _ in rows], "best": [b for _, b in rows]})
+
+    return run
+
+
+def _features(model: "Model"):
     def run(batches):
-        scores = TokenScores(weights)
+        scores = token_scores(model.weights)
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 s = np.fromiter(map(scores.__getitem__, text.split()), float) if isinstance(text, str) else np.empty(0)
-                found = [x for _, _, x in segments(s)]
-                rows.append((len(s), found))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], toxic_column: batch[toxic_column], "n": [n for n, _ in rows], "found": [f for _, f in rows]})
+                rows.append(model.features(len(s), [x for _, _, x in segments(s)]))
+            yield pd.DataFrame({"toxic": batch["toxic"], "surprise": [x for x, _ in rows], "excess": [y for _, y in rows]})
 
     return run
 
@@ -141,7 +148,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: int = 8000) -> Model:
     known = sample(docs, labels, max_toxic, max_clean)
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5))
-    rows = known.where(part < 3).select("toxic", "text").mapInPandas(_counts, "token string, clean long, toxic long")
+    rows = map_slices(known.where(part < 3).select("toxic", "text"), _counts, "token string, clean long, toxic long")
     counts = rows.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     n_clean, n_toxic = counts.agg(F.sum("clean"), F.sum("toxic")).first()
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
@@ -155,8 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean:
     sd = np.sqrt(1 / (table["toxic"] + prior) + 1 / (table["clean"] + prior))
     shrunk = np.sign(delta) * np.maximum(0, abs(delta) - SHRINK * sd)
     weights = {w: float(x) for w, x in zip(table["token"], shrunk) if x > 0}
-    found = known.where(part >= 3).mapInPandas(_measures(weights, "toxic"), "doc_id long, toxic int, n long, found array<double>").toPandas()
-    clean = known.where((part >= 3) & (F.col("toxic") == 0)).select("text").mapInPandas(_histogram(weights), "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
+    rest = known.where(part >= 3)
+    found = map_slices(rest, _measures(weights), "toxic int, n long, best double").toPandas()
+    clean = map_slices(known.where((part >= 3) & (F.col("toxic") == 0)).select("text"), _histogram(weights), "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
     model = Model(weights)
     if len(clean) and clean["s"].max() > 0:
         s, p = clean["s"].to_numpy(), clean["n"].to_numpy() / clean["n"].sum()
@@ -166,12 +174,13 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean:
             low, high = (low, model.lam) if (p * np.exp(np.minimum(model.lam * s, 700))).sum() > 1 else (model.lam, high)
     own = found[(found["toxic"] == 0) & (found["n"] > 0)]
     if len(own):
-        best = np.array([max(f, default=0.0) for f in own["found"]])
-        x = model.lam * best - np.log(own["n"].to_numpy(float))
+        x = model.lam * own["best"].to_numpy(float) - np.log(own["n"].to_numpy(float))
         model.log_k = float(-np.log(np.mean(np.exp(-x))))
     y = found["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
-        model.curve = tuple(logistic(np.array([model.features(n, f) for n, f in zip(found["n"], found["found"])]), y).tolist())
+        # Rows and numbers that reach the driver are bounded by the sample, whatever its texts' lengths.
+        table = map_slices(rest, _features(model), "toxic int, surprise double, excess double").toPandas()
+        model.curve = tuple(logistic(table[["surprise", "excess"]].to_numpy(float), table["toxic"].to_numpy(float)).tolist())
     else:
         model.curve = (math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0)
     return model
@@ -179,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean:
 
 def _histogram(weights):
     def run(batches):
-        scores = TokenScores(weights)
+        scores = token_scores(weights)
         for batch in batches:
             all_ = np.concatenate([np.empty(0), *[np.fromiter(map(scores.__getitem__, t.split()), float) for t in batch["text"] if isinstance(t, str)]])
             s, n = np.unique(all_.round(6), return_counts=True)
@@ -190,7 +199,7 @@ def _histogram(weights):
 
 def _score(model: Model):
     def run(batches):
-        scores = TokenScores(model.weights)
+        scores = token_scores(model.weights)
         for batch in batches:
             out, parts = [], []
             for text in batch["text"]:
@@ -207,7 +216,7 @@ def _score(model: Model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, passages): passages are the word ranges of significant segments."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(_score(model), "doc_id long, score double, passages array<struct<start:long,end:long>>")
+    return map_slices(rows, _score(model), "doc_id long, score double, passages array<struct<start:long,end:long>>")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -218,19 +227,22 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted toxic, all columns as they are."""
-    keep = _keeper(train(docs, labels))
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(_keeper(train(docs, labels), docs.columns.index("text")), docs.schema)
 
 
-def _keeper(model: Model):
+def _keeper(model: Model, text_at: int):
     def run(batches):
-        scores = TokenScores(model.weights)
-        for batch in batches:
-            keep = []
-            for text in batch["text"]:
-                words = text.split() if isinstance(text, str) else []
-                s = np.fromiter(map(scores.__getitem__, words), float, len(words))
-                keep.append(model.score(len(words), [x for _, _, x in segments(s)]) < 0.5)
-            yield batch[np.array(keep, bool)]
+        scores = token_scores(model.weights)
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    keep = []
+                    for text in part.column(text_at).to_pylist():
+                        words = text.split() if isinstance(text, str) else []
+                        s = np.fromiter(map(scores.__getitem__, words), float, len(words))
+                        keep.append(model.score(len(words), [x for _, _, x in segments(s)]) < 0.5)
+                    yield part.filter(pa.array(keep, pa.bool_()))
+        finally:
+            release()
 
     return run

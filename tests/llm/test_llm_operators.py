@@ -483,9 +483,9 @@ def test_bpe_parity_with_reference():
     path = piece_backend.default_model()
     codec = piece_backend.Codec(open(path, "rb").read())
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    for text, (ids, same) in zip(TEXTS, codec.encode(TEXTS)):
-        assert ids.tolist() == sp.encode(text) and same, text
-        assert codec.decode(ids.tolist()) == sp.decode(ids.tolist()) == text.replace("▁", " ")
+    for text, (ids, back, wanted, same) in zip(TEXTS, codec.code(TEXTS)):
+        assert ids == sp.encode(text) and same, text
+        assert back == wanted == sp.decode(ids) == text.replace("▁", " ")
 
 
 def _field(number, value):
@@ -504,19 +504,44 @@ def _field(number, value):
     return varint(number << 3 | 2) + varint(len(value)) + value
 
 
-def test_unigram_parity_with_reference():
+def unigram(collapse, fallback=True):
+    """A small unigram model file, with control, byte and unused pieces and, as given, white-space collapsing."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else [])
+    pieces += [(p, -float(k) / 7 - 2, 1) for k, p in enumerate(["▁", "▁a", "▁the", "▁cat", "▁ca", "t", "th", "e", "c", "a", "at", "s", "▁sat", "he", "▁t", "on", "o", "n", "<", ">", "0", "x", "4", "1", "/"])]
+    pieces += [("▁on", -1.0, 5)]
+    model = b"".join(_field(1, _field(1, p.encode()) + _field(2, s) + _field(3, k)) for p, s, k in pieces)
+    return model + _field(2, _field(3, 1) + _field(35, int(fallback)) + _field(40, 0)) + _field(3, _field(1, b"identity") + _field(3, 1) + _field(4, int(collapse)) + _field(5, 1))
+
+
+@pytest.mark.parametrize("collapse", [False, True])
+@pytest.mark.parametrize("fallback", [False, True])
+def test_unigram_parity_with_reference(collapse, fallback):
     import sentencepiece
 
-    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
-    pieces += [(p, -float(k) / 7 - 2, 1) for k, p in enumerate(["▁", "▁a", "▁the", "▁cat", "▁ca", "t", "th", "e", "c", "a", "at", "s", "▁sat", "he", "▁t", "on", "o", "n"])]
-    model = b"".join(_field(1, _field(1, p.encode()) + _field(2, s) + _field(3, k)) for p, s, k in pieces)
-    model += _field(2, _field(3, 1) + _field(35, 1) + _field(40, 0)) + _field(3, _field(1, b"identity") + _field(3, 1) + _field(4, 0) + _field(5, 1))
-    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-    codec = piece_backend.Codec(model)
-    texts = ["the cat sat on the cat", "cats  at the", "é the", "", "ttt aaa"]
-    for text, (ids, same) in zip(texts, codec.encode(texts)):
-        assert ids.tolist() == sp.encode(text) and same, text
-        assert codec.decode(ids.tolist()) == text
+    sp = sentencepiece.SentencePieceProcessor(model_proto=unigram(collapse, fallback))
+    codec = piece_backend.Codec(unigram(collapse, fallback))
+    texts = ["the cat sat on the cat", "cats  at the", "é the", "", "ttt aaa", "the <s> a", "a <0x41> the", "a </s>", " <unk> the ", "  ", "on on", "éàü", "é à 漢字the\n"]
+    for text, (ids, back, wanted, same) in zip(texts, codec.code(texts)):
+        assert ids == sp.encode(text) and same, text
+        assert back == sp.decode(ids)
+        assert back == wanted or not fallback
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="athecson <>0x41/é\n", max_size=40), max_size=4), st.booleans())
+def test_unigram_parity_of_any_text(texts, collapse):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=unigram(collapse))
+    for text, (ids, back, wanted, same) in zip(texts, piece_backend.Codec(unigram(collapse)).code(texts)):
+        assert ids == sp.encode(text) and same and back == wanted
+
+
+def test_parity_is_compared():
+    codec = piece_backend.Codec(unigram(True))
+    codec.encode = lambda normal: [[5, 6] for _ in normal]
+    assert [same for *_, same in codec.code(["the cat", "a"])] == [False, False]
+    assert [same for *_, same in piece_backend.Codec(unigram(True), checks=False).code(["the cat"])] == [None]
 
 
 def test_tokenise(spark):
