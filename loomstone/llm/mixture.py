@@ -9,11 +9,12 @@ A source takes each document floor(target / S) times. The remaining budget r < S
 count of documents for each exact length: every length first gives its share floor(n * r / S), then
 single documents follow, longest lengths first, until less than a margin is left; a bounded-knapsack
 dynamic programme over the bitset of reachable sums spends the margin exactly where the lengths allow
-it, else as nearly as they do. Only this histogram of lengths, one source at a time, is gathered in a task.
+it, over all lengths, else as nearly as they do. Only this histogram of lengths, one source at a time, is gathered in a task.
 
-Which documents of a length are taken follows a seeded hash of the ids: large lengths are dealt into
-buckets of about 500 documents by the hash, whole buckets are taken in order, and only the one that the
-count ends in is ranked. No window holds more than a bucket, however many documents share a length.
+Which documents of a length are taken follows a seeded hash of ids and texts: large lengths are dealt into
+buckets of about 500 documents by the hash, rows that share id and text further by row number, whole buckets are
+taken in order, and only the one that the count ends in is ranked. No window holds more than a bucket of rows,
+however many documents share a length, an id or a text; the window over buckets sees one row for each.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialise
+from ..plans.shared import Steps
 from .common import n_words
 
 SEED, BUCKET, MOST = 20_011, 500, 3
@@ -42,7 +43,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     return level.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), "cap")).alias("target"))
 
 
-def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, margin_items: int = 48) -> np.ndarray:
+def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their lengths add up to the budget, or nearly."""
     total = int((lengths * counts).sum())
     taken = np.zeros(len(lengths), np.int64)
@@ -69,34 +70,36 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, margin_items: int
             left -= more * int(lengths[k])
         if left == before:
             break
-    return taken + _knapsack(lengths, counts - taken, left, margin_items)
+    return taken + knapsack(lengths, counts - taken, left)
 
 
-def _knapsack(lengths: np.ndarray, free: np.ndarray, budget: int, items: int) -> np.ndarray:
-    """Bounded knapsack: the largest reachable sum up to the budget, by bitsets of sums, one for each step.
+def knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
+    """Bounded knapsack over all lengths: how many of each make the largest sum up to the budget.
 
-    Copies of a length go in powers of two. The items evenly spread over the lengths that fit bound the work.
+    Copies of a length go in powers of two. ``first`` holds the step that reached each sum first; what is left
+    of a sum without that step was reached before, so one number for each sum is all that is kept.
     """
     out = np.zeros(len(lengths), np.int64)
-    fit = [k for k in np.argsort(lengths, kind="stable").tolist() if 0 < lengths[k] <= budget and free[k] > 0]
-    if len(fit) > items:
-        fit = fit[: items // 2] + [fit[i] for i in np.linspace(items // 2, len(fit) - 1, items - items // 2).astype(int).tolist()]
-    mask = (1 << (budget + 1)) - 1
-    reach, steps = [1], []
-    for k in fit:
-        many, chunk = min(int(free[k]), budget // int(lengths[k])), 1
+    first = np.full(budget + 1, -1, np.int64)
+    first[0] = 0
+    steps: list[tuple[int, int]] = [(-1, 0)]
+    for k in np.argsort(lengths, kind="stable").tolist():
+        size = int(lengths[k])
+        if size <= 0 or size > budget or first[budget] >= 0:
+            continue
+        many, chunk = min(int(free[k]), budget // size), 1
         while many > 0:
             c = min(chunk, many)
+            width = c * size
+            reached = (first[:-width] >= 0) & (first[width:] < 0)
+            first[width:][reached] = len(steps)
             steps.append((k, c))
-            reach.append((reach[-1] | reach[-1] << (c * int(lengths[k]))) & mask)
             many, chunk = many - c, chunk * 2
-        if reach[-1] >> budget & 1:
-            break
-    at = reach[-1].bit_length() - 1
-    for (k, c), before in zip(reversed(steps), reversed(reach[:-1])):
-        if not before >> at & 1:
-            out[k] += c
-            at -= c * int(lengths[k])
+    at = int(np.nonzero(first >= 0)[0][-1])
+    while at > 0:
+        k, c = steps[first[at]]
+        out[k] += c
+        at -= c * int(lengths[k])
     return out
 
 
@@ -113,25 +116,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(doc_id, source, size, source_size, target, taken) for each row of docs.
 
     With ``carry`` there is also ``row``, a struct of those columns, so that each row has its own ``taken``
-    even where ids are null or repeated. Rows without an id are dealt by their text.
+    even where ids are null or repeated.
 
     Null texts have size 0; such documents, and empty ones, take nothing. A null source is a source of its
-    own. Rows with equal ids and sizes are alike, so it doesn't matter which of them is taken.
+    own. Rows with equal ids and texts are alike, so it doesn't matter which of them is taken.
     """
+    step = Steps(docs.sparkSession)
     extra = [F.struct(*carry).alias("row")] if carry else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"), F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit(seed))).otherwise(F.xxhash64(id_col, F.lit(seed))).alias("h"), *extra)
-    rows = materialise(rows, "sizes")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(id_col, text, F.lit(seed)).alias("h"), F.monotonically_increasing_id().alias("r"), *extra)
+    rows = step(rows, "sizes")
     lengths = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     sizes = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     shares = targets(sizes).withColumnRenamed("source", "of")
     planned = lengths.join(shares, lengths["source"].eqNullSafe(shares["of"])).drop("of").groupBy("source").applyInPandas(_plan, "source string, size long, n long, source_size long, target double, times int, extra long")
-    plan = materialise(planned.select(F.col("source").alias("of"), F.col("size").alias("length"), "source_size", "target", "times", "extra", F.ceil(F.col("n") / BUCKET).cast("int").alias("buckets")), "plan")
+    plan = step(planned.select(F.col("source").alias("of"), F.col("size").alias("length"), "source_size", "target", "times", "extra", F.ceil(F.col("n") / BUCKET).cast("int").alias("buckets")), "plan")
     dealt = rows.join(plan, rows["source"].eqNullSafe(plan["of"]) & (rows["size"] == plan["length"])).withColumn("bucket", F.pmod("h", F.col("buckets")).cast("int"))
-    # Documents in earlier buckets of a length; rows without a choice need no rank.
-    some = dealt.where("extra > 0").groupBy("of", "length", "bucket").agg(F.count("*").alias("m"), F.first("extra").alias("extra"))
-    quota = some.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("of", "length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    quota = quota.select(F.col("of").alias("qo"), F.col("length").alias("ql"), F.col("bucket").alias("qb"), F.greatest(F.lit(0), F.least("m", F.col("extra") - F.col("before"))).alias("quota"))
-    ranked = dealt.join(quota, dealt["of"].eqNullSafe(quota["qo"]) & (dealt["length"] == quota["ql"]) & (dealt["bucket"] == quota["qb"]), "left")
-    rank = F.row_number().over(Window.partitionBy("of", "length", "bucket").orderBy("h", "doc_id", *([F.xxhash64("row")] if carry else [])))
+    # Rows without a choice need no rank. Rows of one hash are alike; many of them are dealt on by their row numbers.
+    choice = dealt.where("extra > 0").groupBy("of", "length", "bucket", "h").agg(F.count("*").alias("m"), F.first("extra").alias("extra"))
+    choice = step(choice.withColumn("parts", F.ceil(F.col("m") / BUCKET).cast("int")), "choice")
+    alike = choice.where("parts > 1").select(F.col("of").alias("ho"), F.col("length").alias("hl"), F.col("h").alias("hh"), "parts")
+    dealt = dealt.join(alike, dealt["of"].eqNullSafe(alike["ho"]) & (dealt["length"] == alike["hl"]) & (dealt["h"] == alike["hh"]), "left")
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod("r", F.col("parts")).cast("int") + 1, F.lit(0)))
+    # Documents in earlier buckets of a length: those of single hashes as part 0, the others by part.
+    single = choice.where("parts = 1").groupBy("of", "length", "bucket").agg(F.sum("m").alias("m"), F.first("extra").alias("extra")).withColumn("part", F.lit(0)).withColumn("hh", F.lit(None).cast("long"))
+    many = dealt.where("extra > 0 and part > 0").groupBy("of", "length", "bucket", "hh", "part").agg(F.count("*").alias("m"), F.first("extra").alias("extra"))
+    earlier = Window.partitionBy("of", "length").orderBy("bucket", F.col("hh").isNotNull(), "hh", "part").rowsBetween(Window.unboundedPreceding, -1)
+    quota = single.unionByName(many).withColumn("before", F.coalesce(F.sum("m").over(earlier), F.lit(0)))
+    quota = quota.select(F.col("of").alias("qo"), F.col("length").alias("ql"), F.col("bucket").alias("qb"), F.col("hh").alias("qh"), F.col("part").alias("qp"), F.greatest(F.lit(0), F.least("m", F.col("extra") - F.col("before"))).alias("quota"))
+    same = dealt["of"].eqNullSafe(quota["qo"]) & (dealt["length"] == quota["ql"]) & (dealt["bucket"] == quota["qb"]) & dealt["hh"].eqNullSafe(quota["qh"]) & (dealt["part"] == quota["qp"])
+    ranked = dealt.join(quota, same, "left")
+    rank = F.row_number().over(Window.partitionBy("of", "length", "bucket", "hh", "part").orderBy("h", "r"))
     one = F.when(rank <= F.coalesce("quota", F.lit(0)), 1).otherwise(0)
     return ranked.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), ((F.col("times") + one) * F.col("size")).cast("long").alias("taken"), *(["row"] if carry else []))

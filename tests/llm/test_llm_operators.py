@@ -418,6 +418,42 @@ def test_fill_is_exact_where_the_lengths_allow(items, budget):
         assert total == budget
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 90), st.integers(1, 3)), min_size=1, max_size=7, unique_by=lambda x: x[0]), st.integers(0, 300))
+def test_knapsack_finds_the_largest_sum(items, budget):
+    lengths, counts = np.array([a for a, _ in items]), np.array([b for _, b in items])
+    taken = mixture.knapsack(lengths, counts, budget)
+    sums = {0}
+    for a, b in items:
+        sums = {s + k * a for s in sums for k in range(b + 1)}
+    assert (taken <= counts).all() and int((taken * lengths).sum()) == max(s for s in sums if s <= budget)
+
+
+def test_knapsack_looks_at_every_length():
+    lengths = np.array([*range(100, 400, 2), 401])
+    taken = mixture.knapsack(lengths, np.ones(len(lengths), np.int64), 803)
+    assert int((taken * lengths).sum()) == 803
+
+
+def test_mix_deals_rows_of_one_id_and_text(spark):
+    rows = [(None, "w w", "en", "a")] * 2600 + [(7, "x x", "en", "a")] * 1400 + [(i, "y y", "en", "b") for i in range(100)]
+    got = mixture.mix(documents(spark, rows)).groupBy("source").agg({"taken": "sum", "*": "count"}).collect()
+    wanted = plain_targets({"a": 8000, "b": 200})
+    assert {r.source: r["sum(taken)"] for r in got} == {s: pytest.approx(t, abs=2) for s, t in wanted.items()}
+    assert {r.source: r["count(1)"] for r in got} == {"a": 4000, "b": 100}
+
+
+def test_mix_of_repeated_null_and_very_long_rows(spark):
+    rows = edge_rows()
+    got = mixture.mix(documents(spark, rows, clash=True)).collect()
+    sizes = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    wanted = plain_targets(sizes)
+    assert sorted((str(r.doc_id), r["size"]) for r in got) == sorted((str(i), len((t or "").split())) for i, t, *_ in rows)
+    assert all(r.source_size == sizes[r.source] and r.target == pytest.approx(wanted[r.source]) and r.taken <= 3 * r["size"] for r in got)
+
+
 def test_mix_edges(spark):
     assert len(mixture.mix(documents(spark, edge_rows())).collect()) == len(edge_rows())
     assert mixture.mix(documents(spark, [])).collect() == []
