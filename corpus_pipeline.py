@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstone.llm import mixture, odd_sketch, piece_backend, pii_spans, toxic_segments
-from loomstone.plans.shared import materialise
+from loomstone.plans.shared import Steps
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -51,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The last stage's rows over the documents table; every stage starts from its predecessor's table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows over the documents table; every stage starts from its predecessor's table, and a table goes once its successor is written."""
+    docs, step = spark.read.parquet(f"{sf_dir}/documents.parquet"), Steps(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, step(stage(spark, docs, sf_dir), name)
+        step.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
