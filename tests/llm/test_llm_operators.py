@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from loomstone.plans.shared import Steps
 from loomstone.llm import license_rules, mixture, odd_sketch, perplexity_bands, piece_backend, pii_spans, queries, quote_links, site_templates, spot_signatures, toxic_segments
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -292,19 +293,85 @@ def test_similar_pairs_match_brute_force(spark):
 # Perplexity ------------------------------------------------------------------------------------------------------------
 
 
-def test_probabilities_add_up(spark):
+def plain_kneser_ney(texts, order=5):
+    """Probability of every 5-gram by the textbook's recursion: modified Kneser-Ney of one language."""
+    counts = {}
+    for t in texts:
+        m = perplexity_bands.marked(t.split())
+        for i in range(len(m) - order + 1 if t.split() else 0):
+            counts[m[i : i + order]] = counts.get(m[i : i + order], 0) + 1
+    tables = {order: counts}
+    for k in range(order - 1, 0, -1):
+        tables[k] = {}
+        for g in tables[k + 1]:
+            tables[k][g[1:]] = tables[k].get(g[1:], 0) + 1
+
+    def discounts(t):
+        c = [sum(n == i for n in t.values()) for i in range(5)]
+        y = c[1] / max(1, c[1] + 2 * c[2])
+        return [0] + [max(0.1, min(i - 0.1, i - (i + 1) * y * c[i + 1] / max(1, c[i]))) for i in (1, 2, 3)]
+
+    def p(g):
+        t = tables[len(g)]
+        d = discounts(t)
+        same = {x: n for x, n in t.items() if x[:-1] == g[:-1]}
+        total = sum(same.values())
+        back = sum(d[min(n, 3)] for n in same.values()) / total
+        return max(0, t[g] - d[min(t[g], 3)]) / total + back * (p(g[1:]) if len(g) > 1 else 1 / len(t))
+
+    return counts, {g: p(g) for g in counts}
+
+
+def test_kneser_ney_matches_a_plain_version(spark):
     rng = random.Random(5)
-    text = " ".join(words(rng, 3000, "bcd"))
-    grams = perplexity_bands.count_grams(documents(spark, [(1, text, "en", "a")]).select("lang", "text"))
-    p = {r.gram: r.p for r in perplexity_bands.probabilities(grams).collect()}
-    contexts = {}
-    for g, x in p.items():
-        contexts.setdefault(g[:-1], []).append(x)
-    # Seen continuations leave some mass to unseen ones.
-    assert all(0 < sum(x) <= 1 + 1e-9 for x in contexts.values()) and max(map(sum, contexts.values())) > 0.9
-    # A plain count of the same model's raw counts.
-    marked = [perplexity_bands.marked(w) for w in text.split()]
-    assert sum(r.n for r in grams.collect()) == sum(len(m) - 3 for m in marked)
+    texts = [" ".join(words(rng, 12, "bcd")) for _ in range(6)] + ["", "\n ", "é ü\U0001F600 b"]
+    rows = [(k, t, "en", "a") for k, t in enumerate(texts)] + [(50, None, "en", "a"), (51, "other words", "de", "a")]
+    grams = perplexity_bands.count_grams(documents(spark, rows).select("lang", "text"))
+    counts, wanted = plain_kneser_ney(texts)
+    assert {r.gram: r.n for r in grams.collect() if r.lang == "en"} == counts
+    got = {r.gram: r.p for r in perplexity_bands.probabilities(grams).collect() if r.lang == "en"}
+    assert got == {g: pytest.approx(x, rel=1e-9) for g, x in wanted.items()}
+    for most in (10**6, 40):  # one array, and several
+        measured = by_id(perplexity_bands.measure(documents(spark, rows).select("doc_id", "lang", "text"), most, Steps(spark)))
+        for k, t in enumerate(texts):
+            m = perplexity_bands.marked(t.split())
+            if t.split():
+                logs = [np.log(wanted[m[i : i + 5]]) for i in range(len(m) - 4)]
+                assert measured[k].log_ppl == pytest.approx(-sum(logs) / len(logs), rel=1e-5)
+            else:
+                assert measured[k].log_ppl is None
+
+
+def test_no_language_is_one_task(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        grams = spark.createDataFrame([("en", "abcde", 2)], "lang string, gram string, n long")
+        plan = perplexity_bands.probabilities(grams)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.split("\n")
+    lone = [k for k, line in enumerate(lines) if re.search(r"hashpartitioning\(lang#\d+, \d+\)", line)]
+    # By the language alone only partial counts of whole languages are dealt, one row from each task.
+    assert "hashpartitioning(lang" in plan and "Window" not in plan
+    assert all("HashAggregate(keys=[lang#" in lines[k + 1] and "partial_count" in lines[k + 1] for k in lone), [lines[k : k + 2] for k in lone]
+
+
+def test_bands_by_histogram(spark):
+    rng = random.Random(6)
+    values = [("en", 2 + rng.gauss(0, 0.1)) for _ in range(301)] + [("de", 3.0), ("de", 3.5)]
+    rows = spark.createDataFrame([(lang, x, False) for lang, x in values] + [("en", 9.0, True), ("fr", None, True)], "lang string, log_ppl double, base_failed boolean")
+    got = {r.lang: (r.least, r.most) for r in perplexity_bands.bands(rows, 3.0, 2.0, 20).collect()}
+
+    def plain(xs):
+        bins = sorted(round(x * 1000) for x in xs)
+        mid = bins[(len(bins) - 1) // 2]
+        mad = sorted(abs(x - mid) for x in bins)[(len(bins) - 1) // 2]
+        sd = max(0.02, 1.4826 * mad / 1000)
+        return mid / 1000 - 3 * sd, mid / 1000 + 2 * sd
+
+    assert got["en"] == pytest.approx(plain([x for lang, x in values if lang == "en"]))
+    # Languages with few documents share the band of all.
+    assert got["de"] == got["fr"] == pytest.approx(plain([x for _, x in values]))
 
 
 def test_quality_rules(spark):
@@ -323,11 +390,15 @@ def test_base_counts_match_plain_version(parts):
     text = " ".join(parts)
     windows = [tuple(parts[i : i + 3]) for i in range(len(parts) - 2)]
     covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
-    assert perplexity_bands.base_counts(text)[1:3] == (sum(map(len, parts)), text.count("#")) and perplexity_bands.base_counts(text)[4] == len(covered)
+    got = perplexity_bands.base_counts(text, text.split())
+    assert got[:3] == (len(parts), sum(map(len, parts)), text.count("#")) and got[4] == len(covered)
 
 
 def test_quality_edges(spark):
-    assert len(perplexity_bands.judge(documents(spark, edge_rows())).collect()) == len(edge_rows())
+    rows = edge_rows()
+    got = perplexity_bands.judge(documents(spark, rows, clash=True)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.word_chars) for r in got) == sorted((str(i), len((t or "").split()), len("".join((t or "").split()))) for i, t, *_ in rows)
+    assert len({r.perplexity for r in got if r.doc_id == 6}) == 1 and all(r.base_failed and not r.kept for r in got if r.n_words < 50)
     assert perplexity_bands.judge(documents(spark, [])).collect() == []
 
 
