@@ -139,6 +139,58 @@ def test_licences(spark):
     assert got[6] == ("", "")
 
 
+NOTICES = {
+    "gpl-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "lgpl-2.1-or-later": """-- This library is free software; you can redistribute it and/or
+-- modify it under the terms of the GNU Lesser General Public
+-- License as published by the Free Software Foundation; either
+-- version 2.1 of the License, or (at your option) any later version.""",
+    "mpl-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice.
+3. Neither the name of Ada Person GmbH nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.""",
+    "mit or apache-2.0": "// SPDX-License-Identifier: (MIT OR Apache-2.0)\nor else",
+    "gpl-2.0-only with classpath-exception-2.0": "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */\nint x;",
+    "x" + "y" * 300: "# spdx-license-identifier: x" + "Y" * 300,
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "": "A licence to kill; permission pending. v. 2 is later.",
+}
+
+
+def test_notices_and_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, t, "en", "a") for i, t in enumerate(NOTICES.values())] + [(100, MIT, "en", "a"), (101, GPL, "en", "a"), (102, None, "en", "a"), (103, "x " * 20_000 + "\nall rights\nreserved", "en", "a")]
+    df = documents(spark, rows)
+    df.write.parquet(str(tmp_path / "d"))
+    got = by_id(license_rules.scan(df))
+    for i, wanted in enumerate(NOTICES):
+        first = got[i].licenses.lower()
+        assert first == wanted, (i, got[i])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    sql = {r[0]: r[1:] for r in con.execute(license_rules.oracle()).fetchall()}
+    assert sql == {k: (r.n_sentences, r.sentence_ids, r.licenses, r.unmatched) for k, r in got.items()}
+
+
 def test_licence_edges(spark):
     rows = license_rules.scan(documents(spark, edge_rows())).collect()
     assert len(rows) == len(edge_rows()) and all(r.n_sentences == 0 and r.licenses == "" and r.unmatched == 0 for r in rows)
