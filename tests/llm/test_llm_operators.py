@@ -738,7 +738,7 @@ def test_quotations(spark):
     assert linked.count() == len(rows)
     assert got[1, 2].reply_to == 0 and got[1, 2].text == "Some more on that." and got[1, 3].reply_to == 2 and got[1, 3].text == "Reply." and got[1, 3].quote_levels == 2 and got[1, 3].n_linked == 2
     assert got[1, 4].reply_to is None and got[1, 4].n_quotes == 1 and got[2, 0].reply_to is None
-    order = [k[1] for k in sorted((k for k in got if k[0] == 1), key=lambda k: got[k].reply_key)]
+    order = [k[1] for k in sorted((k for k in got if k[0] == 1), key=lambda k: got[k].place)]
     assert order == [0, 2, 3, 1, 4]
     chats = {r.conv_id: r for r in quote_links.conversations(linked).collect()}
     assert chats[1].chat.startswith("<|user|>\nFirst question\nabout things.\n<|user|>\nSome more") and chats[1].n_messages == 5
@@ -746,9 +746,81 @@ def test_quotations(spark):
 
 
 def test_long_reply_chain(spark):
-    rows = [(1, k, "user", f"message {k}" if not k else f"> message {k - 1}\n\nmessage {k}") for k in range(37)]
-    got = {r.turn: r for r in quote_links.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert all(got[k].reply_to == k - 1 and got[k].reply_key.count("/") == k for k in range(1, 37))
+    base = 12345678901
+    rows = [(1, base + k, "user", f"message {k} here" if not k else f"> message {k - 1} here\n\nmessage {k} here") for k in range(37)]
+    got = {r.turn - base: r for r in quote_links.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(got[k].reply_to == base + k - 1 for k in range(1, 37)) and [got[k].place for k in range(37)] == list(range(37))
+
+
+def plain_places(rows):
+    """(conv, turn) -> (reply_to, place) by direct search, one conversation after another."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        texts = {t: quote_links.passages(x or "")[1] for c, t, _, x in rows if c == conv}
+        own = {t: {h for level, b in found if not level for h in quote_links.pieces(b)} for t, found in texts.items()}
+        kids, parent = {}, {}
+        for t, found in texts.items():
+            hits = []
+            for level, b in found:
+                votes = {}
+                for h, n in quote_links.pieces(b).items() if level else ():
+                    if holders := [x for x in own if x < t and h in own[x]]:
+                        votes[max(holders)] = votes.get(max(holders), 0) + n
+                if votes:
+                    hits.append((level, max((n, x) for x, n in votes.items())[1]))
+            if hits:
+                parent[t] = max([x for level, x in hits if level == 1] or [x for _, x in hits])
+                kids.setdefault(parent[t], []).append(t)
+        place = 0
+        for root in sorted(t for t in texts if t not in parent):
+            todo = [root]
+            while todo:
+                t = todo.pop()
+                out[conv, t] = (parent.get(t), place)
+                place += 1
+                todo += sorted(kids.get(t, []), reverse=True)
+    return out
+
+
+def test_generated_threads_match_a_plain_version(spark):
+    rng = random.Random(21)
+    rows = []
+    for conv, size in ((1, 60), (2, 25), (3, 1), (4, 140)):
+        said, turn = [], 0
+        for k in range(size):
+            turn += rng.choice([1, 1, 2, 900])
+            body = [" ".join(words(rng, rng.randrange(3, 9))) + "." for _ in range(rng.randrange(1, 4))]
+            if rng.random() < 0.2:
+                body.append("the same words again.")
+            quoted = ""
+            if said and rng.random() < 0.8:
+                source = rng.choice(said[-6:] if conv != 4 else said[:2] + said[-1:])
+                quoted = f"A wrote:\n> {rng.choice(source)}\n" + (f">> {rng.choice(rng.choice(said))}\n" if rng.random() < 0.3 else "") + "\n"
+            said.append(body)
+            rows.append((conv, turn, "user", quoted + "\n\n".join(body)))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.place) for r in quote_links.link(df).collect()}
+    wanted = plain_places(rows)
+    assert got == wanted and sum(r is not None for r, _ in wanted.values()) > 100
+    built = {}
+    for r in quote_links.conversations(quote_links.link(df), at_once=16).collect():
+        assert r.n_messages <= 16
+        built.setdefault(r.conv_id, []).append((r.part, r.chat))
+    texts = {(c, t): quote_links.passages(x)[0] for c, t, _, x in rows}
+    for conv, parts in built.items():
+        order = sorted((place, texts[k]) for k, (_, place) in wanted.items() if k[0] == conv)
+        assert "".join(chat for _, chat in sorted(parts)) == "".join(f"<|user|>\n{t}\n" for _, t in order)
+
+
+def test_conversation_edges(spark):
+    long_text = "\n".join(f"> line {k} of a very long quotation" if k % 2 else f"line {k} of it" for k in range(20_000))
+    rows = [(1, 0, "user", long_text, 1), (1, 1, "user", "x" * 60_000, 2), (1, 1, "user", "x" * 60_000, 2), (1, 2, None, None, 3), (1, None, "user", "> line 0 of it", 4), (None, None, None, None, 5), (2, -7, "user", "", 6)]
+    df = spark.createDataFrame([r + ("x", 9) for r in rows], "conv_id long, turn long, role string, text string, level int, passages string, place int")
+    got = quote_links.link(df).collect()
+    assert sorted((str(r.conv_id), str(r.turn), r.place) for r in got if r.place is not None) == [("1", "0", 0), ("1", "1", 1), ("1", "1", 1), ("1", "2", 2), ("2", "-7", 0)]
+    assert len(got) == len(rows) and all(r.reply_to is None for r in got)
+    assert sum(r.n_messages for r in quote_links.conversations(quote_links.link(df)).collect()) == len(rows)
+    assert quote_links.conversations(quote_links.link(df.limit(0))).collect() == []
 
 
 def test_trimmed_and_nested_quotations(spark, tmp_path):
