@@ -9,7 +9,7 @@ The field (Sarawagi and Cohen, 2004) reads regions: stretches around "@", spelle
 name and to the end of its dot-joined host. Only where all of these lie inside base spans is it not run. A region is cut into tokens (letters, digits, blanks, single signs); a segment of
 up to ``LONGEST`` tokens, or to the end of a longer host, gets a kind, by features of the whole span: its shape, digit count, number of
 parts, Luhn and octet tests, "@" and dots and their spelled-out forms, ends and neighbours. A dynamic
-programme over segment ends with bounded segment length chooses boundaries and kinds jointly. Weights
+programme over segment ends and the kind of the span before, with bounded segment length, chooses boundaries and kinds jointly. Weights
 maximise the conditional likelihood of segmentations of up to ``regions`` regions of the corpus, chosen by a
 hash of the text, whose base spans are gold; each also occurs rewritten as people disguise such data
 (spelled-out signs, other separators, no plus sign). A decoded span is added if it beats the
@@ -41,7 +41,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_AT = r"@|[(\[{<][ \t]?(?i:at)[ \t]?[)\]}>]|\b(?i:at)\b(?= \S{1,80} (?i:dot) )"
+_AT = r"@|[(\[{<][ \t]?(?i:at)[ \t]?[)\]}>]|\b(?i:at)\b(?= \S+ (?i:dot) )"
 REGION = re.compile(_AT + r"|(?<![0-9])[0-9]{1,3}(?:[ \t]{0,2}[(\[{<]?\.[)\]}>]?[ \t]{0,2}[0-9]{1,3}){3}|[0-9+(](?:[ ().+/-]{0,3}[0-9]){6,}")
 #: The host after a sign, its dots as they are, in brackets or spelled out.
 HOST = re.compile(r"[ \t]*[A-Za-z0-9-]++(?:(?:\.|[ \t]*[(\[{<][ \t]?(?:(?i:dot)|\.)[ \t]?[)\]}>][ \t]*|[ \t]+(?i:dot)[ \t]+)[A-Za-z0-9-]++)+")
@@ -139,7 +139,7 @@ def span_features(tokens: list[str], i: int, j: int) -> tuple[list[str], tuple[b
     at, dot = ("@" in low) + 2 * ("at" in low), ("." in low) + 2 * ("dot" in low)
     if digits < 7 and not at and not (digits >= 4 and text.count(".") == 3):
         return None
-    if at and not dot or not at and len(text) > 120:
+    if at and not dot:
         return None
     numbers = [t for t in part if t.isdigit()]
     letters = sum(t[0].isalpha() for t in part)
@@ -161,12 +161,17 @@ def span_features(tokens: list[str], i: int, j: int) -> tuple[list[str], tuple[b
 
 
 class Field:
-    """Weights by (kind, feature), hashed into a fixed table; a segment's score is the sum of its weights."""
+    """Weights by (kind, feature), hashed into a fixed table, and by (kind of the span before in the region, kind).
+
+    A span's score is the sum of its features' weights and of the weight of its following the span before it; the last
+    row of ``after`` is for a region's first span. So a region's spans are chosen together.
+    """
 
     SLOTS = 1 << 14
 
-    def __init__(self, weights: np.ndarray | None = None):
+    def __init__(self, weights: np.ndarray | None = None, after: np.ndarray | None = None):
         self.w = np.zeros((len(KINDS), self.SLOTS)) if weights is None else weights
+        self.after = np.zeros((len(KINDS) + 1, len(KINDS))) if after is None else after
 
     @staticmethod
     def slots(features: list[str]) -> np.ndarray:
@@ -197,57 +202,88 @@ class Field:
         return np.where(np.array([may for *_, may in found]).reshape(-1, len(KINDS)), sums, -30.0)
 
     def decode(self, tokens: list[str], margin: float) -> list[tuple[int, int, int]]:
-        """Best segmentation: (start, end, kind) of its segments with a score of at least the margin."""
+        """Best segmentation: (start, end, kind) of its spans, each of which costs the margin."""
         found = self.candidates(tokens)
         if not found:
             return []
-        s = self.scores(found)
+        scores, after = (self.scores(found) - margin).tolist(), self.after.tolist()
         into: dict[int, list[int]] = {}
         for k, (_, j, *_) in enumerate(found):
             into.setdefault(j, []).append(k)
-        kind, top = s.argmax(axis=1), s.max(axis=1) - margin
-        best, back = [0.0] * (len(tokens) + 1), [-1] * (len(tokens) + 1)
+        none, low = len(KINDS), float("-inf")
+        # By end and kind of the last span: the best score, and the candidate and the kind before it that give it.
+        best = [[low] * none + [0.0]]
+        back: list[list[tuple[int, int] | None]] = [[None] * (none + 1)]
         for j in range(1, len(tokens) + 1):
-            best[j] = best[j - 1]
+            row, ways = best[-1][:], [None] * (none + 1)
             for k in into.get(j, ()):
-                if (v := best[found[k][0]] + top[k]) > best[j]:
-                    best[j], back[j] = v, k
+                before = best[found[k][0]]
+                for kind, s in enumerate(scores[k]):
+                    if found[k][3][kind]:
+                        v, p = max((before[p] + after[p][kind], p) for p in range(none + 1))
+                        if v + s > row[kind]:
+                            row[kind], ways[kind] = v + s, (k, p)
+            best.append(row)
+            back.append(ways)
         out, j = [], len(tokens)
+        state = max(range(none + 1), key=lambda q: (best[j][q], q))
         while j > 0:
-            if back[j] < 0:
+            if (way := back[j][state]) is None:
                 j -= 1
             else:
-                out.append((found[back[j]][0], j, int(kind[back[j]])))
-                j = found[back[j]][0]
+                out.append((found[way[0]][0], j, state))
+                j, state = found[way[0]][0], way[1]
         return out[::-1]
 
+    def sums(self, n: int, found, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of the sums over all segmentations ahead of and behind each place, by the kind of the last span."""
+        none = len(KINDS)
+        ahead, behind = np.full((n + 1, none + 1), -np.inf), np.zeros((n + 1, none + 1))
+        ahead[0, none] = 0.0
+        into: dict[int, list[int]] = {}
+        out: dict[int, list[int]] = {}
+        for k, (i, j, *_) in enumerate(found):
+            into.setdefault(j, []).append(k)
+            out.setdefault(i, []).append(k)
+        for j in range(1, n + 1):
+            ahead[j] = ahead[j - 1]
+            for k in into.get(j, ()):
+                ahead[j, :none] = np.logaddexp(ahead[j, :none], np.logaddexp.reduce(ahead[found[k][0]][:, None] + self.after, axis=0) + s[k])
+        for i in range(n - 1, -1, -1):
+            behind[i] = behind[i + 1]
+            for k in out.get(i, ()):
+                behind[i] = np.logaddexp(behind[i], np.logaddexp.reduce(self.after + (s[k] + behind[found[k][1], :none])[None], axis=1))
+        return ahead, behind
+
     def fit(self, examples: list[tuple[list[str], set[tuple[int, int, int]]]], rounds: int = 6, rate: float = 0.5, shrink: float = 1e-3) -> "Field":
-        """AdaGrad on the conditional log-likelihood; forward and backward sums over segment ends."""
+        """AdaGrad on the conditional log-likelihood. Gold spans that aren't candidates (those that begin or end with a sign other
+        than "+" and brackets) have no part in it: their tokens count as outside."""
         prepared = [(len(t), c, [[(i, j, k) in gold for k in range(len(KINDS))] for i, j, *_ in c]) for t, gold in examples if (c := self.candidates(t))]
-        seen = np.full_like(self.w, 1e-2)
+        seen, seen_after, none = np.full_like(self.w, 1e-2), np.full_like(self.after, 1e-2), len(KINDS)
         for _ in range(rounds):
             for n, found, gold in prepared:
                 s = np.clip(self.scores(found), -30, 30)
-                seg = np.logaddexp.reduce(s, axis=1)
-                ahead, behind = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-                ahead[0] = behind[n] = 0.0
-                into: dict[int, list[int]] = {}
-                out: dict[int, list[int]] = {}
-                for k, (i, j, *_) in enumerate(found):
-                    into.setdefault(j, []).append(k)
-                    out.setdefault(i, []).append(k)
-                for j in range(1, n + 1):
-                    ahead[j] = np.logaddexp.reduce([ahead[j - 1], *[ahead[found[k][0]] + seg[k] for k in into.get(j, ())]])
-                for i in range(n - 1, -1, -1):
-                    behind[i] = np.logaddexp.reduce([behind[i + 1], *[behind[found[k][1]] + seg[k] for k in out.get(i, ())]])
-                z = ahead[n]
+                ahead, behind = self.sums(n, found, s)
+                z = np.logaddexp.reduce(ahead[n])
+                g_after, last = np.zeros_like(self.after), none
+                for (i, *_), hit in sorted(zip(found, gold), key=lambda x: x[0][0]):
+                    if any(hit):
+                        kind = hit.index(True)
+                        g_after[last, kind] += 1
+                        last = kind
                 for k, (i, j, slots, _) in enumerate(found):
-                    g = np.array(gold[k], float) - np.exp(ahead[i] + s[k] + behind[j] - z)
+                    chance = np.exp(ahead[i][:, None] + self.after + (s[k] + behind[j, :none])[None] - z)
+                    g_after -= chance
+                    g = np.array(gold[k], float) - chance.sum(axis=0)
                     if abs(g).max() < 1e-4:
                         continue
                     g = g[:, None] - shrink * self.w[:, slots]
                     seen[:, slots] += g * g
                     self.w[:, slots] += rate * g / np.sqrt(seen[:, slots])
+                # Few numbers that all regions share: held closer to zero, so that a span's own features lead.
+                g_after -= 0.2 * self.after
+                seen_after += g_after * g_after
+                self.after += 0.1 * rate * g_after / np.sqrt(seen_after)
         return self
 
 
@@ -322,6 +358,14 @@ def all_spans(text: str, field: Field, margin: float) -> tuple[list[list[tuple[i
     return base, [sorted(x) for x in every]
 
 
+#: A value that is assigned to a name of a credential. Not a kind of personal data, so it is counted and masked apart.
+SECRET = re.compile(r"\b(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key)\b[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?(?P<value>[A-Za-z0-9+/_=-]{16,})")
+
+
+def secrets(text: str) -> list[tuple[int, int]]:
+    return [m.span("value") for m in SECRET.finditer(text)]
+
+
 def listed(spans: list[list[tuple[int, int]]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, found in zip(KINDS, spans) for a, b in found)
 
@@ -332,8 +376,9 @@ def _find(field: Field, margin: float):
             rows = []
             for text in batch["text"]:
                 base, every = all_spans(text if isinstance(text, str) else "", field, margin)
-                rows.append((*map(len, base), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every)))
-            columns = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+                hidden = len(secrets(text)) if isinstance(text, str) else 0
+                rows.append((*map(len, base), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every), sum(map(len, every)) + hidden, hidden))
+            columns = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_private", "n_secret"]
             found = pd.DataFrame(rows, columns=columns)
             found.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield found
@@ -342,18 +387,20 @@ def _find(field: Field, margin: float):
 
 
 def find(docs: DataFrame, field: Field | None = None, margin: float = 2.0) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts and digest of base spans, and all spans."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_private, n_secret): counts and digest of base spans,
+    all spans, and how many of these and of secrets there are."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shape = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
+    shape = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_private long, n_secret long"
     return map_slices(rows, _find(field or train(docs), margin), shape)
 
 
 def masked(text: str, spans: list[list[tuple[int, int]]]) -> str:
-    """The text with every span replaced by its kind in brackets; overlapping ones become one."""
+    """The text with every span, and every secret, replaced by its kind in brackets; overlapping ones become one."""
     out, at = [], 0
-    for a, b, k in sorted((a, b, k) for k, found in enumerate(spans) for a, b in found):
+    names = [*KINDS, "secret"]
+    for a, b, k in sorted((a, b, k) for k, found in enumerate([*spans, secrets(text)]) for a, b in found):
         if a >= at:
-            out += [text[at:a], f"[{KINDS[k].upper()}]"]
+            out += [text[at:a], f"[{names[k].upper()}]"]
         at = max(at, b)
     return "".join(out) + text[at:]
 

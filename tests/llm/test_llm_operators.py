@@ -273,6 +273,60 @@ def test_disguises_beside_base_spans_and_in_any_case(spark):
                 assert any(a <= 2 and b >= 2 + len(text) for a, b in pii_spans.regions(f"x {text} y")), text
 
 
+def brute_segmentations(tokens, found):
+    """All ways to choose spans that don't overlap: lists of (candidate, kind)."""
+    ways = [[]]
+    for k in sorted(range(len(found)), key=lambda k: found[k][0]):
+        ways += [w + [(k, q)] for w in ways for q in range(4) if found[k][3][q] and (not w or found[w[-1][0]][1] <= found[k][0])]
+    return ways
+
+
+def test_field_matches_all_segmentations():
+    rng = np.random.default_rng(4)
+    checked = 0
+    for text in ("a@b.co 10.0.0.1", "+49 1234567 x", "at (at) 12.3.4.5", "ab at cd dot ef", "1234567890123452 1.2.3.4"):
+        tokens = pii_spans.TOKEN.findall(text)
+        field = pii_spans.Field(rng.normal(0, 0.4, (4, pii_spans.Field.SLOTS)), rng.normal(0, 1, (5, 4)))
+        found = field.candidates(tokens)
+        if not found or len(found) > 40:
+            continue
+        s = np.clip(field.scores(found), -30, 30)
+        ways = brute_segmentations(tokens, found)
+
+        def value(w, margin=0.0):
+            kinds = [4] + [q for _, q in w]
+            return sum(s[k, q] - margin for k, q in w) + sum(field.after[a, b] for a, b in zip(kinds, kinds[1:]))
+
+        ahead, behind = field.sums(len(tokens), found, np.where(np.array([c[3] for c in found]), s, -1e9))
+        z = np.logaddexp.reduce([value(w) for w in ways])
+        assert np.logaddexp.reduce(ahead[-1]) == pytest.approx(z) and behind[0, 4] == pytest.approx(z)
+        best = max(ways, key=lambda w: value(w, 0.3))
+        got = field.decode(tokens, 0.3)
+        chosen = [(next(k for k, c in enumerate(found) if c[:2] == (i, j)), q) for i, j, q in got]
+        assert value(chosen, 0.3) == pytest.approx(value(best, 0.3))
+        checked += 1
+    assert checked >= 3
+
+
+def test_fit_raises_the_likelihood_of_gold():
+    examples = [e for r in ("mail ab@cd.example now", "host 10.1.2.3 up", "call +49 30 1234567 ok") for e in pii_spans.examples(r)]
+    field = pii_spans.Field().fit(examples)
+    for tokens, gold in examples:
+        if {(i, j) for i, j, *_ in field.candidates(tokens)} >= {g[:2] for g in gold}:
+            assert set(field.decode(tokens, 0.0)) == gold, "".join(tokens)
+
+
+def test_secrets_and_long_candidates(spark):
+    gap = " " * 150
+    rows = [(1, 'token = "5d190bd7c06284de91015a36974748794293dd8a"', "en", "a"), (2, "a token = a word", "en", "a"), (3, f"mail foo at {'x' * 200} dot com today", "en", "a"), (4, None, "en", "a"), (5, "foo@bar.com", "en", "a")]
+    got = by_id(pii_spans.find(documents(spark, rows)))
+    assert [(got[k].n_secret, got[k].n_private >= got[k].n_secret) for k in (1, 2, 4)] == [(1, True), (0, True), (0, True)]
+    assert got[5].n_private == got[5].n_email == 1
+    assert pii_spans.regions(rows[2][1])[0][1] > 220 and pii_spans.span_features(pii_spans.TOKEN.findall(f"1.2.{gap}3.4"), 0, 8) is not None
+    masked = by_id(pii_spans.mask(documents(spark, rows)))
+    assert masked[1].text == 'token = "[SECRET]"' and masked[5].text == "[EMAIL]" and masked[4].text is None
+
+
 def test_regions_are_linear():
     for text in ("a@" * 100_000, "a." * 100_000 + "@", " at x dot" * 40_000, "1.2." * 50_000, "a" * 200_000 + "@b.c"):
         assert pii_spans._regions(text)
