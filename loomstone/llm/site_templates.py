@@ -2,17 +2,20 @@
 
 A page is read by a tolerant tokeniser into elements; each element's subtree (tags, attributes, text) has a
 64-bit hash. Spark counts for every host the different pages (by the hash of their main text) on which a
-subtree occurs. A subtree is template if it recurs on at least ``least`` different pages of its host
-and on ``share`` of them; inside the page's article (article, main, or role main) ``inner`` of them, as
-articles of a site share passages too. Headings and paragraphs of an article stay in any case unless they are
-short link lists or notices by their class. Beside that, elements that are no content by their nature are
+subtree occurs. A subtree is template if it recurs on at least ``least`` different pages of its host, and
+on ``share`` of them or, unless it is a paragraph or heading, on ``many``, so that a section of a large host is
+found as well. Inside the page's article (article, main, or role main) ``inner`` of the pages are asked for, as
+articles of a site share passages too: that goes for paragraphs and all other elements but headings and inline ones,
+which belong to the text around them. Beside that, elements that are no content by their nature are
 deleted on every page: by tag (nav, header, footer, aside, form, script, style, ...), or by a word of class,
-id or role (ad, menu, sidebar, cookie, comments, ...).
+id or role (ad, menu, sidebar, cookie, comments, ...). Names of layout ("has-sidebar") don't count, in an article
+only names that consist of such words do ("share-buttons", not "social-history"), and a wrapper named like
+this gives way if the only article is inside of it, or all of the page's text.
 
 The text is the article's if there is one, else the body's: character references decoded, white space
 inside a block made one space, blocks trimmed, empty ones dropped, joined by one space.
 
-Keys of templates go to the workers as one sorted array while there are at most ``most_keys`` (8 bytes each);
+Keys of templates go to the workers as sorted arrays while there are at most ``most_keys`` (8 bytes each);
 beyond that, every page's own template keys are joined to it by page. Both ways give the same texts.
 Null and empty pages have the text "". A null url is a host of its own. Rows with equal page_id and
 html are alike.
@@ -23,12 +26,14 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialise
+from ..plans.shared import Steps
+from .common import map_slices
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,17 +46,36 @@ CLOSES = {**{t: ({"p"}, {"button", "table", "td"}) for t in BLOCK - {"br", "td",
 NOISE = frozenset(
     "ad ads adv advert advertisement advertisements adsense adslot banner sponsor sponsored promo promotion promoted popup modal overlay cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar side aside footer header masthead topbar toolbar widget widgets share sharing social related recommended recommendations comment comments disqus reply replies respond search searchbox contentinfo complementary".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+# Words beside those of NOISE in names of such elements, of layout states, and names of comments.
+GENERIC = frozenset("box block area list section container wrapper wrap bar item items panel link links inner outer top bottom left right button buttons form slot unit text title group col column row banner inline count thread icon icons post page site main global primary secondary sticky".split())
+LAYOUT = frozenset("has with no without is not hide show".split())
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+INLINE = frozenset("h1 h2 h3 h4 h5 h6 b i em strong br span a".split())
+
+
+def noisy(names: str, inside: bool) -> bool:
+    """Whether a class, id or role names no content; inside an article, only if all its words do."""
+    for token in names.split():
+        words = _WORD.findall(token)
+        if any(w in NOISE for w in words) and words[0] not in LAYOUT and (not inside or all(w in NOISE or w in GENERIC for w in words)):
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "noise", "main", "key", "parent")
+    """An element: ``noise`` by its tag or as hidden, ``soft`` by its names."""
+
+    __slots__ = ("tag", "attrs", "kids", "noise", "soft", "main", "key", "parent", "inside")
 
     def __init__(self, tag: str, attrs: str, parent: "Node | None"):
         self.tag, self.attrs, self.parent, self.kids, self.key = tag, attrs, parent, [], 0
-        self.noise, self.main = tag in DROP, tag in MAIN
+        self.noise, self.soft, self.main = tag in DROP, False, tag in MAIN
+        self.inside = parent is not None and (parent.inside or parent.main)
         if attrs and not self.noise:
             for m in _ATTR.finditer(attrs):
                 name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -59,8 +83,12 @@ class Node:
                     self.noise = True
                 elif name == "role" and value == "main":
                     self.main = True
-                elif name != "hidden" and name != "aria-hidden" and tag not in ("html", "body", "article", "main"):
-                    self.noise |= any(w in NOISE for w in _WORD.findall(value))
+                elif name in ("hidden", "aria-hidden") or tag in ("html", "body"):
+                    continue
+                elif tag in MAIN:
+                    self.soft |= any(w in COMMENTS for w in _WORD.findall(value))
+                else:
+                    self.soft |= noisy(value, self.inside)
 
 
 def parse(source: str) -> Node:
@@ -143,19 +171,24 @@ def hash_subtrees(root: Node, host: str) -> list[Node]:
 
 
 def main_nodes(order: list[Node]) -> list[Node]:
-    """The articles that hold the page's content: outermost ones outside of noise; without any, the root."""
-    out, inside = [], set()
+    """The articles that hold the page's content: of the outermost ones outside of noise those in the fewest soft elements;
+    without any, the root."""
+    found: list[tuple[int, Node]] = []
+    depth: dict[int, int] = {}  # soft elements around what may hold an article
     for n in order:
-        if n.parent is not None and id(n.parent) in inside or n.noise:
-            inside.add(id(n))
-        elif n.main:
-            out.append(n)
-            inside.add(id(n))
-    return out or order[:1]
+        if n.parent is not None and id(n.parent) not in depth or n.noise:
+            continue
+        soft = (depth[id(n.parent)] if n.parent is not None else 0) + n.soft
+        if n.main:
+            found.append((soft, n))
+        else:
+            depth[id(n)] = soft
+    least = min((soft for soft, _ in found), default=0)
+    return [n for soft, n in found if soft == least] or order[:1]
 
 
-def blocks(nodes: list[Node], dropped) -> list[str]:
-    """Texts of the blocks below the nodes, without noise and elements that ``dropped`` names."""
+def blocks(nodes: list[Node], dropped, soft: bool = True) -> list[str]:
+    """Texts of the blocks below the nodes, without noise (soft noise too, as told) and elements that ``dropped`` names."""
     out: list[str] = []
     part: list[str] = []
 
@@ -174,7 +207,7 @@ def blocks(nodes: list[Node], dropped) -> list[str]:
                 part.append(n)
             elif ends:
                 flush()
-            elif n is top or not (n.noise or dropped(n)):
+            elif n is top or not (n.noise or soft and n.soft or dropped(n)):
                 if n.tag in BLOCK:
                     flush()
                     todo.append((n, True))
@@ -183,6 +216,11 @@ def blocks(nodes: list[Node], dropped) -> list[str]:
     return out
 
 
+def main_text(nodes: list[Node], dropped) -> str:
+    """The text of the blocks; soft noise stays if there is no other text."""
+    return " ".join(blocks(nodes, dropped) or blocks(nodes, dropped, soft=False))
+
+
 def host_of(url) -> str:
     m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", url) if isinstance(url, str) else None
     return m[1].rpartition("@")[2].lower() if m else ""
@@ -195,10 +233,10 @@ def page(source, url):
 
 def candidates(order: list[Node], mains: list[Node]) -> tuple[set[int], int]:
     """Keys of the content's subtrees that aren't deleted anyway, and the hash of its text."""
-    whole = xxhash.xxh3_64_intdigest("\n".join(blocks(mains, lambda n: False)).encode("utf-8", "surrogatepass"))
+    whole = xxhash.xxh3_64_intdigest(main_text(mains, lambda n: False).encode("utf-8", "surrogatepass"))
     inner, keys = {id(n) for n in mains}, set()
     for n in order:
-        if n.parent is not None and id(n.parent) in inner and not n.noise:
+        if n.parent is not None and id(n.parent) in inner and not (n.noise or n.soft):
             inner.add(id(n))
             keys.add(n.key)
     return keys, whole
@@ -209,7 +247,9 @@ def _signed(x: int) -> int:
 
 
 def _counted(batches):
-    """(host, key, page, article, element): the content's subtrees for each different page, and the page itself (not element)."""
+    """(host, key, page, article, kind) of the content's subtrees for each different page of a slice, and the page itself (kind 0).
+
+    Kind 1 is for paragraphs, headings and inline elements, 2 for others."""
     for batch in batches:
         rows = set()
         for source, url in zip(batch["html"], batch["url"]):
@@ -217,24 +257,25 @@ def _counted(batches):
             inside, whole = candidates(order, mains)
             host, whole = _signed(xxhash.xxh3_64_intdigest(host_of(url).encode("utf-8", "surrogatepass"))), _signed(whole)
             article = mains[0] is not order[0]
-            rows.update((host, _signed(k), whole, article, True) for k in inside)
-            rows.add((host, 0, whole, article, False))
-        yield pd.DataFrame(list(rows), columns=["host", "key", "page", "article", "element"])
+            rows.update((host, _signed(n.key), whole, article, 1 if n.tag == "p" or n.tag in INLINE else 2) for n in order if n.key in inside and not n.noise)
+            rows.add((host, 0, whole, article, 0))
+        yield pd.DataFrame(list(rows), columns=["host", "key", "page", "article", "kind"])
 
 
-def templates(pages: DataFrame, least: int = 8, share: float = 0.3, inner: float = 0.6) -> DataFrame:
+def templates(pages: DataFrame, step: Steps, least: int = 8, share: float = 0.3, inner: float = 0.6, many: int = 200) -> DataFrame:
     """(key, article): subtrees to delete, in pages with and without an article."""
-    rows = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(_counted, "host long, key long, page long, article boolean, element boolean")
+    rows = map_slices(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), _counted, "host long, key long, page long, article boolean, kind int")
     # The distinct rows are dealt by all columns, and the counts after them are partial sums, so no subtree is one task's work.
-    sliced = rows.distinct().groupBy("host", "key", "article", "element").agg(F.count("*").alias("n"))
-    sliced = materialise(sliced.where(f"not element or n >= {least}"), "subtrees")
-    hosts = sliced.where("not element").select(F.col("host").alias("h"), F.col("article").alias("a"), F.col("n").alias("pages"))
-    hit = sliced.where("element").join(hosts, (F.col("host") == F.col("h")) & (F.col("article") == F.col("a")))
-    return hit.where(F.col("n") >= F.when(F.col("article"), inner).otherwise(share) * F.col("pages")).select("key", "article").distinct()
+    sliced = rows.distinct().groupBy("host", "key", "article", "kind").agg(F.count("*").alias("n"))
+    sliced = step(sliced.where(f"kind = 0 or n >= {least}"), "subtrees")
+    hosts = sliced.where("kind = 0").select(F.col("host").alias("h"), F.col("article").alias("a"), F.col("n").alias("pages"))
+    hit = sliced.where("kind > 0").join(hosts, (F.col("host") == F.col("h")) & (F.col("article") == F.col("a")))
+    asked = F.when(F.col("article"), inner * F.col("pages")).when(F.col("kind") == 1, share * F.col("pages")).otherwise(F.least(share * F.col("pages"), F.lit(many)))
+    return hit.where(F.col("n") >= asked).select("key", "article").distinct()
 
 
 def _is_template(node: Node, keys: set[int] | frozenset, article: bool) -> bool:
-    return node.key in keys and not (article and node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "br", "span", "a"))
+    return node.key in keys and not (article and node.tag in INLINE)
 
 
 def _extract(keys_of):
@@ -245,24 +286,41 @@ def _extract(keys_of):
                 order, mains = page(source, url)
                 article = mains[0] is not order[0]
                 keys = keys_of(batch, k, article)
-                texts.append(" ".join(blocks(mains, (lambda n: _is_template(n, keys, article)) if keys else (lambda n: False))))
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+                texts.append(main_text(mains, (lambda n: _is_template(n, keys, article)) if keys else (lambda n: False)))
+            yield pd.DataFrame({"page_id": batch["page_id"].to_numpy(), "url": batch["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts]})
 
     return run
 
 
+def _from_arrays(arrays: dict[bool, np.ndarray]):
+    """Keys by whether a page has an article; the sets are made in the worker."""
+    sets: dict[bool, frozenset] = {}
+
+    def keys_of(batch, k, article):
+        if article not in sets:
+            sets[article] = frozenset(arrays[article].view(np.uint64).tolist())
+        return sets[article]
+
+    return keys_of
+
+
 def extract(pages: DataFrame, most_keys: int = 1_000_000, **limits) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages."""
+    step = Steps(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = materialise(templates(rows, **limits), "templates")
+    found = step(templates(rows, step, **limits), "templates")
+    step.drop_all_but(found)
     shape = "page_id long, url string, text string, n_chars long"
     if found.count() <= most_keys:
-        sets = {flag: frozenset(k & (2**64 - 1) for k, a in found.collect() if a == flag) for flag in (True, False)}
-        return rows.mapInPandas(_extract(lambda batch, k, article: sets[article]), shape)
-    own = rows.withColumn("digest", F.xxhash64("url", "html")).mapInPandas(_page_keys, "page_id long, digest long, key long, article boolean").join(found, ["key", "article"])
+        table = found.toPandas()
+        arrays = {flag: np.sort(table["key"][table["article"] == flag].to_numpy(np.int64)) for flag in (True, False)}
+        return map_slices(rows, _extract(_from_arrays(arrays)), shape)
+    marked = rows.withColumn("digest", F.xxhash64("url", "html"))
+    own = map_slices(marked, _page_keys, "page_id long, digest long, key long, article boolean").distinct().join(found, ["key", "article"])
     own = own.groupBy("page_id", "digest").agg(F.collect_set("key").alias("keys")).withColumnsRenamed({"page_id": "p", "digest": "d"})
-    joined = rows.withColumn("digest", F.xxhash64("url", "html")).join(own, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
-    return joined.mapInPandas(_extract(lambda batch, k, article: frozenset(int(x) & (2**64 - 1) for x in batch["keys"].iloc[k]) if batch["keys"].iloc[k] is not None else frozenset()), shape)
+    joined = marked.join(own, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
+    listed = lambda batch, k, article: frozenset(int(x) & (2**64 - 1) for x in (batch["keys"].iloc[k] if batch["keys"].iloc[k] is not None else ()))
+    return map_slices(joined, _extract(listed), shape)
 
 
 def _page_keys(batches):

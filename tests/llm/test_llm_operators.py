@@ -525,6 +525,84 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def text_of(source):
+    order, mains = site_templates.page(source, "http://a.example/")
+    return site_templates.main_text(mains, lambda n: False)
+
+
+@pytest.mark.parametrize(
+    ("source", "wanted"),
+    [
+        ('<div class="page has-sidebar"><article><p>The text</p></article></div>', "The text"),
+        ('<div id="content" class="with-sidebar"><main><p>The text</p></main></div>', "The text"),
+        ('<div class="sidebar-layout"><article><p>The text</p></article><div class="comments"><article class="comment">A comment</article></div></div>', "The text"),
+        ('<article>Text<div class="social-history">of movements</div><div class="share-buttons">Share</div></article>', "Text of movements"),
+        ('<article>Text<article class="comment reply">Nice</article></article>', "Text"),
+        ("<p title=it's>The <b title=\"a>b\">text</b></p>", "The text"),
+        ('<div class="widget"><p>All that there is</p></div>', "All that there is"),
+        ('<div class="ad">Buy</div><p>Text</p>', "Text"),
+        ("<p a='x", ""),
+        ("<p title=\"unclosed>text</p>", "text"),
+        ("&notanentity; &amp;lt; &#233;", "&notanentity; &lt; é".replace("&not", "¬")),
+        ("\u00a0 a\u2003b ", "a b"),
+    ],
+)
+def test_noise_and_wrappers(source, wanted):
+    assert text_of(source) == wanted
+
+
+def brute_templates(pages, least, share, inner, many):
+    """(host, subtree as written) of template subtrees, by comparing whole subtrees of nested tuples."""
+    def tuples(n):
+        return (n.tag, n.attrs, tuple(" ".join(k.split()) if isinstance(k, str) else tuples(k) for k in n.kids))
+
+    seen, totals = {}, {}
+    for source, url in pages:
+        order, mains = site_templates.page(source, url)
+        whole, article, host = site_templates.main_text(mains, lambda n: False), mains[0] is not order[0], site_templates.host_of(url)
+        totals.setdefault((host, article), set()).add(whole)
+        inside = {id(n) for n in mains}
+        for n in order:
+            if n.parent is not None and id(n.parent) in inside and not (n.noise or n.soft):
+                inside.add(id(n))
+                seen.setdefault((host, article, tuples(n)), set()).add(whole)
+    out = set()
+    for (host, article, subtree), pages_of in seen.items():
+        all_pages, small = len(totals[host, article]), subtree[0] == "p" or subtree[0] in site_templates.INLINE
+        asked = inner * all_pages if article else share * all_pages if small else min(share * all_pages, many)
+        if len(pages_of) >= max(least, asked):
+            out.add((host, article, subtree))
+    return out, tuples
+
+
+def test_templates_match_a_plain_counter(spark):
+    rng = random.Random(31)
+    parts = [f"<div class='c{k}'><p>part {k}</p></div>" for k in range(6)] + [f"<p>paragraph {k}</p>" for k in range(4)] + ["<h2>Part</h2>", "<ul><li>one</li><li>two</li></ul>"]
+    pages = []
+    for k in range(160):
+        host, body = f"h{k % 3}.example", "".join(p for j, p in enumerate(parts) if rng.random() < (j % 5 + 1) / 6)
+        body += f"<p>own text {k if rng.random() < 0.9 else 'shared'}</p>"
+        pages.append((f"<body>{'<article>' + body + '</article>' if k % 2 else body}</body>", f"http://{host}/{k}"))
+    limits = {"least": 3, "share": 0.4, "inner": 0.6, "many": 8}
+    df = spark.createDataFrame([(k, u, h) for k, (h, u) in enumerate(pages)], "page_id long, url string, html string")
+    wanted, tuples = brute_templates(pages, **limits)
+    got = by_id(site_templates.extract(df, **limits), "page_id")
+    assert len(wanted) > 20
+    for k, (source, url) in enumerate(pages):
+        order, mains = site_templates.page(source, url)
+        article, host = mains[0] is not order[0], site_templates.host_of(url)
+        gone = lambda n: (host, article, tuples(n)) in wanted and not (article and n.tag in site_templates.INLINE)  # noqa: B023, E731
+        assert got[k].text == site_templates.main_text(mains, gone)
+
+
+def test_page_edges(spark):
+    rows = [(1, "http://a.example/", "<p>x</p>" * 30_000), (2, None, None), (None, "http://a.example/", "<p>same</p>"), (None, "http://a.example/", "<p>same</p>"), (4, "", ""), (2**60 + 1, "http://a.example/", "<p>big id</p>")]
+    df = spark.createDataFrame([r + ("k", True, 3) for r in rows], "page_id long, url string, html string, key string, article boolean, page int")
+    for keys in (1000, 0):
+        got = sorted((str(r.page_id), r.text) for r in site_templates.extract(df, most_keys=keys).collect())
+        assert got == sorted([("1", " ".join(["x"] * 30_000)), ("2", ""), ("None", "same"), ("None", "same"), ("4", ""), (str(2**60 + 1), "big id")])
+
+
 def test_both_ways_to_delete_templates_agree(spark):
     rows = [(k, f"http://h{k % 2}.example/{k}", f"<body><div><p>menu of the site</p></div><div>text {k} {html.escape('<x>')}</div></body>") for k in range(40)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
