@@ -93,35 +93,23 @@ def grouped(n: Column) -> Column:
 def param_count(signature: Column) -> Column:
     """Parameters in the first parenthesised group; null without one, 0 if it is blank.
 
-    One pass over the characters with the state (depth, open quote, escape, commas, anything seen, done).
-    Commas count at depth 1; brackets of all kinds nest; ">" closes only what is deeper than the group, so
-    arrows in types upset the depth as they do in the rules that this follows.
+    Quoted parts go; what follows the first parenthesis loses its innermost groups (a placeholder stays where they
+    hold anything) until none is left, so its first closing bracket ends the group and its commas part the
+    parameters. An ">" that closes nothing, as of an arrow, is text.
     """
-    tail = F.substring(signature, F.instr(signature, "("), F.length(signature))
-    start = F.expr("named_struct('depth', 0, 'q', '', 'esc', false, 'commas', 0, 'seen', false, 'done', false)")
-
-    def step(s: Column, ch: Column) -> Column:
-        quoted = s["q"] != ""
-        opens, closes = ch.isin("(", "[", "{", "<"), ch.isin(")", "]", "}")
-        depth = F.when(opens, s["depth"] + 1).when(closes | ((ch == ">") & (s["depth"] > 1)), s["depth"] - 1).otherwise(s["depth"])
-        plain = ~ch.isin("(", "[", "{", "<", ")", "]", "}", '"', "'", " ", "\t") & ~((ch == ">") & (s["depth"] > 1)) & ~((ch == ",") & (s["depth"] == 1))
-        inside = F.struct(
-            s["depth"].alias("depth"),
-            F.when(~s["esc"] & (ch != "\\") & (ch == s["q"]), F.lit("")).otherwise(s["q"]).alias("q"),
-            (~s["esc"] & (ch == "\\")).alias("esc"), s["commas"].alias("commas"), s["seen"].alias("seen"), F.lit(False).alias("done"),
-        )
-        outside = F.struct(
-            depth.alias("depth"),
-            F.when(ch.isin('"', "'"), ch).otherwise(F.lit("")).alias("q"),
-            F.lit(False).alias("esc"),
-            (s["commas"] + F.when((ch == ",") & (s["depth"] == 1), 1).otherwise(0)).alias("commas"),
-            (s["seen"] | (plain & (s["depth"] >= 1))).alias("seen"),
-            (closes & (depth == 0)).alias("done"),
-        )
-        return F.when(s["done"], s).when(quoted, inside).otherwise(outside)
-
-    end = lambda s: F.when(s["seen"], s["commas"] + 1).otherwise(F.lit(0))
-    return F.when(F.instr(signature, "(") > 0, F.aggregate(F.split(tail, ""), start, step, end))
+    after = F.substring(signature, F.instr(signature, "(") + 1, F.length(signature))
+    tail = F.regexp_replace(after, r"""(?s)\"(?:\\.|[^\"\\])*+(?:\"|\\?$)|'(?:\\.|[^'\\])*+(?:'|\\?$)""", "")
+    rounds = F.sequence(F.lit(0), F.length(tail) - F.length(F.regexp_replace(tail, r"[(\[{<]", "")))
+
+    def without_innermost(text: Column) -> Column:
+        blank = F.regexp_replace(text, r"[(\[{<][ \t]*[)\]}>]", "")
+        return F.regexp_replace(blank, r"[(\[{<][^()\[\]{}<>]*[^()\[\]{}<> \t][^()\[\]{}<>]*[)\]}>]", "x")
+
+    flat = F.aggregate(rounds, tail, lambda text, _: without_innermost(text))
+    group = F.regexp_extract(flat, r"^[^)\]}]*", 0)
+    commas = F.regexp_count(F.regexp_extract(group, r"^[^(\[{<]*", 0), F.lit(","))
+    seen = group.rlike(r"[^(\[{< \t,]") | F.regexp_extract(group, r"[(\[{<].*", 0).contains(",")
+    return F.when(F.instr(signature, "(") > 0, F.when(seen, commas + 1).otherwise(F.lit(0)).cast("int"))
 
 
 def first_param_is_receiver(signature: Column) -> Column:
