@@ -6,21 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.code import external_name, file_match, is_test_path, is_test_symbol
+from ..functions.grammar import split_locator
 from ..functions.text import lines
+from ..functions import imports
 from . import graph, ranking, search
 
 # Caps of the composite answers.
 MAX_CALLEES, MAX_CALLERS, MAX_TYPES, AUTO_CANDIDATES, AUTO_LINES = 24, 20, 16, 3, 400
 
 
-def locate(symbols: DataFrame, name: str, file: str | None = None) -> DataFrame:
-    """Symbols by exact qualified name, else by bare name; a file narrows them: its exact path wins over suffixes."""
+def locate(symbols: DataFrame, name: str, file: str | None = None, kind: str | None = None) -> DataFrame:
+    """Symbols by exact qualified name, else by bare name; a file, given or as "file.ext:Name", narrows them: its exact path
+    wins over suffixes.
+
+    Which of these holds is one row of maxima over what matches, joined back; no task sorts all symbols of a name.
+    """
+    if file is None:
+        file, name = split_locator(name)
     hit = symbols.where((F.col("qualified") == name) | (F.col("name") == name))
+    if kind:
+        hit = hit.where(F.col("kind") == kind)
+    rank = lambda test: test.cast("int")
+    exact = rank(F.col("path") == file) if file else F.lit(0)
     if file:
         hit = hit.where(file_match(F.col("path"), file))
-        hit = hit.withColumn("_exact", F.max((F.col("path") == file).cast("int")).over(Window.partitionBy())).where((F.col("_exact") == 0) | (F.col("path") == file)).drop("_exact")
-    best = hit.withColumn("_q", F.max((F.col("qualified") == name).cast("int")).over(Window.partitionBy()))
-    return best.where((F.col("_q") == 0) | (F.col("qualified") == name)).drop("_q")
+        best = hit.agg(F.max(exact).alias("_e"))
+        hit = hit.join(F.broadcast(best), F.lit(True)).where(exact == F.col("_e")).drop("_e")  # one row
+    whole = rank(F.col("qualified") == name)
+    best = hit.agg(F.max(whole).alias("_q"))
+    return hit.join(F.broadcast(best), F.lit(True)).where(whole == F.col("_q")).drop("_q")  # one row
+
+
+def ambiguity(pool: DataFrame, show: int = 8) -> str | None:
+    """What to say if a pool of ``locate`` has several symbols: the first of them, and what would tell them apart."""
+    first = pool.orderBy(F.length("qualified"), "path", "start_line").limit(show + 1).collect()  # a message
+    if len(first) < 2:
+        return None
+    apart = [text for c, text in (("qualified", "Parent.Name"), ("path", "file:Name"), ("kind", "a kind")) if len({r[c] for r in first}) > 1]
+    listed = "\n".join(f"  {r.qualified}  {r.path}:{r.start_line}" for r in first[:show])
+    return f"several symbols match:\n{listed}\n" + (f"name one by {' or '.join(apart)}" if apart else "they share name, file and kind")
 
 
 def bodies(files: DataFrame, symbols: DataFrame, context: int = 0) -> DataFrame:
@@ -80,12 +104,13 @@ def impact(hits: DataFrame, is_test: Column, refs: int = search.LIMITS["refs"])
     return first.unionByName(by_symbol(marked.where("symbol <> ''"), "callers")).unionByName(by_symbol(marked.where("_t"), "tests"))
 
 
-def dependencies(specs: DataFrame, files: DataFrame, own: list[str] = ()) -> dict[str, DataFrame]:
-    """Import edges, two-way pairs, most imported files and external packages of specs (importer, lang, spec, candidates)."""
-    resolved = graph.resolve_imports(specs, files).where(F.col("path") != F.col("importer"))
-    edges = resolved.select(F.col("importer").alias("src"), F.col("path").alias("dst")).distinct()
-    outside = specs.select("importer", external_name(F.col("lang"), F.col("spec"), own).alias("package")).where("package is not null").distinct()
-    outside = outside.join(resolved.select("importer", F.col("spec").alias("package")), ["importer", "package"], "left_anti")
+def dependencies(files: DataFrame, own: list[str] = ()) -> dict[str, DataFrame]:
+    """Import edges, two-way pairs, most imported files and external packages of files (path, lang, text)."""
+    specs = imports.specs_of(files).distinct()
+    resolved = imports.resolve(specs, files, own)
+    edges = resolved.where(F.col("path") != F.col("importer")).select(F.col("importer").alias("src"), F.col("path").alias("dst")).distinct()
+    unknown = specs.join(resolved.select("importer", "spec"), ["importer", "spec"], "left_anti")
+    outside = unknown.select("importer", external_name(F.col("lang"), F.col("spec"), own).alias("package")).where("package is not null").distinct()
     return {
         "edges": edges,
         "cycles": graph.mutual_pairs(edges),

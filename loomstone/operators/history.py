@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.code import detect_lang
+
 
 def normalize_rename(path: Column) -> Column:
     """The new path of "a/{old => new}/b" and "old => new"."""
@@ -43,6 +45,23 @@ def co_change(commit_files: DataFrame, target, commit: str = "hash") -> DataFram
     return commit_files.where(F.col("path") != target).join(hit, commit, "left_semi").groupBy("path").agg(F.count("*").alias("together"))
 
 
+def hot(commit_files: DataFrame, indexed: DataFrame, limit: int) -> DataFrame:
+    """The most changed of the indexed files (path), one more than the limit to tell that there are more."""
+    return churn(commit_files.join(indexed.select("path").distinct(), "path", "left_semi")).orderBy(F.desc("commits"), F.desc("lines"), "path").limit(limit + 1)
+
+
+def coupled(commit_files: DataFrame, target, limit: int, commit: str = "hash", least: int = 2) -> DataFrame:
+    """(path, together, total): files changed in at least ``least`` of the total commits that touch the target, most often first."""
+    total = commit_files.where(F.col("path") == target).agg(F.count_distinct(commit).alias("total"))
+    often = co_change(commit_files, target, commit).where(F.col("together") >= least)
+    return often.join(F.broadcast(total), F.lit(True)).orderBy(F.desc("together"), "path").limit(limit + 1)  # one row
+
+
+def known_only(ranges: DataFrame) -> DataFrame:
+    """Changed ranges (path, ...) of files in a known language."""
+    return ranges.where(detect_lang(F.col("path")).isNotNull())
+
+
 def parse_hunks(diffs: DataFrame) -> DataFrame:
     """(id, path, lo, hi, deleted) of unified diffs (id, raw) without context lines.
 
@@ -51,7 +70,7 @@ def parse_hunks(diffs: DataFrame) -> DataFrame:
     """
     rows = diffs.select("id", F.posexplode(F.split("raw", "\n")).alias("p", "line"))
     order = Window.partitionBy("id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    side = lambda mark: F.when(F.col("line").startswith(mark + " "), F.regexp_replace(F.substring("line", 5, 100_000), r"^[ab]/|\t.*$", ""))
+    side = lambda mark: F.when(F.col("line").startswith(mark + " "), F.regexp_replace(F.substring("line", F.lit(5), F.length("line")), r"^[ab]/|\t.*$", ""))
     known = rows.withColumn("old", F.last(side("---"), True).over(order)).withColumn("new", F.last(side("+++"), True).over(order))
     gone = F.col("new") == "/dev/null"
     pattern = r"^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,([0-9]+))? @@"

@@ -14,14 +14,15 @@ def enclosing(hits: DataFrame, symbols: DataFrame, keep_all: bool = True) -> Dat
     """hits (path, ln, ...) with ``symbol``, the qualified name of the innermost symbol around ln.
 
     An equi-join on the path with the range as residual, so it hashes or sorts by path instead of looping over
-    pairs; then one partial aggregate for each hit. Ties go to the later, shorter, last-extracted symbol.
+    pairs; then one partial aggregate for each (path, ln), and the hits' other columns are joined after it. Ties go to the later, shorter, last-extracted symbol.
     Without a symbol the label is "" (or the hit goes, if not keep_all).
     """
     s = symbols.select(F.col("path").alias("sp"), "start_line", "end_line", "ord", "qualified")
     inside = (F.col("path") == F.col("sp")) & F.col("ln").between(F.col("start_line"), F.col("end_line"))
-    joined = hits.join(s, inside, "left" if keep_all else "inner")
     rank = F.struct("start_line", -F.col("end_line"), F.col("ord"))
-    out = joined.groupBy(*hits.columns).agg(F.max_by("qualified", rank).alias("symbol"))
+    places = hits.select("path", "ln").distinct().join(s, inside)
+    inner = places.groupBy("path", "ln").agg(F.max_by("qualified", rank).alias("symbol"))
+    out = hits.join(inner, ["path", "ln"], "left" if keep_all else "inner").select(*hits.columns, "symbol")
     return out.withColumn("symbol", F.coalesce("symbol", F.lit("")))
 
 

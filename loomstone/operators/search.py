@@ -44,7 +44,7 @@ def fuzzy_score(query: str, candidate: Column) -> Column:
     if not q:
         return F.lit(None).cast("long")
     size = F.octet_length(c)
-    pos = F.octet_length(F.substring_index(c, F.lit(q), 1)) if False else F.octet_length(F.substring(c, F.lit(1), F.instr(c, q) - 1))
+    pos = F.octet_length(F.substring(c, F.lit(1), F.instr(c, q) - 1))
     direct = F.lit(1000) - pos * 4 - (size - len(q.encode()))
     # (rest, gaps): what remains after each character, and the bytes skipped before it.
     start = F.struct(c.alias("rest"), F.lit(0).alias("gaps"), F.lit(True).alias("ok"))
@@ -68,22 +68,27 @@ def fuzzy(symbols: DataFrame, query: str, limit: int = 10) -> DataFrame:
 
 
 def matcher(line: Column, pattern: str, regex: bool = False, ignore_case: bool = False) -> Column:
-    """Line predicate. Look-around and back-references are refused, as the pattern language has none."""
+    """Line predicate. Look-around and back-references are refused, as the pattern language has none; whether a pattern is
+    valid is for the engine that runs it to say."""
     if regex:
-        if re.search(r"\(\?(=|!|<=|<!|>)|\\[1-9]", pattern):
+        if re.search(r"(?<!\\)(?:\\\\)*(?:\(\?(=|!|<=|<!|>)|\\[1-9])", pattern):
             raise ValueError("look-around and back-references aren't supported")
-        re.compile(pattern)
         return line.rlike(("(?iu)" if ignore_case else "") + pattern)
     return F.lower(line).contains(pattern.lower()) if ignore_case else line.contains(pattern)
 
 
-def grep(files: DataFrame, pattern: str, regex: bool = False, ignore_case: bool = False) -> DataFrame:
-    """(path, ln, line) of matching lines. The text is tested before its lines are exploded: files without a
-    match never leave the scan's stage, which is what an external prefilter would do. (A regex is tested in
-    multi-line mode there, so anchors keep their meaning.)"""
-    whole = matcher(F.col("text"), f"(?m){pattern}" if regex else pattern, regex, ignore_case)
-    rows = files.where(whole).select("path", F.posexplode(lines(F.col("text"))).alias("p", "line"))
-    return rows.where(matcher(F.col("line"), pattern, regex, ignore_case)).select("path", (F.col("p") + 1).alias("ln"), "line")
+def grep(files: DataFrame, pattern: str, regex: bool = False, ignore_case: bool = False, include: DataFrame | None = None) -> DataFrame:
+    """(path, ln, line) of matching lines; ``include`` (path, text), such as dependencies that aren't indexed, is searched instead of the files.
+
+    The text is tested before its lines are exploded: files without a match never leave the scan's stage, which is
+    what an external prefilter would do. A regex is tested in multi-line mode there, where ^ and $ keep their meaning;
+    one with an anchor of whole texts, a part that gives nothing back, or flags switched off isn't.
+    """
+    rows = files if include is None else include
+    if not regex or not re.search(r"\\[AzZGQ]|\(\?[a-zA-Z]*-|[*+?}]\+|\(\?>", pattern):
+        rows = rows.where(matcher(F.col("text"), f"(?m){pattern}" if regex else pattern, regex, ignore_case))
+    each = rows.select("path", F.posexplode(lines(F.col("text"))).alias("p", "line"))
+    return each.where(matcher(F.col("line"), pattern, regex, ignore_case)).select("path", (F.col("p") + 1).alias("ln"), "line")
 
 
 def refs(files: DataFrame, name: str) -> DataFrame:

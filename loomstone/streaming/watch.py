@@ -1,54 +1,112 @@
-"""Incremental indexing: each micro-batch of new or changed files replaces their rows in the symbol table."""
+"""Keeping the symbol table of a source tree up to date: new, changed and deleted files at every trigger.
+
+A file source tells of new files only, so each trigger lists the tree (metadata alone) and compares it with what is
+indexed. Only buckets of paths that changed are written, into new folders; then a small file that names each bucket's
+folder appears as the next version by one rename. So a reader sees the old or the new table, and a crash leaves the old one.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.code import detect_lang, is_indexed_path
+from ..plans.shared import delete
 from ..sources import extract
-from ..sources.index import MAX_BYTES
+from ..sources.index import Lock, changed, scan, texts, vanished
 
 BUCKETS = 64
+STATE = "path string, size long, mtime_ns long, bucket int"
+
+
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, table: str) -> list[str]:
+    where, fs = _fs(spark, f"{table}/versions")
+    if not fs.exists(where):
+        return []
+    return sorted(n for s in fs.listStatus(where) if (n := s.getPath().getName()).endswith(".json") and not n.startswith("."))
+
+
+def current(spark: SparkSession, table: str) -> dict[str, dict[str, str]]:
+    """The folders of the buckets, of files and of symbols; empty before the first run."""
+    if not (known := _versions(spark, table)):
+        return {"files": {}, "symbols": {}}
+    return json.loads("".join(r.value for r in spark.read.text(f"{table}/versions/{known[-1]}").collect()))
+
 
+def _publish(spark: SparkSession, table: str, now: dict) -> None:
+    """The next version's file, by a rename; the last few stay for readers that have just looked."""
+    known = _versions(spark, table)
+    number = int(known[-1].split(".")[0]) + 1 if known else 1
+    aside, fs = _fs(spark, f"{table}/versions/.{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    out.write(bytearray(json.dumps(now).encode()))
+    out.close()
+    if not fs.rename(aside, _fs(spark, f"{table}/versions/{number:012d}.json")[0]):
+        raise RuntimeError("another writer was faster")
+    for old in known[:-2]:
+        delete(spark, f"{table}/versions/{old}")
 
-def stream(spark: SparkSession, root: str) -> DataFrame:
-    """(path, lang, text) of files below root as they appear; irrelevant ones are dropped before they are read."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file://") + "/"
-    rel = F.substring_index(F.regexp_replace("path", r"^file:/*", "/"), base, -1)
-    rows = files.where(F.col("length") <= MAX_BYTES).select(rel.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
-    return rows.where(is_indexed_path(F.col("path")) & F.col("text").isNotNull()).withColumn("lang", detect_lang(F.col("path")))
 
+def read(spark: SparkSession, table: str, part: str = "symbols") -> DataFrame | None:
+    """The symbols, or the files (path, size, mtime_ns), as they are; None before the first run. Also for polling."""
+    folders = current(spark, table)[part]
+    return spark.read.parquet(*[f"{table}/{f}" for f in sorted(set(folders.values()))]) if folders else None
 
-def replace_rows(table: str):
-    """A foreachBatch function: the batch's files get new rows in buckets by path; only those buckets are rewritten."""
 
-    def run(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        batch = batch.persist()
-        bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int").alias("bucket")
-        new = extract.symbols(batch).select("*", bucket)
+def refresh(spark: SparkSession, root: str, table: str) -> int:
+    """Bring the table up to date; how many files were new, changed or gone. One writer at a time; another one returns 0."""
+    lock = Lock(spark, f"{table}/LOCK")
+    if not lock.acquire():
+        return 0
+    try:
+        bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
+        disk = scan(spark, root).withColumn("bucket", bucket)
+        known = read(spark, table, "files")
+        known = spark.createDataFrame([], STATE) if known is None else known
+        listed = disk.select("path", "size", "mtime_ns", "bucket")
+        work = changed(listed, known).select("path", "bucket", F.lit(False).alias("gone")).unionByName(vanished(known, listed).select("path", "bucket", F.lit(True).alias("gone")))
+        work = work.persist()
         try:
-            old = spark.read.parquet(table)
-        except Exception as e:  # the first batch makes the table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        if old is not None:
-            touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most BUCKETS
-            kept = old.where(F.col("bucket").isin(touched)).join(batch.select("path").distinct(), "path", "left_anti")
-            new = kept.select(*new.columns).unionByName(new)
-        # Parquet can't be overwritten while it is read, so the rows are written aside first.
-        new.write.mode("overwrite").parquet(table + ".next")
-        spark.read.parquet(table + ".next").write.mode("overwrite").partitionBy("bucket").parquet(table)
-        batch.unpersist()
-
-    return run
+            touched = sorted(r[0] for r in work.select("bucket").distinct().collect())  # at most BUCKETS
+            if not touched:
+                return 0
+            here = F.col("bucket").isin(touched)
+            new = texts(disk.where(here).join(work.where("not gone").select("path"), "path", "left_semi"))
+            symbols = extract.symbols(new.drop("bucket")).withColumn("bucket", bucket)
+            old = read(spark, table)
+            if old is not None:
+                symbols = old.where(here).join(work.select("path"), "path", "left_anti").select(*symbols.columns).unionByName(symbols)
+            now, version, replaced = current(spark, table), uuid.uuid4().hex, set()
+            for part, rows in (("files", listed.where(here)), ("symbols", symbols)):
+                rows.withColumn("part", F.col("bucket")).write.partitionBy("part").parquet(f"{table}/{part}-{version}")
+                written = {k: f"{part}-{version}/part={k}" for k in map(str, touched) if _fs(spark, f"{table}/{part}-{version}/part={k}")[1].exists(_fs(spark, f"{table}/{part}-{version}/part={k}")[0])}
+                replaced |= {now[part].pop(str(k), None) for k in touched} - {None}
+                now[part].update(written)
+            # Folders that this version replaces are deleted with the next one, so that readers can end.
+            gone, now["before"] = now.get("before", []), sorted(replaced)
+            found = work.count()
+            _publish(spark, table, now)
+            for folder in gone:
+                delete(spark, f"{table}/{folder}")
+            return found
+        finally:
+            work.unpersist()
+    finally:
+        lock.release()
 
 
 def watch(spark: SparkSession, root: str, table: str, checkpoint: str, every: str = "300 milliseconds", once: bool = False):
-    """Start indexing; ``once`` works off what is there and ends."""
-    writer = stream(spark, root).writeStream.foreachBatch(replace_rows(table)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+    """Keep the table up to date at every trigger, a burst of changes at once; ``once`` refreshes and ends."""
+    if once:
+        refresh(spark, root, table)
+        return None
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    run = lambda batch, _: refresh(batch.sparkSession, root, table) and None
+    return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

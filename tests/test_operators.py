@@ -3,12 +3,15 @@
 import os
 import random
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.operators import composite, editing, graph, history, intervals, ranking, search, usage
-from loomstone.sources import extract, git, index
+from loomstone.functions import grammar
+from loomstone.operators import calls as calls_
+from loomstone.operators import composite, editing, graph, history, intervals, ranking, registry, search, usage
+from loomstone.sources import extract, git, hooks, index
 from loomstone.streaming import sessions, watch
 
 SYMBOL = "path string, name string, qualified string, kind string, parent string, start_line int, end_line int, signature string, ord int"
@@ -219,16 +222,188 @@ def test_git_source(spark, repo):
     assert "src/low.py" in {r.path for r in git.changed_paths(spark, repo).collect()}
 
 
-def test_watch_replaces_changed_files(spark, repo, tmp_path):
-    table, point = str(tmp_path / "symbols"), str(tmp_path / "point")
-    watch.watch(spark, repo, table, point, once=True).awaitTermination(120)
-    names = lambda: {(r.path, r.qualified) for r in spark.read.parquet(table).collect()}
+def test_watch_follows_new_changed_and_deleted_files(spark, repo, tmp_path):
+    table = str(tmp_path / "symbols")
+    names = lambda: {(r.path, r.qualified) for r in watch.read(spark, table).collect()}
+    assert watch.read(spark, table) is None and watch.refresh(spark, repo, table) == 4
     assert names() == {("src/low.py", "low"), ("src/mid.py", "mid"), ("src/test_mid.py", "test_mid")}
+    assert watch.refresh(spark, repo, table) == 0
     os.remove(f"{repo}/src/low.py")
     with open(f"{repo}/src/new.py", "w") as f:
         f.write("def fresh():\n    pass\n")
-    watch.watch(spark, repo, table, point, once=True).awaitTermination(120)
-    assert ("src/new.py", "fresh") in names() and ("src/mid.py", "mid") in names()
+    with open(f"{repo}/src/mid.py", "w") as f:
+        f.write("def renamed(a, b):\n    return 1\n")
+    watch.watch(spark, repo, table, str(tmp_path / "point"), once=True)
+    assert names() == {("src/new.py", "fresh"), ("src/mid.py", "renamed"), ("src/test_mid.py", "test_mid")}
+    # A crash before the rename leaves the old table; another writer waits.
+    other = index.Lock(spark, f"{table}/LOCK")
+    assert other.acquire() and watch.refresh(spark, repo, table) == 0
+    os.remove(f"{repo}/src/new.py")
+    other.release()
+    assert watch.refresh(spark, repo, table) == 1 and ("src/new.py", "fresh") not in names()
+    q = watch.watch(spark, repo, table, str(tmp_path / "point"), every="200 milliseconds")
+    with open(f"{repo}/src/late.py", "w") as f:
+        f.write("def late():\n    pass\n")
+    for _ in range(120):
+        if ("src/late.py", "late") in names():
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert ("src/late.py", "late") in names()
+
+
+def test_lock_is_taken_over_when_stale(spark, tmp_path):
+    path = str(tmp_path / "l" / "LOCK")
+    a, b = index.Lock(spark, path), index.Lock(spark, path)
+    assert a.acquire() and not b.acquire()
+    assert index.Lock(spark, path, stale=0).acquire()
+
+
+def test_freshness_and_single_files(spark, repo):
+    disk = index.scan(spark, repo)
+    known = spark.createDataFrame(disk.select("path", "size", "mtime_ns").collect(), "path string, size long, mtime_ns long")
+    rows = spark.createDataFrame(extract.symbols(index.texts(disk)).collect(), extract.symbols(index.texts(disk)).schema)
+    with open(f"{repo}/src/mid.py", "w") as f:
+        f.write("def other():\n    return 12345\n")
+    os.remove(f"{repo}/src/low.py")
+    paths = spark.createDataFrame([("src/mid.py",), ("src/mid.py",), ("src/low.py",), ("src/test_mid.py",), ("none.py",)], "path string")
+    assert {r.path: r.stale for r in index.freshness(paths, index.scan(spark, repo), known).collect()} == {"src/mid.py": True, "src/low.py": True, "src/test_mid.py": False, "none.py": True}
+    assert index.stale_count(index.scan(spark, repo), known).first().stale == 2
+    new = index.reindex(rows, index.texts(index.scan(spark, repo)), spark.createDataFrame([("src/mid.py",), ("src/low.py",)], "path string"), extract.symbols)
+    assert {(r.path, r.qualified) for r in new.collect()} == {("src/mid.py", "other"), ("src/test_mid.py", "test_mid")}
+    assert index.open_index(spark, f"{repo}/nowhere", f"{repo}/neither") is None
+
+
+def test_ignore_rules_match_git(spark, repo):
+    os.makedirs(f"{repo}/src/gen/deep", exist_ok=True)
+    os.makedirs(f"{repo}/a/x", exist_ok=True)
+    for p in ("src/gen/a.py", "src/gen/deep/b.py", "src/keep_me.py", "src/skip_1.py", "src/skip_2.py", "a/x/c.py", "a/d.py", "a/log.py", "top.py", "a/top.py"):
+        with open(f"{repo}/{p}", "w") as f:
+            f.write("x = 1\n")
+    with open(f"{repo}/.gitignore", "w") as f:
+        f.write("# comment\nskip_*.py\n!skip_2.py\n/top.py\nsrc/gen/\n\n**/x/*.py\n")
+    with open(f"{repo}/a/.gitignore", "w") as f:
+        f.write("log.py\n/d.p?\n")
+    subprocess.run(["git", "-C", repo, "init", "-q"], check=True)
+    listed = subprocess.run(["git", "-C", repo, "ls-files", "--others", "--exclude-standard"], check=True, capture_output=True, text=True).stdout.split()
+    got = {r.path for r in index.scan(spark, repo, rules=index.rules_of(repo)).collect()}
+    assert got == {p for p in listed if p.endswith(".py")} and "src/skip_2.py" in got and "src/gen/deep/b.py" not in got
+
+
+def test_grep_anchors_and_foreign_classes(spark):
+    files = spark.createDataFrame([("a", "first\nsecond 5 \n ;;y\nthird"), ("b", "äö\nzz")], "path string, text string")
+    find = lambda p, **k: {(r.path, r.ln) for r in search.grep(files, p, regex=True, **k).collect()}
+    assert find(r"\Asecond") == {("a", 2)} and find(r"^\p{L}+$") == {("a", 1), ("a", 4), ("b", 1), ("b", 2)} and find(r"third\z") == {("a", 4)}
+    assert find(r"[0-9]\W*+$") == {("a", 2)} and find(r"\h") == {("a", 2), ("a", 3)}
+    with pytest.raises(ValueError):
+        search.grep(files, "(?=x)", regex=True)
+    assert [r.path for r in search.grep(files, "q", include=spark.createDataFrame([("dep", "q")], "path string, text string")).collect()] == ["dep"]
+
+
+def test_locate_and_ambiguity(spark):
+    s = symbols(spark, [("src/a.py", "run", 1, 2), ("b/src/a.py", "run", 1, 2), ("c.py", "A.run", 5, 9)])
+    paths = lambda df: sorted(r.path for r in df.collect())
+    assert paths(composite.locate(s, "run")) == ["b/src/a.py", "src/a.py"] and paths(composite.locate(s, "src/a.py:run")) == ["src/a.py"]
+    assert paths(composite.locate(s, "A.run")) == ["c.py"] and paths(composite.locate(s, "x.py:run")) == [] and paths(composite.locate(s, "run", kind="class")) == []
+    said = composite.ambiguity(composite.locate(s, "run"))
+    assert "src/a.py:1" in said and "file:Name" in said and "Parent.Name" not in said and composite.ambiguity(composite.locate(s, "A.run")) is None
+
+
+def test_call_trees(spark):
+    s = symbols(spark, [("m.rs", "low", 1, 3), ("m.rs", "mid", 5, 7), ("m.rs", "high", 9, 12), ("o.rs", "other", 1, 2), ("p.rs", "low", 1, 2)])
+    calls = [("m.rs", "low", 1, False, None), ("m.rs", "low", 6, True, 0), ("m.rs", "mid", 10, True, 0), ("m.rs", "low", 11, True, 0), ("o.rs", "other", 1, False, None), ("o.rs", "x", 9, True, 0)]
+    idents = spark.createDataFrame(calls, "path string, name string, ln int, is_call boolean, argc int")
+    edges = calls_.build(idents, s)
+    got = {(r.caller, r.callee, r.callee_path, r.ln, r.ambiguous) for r in edges.collect()}
+    assert got == {("mid", "low", "m.rs", 6, False), ("high", "mid", "m.rs", 10, False), ("high", "low", "m.rs", 11, False)}
+    down = {(r.depth, r.symbol, r.parent) for r in calls_.tree(edges, "high", "m.rs", 3).collect()}
+    assert down == {(1, "mid", "high"), (1, "low", "high")}
+    up = [(r.depth, r.symbol, r.parent) for r in calls_.tree(edges, "low", "m.rs", 3, up=True).collect()]
+    assert sorted(up) == [(1, "high", "low"), (1, "mid", "low")]
+    assert calls_.tree(edges, "high", "m.rs", 3, nodes=1).count() == 1 and calls_.tree(edges, "high", "m.rs", 3, children=1).count() == 2
+    assert calls_.tree(edges, "other", "o.rs", 2).count() == 0
+
+
+def test_resolver_narrows_calls_with_one_match(spark):
+    c = spark.createDataFrame([(1, "f", "a", 3), (1, "f", "b", 9), (2, "g", "a", 1), (2, "g", "b", 1)], "call_id int, name string, file string, start_line int")
+    r = spark.createDataFrame([(1, "f", "b", 9), (2, "g", "a", 1), (2, "g", "b", 1)], "call_id int, name string, file string, line int")
+    assert sorted((x.call_id, x.file) for x in calls_.resolver_matches(c, r).collect()) == [(1, "b"), (2, "a"), (2, "b")]
+
+
+def test_registry_notes_and_settings(spark):
+    projects = spark.createDataFrame([("h1", "/home/x", 3, 9, 5), ("h2", "/tmp/gone", 1, 2, 9), ("h3", "/home/gone", 1, 1, 1)], "hash string, path string, files long, symbols long, last_indexed long")
+    log = spark.createDataFrame([(4, 1, "/tmp/gone", "find", 1, 1, 10, 5, "d")], "id long, ts long, project string, cmd string, ms long, results long, tokens_out long, tokens_saved long, detail string")
+    assert tuple(registry.totals(projects).first()) == (3, 5, 12) and tuple(registry.totals(projects.limit(0)).first()) == (0, 0, 0)
+    assert [r.hash for r in registry.listing(projects).collect()] == ["h2", "h1", "h3"] and [r.path for r in registry.paths(projects).collect()] == ["/home/gone", "/home/x", "/tmp/gone"]
+    here = spark.createDataFrame([("/home/x",)], "path string")
+    assert [r.hash for r in registry.orphans(projects, here).collect()] == ["h2"] and registry.orphans(projects, here, purge=True).count() == 2
+    notes = spark.createDataFrame([], "id long, symbol string, note string, ts long")
+    notes = registry.note_add(registry.note_add(notes, "Foo.bar", "one", 7), "bar", "two", 8)
+    assert [r.id for r in registry.notes_all(notes).collect()] == [1, 2] and registry.note_remove(notes, [1]).count() == 1
+    asked = spark.createDataFrame([("X.bar",), ("Foo.bar",), ("baz",)], "symbol string")
+    assert sorted((r.symbol, r.id) for r in registry.notes_for(asked, notes).collect()) == [("Foo.bar", 1), ("Foo.bar", 2), ("X.bar", 1), ("X.bar", 2)]
+    owned = notes.withColumn("project", F.lit("/tmp/gone"))
+    kept = registry.forget(projects, log, owned, registry.orphans(projects, here), keep_stats=True)
+    assert [x.count() for x in kept] == [2, 1, 0] and registry.forget(projects, log, owned, projects)[1].count() == 0
+    meta = registry.meta_set(registry.meta_set(spark.createDataFrame([], "key string, value string"), "last_tidy", "1000"), "k", "v")
+    assert registry.meta_get(meta, "k") == "v" and registry.meta_get(registry.meta_delete(meta, "k"), "k") is None
+    assert registry.meta_get(registry.meta_set(meta, "k", "w"), "k") == "w"
+    assert registry.tidy_due(meta, 1000 + 86_400) and not registry.tidy_due(meta, 1000 + 86_399) and registry.tidy_due(registry.meta_set(meta, "last_tidy", "x"), 90_000)
+    more = registry.log(log, spark.createDataFrame([(2, "p", "grep", 1, 1, 5, -9, None)], "ts long, project string, cmd string, ms long, results long, tokens_out long, tokens_saved long, detail string"))
+    assert [(r.id > 4, r.tokens_saved, r.detail) for r in more.where("ts = 2").collect()] == [(True, 0, "")]
+    s = symbols(spark, [("a", "x", 1, 9), ("a", "y", 2, 4), ("b", "z", 1, 2)])
+    assert tuple(registry.index_counts(projects, s).first()) == (3, 3) and registry.has_files(s) and not registry.has_files(s.limit(0))
+    assert [(r.path, r.header) for r in registry.with_headers(s, ["ord"]).orderBy("ord").collect()] == [("a", True), ("a", False), ("b", True)]
+    assert [r.qualified for r in registry.top_symbols(s, 2).collect()] == ["x", "y"]
+    assert {r.path: r.width for r in registry.line_width(spark.createDataFrame([("a", 90), ("b", 10)], "path string, size long"), s).collect()} == {"a": 10, "b": 5}
+    errors = spark.createDataFrame([("a", [1, 2]), ("b", [])], "path string, errors array<int>")
+    assert tuple(registry.syntax_totals(errors).first()) == (2, 2)
+
+
+def test_coupled_and_hot(spark):
+    rows = [(h, "a", h, p, 1, 1, h) for h, ps in enumerate((["t", "x", "y"], ["t", "x"], ["t", "z"], ["x"])) for p in ps]
+    cf = spark.createDataFrame(rows, "hash int, author string, ts int, path string, adds int, dels int, seq int")
+    assert [(r.path, r.together, r.total) for r in history.coupled(cf, "t", 5).collect()] == [("x", 2, 3)]
+    assert [r.path for r in history.hot(cf, spark.createDataFrame([("x",), ("z",)], "path string"), 5).collect()] == ["x", "z"]
+    ranges = spark.createDataFrame([("a.rs",), ("b.unknown",)], "path string")
+    assert [r.path for r in history.known_only(ranges).collect()] == ["a.rs"]
+
+
+def test_grammar(spark):
+    args = ["src/a.rs:Name", "plain", "a.b:c/d", "x:y", "C:\\a.rs:f", "a.rs:", "a.rs:b:c"]
+    got = [tuple(r.l) for r in spark.createDataFrame([(a,) for a in args], "a string").select(grammar.locator(F.col("a")).alias("l")).collect()]
+    assert got == [grammar.split_locator(a) for a in args]
+    assert got[:4] == [("src/a.rs", "Name"), (None, "plain"), (None, "a.b:c/d"), (None, "x:y")] and got[6] == ("a.rs:b", "c")
+    assert grammar.parse_range("42-48") == (42, 48) and grammar.parse_range(" 1 - 1") == (1, 1)
+    for bad in ("0-3", "5-4", "x", "3", "-1-2"):
+        with pytest.raises(ValueError):
+            grammar.parse_range(bad)
+    assert grammar.literal_of("plain.text") is None and grammar.literal_of("tokens_(out|saved)") == "tokens_" and grammar.literal_of("ab|cd") == "cd" and grammar.literal_of("^$") == ""
+    hashed = spark.createDataFrame([("/x",), ("",), ("/ä",)], "p string").select(grammar.project_hash(F.col("p")).alias("h")).collect()
+
+    def fnv(b):
+        h = 0xCBF29CE484222325
+        for x in b:
+            h = (h ^ x) * 0x100000001B3 % 2**64
+        return f"{h:016x}"
+
+    assert [r.h for r in hashed] == ["07d64e07b49caeb2", fnv(b""), fnv("/ä".encode())]
+    paths = ["/tmp/a", "/var/folders/x/y", "/home/tmp/a", "/scratch/z"]
+    assert [r.e for r in spark.createDataFrame([(p,) for p in paths], "p string").select(grammar.is_ephemeral(F.col("p"), ("/scratch/",)).alias("e")).collect()] == [True, True, False, True]
+    assert grammar.is_home_or_root("/") and grammar.is_home_or_root("/root", "/root") and not grammar.is_home_or_root("/root/repo", "/root")
+    assert spark.range(1).select(grammar.like_escape(F.lit("a%b_c\\")).alias("x")).first().x == "a\\%b\\_c\\\\"
+
+
+def test_hook_payloads_and_json(spark, tmp_path):
+    lines = ['{"tool_name": "Read", "tool_input": {"file_path": "a.rs", "limit": 5}, "cwd": "/x", "session_id": "s"}', "{broken", "{}"]
+    rows = hooks.payloads(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [r.valid for r in rows] == [True, False, False] and rows[0].tool_input.file_path == "a.rs" and rows[0].tool_input.limit == 5 and rows[0].session_id == "s"
+    with open(tmp_path / "x.txt", "w") as f:
+        f.write("\n".join(lines))
+    q = hooks.stream(spark, str(tmp_path)).writeStream.format("memory").queryName("payloads").trigger(once=True).start()
+    assert q.awaitTermination(60) and spark.table("payloads").where("valid").count() == 1
+    one = spark.createDataFrame([("a", 1)], "path string, ln int")
+    assert hooks.json_lines(one).first().value == '{"path":"a","ln":1}' and hooks.structured(one, "refs").first().value == '{"refs":[{"path":"a","ln":1}]}'
 
 
 def test_stream_and_batch_agree(spark, tmp_path):
