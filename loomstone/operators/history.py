@@ -16,14 +16,15 @@ def normalize_rename(path: Column) -> Column:
 
 
 def parse_numstat(log: DataFrame) -> DataFrame:
-    """(repo, seq, hash, author, ts, subject, files array<struct<adds,dels,path>>) of logs (repo, raw).
+    """(repo, seq, hash, author, ts, subject, files array<struct<adds,dels,path>>) of logs (repo, raw), or of parts of logs
+    with ``first``, the number of commits before the part.
 
     A commit starts with \\x01 and holds tab-separated fields; number lines follow. "-" (binary) counts -1.
     """
-    each = log.select("repo", F.posexplode(F.split("raw", "\u0001")).alias("seq", "body")).where("seq > 0")
+    before = F.col("first") if "first" in log.columns else F.lit(0)
+    each = log.select("repo", before.alias("first"), F.posexplode(F.split("raw", "\u0001")).alias("p", "body")).where("p > 0").withColumn("seq", F.col("first") + F.col("p"))
     rows = F.split("body", "\r?\n")
     head = F.split(rows[0], "\t", 4)
-    count = lambda s: F.coalesce(F.expr(f"try_cast({s} as bigint)"), F.lit(-1).cast("long"))
     stats = F.filter(F.transform(F.slice(rows, F.lit(2), F.size(rows)), lambda r: F.split(r, "\t", 3)), lambda p: F.size(p) == 3)
     number = lambda c: F.coalesce(c.try_cast("long"), F.lit(-1).cast("long"))
     files = F.transform(stats, lambda p: F.struct(number(p[0]).alias("adds"), number(p[1]).alias("dels"), normalize_rename(p[2]).alias("path")))
@@ -45,6 +46,14 @@ def co_change(commit_files: DataFrame, target, commit: str = "hash") -> DataFram
     return commit_files.where(F.col("path") != target).join(hit, commit, "left_semi").groupBy("path").agg(F.count("*").alias("together"))
 
 
+def changed_union(*lists: DataFrame) -> DataFrame:
+    """(path): the different paths of several lists of changes."""
+    every = lists[0].select("path")
+    for more in lists[1:]:
+        every = every.unionByName(more.select("path"))
+    return every.distinct()
+
+
 def hot(commit_files: DataFrame, indexed: DataFrame, limit: int) -> DataFrame:
     """The most changed of the indexed files (path), one more than the limit to tell that there are more."""
     return churn(commit_files.join(indexed.select("path").distinct(), "path", "left_semi")).orderBy(F.desc("commits"), F.desc("lines"), "path").limit(limit + 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.policy import is_maintenance
+from ..functions.policy import fires, is_maintenance
 
 # Retention.
 KEEP_SECONDS, KEEP_ROWS = 90 * 86_400, 200_000
@@ -15,10 +15,10 @@ def scoped(usage: DataFrame, project=None) -> DataFrame:
     return usage if project is None else usage.where(F.col("project") == project)
 
 
-def totals(usage: DataFrame) -> DataFrame:
-    """calls, tokens_out, tokens_saved, ms, blocks, baseline, pct_saved in one row."""
+def totals(usage: DataFrame, *by: str) -> DataFrame:
+    """calls, tokens_out, tokens_saved, ms, blocks, baseline, pct_saved in one row, or in one for each value of ``by``."""
     s = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    t = usage.agg(F.count("*").alias("calls"), s("tokens_out"), s("tokens_saved"), s("ms"), F.count_if(F.col("cmd").like("hook:%-block")).alias("blocks"))
+    t = usage.groupBy(*by).agg(F.count("*").alias("calls"), s("tokens_out"), s("tokens_saved"), s("ms"), F.count_if(F.col("cmd").like("hook:%-block")).alias("blocks"))
     t = t.withColumn("baseline", F.col("tokens_out") + F.col("tokens_saved"))
     return t.withColumn("pct_saved", F.when(F.col("baseline") <= 0, 0.0).otherwise(F.round(100.0 * F.col("tokens_saved") / F.col("baseline"), 6)))
 
@@ -65,3 +65,17 @@ def streaks(log: DataFrame, every: int) -> DataFrame:
     w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     n = rereads(log).withColumn("count", F.sum((~F.col("reread")).cast("long")).over(w))
     return n.withColumn("fires", ~F.col("reread") & (F.col("count") % every == 0) & (F.col("count") > 0))
+
+
+def cadence(log: DataFrame, every: int) -> DataFrame:
+    """log (session, seq, ...) with nth (the how manieth event of the session) and fires on every so manieth."""
+    n = F.row_number().over(Window.partitionBy("session").orderBy("seq"))
+    return log.withColumn("nth", n).withColumn("fires", fires(F.col("nth"), every))
+
+
+def expiry(log: DataFrame, ttl_seconds: float) -> DataFrame:
+    """log (session, seq, ts, ...) with expired: a session's first event, or one whose predecessor is more than the time to live
+    older, meets no state."""
+    before = F.lag("ts").over(Window.partitionBy("session").orderBy("seq"))
+    age = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1_000_000
+    return log.withColumn("expired", F.coalesce(age > ttl_seconds, F.lit(True)))

@@ -2,7 +2,7 @@
 
 files := documents (path = source/lang/doc_id); symbols := blocks of ten lines (s0, s1, ...) that each hold
 blocks of three (s0.b0, ...); idents := identifier tokens of the lines; commits := orders with their lineitems;
-usage := events; call edges := supplier -> part pairs of rare lineitems.
+usage := events; call edges := supplier -> part pairs of lineitems; sources := parts.
 """
 
 from __future__ import annotations
@@ -65,9 +65,24 @@ def usage(spark, sf_dir) -> DataFrame:
 
 
 def edges(spark, sf_dir) -> DataFrame:
-    """Sparse directed edges (src, dst) over 199 nodes."""
-    l = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 49")
-    return l.select(F.pmod("l_suppkey", F.lit(199)).alias("src"), F.pmod("l_partkey", F.lit(199)).alias("dst")).where("src <> dst").distinct()
+    """Directed edges (src, dst): a supplier's number points at the numbers of the parts that it ships, so low numbers lead on."""
+    l = table(spark, sf_dir, "lineitem")
+    return l.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).where("src <> dst").distinct()
+
+
+def sources(spark, sf_dir) -> DataFrame:
+    """Source files (path, lang, text) made of parts: each imports the file of another part in its language's ways."""
+    p = table(spark, sf_dir, "part")
+    k, s = F.col("p_partkey"), lambda c: c.cast("string")
+    lang = F.element_at(F.array(*map(F.lit, ("rust", "python", "typescript"))), F.pmod(k, F.lit(3)).cast("int") + 1)
+    ext = F.element_at(F.array(*map(F.lit, (".rs", ".py", ".ts"))), F.pmod(k, F.lit(3)).cast("int") + 1)
+    folder = F.concat(F.lit("src/b"), F.regexp_extract("p_brand", "([0-9]+)", 1))
+    other = s(k + 3 * F.col("p_size"))
+    rust = F.concat(F.lit("use crate::"), F.lit("m"), other, F.lit("::{Item, self};\nuse serde::{\n    de::Error,\n};\nmod m"), other, F.lit(";\nfn f() {}\n"))
+    python = F.concat(F.lit("import os, m"), other, F.lit("\nfrom .m"), other, F.lit(" import x\n"))
+    script = F.concat(F.lit("import { x } from './m"), other, F.lit(".js'\nconst r = require(\"react\")\n"))
+    text = F.when(lang == "rust", rust).when(lang == "python", python).otherwise(script)
+    return p.select("p_partkey", F.concat(folder, F.lit("/m"), s(k), ext).alias("path"), lang.alias("lang"), text.alias("text"), folder.alias("folder"), other.alias("other"))
 
 
 def reads(spark, sf_dir) -> DataFrame:
@@ -88,5 +103,11 @@ SQL_IDENTS = "idents AS (SELECT path, ln, name FROM (SELECT path, ln, unnest(reg
 SQL_COMMITS = "cf AS (SELECT l_orderkey AS hash, 'c' || o_custkey AS author, floor(epoch(o_orderdate))::BIGINT AS ts, l_partkey AS path, floor(l_quantity)::BIGINT AS adds, (l_linenumber - 2)::BIGINT AS dels, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 SQL_USAGE = """usage AS (SELECT event_id AS id, floor(epoch(ts))::BIGINT AS ts, user_id AS project, CASE event_type WHEN 'error' THEN 'hook:read-block' WHEN 'signup' THEN 'index' ELSE event_type END AS cmd,
   event_id % 97 AS ms, floor(abs(value))::BIGINT AS tokens_out, floor(abs(value))::BIGINT * 3 AS tokens_saved, CASE WHEN event_type = 'view' THEN '' ELSE props END AS detail FROM events)"""
-SQL_EDGES = "edges AS (SELECT DISTINCT l_suppkey % 199 AS src, l_partkey % 199 AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49 AND l_suppkey % 199 <> l_partkey % 199)"
+SQL_EDGES = "edges AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <> l_partkey)"
+SQL_SOURCES = """src AS (SELECT p_partkey, ['rust', 'python', 'typescript'][p_partkey % 3 + 1] AS lang, 'src/b' || regexp_extract(p_brand, '([0-9]+)', 1) AS folder, ['.rs', '.py', '.ts'][p_partkey % 3 + 1] AS ext, (p_partkey + 3 * p_size)::VARCHAR AS other FROM part),
+files AS (SELECT folder || '/m' || p_partkey || ext AS path, lang, folder, ext, other FROM src),
+specs AS (SELECT path AS importer, lang, folder, ext, other, unnest(CASE lang WHEN 'rust' THEN ['crate::m' || other || '::Item', 'crate::m' || other, 'serde::de::Error', 'serde', 'mod:m' || other]
+  WHEN 'python' THEN ['os', 'm' || other, '.m' || other] ELSE ['./m' || other || '.js', 'react'] END) AS spec FROM files),
+found AS (SELECT DISTINCT importer, spec, path FROM (SELECT s.importer, s.spec, f.path, row_number() OVER (PARTITION BY s.importer, s.spec ORDER BY length(f.path), f.path) AS rn
+  FROM specs s JOIN files f ON f.ext = s.ext AND f.path LIKE '%/m' || s.other || s.ext AND contains(s.spec, 'm' || s.other) AND (f.folder = s.folder OR starts_with(s.spec, 'crate::') OR starts_with(s.spec, 'm') AND NOT starts_with(s.spec, 'mod:'))) WHERE rn = 1)"""
 SQL_READS = "reads AS (SELECT user_id AS session, coalesce(props, '') AS path, ts, event_id FROM events)"

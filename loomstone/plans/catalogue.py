@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import code, policy, text
-from ..operators import graph, history, intervals, ranking, search, usage
+from ..functions import code, grammar, imports, policy, text
+from ..operators import graph, history, intervals, ranking, registry, search, usage
+from ..sources import extract, hooks, index
 from . import carriers as C
 
 QUERIES: dict = {}
@@ -68,9 +68,9 @@ def grep_top_with_flag(spark, d):
     return ranking.clip(hits, ["path", "ln"], search.LIMITS["grep"])
 
 
-@query(f"WITH {C.SQL_LINES} SELECT path, ln, line FROM lines WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])ation($|[^A-Za-z0-9_])')")
+@query(f"WITH {C.SQL_LINES} SELECT path, ln, line FROM lines WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])that($|[^A-Za-z0-9_])')")
 def refs_word_boundary(spark, d):
-    return search.refs(C.files(spark, d), "ation")
+    return search.refs(C.files(spark, d), "that")
 
 
 @query(f"WITH {C.SQL_LINES}, m AS (SELECT path, ln FROM lines WHERE contains(line, 'on the')), c AS (SELECT DISTINCT l.path, l.ln, strlen(l.line) AS b FROM lines l JOIN m ON l.path = m.path AND abs(l.ln - m.ln) <= 2) SELECT path, (sum(b + 1) + 3)::BIGINT // 4 AS tokens FROM c GROUP BY path")
@@ -214,27 +214,26 @@ def callees_join(spark, d):
 
 
 @query(
-    f"""WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R'),
+    """WITH own AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey, l_quantity, p_brand, p_type FROM lineitem JOIN part ON p_partkey = l_partkey),
 cands AS (SELECT call_id, 'm' || l_suppkey % 5 AS my_scope, 'd' || l_suppkey % 4 || '/f' || l_suppkey % 9 AS my_file, (l_quantity % 4)::INT AS argc, p_partkey, 'm' || p_size % 5 AS scope, 'd' || p_size % 4 || '/f' || p_partkey % 9 AS file, (p_size % 5)::INT AS params, p_size % 2 = 0 AS m
-  FROM l JOIN part ON p_partkey % 40 = l_partkey % 40 AND p_partkey <= 200),
+  FROM own JOIN part USING (p_brand, p_type)),
 r AS (SELECT *, scope = my_scope AS r0, file = my_file AS r1, split_part(file, '/', 1) = split_part(my_file, '/', 1) AS r2, greatest(params - m::INT, 0) = argc AS r3 FROM cands),
 n AS (SELECT *, sum(r0::INT) OVER w AS n0, sum(r1::INT) OVER w AS n1, sum(r2::INT) OVER w AS n2, sum(r3::INT) OVER w AS n3 FROM r WINDOW w AS (PARTITION BY call_id)),
 k AS (SELECT * FROM n WHERE CASE WHEN n0 = 1 THEN r0 WHEN n1 = 1 THEN r1 WHEN n2 = 1 THEN r2 WHEN n3 = 1 THEN r3 ELSE true END)
 SELECT call_id, p_partkey AS callee, count(*) OVER (PARTITION BY call_id) > 1 AS ambiguous FROM k"""
 )
 def narrow_by_scope(spark, d):
-    l = C.table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    l, p = C.table(spark, d, "lineitem"), C.table(spark, d, "part")
     name = lambda p, c, n: F.concat(F.lit(p), F.pmod(c, F.lit(n)).cast("string"))
-    calls = l.select(
+    calls = l.join(p.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type"), "l_partkey").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), name("m", F.col("l_suppkey"), 5).alias("my_scope"),
-        F.concat(name("d", F.col("l_suppkey"), 4), name("/f", F.col("l_suppkey"), 9)).alias("my_file"), (F.col("l_quantity") % 4).cast("int").alias("argc"), F.pmod("l_partkey", F.lit(40)).alias("k"),
+        F.concat(name("d", F.col("l_suppkey"), 4), name("/f", F.col("l_suppkey"), 9)).alias("my_file"), (F.col("l_quantity") % 4).cast("int").alias("argc"), "p_brand", "p_type",
     )
-    p = C.table(spark, d, "part").where("p_partkey <= 200")
     cands = p.select(
-        F.pmod("p_partkey", F.lit(40)).alias("k"), F.col("p_partkey").alias("callee"), name("m", F.col("p_size"), 5).alias("scope"),
+        "p_brand", "p_type", F.col("p_partkey").alias("callee"), name("m", F.col("p_size"), 5).alias("scope"),
         F.concat(name("d", F.col("p_size"), 4), name("/f", F.col("p_partkey"), 9)).alias("file"), F.pmod("p_size", F.lit(5)).cast("int").alias("params"), (F.col("p_size") % 2 == 0).alias("is_method"),
     )
-    return graph.narrow_by_scope(calls.join(cands, "k")).select("call_id", "callee", "ambiguous")
+    return graph.narrow_by_scope(calls.join(cands, ["p_brand", "p_type"])).select("call_id", "callee", "ambiguous")
 
 
 @query(f"WITH {SQL_GREP_ENCLOSING.replace(chr(39) + 'ation' + chr(39), chr(39) + 'tion' + chr(39))}, u AS (SELECT path, symbol, ln, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS name FROM e) SELECT path, symbol, min(ln) AS ln FROM u WHERE name = 'tion' AND symbol <> '' AND string_split(symbol, '.')[-1] <> 'tion' GROUP BY path, symbol")
@@ -276,17 +275,31 @@ def most_imported(spark, d):
     return graph.in_degree(C.edges(spark, d)).orderBy(F.desc("n"), "node").limit(10)
 
 
-SQL_LINKS = "links AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS spec FROM pages)"
+@query(f"WITH {C.SQL_SOURCES} SELECT importer, spec FROM specs")
+def import_extract(spark, d):
+    return imports.specs_of(C.sources(spark, d)).select("importer", "spec")
 
 
-def _links(spark, d):
-    p = C.table(spark, d, "pages")
-    return p.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("spec"))
+@query(f"WITH {C.SQL_SOURCES} SELECT importer, spec, path FROM found")
+def import_resolve(spark, d):
+    files = C.sources(spark, d)
+    return imports.resolve(imports.specs_of(files).distinct(), files)
 
 
-@query(f"WITH {SQL_LINKS} SELECT DISTINCT page_id, spec FROM links")
+@query(f"WITH {C.SQL_SOURCES} SELECT DISTINCT importer AS src, path AS dst FROM found WHERE importer <> path")
 def import_edges(spark, d):
-    return _links(spark, d).select("page_id", "spec").distinct()
+    from ..operators.composite import dependencies
+
+    return dependencies(C.sources(spark, d))["edges"]
+
+
+@query(f"""WITH {C.SQL_SOURCES}, lost AS (SELECT importer, lang, spec FROM specs ANTI JOIN found USING (importer, spec)),
+x AS (SELECT DISTINCT importer, CASE WHEN lang = 'rust' AND NOT starts_with(spec, 'crate::') AND NOT starts_with(spec, 'mod:') THEN split_part(spec, '::', 1) WHEN lang = 'python' AND NOT starts_with(spec, '.') THEN spec WHEN lang = 'typescript' AND NOT starts_with(spec, '.') THEN spec END AS package FROM lost)
+SELECT package, count(*) AS n FROM x WHERE package IS NOT NULL GROUP BY package ORDER BY n DESC, package LIMIT 20""")
+def external_packages(spark, d):
+    from ..operators.composite import dependencies
+
+    return dependencies(C.sources(spark, d))["external"]
 
 
 @query(
@@ -305,12 +318,6 @@ def import_resolution_priority(spark, d):
     return graph.resolve_imports(specs, p.select(F.concat(n("d", F.col("p_size"), 7), n("/n", F.col("p_partkey"), 61), end).alias("path")))
 
 
-@query("WITH u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages) SELECT host, count(*) AS n FROM (SELECT DISTINCT page_id, host FROM u WHERE host <> '') GROUP BY host")
-def external_hosts(spark, d):
-    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
-    return C.table(spark, d, "pages").select("page_id", host.alias("host")).where("host <> ''").distinct().groupBy("host").agg(F.count("*").alias("n"))
-
-
 _SPECS = "['serde::de::Value', 'std::fmt', 'crate::x', 'mod:y', 'numpy.linalg', '.local', 'os', '@scope/pkg/sub', './rel', 'react/jsx', '/abs']"
 
 
@@ -413,11 +420,14 @@ def parse_hunks(spark, d):
     return history.parse_hunks(o.select(k.alias("id"), raw.alias("raw")))
 
 
-@query("SELECT p_partkey, ['a/new.rs', 'src/lib/m.rs', 'new.rs', 'plain/x.rs', 'a/b.rs'][p_partkey % 5 + 1] AS path FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'src/' || p_type || '/f' || p_partkey || '.rs' WHEN 1 THEN p_type || '/' || p_partkey WHEN 2 THEN p_brand || '/' || p_partkey || '.py' ELSE 'a/' || p_partkey || '/' || p_brand END AS path FROM part")
 def normalize_rename(spark, d):
-    raw = ("a/{old.rs => new.rs}", "src/{core => lib}/m.rs", "old.rs => new.rs", "plain/x.rs", "a/{sub => }/b.rs")
-    k = F.col("p_partkey")
-    path = F.element_at(F.array(*map(F.lit, raw)), F.pmod(k, F.lit(5)).cast("int") + 1)
+    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    both = F.concat(F.col("p_brand"), F.lit(" => "), F.col("p_type"))
+    braces = F.concat(F.lit("src/{"), both, F.lit("}/f"), key, F.lit(".rs"))
+    whole = F.concat(F.col("p_brand"), F.lit("/"), key, F.lit(" => "), F.col("p_type"), F.lit("/"), key)
+    gone = F.concat(F.lit("a/{"), F.col("p_type"), F.lit(" => }/"), key, F.lit("/"), F.col("p_brand"))
+    path = F.when(k % 4 == 0, braces).when(k % 4 == 1, whole).when(k % 4 == 2, F.concat(F.col("p_brand"), F.lit("/"), key, F.lit(".py"))).otherwise(gone)
     return C.table(spark, d, "part").select(k, history.normalize_rename(path).alias("path"))
 
 
@@ -426,6 +436,17 @@ def churn(spark, d):
     return history.churn(C.commit_files(spark, d)).orderBy(F.desc("commits"), F.desc("lines"), "path").limit(search.LIMITS["hot"])
 
 
+@query(f"WITH {C.SQL_COMMITS} SELECT path, count(*) AS commits, sum(greatest(adds, 0) + greatest(dels, 0))::BIGINT AS lines FROM cf WHERE path IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY path ORDER BY commits DESC, lines DESC, path LIMIT 21")
+def hot_indexed(spark, d):
+    indexed = C.table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("path"))
+    return history.hot(C.commit_files(spark, d), indexed, search.LIMITS["hot"]).select("path", "commits", "lines")
+
+
+@query(f"WITH {C.SQL_COMMITS}, t AS (SELECT DISTINCT hash FROM cf WHERE path = 17) SELECT path, count(*) AS together, (SELECT count(*) FROM t) AS total FROM cf JOIN t USING (hash) WHERE path <> 17 GROUP BY path HAVING count(*) >= 2 ORDER BY together DESC, path LIMIT 16")
+def coupled_files(spark, d):
+    return history.coupled(C.commit_files(spark, d), 17, search.LIMITS["coupling"])
+
+
 @query(f"WITH {C.SQL_COMMITS} SELECT path, count(*) AS together FROM cf WHERE path <> 17 AND hash IN (SELECT hash FROM cf WHERE path = 17) GROUP BY path")
 def co_change(spark, d):
     return history.co_change(C.commit_files(spark, d), 17)
@@ -454,10 +475,9 @@ def usage_recent(spark, d):
     return usage.recent(C.usage(spark, d), 40).select("id", "ts", "project", "cmd", "ms")
 
 
-@query(f"WITH {C.SQL_USAGE} SELECT project, round(100.0::DOUBLE * sum(tokens_saved) / sum(tokens_out + tokens_saved), 6)::DOUBLE AS pct_saved FROM usage GROUP BY project HAVING sum(tokens_out + tokens_saved) > 0")
+@query(f"WITH {C.SQL_USAGE} SELECT project, count(*) AS calls, round(100.0::DOUBLE * sum(tokens_saved) / sum(tokens_out + tokens_saved), 6)::DOUBLE AS pct_saved FROM usage GROUP BY project HAVING sum(tokens_out + tokens_saved) > 0")
 def usage_pct_saved(spark, d):
-    t = C.usage(spark, d).groupBy("project").agg(F.sum("tokens_saved").alias("s"), F.sum(F.col("tokens_out") + F.col("tokens_saved")).alias("b")).where("b > 0")
-    return t.select("project", F.round(100.0 * F.col("s") / F.col("b"), 6).alias("pct_saved"))
+    return usage.totals(C.usage(spark, d), "project").where("baseline > 0").select("project", "calls", "pct_saved")
 
 
 @query(f"WITH {C.SQL_USAGE}, n AS (SELECT max(ts) AS t FROM usage), y AS (SELECT usage.* FROM usage, n WHERE ts >= t - 864000), c AS (SELECT * FROM y ORDER BY id DESC LIMIT 500) SELECT id, ts, project FROM c WHERE project IN (SELECT c_custkey FROM customer)")
@@ -470,7 +490,36 @@ def tidy_age_and_cap(spark, d):
 
 @query("SELECT count(*) AS projects, sum(c_nationkey)::BIGINT AS files, sum(length(c_name))::BIGINT AS symbols FROM customer")
 def registry_totals(spark, d):
-    return C.table(spark, d, "customer").agg(F.count("*").alias("projects"), F.sum("c_nationkey").alias("files"), F.sum(F.char_length("c_name")).alias("symbols"))
+    return registry.totals(C.table(spark, d, "customer").select(F.col("c_nationkey").alias("files"), F.char_length("c_name").alias("symbols")))
+
+
+@query("SELECT c_custkey AS hash, path FROM (SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN '/tmp/' ELSE '/home/' END || c_name AS path FROM customer) WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O') AND starts_with(path, '/tmp/')")
+def registry_orphans(spark, d):
+    c = C.table(spark, d, "customer")
+    path = F.concat(F.when(F.col("c_nationkey") < 5, "/tmp/").otherwise("/home/"), "c_name")
+    projects = c.select(F.col("c_custkey").alias("hash"), path.alias("path"))
+    here = C.table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'O'").select(F.col("o_custkey").alias("hash")).distinct()
+    return registry.orphans(projects, projects.join(here, "hash", "left_semi")).select("hash", "path")
+
+
+@query(f"WITH {C.SQL_SYMBOLS} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols")
+def index_counts(spark, d):
+    return registry.index_counts(C.files(spark, d), C.symbols(spark, d))
+
+
+@query(f"WITH {C.SQL_SYMBOLS} SELECT path, size // greatest(max(end_line), 1) AS width FROM files JOIN symbols USING (path) GROUP BY path, size")
+def line_width(spark, d):
+    return registry.line_width(C.files(spark, d), C.symbols(spark, d))
+
+
+@query(f"WITH {C.SQL_SYMBOLS} SELECT path, qualified, end_line - start_line AS span FROM symbols ORDER BY span DESC, start_line, path, ord LIMIT 40")
+def top_symbols(spark, d):
+    return registry.top_symbols(C.symbols(spark, d), 40).select("path", "qualified", (F.col("end_line") - F.col("start_line")).alias("span"))
+
+
+@query(f"WITH {C.SQL_SYMBOLS} SELECT path, qualified, row_number() OVER (PARTITION BY path ORDER BY ord) = 1 AS header FROM symbols")
+def header_on_new_file(spark, d):
+    return registry.with_headers(C.symbols(spark, d), ["ord"]).select("path", "qualified", "header")
 
 
 @query(f"WITH {C.SQL_USAGE} SELECT project, arg_max(cmd, struct_pack(a := ts, b := id)) AS cmd, max(ts) AS ts FROM usage GROUP BY project")
@@ -484,42 +533,50 @@ def registry_upsert(spark, d):
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def vanished_files(spark, d):
-    seen = C.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")).distinct()
-    return C.table(spark, d, "part").join(seen, "p_partkey", "left_anti").select("p_partkey", "p_name")
+    seen = C.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("path")).distinct()
+    indexed = C.table(spark, d, "part").select(F.col("p_partkey").alias("path"), "p_name")
+    return index.vanished(indexed, seen).select(F.col("path").alias("p_partkey"), "p_name")
+
+
+@query("""WITH asked AS (SELECT DISTINCT l_partkey AS path FROM lineitem), idx AS (SELECT p_partkey AS path, p_size AS size, p_retailprice AS m FROM part WHERE p_size > 5),
+disk AS (SELECT p_partkey AS path, CASE WHEN p_type LIKE 'STANDARD%' THEN p_size + 1 ELSE p_size END AS size, p_retailprice AS m FROM part WHERE p_size < 45)
+SELECT path, NOT coalesce(i.size = d.size AND i.m = d.m, false) AS stale FROM asked LEFT JOIN idx i USING (path) LEFT JOIN disk d USING (path)""")
+def freshness(spark, d):
+    p = C.table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("mtime_ns"), "p_type")
+    disk = p.where("size < 45").withColumn("size", F.when(F.col("p_type").startswith("STANDARD"), F.col("size") + 1).otherwise(F.col("size")))
+    return index.freshness(C.table(spark, d, "lineitem").select(F.col("l_partkey").alias("path")), disk, p.where("size > 5"))
 
 
 @query(f"WITH {C.SQL_FILES}, disk AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN size + 1 ELSE size END AS size, doc_id AS mtime FROM files WHERE doc_id % 7 <> 0), idx AS (SELECT path, size, CASE WHEN doc_id % 6 = 0 THEN doc_id - 1 ELSE doc_id END AS mtime FROM files WHERE doc_id % 11 <> 0) SELECT d.path, i.path IS NULL AS is_new FROM disk d LEFT JOIN idx i ON d.path = i.path WHERE i.path IS NULL OR d.size <> i.size OR d.mtime <> i.mtime")
 def changed_files(spark, d):
-    from ..sources.index import changed
-
     f, i = C.files(spark, d), F.col("doc_id")
     disk = f.where(i % 7 != 0).select("path", F.when(i % 5 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), i.alias("mtime_ns"))
     indexed = f.where(i % 11 != 0).select("path", "size", F.when(i % 6 == 0, i - 1).otherwise(i).alias("mtime_ns"))
-    return changed(disk, indexed).select("path", "is_new")
+    return index.changed(disk, indexed).select("path", "is_new")
 
 
-@query("WITH s AS (SELECT l.doc_id, 'm.q' || l.doc_id % 9 AS sym FROM labels l), n AS (SELECT item_id, 'x.y.q' || item_id % 12 AS k FROM benchmark) SELECT s.doc_id, n.item_id FROM s JOIN n ON split_part(s.sym, '.', -1) = split_part(n.k, '.', -1)")
+@query("WITH s AS (SELECT l.doc_id, 'm.q' || l.doc_id % 9 AS sym FROM labels l), n AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'x.y.q' ELSE 'q' END || item_id % 12 AS k FROM benchmark) SELECT s.doc_id, n.item_id FROM s JOIN n ON sym = k OR split_part(s.sym, '.', -1) = split_part(n.k, '.', -1)")
 def notes_for_tail(spark, d):
-    key = lambda p, c, n: F.concat(F.lit(p), F.pmod(c, F.lit(n)).cast("string"))
-    s = C.table(spark, d, "labels").select("doc_id", text.name_tail(key("m.q", F.col("doc_id"), 9)).alias("tail"))
-    n = C.table(spark, d, "benchmark").select("item_id", text.name_tail(key("x.y.q", F.col("item_id"), 12)).alias("tail"))
-    return s.join(n, "tail").select("doc_id", "item_id")
+    key = lambda p, c, n: F.concat(p, F.pmod(c, F.lit(n)).cast("string"))
+    s = C.table(spark, d, "labels").select("doc_id", key(F.lit("m.q"), F.col("doc_id"), 9).alias("symbol"))
+    n = C.table(spark, d, "benchmark")
+    n = n.select(F.col("item_id").alias("id"), key(F.when(F.col("item_id") % 2 == 0, "x.y.q").otherwise("q"), F.col("item_id"), 12).alias("symbol"), F.col("text").alias("note"), F.lit(0).alias("ts"))
+    return registry.notes_for(s, n).select("doc_id", F.col("id").alias("item_id"))
 
 
-@query("SELECT DISTINCT doc_id, path FROM (SELECT doc_id, source AS path FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT DISTINCT path FROM (SELECT l_partkey AS path FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O')")
 def changed_union(spark, d):
-    docs = C.table(spark, d, "documents").select("doc_id", F.col("source").alias("path"))
-    return docs.where("doc_id % 3 = 0").unionByName(docs.where("doc_id % 2 = 0")).dropDuplicates()
+    l = C.table(spark, d, "lineitem").withColumnRenamed("l_partkey", "path")
+    return history.changed_union(l.where("l_returnflag = 'R'"), l.where("l_linestatus = 'O'"))
 
 
 @query(
-    """WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(main|nav|header|footer|section|article|aside|form|table|ul|ol|h1|h2|h3|h4|h5|h6)(\\s[^>]*)?>', 1)) AS tag FROM pages)
+    """WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(main|nav|header|footer|section|article|aside|form|table|h1|h2|h3|h4|h5|h6|script|style|template|dialog)(\\s[^>]*)?>', 1)) AS tag FROM pages)
 SELECT page_id, tag, count(*) AS n FROM t GROUP BY page_id, tag"""
 )
 def html_elements(spark, d):
-    pattern = r"<(main|nav|header|footer|section|article|aside|form|table|ul|ol|h1|h2|h3|h4|h5|h6)(\s[^>]*)?>"
-    tags = C.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(pattern), 1)).alias("tag"))
-    return tags.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    pages = C.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("lang"), F.col("html").alias("text"))
+    return extract.symbols(pages).groupBy(F.col("path").cast("long").alias("page_id"), F.col("name").alias("tag")).agg(F.count("*").alias("n"))
 
 
 # Session policies ------------------------------------------------------------------------------------------------------
@@ -564,16 +621,25 @@ def decide_grep(spark, d):
 
 @query("SELECT event_id, (n > 0 AND n % 10 = 0) AS fires FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)")
 def cadence(spark, d):
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return C.table(spark, d, "events").withColumn("n", n).select("event_id", policy.fires(F.col("n"), policy.NUDGE_EVERY).alias("fires"))
+    return usage.cadence(C.reads(spark, d), policy.NUDGE_EVERY).select("event_id", "fires")
 
 
 @query("WITH e AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT event_id, coalesce(epoch(ts) - epoch(p) > 604800, true) AS expired FROM e")
 def retention_state_ttl(spark, d):
-    p = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
-    e = C.table(spark, d, "events").withColumn("p", p)
-    return e.select("event_id", F.coalesce(seconds(F.col("ts")) - seconds(F.col("p")) > 7 * 86_400, F.lit(True)).alias("expired"))
+    return usage.expiry(C.reads(spark, d).withColumn("ts", F.col("seq.ts")), 7 * 86_400).select("event_id", "expired")
+
+
+@query("""SELECT event_id, event_type AS tool_name, 'f' || user_id || '.rs' AS file_path, event_id * 7 AS lim, 's' || user_id AS session_id, event_type <> 'error' AS valid FROM events WHERE event_type <> 'error'
+UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, false FROM events WHERE event_type = 'error'""")
+def hook_payloads(spark, d):
+    e = C.table(spark, d, "events")
+    s = lambda c: F.col(c).cast("string")
+    lim = (F.col("event_id") * 7).cast("string")
+    good = F.concat(F.lit('{"tool_name": "'), "event_type", F.lit('", "tool_input": {"file_path": "f'), s("user_id"), F.lit('.rs", "limit": '), lim, F.lit('}, "cwd": "/x", "session_id": "s'), s("user_id"), F.lit('"}'))
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("{broken "), s("event_id"))).otherwise(good)
+    rows = e.select("event_id", line.alias("value"))
+    parsed = hooks.payloads(rows, "event_id")
+    return parsed.select("event_id", "tool_name", "tool_input.file_path", F.col("tool_input.limit").alias("lim"), "session_id", "valid")
 
 
 # Scalars ---------------------------------------------------------------------------------------------------------------
@@ -582,11 +648,30 @@ _SIGS = ("fn a()", "fn b(x: i32)", "def c(self, y=(1, 2), z=[3, 4])", "no parens
 _PARAMS = "[0, 1, 3, NULL, 2, 0, 0, 2, 2]"
 
 
-@query(f"SELECT p_partkey, coalesce({_PARAMS}[p_partkey % 9 + 1], -1)::INT AS params, p_partkey % 9 IN (2, 7) AS receiver FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 7 = 6 THEN -1 ELSE p_size % 7 + (p_partkey % 2) END::INT AS params, p_size % 7 < 6 AND p_partkey % 2 = 1 AS receiver FROM part")
 def param_count(spark, d):
-    sig = F.element_at(F.array(*map(F.lit, _SIGS)), F.pmod("p_partkey", F.lit(9)).cast("int") + 1)
-    p = C.table(spark, d, "part").select("p_partkey", sig.alias("sig"))
-    return p.select("p_partkey", F.coalesce(text.param_count(F.col("sig")), F.lit(-1)).alias("params"), text.first_param_is_receiver(F.col("sig")).alias("receiver"))
+    p = C.table(spark, d, "part")
+    k, n = F.col("p_partkey"), F.pmod("p_size", F.lit(7)).cast("int")
+    # A parameter's type holds brackets, commas and quotes of its own.
+    kinds = F.array(*map(F.lit, ("Vec<Map<K, V>>", "impl Fn(i32, u8) -> i32", "[u8; 4]", 'x = "a,b"', "(A, B)", "&mut T")))
+    params = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit("p"), i.cast("string"), F.lit(": "), F.element_at(kinds, F.pmod(i + k, F.lit(6)).cast("int") + 1)))
+    listed = F.concat(F.when(k % 2 == 1, F.array(F.lit("&mut self"))).otherwise(F.array().cast("array<string>")), F.when(n > 0, params).otherwise(F.array().cast("array<string>")))
+    sig = F.when(n == 6, F.concat(F.lit("struct "), "p_name")).otherwise(F.concat(F.lit("pub fn f"), k.cast("string"), F.lit("("), F.array_join(listed, ", "), F.lit(") -> Result<A, B> {")))
+    rows = p.select("p_partkey", sig.alias("sig"))
+    return rows.select("p_partkey", F.coalesce(text.param_count(F.col("sig")), F.lit(-1)).alias("params"), text.first_param_is_receiver(F.col("sig")).alias("receiver"))
+
+
+@query("""WITH b AS (SELECT p_partkey, list_concat([14695981039346656037::UHUGEINT], [x::UHUGEINT FOR x IN [ord(c) FOR c IN string_split('/home/' || p_name, '')]]) AS l FROM part)
+SELECT p_partkey, lower(lpad(to_hex(list_reduce(l, lambda h, x: (xor(h::UHUGEINT, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)), 16, '0')) AS hash FROM b""")
+def project_hash(spark, d):
+    return C.table(spark, d, "part").select("p_partkey", grammar.project_hash(F.concat(F.lit("/home/"), "p_name")).alias("hash"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'src/' || p_partkey || '.rs' END AS file, CASE p_size % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || ':' || p_type ELSE p_brand END AS name FROM part""")
+def locator(spark, d):
+    p, key = C.table(spark, d, "part"), F.col("p_partkey").cast("string")
+    arg = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("src/"), key, F.lit(".rs:"), "p_brand")).when(F.col("p_size") % 3 == 1, F.concat_ws(":", "p_brand", "p_type")).otherwise(F.col("p_brand"))
+    return p.select("p_partkey", grammar.locator(arg).alias("l")).select("p_partkey", "l.file", "l.name")
 
 
 @query("WITH n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name ELSE replace(p_name, ' ', '.') || '.end' END AS q FROM part) SELECT p_partkey, string_split(q, '.')[-1] AS tail, CASE WHEN contains(q, '.') THEN regexp_extract(q, '^(.*)\\.[^.]*$', 1) END AS scope FROM n")
@@ -606,10 +691,11 @@ def humanize(spark, d):
     return C.table(spark, d, "orders").select("o_orderkey", text.human_bytes(k * 7919 % 2000000011).alias("size"), text.ago(k * k % 200003).alias("age"))
 
 
-@query("SELECT p_partkey, ['rust', 'python', NULL, 'make', 'dockerfile', 'typescript', NULL, 'json', 'r'][p_partkey % 9 + 1] AS lang, [true, true, false, true, true, false, false, false, true][p_partkey % 9 + 1] AS indexed FROM part")
+@query("""SELECT p_partkey, ['rust', 'python', NULL, 'make', 'dockerfile', 'typescript', NULL, 'json', 'r'][p_partkey % 9 + 1] AS lang, [true, true, false, true, true, false, false, false, true][p_partkey % 9 + 1] AND p_size % 10 > 0 AS indexed FROM part""")
 def detect_language(spark, d):
-    paths = ("src/a.rs", "x/y.pyi", "notes.txt", "tools/Makefile", "Dockerfile.dev", "node_modules/q/a.ts", "README", "web/package-lock.json", "plot.R")
-    path = F.element_at(F.array(*map(F.lit, paths)), F.pmod("p_partkey", F.lit(9)).cast("int") + 1)
+    paths = ("src/#.rs", "x/#.pyi", "#.txt", "tools/#/Makefile", "#/Dockerfile.dev", "node_modules/#/a.ts", "#/README", "#/package-lock.json", "plot #.R")
+    each = F.element_at(F.array(*map(F.lit, paths)), F.pmod("p_partkey", F.lit(9)).cast("int") + 1)
+    path = F.concat(F.when(F.col("p_size") % 10 == 0, "vendor/").otherwise(""), F.replace(each, F.lit("#"), F.concat_ws("-", "p_name", "p_partkey")))
     p = C.table(spark, d, "part").select("p_partkey", path.alias("path"))
     return p.select("p_partkey", code.detect_lang(F.col("path")).alias("lang"), code.is_indexed_path(F.col("path")).alias("indexed"))
 

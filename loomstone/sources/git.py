@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.history import parse_hunks, parse_numstat
+from ..operators.history import changed_union, parse_hunks, parse_numstat
 
 FORMAT = "\x01%H\t%an\t%at\t%s"
 
 
+#: Commits in a row that a task parses.
+CHUNK = 200
+
+
 def git(root: str, *args: str) -> str:
     return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, check=True, errors="replace").stdout
 
 
 def commits(spark: SparkSession, root: str, since: str = "6 months ago") -> DataFrame:
     """(repo, seq, hash, author, ts, subject, files) of commits since a date, newest first."""
-    raw = git(root, "log", f"--format={FORMAT}", f"--since={since}", "--numstat")
-    return parse_numstat(spark.createDataFrame([(root, raw)], "repo string, raw string"))
+    each = git(root, "log", f"--format={FORMAT}", f"--since={since}", "--numstat").split("\x01")[1:]
+    # Some commits a row, so that tasks share the parsing.
+    rows = [(root, at, "".join(f"\x01{c}" for c in each[at : at + CHUNK])) for at in range(0, len(each), CHUNK)]
+    return parse_numstat(spark.createDataFrame(rows, "repo string, first int, raw string"))
 
 
 def commit_files(log: DataFrame) -> DataFrame:
@@ -30,14 +37,14 @@ def commit_files(log: DataFrame) -> DataFrame:
 
 def hunks(spark: SparkSession, root: str, ref: str = "HEAD") -> DataFrame:
     """Changed ranges of the working tree against a commit."""
-    raw = git(root, "diff", "--unified=0", ref)
-    return parse_hunks(spark.createDataFrame([(1, raw)], "id int, raw string")).drop("id")
+    files = re.split(r"(?m)^(?=diff --git )", git(root, "diff", "--unified=0", ref))
+    return parse_hunks(spark.createDataFrame([(k, raw) for k, raw in enumerate(files) if raw], "id int, raw string")).drop("id")
 
 
 def changed_paths(spark: SparkSession, root: str) -> DataFrame:
     """Paths that differ from HEAD or aren't tracked."""
-    rows = git(root, "diff", "--name-only", "HEAD").splitlines() + git(root, "ls-files", "--others", "--exclude-standard").splitlines()
-    return spark.createDataFrame([(p,) for p in dict.fromkeys(rows)], "path string")
+    paths = lambda *args: spark.createDataFrame([(p,) for p in git(root, *args).splitlines()], "path string")
+    return changed_union(paths("diff", "--name-only", "HEAD"), paths("ls-files", "--others", "--exclude-standard"))
 
 
 def line_history(spark: SparkSession, root: str, path: str, start: int, end: int, limit: int = 10) -> DataFrame:

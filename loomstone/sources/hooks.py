@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 PAYLOAD = "tool_name string, tool_input struct<file_path:string,path:string,pattern:string,command:string,offset:long,limit:long,output_mode:string>, cwd string, session_id string"
 
 
-def payloads(lines: DataFrame) -> DataFrame:
-    """(tool_name, tool_input, cwd, session_id, valid) of lines (value), one JSON object each; broken lines have nulls."""
-    parsed = lines.select(F.from_json("value", PAYLOAD, {"mode": "PERMISSIVE"}).alias("p"), "value")
-    return parsed.select("p.*", F.coalesce(F.is_valid_utf8("value") & F.expr("try_parse_json(value) is not null") & F.col("p.tool_name").isNotNull(), F.lit(False)).alias("valid"))
+def payloads(lines: DataFrame, *keep: str) -> DataFrame:
+    """(tool_name, tool_input, cwd, session_id, valid) of lines (value), one JSON object each, and the columns to keep; broken
+    lines have nulls."""
+    parsed = lines.select(*keep, F.from_json("value", PAYLOAD, {"mode": "PERMISSIVE"}).alias("p"), "value")
+    return parsed.select(*keep, "p.*", F.coalesce(F.is_valid_utf8("value") & F.expr("try_parse_json(value) is not null") & F.col("p.tool_name").isNotNull(), F.lit(False)).alias("valid"))
 
 
 def stream(spark: SparkSession, folder: str) -> DataFrame:
