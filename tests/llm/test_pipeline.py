@@ -77,3 +77,29 @@ def test_null_and_repeated_ids_in_every_stage(spark, tmp_path):
     assert set(times) <= {(d[0], d[1], d[3]) for d in docs} and all(n <= target[s] // size[s] + 1 for (_, _, s), n in times.items())
     tokens = corpus_pipeline.tokens(spark, mixed, path).collect()
     assert len(tokens) == sum(times.values()) and sum(r.doc_id is None for r in tokens) == sum(n for (i, *_), n in times.items() if i is None) > 0
+
+
+def test_empty_very_long_and_clashing_input(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+    docs = [(1, "", "en", "a", 0), (2, None, None, None, 0), (3, " \n\t ", "en", "a", 0), (4, text(60_000), "en", "b", 0), (5, "x" * 300_000, "de", "b", 0), (6, text(30), "en", "a", 0), (6, text(30), "en", "a", 0)]
+    docs += [(7, "same text of a few words here", "en", "a", 0)] * 3
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = [d + (9, 9, "x", 1.0, "y", [1]) for d in docs]
+    clash = shape + ", size long, id long, row string, score double, key string, ids array<int>"
+    for name, rows, columns in (("some", extra, clash), ("none", [], shape)):
+        path = str(tmp_path / name)
+        spark.createDataFrame(rows, columns).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(6, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        now = spark.read.parquet(f"{path}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES:
+            out = run(spark, now, path)
+            out.write.parquet(f"{path}/{stage}")
+            now = spark.read.parquet(f"{path}/{stage}")
+            if stage != "sentencepiece":
+                assert now.columns == COLUMNS
+            if stage == "near_dedup":
+                kept = sorted((str(r.doc_id), len(r.text or "")) for r in now.collect())
+                # Copies go but for one; texts without words aren't copies of one another.
+                assert kept == sorted((str(i), len(t or "")) for i, t in {d[:2] for d in rows})
+        assert (now.count() > 0) == bool(rows)
