@@ -127,12 +127,14 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return map_slices(docs, _gram_batches, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def probabilities(grams: DataFrame) -> DataFrame:
-    """(lang, gram, p): interpolated modified Kneser-Ney probability of each 5-gram's last character."""
+def probabilities(grams: DataFrame, step=lambda df, tag: df) -> DataFrame:
+    """(lang, gram, p): interpolated modified Kneser-Ney probability of each 5-gram's last character.
+
+    Each order's counts and probabilities are a table (``step``), as several joins read them."""
     orders = {ORDER: grams}
     for k in range(ORDER - 1, 0, -1):
         # The number of different characters before each shorter gram.
-        orders[k] = orders[k + 1].select("lang", F.substring("gram", 2, k).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+        orders[k] = step(orders[k + 1].select("lang", F.substring("gram", 2, k).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")), "order")
     lower = None
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     for k in range(1, ORDER + 1):
@@ -154,10 +156,11 @@ def probabilities(grams: DataFrame) -> DataFrame:
             t = t.withColumn("h", head).join(context, ["lang", "h"])
         own = F.greatest(F.lit(0.0), n - F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("all")
         if k == 1:
-            lower = t.select("lang", "gram", (own + F.col("back") / F.col("types")).alias("p"))
+            lower = step(t.select("lang", "gram", (own + F.col("back") / F.col("types")).alias("p")), "p")
         else:
             shorter = lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("q"))
             lower = t.withColumn("tail", F.substring("gram", 2, k - 1)).join(shorter, ["lang", "tail"]).select("lang", "gram", (own + F.col("back") * F.col("q")).alias("p"))
+            lower = step(lower, "p") if k < ORDER else lower
     return lower
 
 
@@ -193,8 +196,8 @@ def _keyed(batches):
 def train(docs: DataFrame, step: Steps) -> DataFrame:
     """The model (key, log) of documents (lang, text), as a table."""
     grams = step(count_grams(docs), "grams")
-    model = step(map_slices(probabilities(grams), _keyed, "key long, log float"), "model")
-    step.drop(grams)
+    model = step(map_slices(probabilities(grams, step), _keyed, "key long, log float"), "model")
+    step.drop_all_but(model)
     return model
 
 
@@ -203,8 +206,8 @@ def arrays(model: DataFrame, most: int):
     many = max(1, math.ceil(model.count() / most))
     for k in range(many):
         part = model.where(F.pmod(F.xxhash64("key"), F.lit(many)) == k) if many > 1 else model
-        table = part.toPandas()
-        yield Model(table["key"].to_numpy(np.int64).view(np.uint64), table["log"].to_numpy(np.float32))
+        table = part.toArrow()  # columns, no row objects
+        yield Model(table["key"].to_numpy().view(np.uint64), table["log"].to_numpy())
 
 
 def base_counts(text: str | None, words: list[str]) -> tuple[int, int, int, int, int]:
@@ -287,8 +290,8 @@ def measure(docs: DataFrame, most: int, step: Steps) -> DataFrame:
     first = next(parts)
     rows = docs.withColumn("row", F.lit(None).cast("long"))
     others = []
-    for k, part in enumerate(parts):
-        if k == 0:
+    for part in parts:
+        if not others:
             rows = step(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
         others.append(step(map_slices(rows, _measure(part, False), "row long, total double"), "sums"))
     measured = step(map_slices(rows, _measure(first, True), MEASURED), "measured")

@@ -312,8 +312,9 @@ def extract(pages: DataFrame, most_keys: int = 1_000_000, **limits) -> DataFrame
     step.drop_all_but(found)
     shape = "page_id long, url string, text string, n_chars long"
     if found.count() <= most_keys:
-        table = found.toPandas()
-        arrays = {flag: np.sort(table["key"][table["article"] == flag].to_numpy(np.int64)) for flag in (True, False)}
+        table = found.toArrow()  # columns, no row objects
+        key, article = table["key"].to_numpy(), table["article"].to_numpy()
+        arrays = {flag: np.sort(key[article == flag]) for flag in (True, False)}
         return map_slices(rows, _extract(_from_arrays(arrays)), shape)
     marked = rows.withColumn("digest", F.xxhash64("url", "html"))
     own = map_slices(marked, _page_keys, "page_id long, digest long, key long, article boolean").distinct().join(found, ["key", "article"])

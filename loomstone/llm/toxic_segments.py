@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean:
     if not n_clean or not n_toxic:
         return Model(curve=(math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0))
     # Rarer tokens have no weight that survives shrinking.
-    table = counts.where("clean + toxic >= 3 and toxic >= 2").toPandas()
+    table = counts.where("clean + toxic >= 3 and toxic >= 2").toArrow().to_pandas()
     prior = PRIOR * (table["clean"] + table["toxic"]) / (n_clean + n_toxic)
     odds = lambda k, n: np.log((k + prior) / (n + PRIOR - k - prior))
     delta = odds(table["toxic"], n_toxic) - odds(table["clean"], n_clean)
@@ -163,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean:
     shrunk = np.sign(delta) * np.maximum(0, abs(delta) - SHRINK * sd)
     weights = {w: float(x) for w, x in zip(table["token"], shrunk) if x > 0}
     rest = known.where(part >= 3)
-    found = map_slices(rest, _measures(weights), "toxic int, n long, best double").toPandas()
-    clean = map_slices(known.where((part >= 3) & (F.col("toxic") == 0)).select("text"), _histogram(weights), "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
+    found = map_slices(rest, _measures(weights), "toxic int, n long, best double").toArrow().to_pandas()
+    clean = map_slices(known.where((part >= 3) & (F.col("toxic") == 0)).select("text"), _histogram(weights), "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     model = Model(weights)
     if len(clean) and clean["s"].max() > 0:
         s, p = clean["s"].to_numpy(), clean["n"].to_numpy() / clean["n"].sum()
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean:
     y = found["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
         # Rows and numbers that reach the driver are bounded by the sample, whatever its texts' lengths.
-        table = map_slices(rest, _features(model), "toxic int, surprise double, excess double").toPandas()
+        table = map_slices(rest, _features(model), "toxic int, surprise double, excess double").toArrow().to_pandas()
         model.curve = tuple(logistic(table[["surprise", "excess"]].to_numpy(float), table["toxic"].to_numpy(float)).tolist())
     else:
         model.curve = (math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0)
