@@ -408,11 +408,31 @@ def test_hook_payloads_and_json(spark, tmp_path):
 
 def test_stream_and_batch_agree(spark, tmp_path):
     rng = random.Random(1)
-    rows = [(f"s{rng.randrange(3)}", f"p{rng.randrange(6)}", k, rng.random() < 0.2) for k in range(80)]
-    schema = "session string, path string, seq long, partial boolean"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = sessions.track(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("tracked").outputMode("append").trigger(once=True).start()
-    assert q.awaitTermination(90)
-    got = {r.seq: (r.nth, r.reread, r["count"], r.fires) for r in spark.table("tracked").collect() if (r.session, r.path, r.seq, False) in rows}
-    log = spark.createDataFrame([r for r in rows if not r[3]], schema)
-    assert got == {r.seq: (r.nth, r.reread, r["count"], r.fires) for r in usage.streaks(log, 4).collect()}
+    rows = [(f"s{rng.randrange(3)}", f"p{rng.randrange(6)}", k, rng.random() < 0.3, rng.random() < 0.5) for k in range(160)]
+    rows = [(s, p, k, part, red and not part) for s, p, k, part, red in rows]
+    schema = "session string, path string, seq long, partial boolean, redirect boolean"
+    source = spark.createDataFrame(rows, schema)
+    for part in (F.col("seq") < 80, F.col("seq") >= 80):  # two runs, so what the first leaves is the second's state
+        source.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        _, q = sessions.track(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "out"), once=True)
+        assert q.awaitTermination(60)
+    tracked = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(tracked) == len(rows)
+    reads = {r.seq: (r.nth, r.reread, r["count"], r.fires) for r in tracked if not r.partial}
+    log = spark.createDataFrame([r[:4] for r in rows if not r[3]], "session string, path string, seq long, partial boolean")
+    assert reads == {r.seq: (r.nth, r.reread, r["count"], r.fires) for r in usage.streaks(log, 4).collect()}
+    slices, denied, seen, counts = {}, set(), set(), {}
+    for s, p, k, part, red in rows:
+        if part:
+            counts[s, p] = counts.get((s, p), 0) + 1
+            slices[k] = (counts[s, p], counts[s, p] % 3 == 0)
+        if red and (s, p) not in seen:
+            seen.add((s, p))
+            denied.add(k)
+    assert {r.seq: (r.nth, r.fires) for r in tracked if r.partial} == slices and {r.seq for r in tracked if r.denied} == denied
+
+
+def test_redirects_of_the_policy(spark):
+    facts = [("a", False, True, True, True, 800, True), ("b", True, True, True, True, 800, True), ("c", False, True, True, True, 100, True)]
+    df = spark.createDataFrame(facts, "path string, partial boolean, is_code boolean, indexed boolean, in_repo boolean, lines int, callable boolean")
+    assert {r.path: r.redirect for r in sessions.with_redirect(df).collect()} == {"a": True, "b": False, "c": False}
