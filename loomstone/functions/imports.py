@@ -98,18 +98,28 @@ def _rows(keys: list[tuple[Column, int]], prio: Column) -> Column:
     return F.array(*[F.struct(prio.cast("int").alias("prio"), key.alias("key"), F.lit(mode).alias("mode")) for key, mode in keys])
 
 
+def start(lang: Column, spec: Column, importer: Column) -> Column:
+    """Where a specifier's relative path starts, normalised: a folder, or for scripts the path that is named.
+
+    It is a column of its own, so that each of a specifier's candidates only puts strings together."""
+    here = dir_of(importer)
+    ups = F.size(F.split(F.regexp_extract(spec, r"^((?:\s*super\s*(?:::|$))*)", 1), "super")) - 1
+    rust = F.when(spec.startswith("mod:"), here).otherwise(F.concat(here, F.repeat(F.lit("/.."), ups)))
+    dots = F.length(F.regexp_extract(spec, r"^\.*", 0))
+    python = F.concat(here, F.repeat(F.lit("/.."), F.greatest(dots - 1, F.lit(0))))
+    return normalize_path(F.when(lang == "rust", rust).when(lang == "python", python).otherwise(F.concat(here, F.lit("/"), spec)))
+
+
 def _under(base: Column, name: Column) -> Column:
-    return normalize_path(F.concat(base, F.lit("/"), name))
+    return F.when(base == "", name).otherwise(F.concat(base, F.lit("/"), name))
 
 
-def _rust_candidates(spec: Column, importer: Column, own: list[str]) -> Column:
-    here = dir_of(importer)
+def _rust_candidates(spec: Column, base: Column, own: list[str]) -> Column:
     parts = F.transform(F.split(spec, "::"), lambda s: F.trim(s))
-    ups = F.size(parts) - F.size(F.regexp_extract_all(F.regexp_replace(F.array_join(parts, "/"), r"^(super(/|$))*", ""), F.lit(r"[^/]+"), F.lit(0)))
     first = parts[0]
     whole = first.isin("crate", *own)
-    skip = F.when(first == "super", ups).otherwise(F.lit(1))
-    base = F.when(first == "super", F.concat(here, F.repeat(F.lit("/.."), ups))).otherwise(here)
+    # Of a path of names, all that is above the file is in the base.
+    skip = F.when(first == "super", F.size(F.split(F.regexp_extract(spec, r"^((?:\s*super\s*(?:::|$))*)", 1), "super")) - 1).otherwise(F.lit(1))
     rest = F.slice(parts, skip + 1, F.greatest(F.size(parts) - skip, F.lit(0)))
 
     def longest_first(take: Column) -> Column:
@@ -120,35 +130,34 @@ def _rust_candidates(spec: Column, importer: Column, own: list[str]) -> Column:
         return F.when(whole, _rows([(file, 1), (folder, 2)], prio)).otherwise(inside)
 
     module = F.substring(spec, F.lit(5), F.length(spec))
-    declared = F.concat(_rows([(_under(here, F.concat(module, F.lit(".rs"))), 0)], F.lit(0)), _rows([(_under(here, F.concat(module, F.lit("/mod.rs"))), 0)], F.lit(1)))
+    declared = F.concat(_rows([(_under(base, F.concat(module, F.lit(".rs"))), 0)], F.lit(0)), _rows([(_under(base, F.concat(module, F.lit("/mod.rs"))), 0)], F.lit(1)))
     used = F.when((whole | first.isin("self", "super")) & (F.size(rest) > 0), F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(rest), F.lit(1))), longest_first))).otherwise(F.array().cast(KEY))
     return F.when(spec.startswith("mod:"), declared).otherwise(used)
 
 
-def _python_candidates(spec: Column, importer: Column) -> Column:
-    dots = F.length(F.regexp_extract(spec, r"^\.*", 0))
-    base = F.concat(dir_of(importer), F.repeat(F.lit("/.."), F.greatest(dots - 1, F.lit(0))))
-    name = F.replace(F.regexp_replace(spec, r"^\.+", ""), F.lit("."), F.lit("/"))
+def _python_candidates(spec: Column, base: Column) -> Column:
+    near = spec.startswith(".")
+    name = F.regexp_replace(F.regexp_replace(spec, r"^\.+", ""), r"\.+", "/")
 
     def of(j: Column, prio: int) -> Column:
         file, folder = F.concat(j, F.lit(".py")), F.concat(j, F.lit("/__init__.py"))
-        near = F.concat(_rows([(_under(base, file), 0)], F.lit(prio)), _rows([(_under(base, folder), 0)], F.lit(prio + 1)))
-        return F.when(j == "", F.array().cast(KEY)).when(dots > 0, near).otherwise(_rows([(file, 1), (folder, 2)], F.lit(prio)))
+        inside = F.concat(_rows([(_under(base, file), 0)], F.lit(prio)), _rows([(_under(base, folder), 0)], F.lit(prio + 1)))
+        return F.when(j == "", F.array().cast(KEY)).when(near, inside).otherwise(_rows([(file, 1), (folder, 2)], F.lit(prio)))
 
     return F.concat(of(name, 0), F.when(name.contains("/"), of(F.regexp_extract(name, "^(.*)/", 1), 2)).otherwise(F.array().cast(KEY)))
 
 
-def _script_candidates(spec: Column, importer: Column) -> Column:
-    base = _under(dir_of(importer), spec)
+def _script_candidates(spec: Column, base: Column) -> Column:
     stem = F.regexp_replace(base, "(" + "|".join(e.replace(".", "\\.") for e in SCRIPTS) + ")$", "")
-    keys = [base, *[F.concat(stem, F.lit(e)) for e in SCRIPTS], *[F.concat(base, F.lit(f"/index{e}")) for e in SCRIPTS]]
-    rows = F.concat(*[_rows([(key, 0)], F.lit(k)) for k, key in enumerate(keys)])
+    named = F.transform(F.array(*map(F.lit, SCRIPTS)), lambda e: F.concat(stem, e))
+    listed = F.transform(F.array(*map(F.lit, SCRIPTS)), lambda e: F.concat(base, F.lit("/index"), e))
+    rows = F.transform(F.concat(F.array(base), named, listed), lambda key, k: F.struct(k.cast("int").alias("prio"), key.alias("key"), F.lit(0).alias("mode")))
     return F.when(spec.startswith("."), rows).otherwise(F.array().cast(KEY))
 
 
-def candidates(lang: Column, spec: Column, importer: Column, own: list[str] = ()) -> Column:
-    """What a specifier may resolve to; empty for packages from outside. own are this project's package names."""
-    return F.when(lang == "rust", _rust_candidates(spec, importer, list(own))).when(lang == "python", _python_candidates(spec, importer)).otherwise(_script_candidates(spec, importer))
+def candidates(lang: Column, spec: Column, base: Column, own: list[str] = ()) -> Column:
+    """What a specifier with a given ``start`` may resolve to; empty for packages from outside. own are this project's package names."""
+    return F.when(lang == "rust", _rust_candidates(spec, base, list(own))).when(lang == "python", _python_candidates(spec, base)).otherwise(_script_candidates(spec, base))
 
 
 def keys(files: DataFrame) -> DataFrame:
@@ -166,7 +175,8 @@ def resolve(specs: DataFrame, files: DataFrame, own: list[str] = ()) -> DataFram
 
     Each key has one file, so the join adds no rows to the candidates, whatever many files end alike.
     """
-    wanted = specs.select("importer", "spec", F.explode(candidates(F.col("lang"), F.col("spec"), F.col("importer"), own)).alias("c"))
+    placed = specs.select("importer", "lang", "spec", start(F.col("lang"), F.col("spec"), F.col("importer")).alias("_start"))
+    wanted = placed.select("importer", "spec", F.explode(candidates(F.col("lang"), F.col("spec"), F.col("_start"), own)).alias("c"))
     wanted = wanted.select("importer", "spec", F.col("c.prio").alias("prio"), F.col("c.key").alias("key"), F.col("c.mode").alias("mode"))
     hit = wanted.join(keys(files), ["key", "mode"])
     return hit.groupBy("importer", "spec").agg(F.min(F.struct("prio", F.length("path").alias("n"), F.col("path").alias("path")))["path"].alias("path"))
