@@ -214,9 +214,9 @@ def callees_join(spark, d):
 
 
 @query(
-    """WITH own AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey, l_quantity, p_brand, p_type FROM lineitem JOIN part ON p_partkey = l_partkey),
+    """WITH own AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey, l_quantity, p_name, p_brand, p_type FROM lineitem JOIN part ON p_partkey = l_partkey),
 cands AS (SELECT call_id, 'm' || l_suppkey % 5 AS my_scope, 'd' || l_suppkey % 4 || '/f' || l_suppkey % 9 AS my_file, (l_quantity % 4)::INT AS argc, p_partkey, 'm' || p_size % 5 AS scope, 'd' || p_size % 4 || '/f' || p_partkey % 9 AS file, (p_size % 5)::INT AS params, p_size % 2 = 0 AS m
-  FROM own JOIN part USING (p_brand, p_type)),
+  FROM own JOIN part USING (p_name, p_brand, p_type)),
 r AS (SELECT *, scope = my_scope AS r0, file = my_file AS r1, split_part(file, '/', 1) = split_part(my_file, '/', 1) AS r2, greatest(params - m::INT, 0) = argc AS r3 FROM cands),
 n AS (SELECT *, sum(r0::INT) OVER w AS n0, sum(r1::INT) OVER w AS n1, sum(r2::INT) OVER w AS n2, sum(r3::INT) OVER w AS n3 FROM r WINDOW w AS (PARTITION BY call_id)),
 k AS (SELECT * FROM n WHERE CASE WHEN n0 = 1 THEN r0 WHEN n1 = 1 THEN r1 WHEN n2 = 1 THEN r2 WHEN n3 = 1 THEN r3 ELSE true END)
@@ -225,15 +225,15 @@ SELECT call_id, p_partkey AS callee, count(*) OVER (PARTITION BY call_id) > 1 AS
 def narrow_by_scope(spark, d):
     l, p = C.table(spark, d, "lineitem"), C.table(spark, d, "part")
     name = lambda p, c, n: F.concat(F.lit(p), F.pmod(c, F.lit(n)).cast("string"))
-    calls = l.join(p.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type"), "l_partkey").select(
+    calls = l.join(p.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type"), "l_partkey").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), name("m", F.col("l_suppkey"), 5).alias("my_scope"),
-        F.concat(name("d", F.col("l_suppkey"), 4), name("/f", F.col("l_suppkey"), 9)).alias("my_file"), (F.col("l_quantity") % 4).cast("int").alias("argc"), "p_brand", "p_type",
+        F.concat(name("d", F.col("l_suppkey"), 4), name("/f", F.col("l_suppkey"), 9)).alias("my_file"), (F.col("l_quantity") % 4).cast("int").alias("argc"), "p_name", "p_brand", "p_type",
     )
     cands = p.select(
-        "p_brand", "p_type", F.col("p_partkey").alias("callee"), name("m", F.col("p_size"), 5).alias("scope"),
+        "p_name", "p_brand", "p_type", F.col("p_partkey").alias("callee"), name("m", F.col("p_size"), 5).alias("scope"),
         F.concat(name("d", F.col("p_size"), 4), name("/f", F.col("p_partkey"), 9)).alias("file"), F.pmod("p_size", F.lit(5)).cast("int").alias("params"), (F.col("p_size") % 2 == 0).alias("is_method"),
     )
-    return graph.narrow_by_scope(calls.join(cands, ["p_brand", "p_type"])).select("call_id", "callee", "ambiguous")
+    return graph.narrow_by_scope(calls.join(cands, ["p_name", "p_brand", "p_type"])).select("call_id", "callee", "ambiguous")
 
 
 @query(f"WITH {SQL_GREP_ENCLOSING.replace(chr(39) + 'ation' + chr(39), chr(39) + 'tion' + chr(39))}, u AS (SELECT path, symbol, ln, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS name FROM e) SELECT path, symbol, min(ln) AS ln FROM u WHERE name = 'tion' AND symbol <> '' AND string_split(symbol, '.')[-1] <> 'tion' GROUP BY path, symbol")
