@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_pairs, license_rules, mixture, perplexity_bands, piece_backend, pii_spans, quote_links, site_templates, spot_signatures, toxic_segments
+from . import byte_pairs, license_rules, mixture, perplexity_bands, piece_backend, pii_spans, quote_links, site_templates, spot_signatures, threshold_search, toxic_segments
 from .common import table
 from .odd_sketch import near_duplicates
 
@@ -55,6 +55,10 @@ def op12_byte_bpe(spark, sf_dir):
     return byte_pairs.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_threshold_search(spark, sf_dir):
+    return threshold_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Links by all pairs with a common shingle, components by recursion.
 OP1 = r"""
 WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
@@ -69,7 +73,7 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.a = doc_id"""
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_license_scan, op3_pii_semi_crf, op4_spotsigs_fingerprints, op5_perplexity_bands, op6_site_templates, op7_subset_sum_mix, op8_toxic_segments, op9_sentencepiece, op10_quote_links, op12_byte_bpe)
+    for f in (op1_minhash_near_dedup, op2_license_scan, op3_pii_semi_crf, op4_spotsigs_fingerprints, op5_perplexity_bands, op6_site_templates, op7_subset_sum_mix, op8_toxic_segments, op9_sentencepiece, op10_quote_links, op12_byte_bpe, op13_threshold_search)
 }
 #: The others train, search or parse in ways that SQL can't express; the tests hold them against plainer versions.
-ORACLE: dict[str, str] = {"op1_minhash_near_dedup": OP1, "op2_license_scan": license_rules.oracle(), "op4_spotsigs_fingerprints": spot_signatures.oracle()}
+ORACLE: dict[str, str] = {"op1_minhash_near_dedup": OP1, "op2_license_scan": license_rules.oracle(), "op4_spotsigs_fingerprints": spot_signatures.oracle(), "op13_threshold_search": threshold_search.ORACLE}
