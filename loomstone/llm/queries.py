@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_pairs, license_rules, mixture, perplexity_bands, piece_backend, pii_spans, quote_links, site_templates, spot_signatures, threshold_search, toxic_segments
+from . import byte_pairs, collocations, license_rules, mixture, perplexity_bands, piece_backend, pii_spans, quote_links, site_templates, spot_signatures, threshold_search, toxic_segments
 from .common import table
 from .odd_sketch import near_duplicates
 
@@ -51,6 +51,10 @@ def op10_quote_links(spark, sf_dir):
     return quote_links.conversations(quote_links.link(table(spark, sf_dir, "conversations")))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark, sf_dir):
     return byte_pairs.digest(table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.a = doc_id"""
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_license_scan, op3_pii_semi_crf, op4_spotsigs_fingerprints, op5_perplexity_bands, op6_site_templates, op7_subset_sum_mix, op8_toxic_segments, op9_sentencepiece, op10_quote_links, op12_byte_bpe, op13_threshold_search)
+    for f in (op1_minhash_near_dedup, op2_license_scan, op3_pii_semi_crf, op4_spotsigs_fingerprints, op5_perplexity_bands, op6_site_templates, op7_subset_sum_mix, op8_toxic_segments, op9_sentencepiece, op10_quote_links, op11_collocations, op12_byte_bpe, op13_threshold_search)
 }
 #: The others train, search or parse in ways that SQL can't express; the tests hold them against plainer versions.
-ORACLE: dict[str, str] = {"op1_minhash_near_dedup": OP1, "op2_license_scan": license_rules.oracle(), "op4_spotsigs_fingerprints": spot_signatures.oracle(), "op13_threshold_search": threshold_search.ORACLE}
+ORACLE: dict[str, str] = {"op1_minhash_near_dedup": OP1, "op2_license_scan": license_rules.oracle(), "op4_spotsigs_fingerprints": spot_signatures.oracle(), "op11_collocations": collocations.ORACLE, "op13_threshold_search": threshold_search.ORACLE}
