@@ -29,7 +29,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_slices, release, slices
@@ -42,12 +42,25 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AT = r"@|[(\[{<][ \t]?(?i:at)[ \t]?[)\]}>]|\b(?i:at)\b(?= \S+ (?i:dot) )"
-REGION = re.compile(_AT + r"|(?<![0-9])[0-9]{1,3}(?:[ \t]{0,2}[(\[{<]?\.[)\]}>]?[ \t]{0,2}[0-9]{1,3}){3}|[0-9+(](?:[ ().+/-]{0,3}[0-9]){6,}")
+#: A dot between octets, and what people write for it.
+_DOT = r"(?:[ \t]{0,2}[(\[{<][ \t]?(?:(?i:dot)|\.)[ \t]?[)\]}>][ \t]{0,2}|[ \t]{0,2}\.[ \t]{0,2}|[ \t]{1,2}(?i:dot)[ \t]{1,2})"
+_QUAD = rf"[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}"
+REGION = re.compile(_AT + rf"|(?<![0-9]){_QUAD}|[0-9+(](?:[ ().+/-]{{0,3}}[0-9]){{6,}}")
+#: What a span of each kind must look like as a whole; the name of the group that matches is a feature.
+MAIL = re.compile(r"(?P<name>[A-Za-z0-9._%+-]+)(?:(?P<sign>@)|(?P<blanks>[ \t]+@[ \t]+)|(?P<bracket>[ \t]*[(\[{<][ \t]?(?i:at)[ \t]?[)\]}>][ \t]*)|(?P<word>[ \t]+(?i:at)[ \t]+))"
+                  r"(?P<host>[A-Za-z0-9-]+(?:(?:\.|[ \t]*[(\[{<][ \t]?(?:(?i:dot)|\.)[ \t]?[)\]}>][ \t]*|[ \t]+(?i:dot)[ \t]+)[A-Za-z0-9-]+)*(?:(?P<plain>\.)|(?P<boxed>[ \t]*[(\[{<][ \t]?(?:(?i:dot)|\.)[ \t]?[)\]}>][ \t]*)|(?P<spelled>[ \t]+(?i:dot)[ \t]+))[A-Za-z]{2,})")
+ADDRESS = re.compile(_QUAD)
+GROUPS = re.compile(r"[0-9]{4}(?:(?P<gap>[ ./-]{1,3})[0-9]{4}(?:(?P=gap)[0-9]{4}){2}(?:(?P=gap)[0-9]{1,3})?)|(?P<run>[0-9]+)")
+CALL = re.compile(
+    r"(?P<abroad>(?:\(\+[0-9]{1,3}\)|\+[0-9]{1,3})(?:[ ./()-]{1,3}[0-9]{1,9}){1,6})|(?P<zeros>00[1-9][0-9]{0,2}(?:[ ./()-]{1,3}[0-9]{1,9}){1,6})"
+    r"|(?P<area>\([0-9]{2,5}\)[ ./-]{0,2}[0-9]{3,4}[ ./-]?[0-9]{3,5})|(?P<triple>(?:1(?P<sep>[-. ]))?[2-9][0-9]{2}(?P<mid>[-. ])[0-9]{3}(?P=mid)[0-9]{4})"
+)
 #: The host after a sign, its dots as they are, in brackets or spelled out.
 HOST = re.compile(r"[ \t]*[A-Za-z0-9-]++(?:(?:\.|[ \t]*[(\[{<][ \t]?(?:(?i:dot)|\.)[ \t]?[)\]}>][ \t]*|[ \t]+(?i:dot)[ \t]+)[A-Za-z0-9-]++)+")
 SIGN = re.compile(_AT)
 TOKEN = re.compile(r"[A-Za-z_%]+|[0-9]+|\s+|.", re.S)
-AROUND, LONGEST = 40, 24
+#: Characters around what begins a region; tokens of a segment; characters of a region that may train the field.
+AROUND, LONGEST, LONGEST_SAMPLE = 40, 24, 400
 
 
 def luhn(digits: str) -> bool:
@@ -128,35 +141,68 @@ def _shape(tokens: list[str]) -> str:
     return "".join(map(kind, tokens))
 
 
+# Top domains that end a spelled-out address; those that are also common words ("it", "in", "at") don't.
+TOPS = frozenset("com org net edu gov mil int info biz name io ai app dev cloud online shop site xyz eu uk us ca au nz de fr es pt nl ch se dk fi pl cz sk hu ro bg gr ie ru ua tr il ae sa za ng ke br mx ar cl co pe jp kr cn tw hk sg th vn ph id pk bd".split())
+#: The beginning of a bank account, of which the text may be the rest.
+ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[0-9]{4})*[ ]?$")
+
+
+def _name(found: re.Match) -> str:
+    return "".join(sorted(k for k, v in found.groupdict().items() if v is not None))
+
+
+def forms(text: str, before: str, after: str) -> list[str | None]:
+    """How a text between two others looks as a span of each kind; None where it can't be one.
+
+    Octets are joined by dots or what stands for them; digits of a card are one run or groups of four with one
+    separator; a phone number has a prefix, an area in brackets or the form 3-3-4. Numbers that go on
+    beyond the text, as those of dates, times, versions, identifiers and bank accounts do, are none of these."""
+    out: list[str | None] = [None] * len(KINDS)
+    # A letter, digit or sign that belongs to the number on either side, or another number just before or after it.
+    cut = re.search(r"[A-Za-z0-9_@:#=/]$|[0-9][.,-]$", before) or re.match(r"[A-Za-z0-9_@]|[.,:/-][0-9]", after) or ACCOUNT.search(before)
+    digits = re.sub(r"[^0-9]", "", text)
+    if (m := MAIL.fullmatch(text)) and not re.search(r"[A-Za-z0-9_.%+-]$", before) and not re.match(r"[A-Za-z0-9_-]|[ \t]+(?i:dot)[ \t]+[A-Za-z]|[ \t]?[(\[{<][ \t]?(?i:dot)", after):
+        out[0] = _name(m) if not (m["word"] and m["spelled"]) or re.split(r"[^A-Za-z]", text)[-1].lower() in TOPS else None
+    if cut:
+        return out
+    if ADDRESS.fullmatch(text) and all(map(octet, re.findall("[0-9]+", text))) and not re.search(rf"[0-9]{_DOT}$", before) and not re.match(rf"{_DOT}[0-9]", after):
+        out[1] = "bracket" if re.search(r"[\])}>]", text) else "word" if re.search("[a-zA-Z]", text) else "dot"
+    if 16 <= len(digits) <= 19 and luhn(digits) and (m := GROUPS.fullmatch(text)):
+        out[2] = _name(m)
+    if 8 <= len(digits) <= 15 and (m := CALL.fullmatch(text)):
+        beside = re.search(r"[0-9][ \t]{1,2}$", before) or re.match(r"[ \t]{1,2}[0-9]", after)
+        if not beside or m["area"] or m["abroad"]:
+            out[3] = _name(m)
+    return out
+
+
 def span_features(tokens: list[str], i: int, j: int) -> tuple[list[str], tuple[bool, ...]] | None:
     """Features of the whole segment tokens[i:j] and which kinds it may be; None if it can't be a span."""
     part = tokens[i:j]
-    if part[0].isspace() or part[-1].isspace() or not (part[-1][-1].isalnum()) or not (part[0][0].isalnum() or part[0] in "+("):
+    if part[0].isspace() or part[-1].isspace() or not (part[-1][-1].isalnum()) or not (part[0][0].isalnum() or part[0][0] in "+(_%.-"):
         return None
     text = "".join(part)
     digits = sum(len(t) for t in part if t.isdigit())
     low = [t.lower() for t in part]
     at, dot = ("@" in low) + 2 * ("at" in low), ("." in low) + 2 * ("dot" in low)
-    if digits < 7 and not at and not (digits >= 4 and text.count(".") == 3):
+    if digits < 7 and not at and not (digits >= 4 and (text.count(".") == 3 or low.count("dot") == 3)):
         return None
     if at and not dot:
         return None
-    numbers = [t for t in part if t.isdigit()]
-    letters = sum(t[0].isalpha() for t in part)
-    # An address has one word before its sign; the other kinds have what their base patterns ask of digits.
-    name = re.split(r"@|[ \[({<]+(?i:at)[ \])}>]+", text, maxsplit=1)[0] if at else ""
-    may = (bool(at) and not re.search(r"\s", name.strip()) and bool(name), len(numbers) == 4 and not letters and all(map(octet, numbers)), 16 <= digits <= 19 and not letters and luhn("".join(numbers)), 8 <= digits <= 15 and not letters)
+    found = forms(text, "".join(tokens[max(0, i - 8) : i]), "".join(tokens[j : j + 8]))
+    may = tuple(f is not None for f in found)
     if not any(may):
         return None
-    only = "".join(numbers)
     gaps = sum(t.isspace() for t in part)
     edge = lambda t: "" if t is None else "d" if t.isdigit() else "a" if t[0].isalnum() else "_" if t.isspace() else t
     before, after = tokens[i - 1] if i else None, tokens[j] if j < len(tokens) else None
-    out = [f"digits{min(digits, 20)}", f"numbers{min(len(numbers), 8)}", f"letters{min(letters, 6)}", f"at{at}", f"dot{dot}", f"gaps{min(gaps, 6)}", f"before{edge(before)}", f"after{edge(after)}", f"first{edge(part[0])}", f"last{edge(part[-1])}", f"luhn{len(only) if 16 <= len(only) <= 19 and luhn(only) else 0}", f"ends{edge(before) in 'da'}{edge(after) in 'da'}"]
+    numbers = sum(t.isdigit() for t in part)
+    out = [f"digits{min(digits, 20)}", f"numbers{min(numbers, 8)}", f"at{at}", f"dot{dot}", f"gaps{min(gaps, 6)}", f"before{edge(before)}", f"after{edge(after)}", f"first{edge(part[0])}", f"last{edge(part[-1])}", f"ends{edge(before) in 'da'}{edge(after) in 'da'}"]
+    out += [f"form{k}{f}" for k, f in enumerate(found) if f is not None]
+    if at:
+        out += ["named" if re.match(r"[A-Za-z]+[0-9._%+-]", text) else "word"]
     if len(part) <= 12:
         out.append("shape" + _shape(part))
-    if len(numbers) == 4 and not letters and all(map(octet, numbers)):
-        out.append("octets")
     return out, may
 
 
@@ -288,56 +334,89 @@ class Field:
 
 
 def _disguises(kind: int, span: str) -> list[str]:
+    """A span as people rewrite it."""
     if kind == 0:
         name, _, host = span.partition("@")
-        return [f"{name} [at] {host.replace('.', ' [dot] ')}", f"{name} (at) {host.replace('.', ' (dot) ')}", f"{name} at {host.replace('.', ' dot ')}", f"{name} @ {host}", f"{name}(at){host}"]
+        short, last = re.split(r"[0-9._%+-]", name)[0] or "office", host.split(".", host.count(".") - 1)[-1]
+        return [out for n, h in ((name, host), (short, last), (short + "27", host)) for out in (f"{n} [at] {h.replace('.', ' [dot] ')}", f"{n} (at) {h.replace('.', ' (dot) ')}", f"{n} at {h.replace('.', ' dot ')}", f"{n} @ {h}", f"{n}(at){h}", f"{n}[at]{h.replace('.', '[dot]')}")]
     if kind == 1:
-        return [span.replace(".", " . "), span.replace(".", "[.]")]
+        return [span.replace(".", d) for d in (" . ", "[.]", "(dot)", " dot ")]
     digits = re.sub(r"[^0-9]", "", span)
     if kind == 2:
-        return ["-".join(re.findall(r".{1,4}", digits)), ".".join(re.findall(r".{1,4}", digits))]
+        groups = re.findall(r".{1,4}", digits)
+        return [d.join(groups) for d in (".", "  ", "/", " - ")]
     tail = digits[-10:]
     if len(tail) < 10:
         return []
-    return [f"({tail[:3]}) {tail[3:6]}-{tail[6:]}", f"({tail[:3]}) {tail[3:6]} {tail[6:]}", f"00{digits[:-10] or '1'} {tail[:3]} {tail[3:6]} {tail[6:]}"]
+    head, one, two, last = digits[:-10].lstrip("0")[:3] or "1", f"{2 + int(tail[0]) % 8}{tail[1:3]}", tail[3:6], tail[6:]
+    return [f"({one}) {two}-{last}", f"({one}) {two} {last}", f"00{head} {one} {two} {last}", f"00{head}-{one}-{two}{last}", f"(+{head}) {one} {two}{last}", f"+{head}/{one}/{two}{last}", *(d.join((one, two, last)) for d in "-. ")]
 
 
-def examples(region: str) -> list[tuple[list[str], set[tuple[int, int, int]]]]:
-    """The region with its base spans as gold, and with each span rewritten."""
+def _lookalikes(kind: int, span: str) -> list[str]:
+    """Texts made of a span's characters that are no personal data, though they have its digits or signs."""
+    digits = (re.sub(r"[^0-9]", "", span) + "20150317093045127")[:17]
+    if kind == 0:
+        name, _, host = span.partition("@")
+        return [f"@{name} {host}", f"{name} at the {host.replace('.', ' ')}"]
+    date = f"20{digits[:2]}-0{1 + int(digits[2]) % 9}-1{digits[3]}"
+    return [f"{date} 1{digits[4]}:2{digits[5]}:3{digits[6]}", f"DE{digits[:2]} {digits[2:6]} {digits[6:10]} {digits[10:14]} {digits[14:16]}", f"978-{digits[0]}-{digits[1:5]}-{digits[5:9]}-{digits[9]}", f"{digits[:3]} {digits[3:6]} {digits[6:10]} {digits[10:13]}"]
+
+
+def _version(region: str, spans: list[tuple[int, int, int]], changed: dict[int, str], lost: int) -> tuple[list[str], set[tuple[int, int, int]]]:
+    """Tokens and gold spans of a region in which some spans are rewritten, one of them to what is no span."""
+    tokens: list[str] = []
+    gold, at = set(), 0
+    for n, (a, b, k) in enumerate(spans):
+        tokens += TOKEN.findall(region[at:a])
+        part = TOKEN.findall(changed.get(n, region[a:b]))
+        if n != lost:
+            gold.add((len(tokens), len(tokens) + len(part), k))
+        tokens += part
+        at = b
+    return tokens + TOKEN.findall(region[at:]), gold
+
+
+def examples(region: str) -> list[tuple[tuple[int, int], tuple[list[str], set[tuple[int, int, int]]]]]:
+    """Versions of a region, each with a key that says what was done: as it is with its base spans as gold, and around each span with
+    the span rewritten, or replaced by what only looks like one."""
     spans = sorted((a, b, k) for k, found in enumerate(base_spans(region)) for a, b in found)
     apart, free = [], 0
     for a, b, k in spans:
         if a >= free:
             apart.append((a, b, k))
             free = b
-    versions = [{}] + [{n: d} for n, (a, b, k) in enumerate(apart) for d in _disguises(k, region[a:b])]
-    out = []
-    for changed in versions:
-        tokens: list[str] = []
-        gold, at = set(), 0
-        for n, (a, b, k) in enumerate(apart):
-            tokens += TOKEN.findall(region[at:a])
-            part = TOKEN.findall(changed.get(n, region[a:b]))
-            gold.add((len(tokens), len(tokens) + len(part), k))
-            tokens += part
-            at = b
-        out.append((tokens + TOKEN.findall(region[at:]), gold))
+    out = [((-1, 0), _version(region, apart, {}, -1))]
+    for n, (a, b, k) in enumerate(apart):
+        lo = max([0, a - AROUND, *(y for _, y, _ in apart[:n] if y > a - AROUND)])
+        hi = min([len(region), b + AROUND, *(x for x, _, _ in apart[n + 1 :] if x < b + AROUND)])
+        text, span = region[lo:hi], (a - lo, b - lo, k)
+        out += [((k, v), _version(text, [span], {0: d}, -1)) for v, d in enumerate(_disguises(k, region[a:b]))]
+        out += [((k, -1 - v), _version(text, [span], {0: d}, 0)) for v, d in enumerate(_lookalikes(k, region[a:b]))]
     return out
 
 
 def _region_batches(batches):
     for batch in batches:
-        found = {text[a:b][:400] for text in batch["text"] if isinstance(text, str) for a, b in regions(text)}
+        # A region as long as that of a list of thousands of numbers would train the field on one document's style.
+        found = {text[a:b] for text in batch["text"] if isinstance(text, str) for a, b in regions(text) if b - a <= LONGEST_SAMPLE}
+        rows = [(r, hashlib.md5(r.encode("utf-8", "surrogatepass")).hexdigest(), next((k for k, x in enumerate(base_spans(r)) if x), -1)) for r in found]
         # Rows as tuples: an empty frame made of empty lists would have columns of floats.
-        yield pd.DataFrame([(r, hashlib.md5(r.encode("utf-8", "surrogatepass")).hexdigest()) for r in found], columns=["region", "order"])
-
-
-def train(docs: DataFrame, sample: int = 160, versions: int = 400) -> Field:
-    """A field fitted to at most ``sample`` regions of the corpus, the first by a hash of their texts, and at most
-    so many versions of them."""
-    rows = map_slices(docs.select(F.col("text").cast("string").alias("text")), _region_batches, "region string, order string")
-    chosen = [r[0] for r in rows.orderBy("order", "region").limit(sample).collect()]
-    return Field().fit([e for r in dict.fromkeys(chosen) for e in examples(r)][:versions])
+        yield pd.DataFrame(rows, columns=["region", "order", "kind"])
+
+
+def train(docs: DataFrame, sample: int = 80, versions: int = 2500) -> Field:
+    """A field fitted to at most ``sample`` regions of the corpus, of up to ``LONGEST_SAMPLE`` characters, for each kind that they hold first (or
+    none), the first by a hash of their texts, and to at most so many of their versions, taken in turn from each way of rewriting."""
+    rows = map_slices(docs.select(F.col("text").cast("string").alias("text")), _region_batches, "region string, order string, kind int")
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("order", "region"))
+    chosen = [r[0] for r in rows.withColumn("rank", rank).where(F.col("rank") <= sample).orderBy("order", "region").collect()]
+    ways: dict[tuple[int, int], list] = {}
+    for region in dict.fromkeys(chosen):
+        for way, version in examples(region):
+            ways.setdefault(way, []).append(version)
+    made = [ways[w] for w in sorted(ways)]
+    in_turn = [e[k] for k in range(max(map(len, made), default=0)) for e in made if k < len(e)]
+    return Field().fit(in_turn[:versions])
 
 
 def all_spans(text: str, field: Field, margin: float) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
