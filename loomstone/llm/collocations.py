@@ -2,14 +2,14 @@
 
 Texts, A-Z lower-cased, fall into pieces at ``[.,;:!?\\x0A-\\x0D]`` and pieces into words ``[^\\x20\\x09]+``; phrases lie in pieces.
 
-First pass: every task counts its phrases of 2, 3 and 4 words, by language, into count-min sketches (Cormode and
+First pass: every task counts its words and its phrases of 2, 3 and 4 words, by language, into count-min sketches (Cormode and
 Muthukrishnan, 2005), two rows of 8-bit cells for each length, which stop at 255. The tasks' sketches travel in compressed blocks and
-are added up, first by block and salt, then by block. A cell is never below the count of a phrase that
+are added up, first those of 32 tasks, then all. A cell is never below the count of a phrase that
 falls in it (or is 255, which is above ``least``), so a phrase whose estimate is below ``least`` is rare.
 
 Second pass: a phrase survives if its own estimate and those of the phrases in it reach ``least``. Survivors, single words
 among them, are counted exactly: by text and language, after counts within a slice of a task, where 64-bit hashes tell words apart.
-Only these counts decide. The sketches have a fixed size, at most 6 times 2^``MOST_BITS`` bytes on the driver and in a worker; on corpora beyond what they tell apart more
+Only these counts decide. The sketches have a fixed size, at most 8 times 2^``MOST_BITS`` bytes on the driver and in a worker; on corpora beyond what they tell apart more
 phrases survive and are counted, with the same result.
 
 Every cut of a candidate looks up the exact counts of its two parts (frequent as well, as the whole is) by
@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from ..plans.shared import Steps
 from .common import Bounded, release, slices
 
-ORDERS, ROWS = (2, 3, 4), 2
-LEAST_BITS, MOST_BITS = 16, 24
-#: Cells of a travelling block as a power of two; ways of the first merge and ranking; different phrases of a task before it hands them on.
-BLOCK_BITS, SALTS, FLUSH = 18, 32, 200_000
+ORDERS, ROWS = (1, 2, 3, 4), 2
+LEAST_BITS, MOST_BITS = 16, 23
+#: Cells of a travelling block as a power of two; tasks whose blocks meet first; ways of the first ranking; different phrases of a task before it hands them on.
+BLOCK_BITS, TASKS, SALTS, FLUSH = 18, 32, 32, 300_000
 #: Rows and bytes of text in a slice.
-SLICE = (4096, 4 << 20)
+SLICE = (2048, 1 << 20)
 #: Ends of pieces become full stops, tabs become blanks, A-Z become a-z.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _ODD = np.array([xxhash.xxh3_64_intdigest(f"word {k}") | 1 for k in range(max(ORDERS))], np.uint64)
@@ -112,7 +112,7 @@ def _sketch(bits: int):
                         at, back = np.unique(cells(key, row, bits), return_inverse=True)
                         made[k, row, at] = np.minimum(255, made[k, row, at] + np.bincount(back, n, len(at))).astype(np.uint8)
         size = 1 << min(bits, BLOCK_BITS)
-        salt = TaskContext.get().partitionId() % SALTS  # a task that runs again gives the same rows
+        salt = TaskContext.get().partitionId() // TASKS  # a task that runs again gives the same rows
         for block, cells_ in enumerate(made.reshape(-1, size)):
             if cells_.any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "salt": pa.array([salt], pa.int32()), "data": pa.array([pa.compress(cells_.tobytes(), "zstd", asbytes=True)], pa.binary())})
@@ -145,7 +145,7 @@ def sketches(rows: DataFrame, bits: int) -> np.ndarray:
     blocks = len(ORDERS) * ROWS * ((1 << bits) // size)
     parts = rows.mapInArrow(_sketch(bits), BLOCKS)
     some = parts.repartition(blocks, "block", "salt").mapInArrow(_merge(size), BLOCKS)
-    whole = some.withColumn("salt", F.lit(0)).repartition(min(blocks, SALTS), "block").mapInArrow(_merge(size), BLOCKS)
+    whole = some.withColumn("salt", F.lit(0)).repartition(min(blocks, 32), "block").mapInArrow(_merge(size), BLOCKS)
     out = np.zeros((blocks, size), np.uint8)
     for block, data in whole.select("block", "data").toLocalIterator():
         out[block] = np.frombuffer(pa.decompress(data, size, "zstd"), np.uint8)
@@ -153,7 +153,7 @@ def sketches(rows: DataFrame, bits: int) -> np.ndarray:
 
 
 def _survivors(sent, bits: int, least: int):
-    """(lang, size, phrase, n): counts within a task of words and of phrases that the sketches leave."""
+    """(lang, size, phrase, n): counts within a task of the phrases that the sketches leave, and of all words under size 0."""
 
     def counted(t: Tokens, order: int, start: np.ndarray, h: np.ndarray, into: dict) -> None:
         if not len(start):
@@ -186,8 +186,8 @@ def _survivors(sent, bits: int, least: int):
         for whole in batches:
             for batch in slices(whole, *SLICE):
                 t = Tokens(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), hashes)
-                start, h = t.phrases(1)
-                counted(t, 1, start, h, held)
+                for lang, n in zip(t.langs, np.bincount(t.lang[~t.stop], minlength=len(t.langs)).tolist()):
+                    held[lang, 0, b""] = held.get((lang, 0, b""), 0) + n
                 inside = None  # whether the phrase of the length before survives at each place
                 for k, order in enumerate(ORDERS):
                     start, h = t.phrases(order)
@@ -218,8 +218,7 @@ def frequent(docs: DataFrame, least: int, bits: int | None, step: Steps, lang_co
         raise ValueError("cells stop at 255")
     sent = rows.sparkSession.sparkContext.broadcast(sketches(rows, bits))
     counts = step(rows.mapInArrow(_survivors(sent, bits, least), "lang string, size int, phrase string, n long").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")), "counts")
-    words = counts.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= least), words
+    return counts.where((F.col("size") > 0) & (F.col("n") >= least)), counts.where("size = 0").select("lang", "n")
 
 
 def candidates(docs: DataFrame, least: int = 30, share: int = 80, bits: int | None = None, lang_col: str = "lang", text_col: str = "text") -> DataFrame:

@@ -80,12 +80,12 @@ def test_cells_are_never_below_counts(spark):
             key, n = np.unique(t.phrases(order)[1], return_counts=True)
             for row in range(co.ROWS):
                 assert (made[k, row, co.cells(key, row, bits)] >= np.minimum(n, 255)).all()
-        assert bits < 19 or (made.astype(int) > 0).sum() <= 60  # wide ones hold little else
+        assert bits < 19 or (made.astype(int) > 0).sum() <= 80  # wide ones hold little else
 
 
 def test_equal_hashes_of_different_phrases(monkeypatch):
     class Sent:
-        value = np.full((3, 2, 4), 255, np.uint8)
+        value = np.full((4, 2, 4), 255, np.uint8)
 
     import pyarrow as pa
 
@@ -94,5 +94,5 @@ def test_equal_hashes_of_different_phrases(monkeypatch):
     got = Counter()
     for out in co._survivors(Sent, 2, 1)([batch]):
         for r in out.to_pylist():
-            got[r["phrase"]] += r["n"]
-    assert got == Counter({"a": 3, "b": 3, "c": 1, "a b": 3, "b c": 1, "c a": 1, "a b c": 1, "b c a": 1, "c a b": 1, "a b c a": 1, "b c a b": 1})
+            got[r["phrase"]] += r["n"] if r["size"] else 0
+    assert +got == Counter({"a": 3, "b": 3, "c": 1, "a b": 3, "b c": 1, "c a": 1, "a b c": 1, "b c a": 1, "c a b": 1, "a b c a": 1, "b c a b": 1})
