@@ -44,7 +44,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their lengths add up to the budget, or nearly."""
+    """How many documents of each length to take so that their lengths add up to the budget, or to what is nearest above or below."""
     total = int((lengths * counts).sum())
     taken = np.zeros(len(lengths), np.int64)
     if budget <= 0 or not total:
@@ -74,20 +74,25 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack over all lengths: how many of each make the largest sum up to the budget.
+    """Bounded knapsack over all lengths: how many of each make the sum nearest to the budget, above or below; the lower of two.
 
-    Copies of a length go in powers of two. ``first`` holds the step that reached each sum first; what is left
-    of a sum without that step was reached before, so one number for each sum is all that is kept.
+    A document longer than the budget only helps alone, the shortest of them. The others' sums matter up to twice the budget,
+    as taking nothing is as near as that. Copies of a length go in powers of two. ``first`` holds the step that reached each sum first; what is
+    left of a sum without that step was reached before, so one number for each sum is all that is kept.
     """
     out = np.zeros(len(lengths), np.int64)
-    first = np.full(budget + 1, -1, np.int64)
+    order = [k for k in np.argsort(lengths, kind="stable").tolist() if lengths[k] > 0 and free[k] > 0]
+    fits = [k for k in order if lengths[k] <= budget]
+    alone = next((k for k in order if lengths[k] > budget), None)
+    limit = min(2 * budget, sum(int(lengths[k]) * min(int(free[k]), 2 * budget // int(lengths[k])) for k in fits))
+    first = np.full(limit + 1, -1, np.int32)
     first[0] = 0
     steps: list[tuple[int, int]] = [(-1, 0)]
-    for k in np.argsort(lengths, kind="stable").tolist():
+    for k in fits:
+        if budget <= limit and first[budget] >= 0:
+            break
         size = int(lengths[k])
-        if size <= 0 or size > budget or first[budget] >= 0:
-            continue
-        many, chunk = min(int(free[k]), budget // size), 1
+        many, chunk = min(int(free[k]), limit // size), 1
         while many > 0:
             c = min(chunk, many)
             width = c * size
@@ -95,7 +100,11 @@ def knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
             first[width:][reached] = len(steps)
             steps.append((k, c))
             many, chunk = many - c, chunk * 2
-    at = int(np.nonzero(first >= 0)[0][-1])
+    sums = np.flatnonzero(first >= 0)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
+    if alone is not None and int(lengths[alone]) - budget < abs(at - budget):
+        out[alone] = 1
+        return out
     while at > 0:
         k, c = steps[first[at]]
         out[k] += c

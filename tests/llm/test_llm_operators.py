@@ -3,6 +3,7 @@
 import hashlib
 import html
 import random
+import tracemalloc
 import re
 
 import numpy as np
@@ -668,20 +669,36 @@ def test_fill_is_exact_where_the_lengths_allow(items, budget):
     taken = mixture.fill(lengths, counts, budget)
     assert (taken >= 0).all() and (taken <= counts).all()
     total = int((taken * lengths).sum())
-    assert total <= max(budget, 0) or budget >= (lengths * counts).sum()
+    assert abs(total - min(budget, (lengths * counts).sum())) <= max(a for a, _ in items)
     if (lengths == 1).any() and counts[lengths == 1].sum() >= 60 and budget <= (lengths * counts).sum():
         assert total == budget
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 90), st.integers(1, 3)), min_size=1, max_size=7, unique_by=lambda x: x[0]), st.integers(0, 300))
-def test_knapsack_finds_the_largest_sum(items, budget):
+def test_knapsack_finds_the_nearest_sum(items, budget):
     lengths, counts = np.array([a for a, _ in items]), np.array([b for _, b in items])
     taken = mixture.knapsack(lengths, counts, budget)
     sums = {0}
     for a, b in items:
         sums = {s + k * a for s in sums for k in range(b + 1)}
-    assert (taken <= counts).all() and int((taken * lengths).sum()) == max(s for s in sums if s <= budget)
+    assert (taken <= counts).all() and abs(int((taken * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_sums_above_the_budget_may_be_nearer():
+    fill = lambda lengths, counts, budget: mixture.fill(np.array(lengths), np.array(counts), budget).tolist()
+    assert fill([1_000_000], [1], 999_984) == [1]
+    assert fill([900], [3], 1567) == [2]
+    assert fill([900], [3], 1349) == [1]
+    assert fill([10, 25], [1, 1], 18) == [0, 1]
+    assert fill([10, 26], [1, 1], 18) == [1, 0]  # equally near: the lower
+
+
+def test_memory_follows_the_lengths_that_fit():
+    tracemalloc.start()
+    assert mixture.fill(np.array([1, 10**8]), np.array([10, 1]), 5 * 10**7 - 6).tolist() == [10, 0]
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
 
 
 def test_knapsack_looks_at_every_length():
