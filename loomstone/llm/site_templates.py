@@ -8,9 +8,10 @@ found as well. Inside the page's article (article, main, or role main) ``inner``
 articles of a site share passages too: that goes for paragraphs and all other elements but headings and inline ones,
 which belong to the text around them. Beside that, elements that are no content by their nature are
 deleted on every page: by tag (nav, header, footer, aside, form, script, style, ...), or by a word of class,
-id or role (ad, menu, sidebar, cookie, comments, ...). Names of layout ("has-sidebar") don't count, in an article
-only names that consist of such words do ("share-buttons", not "social-history"), and a wrapper named like
-this gives way if the only article is inside of it, or all of the page's text.
+id or role (ad, menu, sidebar, cookie, comments, ...), or as a form. Names of layout ("has-sidebar") don't count, in an article
+only names that consist of such words do ("share-buttons", not "social-history"), elsewhere such words must end or lead the name.
+A wrapper named like this, or a form, gives way if the only article is inside of it, or if it holds more than half of the page's text and that mostly
+outside of links; names of comments, notices, adverts or menus never do.
 
 The text is the article's if there is one, else the body's: character references decoded, white space
 inside a block made one space, blocks trimmed, empty ones dropped, joined by one space.
@@ -38,7 +39,7 @@ from .common import map_slices
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
-DROP = frozenset("head nav header footer aside form script style noscript iframe template svg math canvas object embed audio video button select option textarea input dialog menu label fieldset title meta link base".split())
+DROP = frozenset("head nav header footer aside script style noscript iframe template svg math canvas object embed audio video button select option textarea input dialog menu label fieldset title meta link base".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 MAIN = frozenset(("article", "main"))
 #: Opening one of the first closes an open one of the second, up to the nearest of the third.
@@ -58,23 +59,33 @@ COMMENTS = frozenset("comment comments reply replies respond disqus".split())
 INLINE = frozenset("h1 h2 h3 h4 h5 h6 b i em strong br span a".split())
 
 
+#: Words of NOISE that also name places of a layout, which may turn out to hold the page's text.
+PLACES = frozenset("sidebar side aside header masthead topbar toolbar footer widget widgets related social banner promo complementary".split())
+#: Words that make a name one of such elements wherever they lead.
+LEADING = frozenset("ad ads advert adsense cookie cookies gdpr newsletter sponsored".split())
+
+
 def noisy(names: str, inside: bool) -> bool:
-    """Whether a class, id or role names no content; inside an article, only if all its words do."""
+    """Whether a class, id or role names no content: all its words do; or, outside of an article, its last telling word or a leading one does.
+
+    So "share-buttons" and "site-footer" do, "widgets-explained" and "related-none" don't."""
     for token in names.split():
         words = _WORD.findall(token)
-        if any(w in NOISE for w in words) and words[0] not in LAYOUT and (not inside or all(w in NOISE or w in GENERIC for w in words)):
-            return True
+        if any(w in NOISE for w in words) and words[0] not in LAYOUT:
+            telling = [w for w in words if w not in GENERIC and not w.isdigit()]
+            if all(w in NOISE for w in telling) or not inside and (words[0] in LEADING or telling[-1] in NOISE):
+                return True
     return False
 
 
 class Node:
-    """An element: ``noise`` by its tag or as hidden, ``soft`` by its names."""
+    """An element: ``noise`` by its tag or as hidden, ``soft`` by its names or as a form; ``firm`` if it is so whatever it holds."""
 
-    __slots__ = ("tag", "attrs", "kids", "noise", "soft", "main", "key", "parent", "inside")
+    __slots__ = ("tag", "attrs", "kids", "noise", "soft", "firm", "main", "key", "parent", "inside")
 
     def __init__(self, tag: str, attrs: str, parent: "Node | None"):
         self.tag, self.attrs, self.parent, self.kids, self.key = tag, attrs, parent, [], 0
-        self.noise, self.soft, self.main = tag in DROP, False, tag in MAIN
+        self.noise, self.soft, self.firm, self.main = tag in DROP, tag == "form", False, tag in MAIN
         self.inside = parent is not None and (parent.inside or parent.main)
         if attrs and not self.noise:
             for m in _ATTR.finditer(attrs):
@@ -86,9 +97,11 @@ class Node:
                 elif name in ("hidden", "aria-hidden") or tag in ("html", "body"):
                     continue
                 elif tag in MAIN:
-                    self.soft |= any(w in COMMENTS for w in _WORD.findall(value))
-                else:
-                    self.soft |= noisy(value, self.inside)
+                    self.firm |= any(w in COMMENTS for w in _WORD.findall(value))
+                    self.soft |= self.firm
+                elif noisy(value, self.inside):
+                    self.soft = True
+                    self.firm |= any(w in NOISE and w not in PLACES for w in _WORD.findall(value))
 
 
 def parse(source: str) -> Node:
@@ -170,6 +183,26 @@ def hash_subtrees(root: Node, host: str) -> list[Node]:
     return order
 
 
+def settle(order: list[Node]) -> None:
+    """Soft elements that hold more than half of a page's text, most of it outside of links, are its layout, not noise.
+
+    Firm ones (comments, notices, adverts, menus) stay noise, however long, and text in these isn't weighed."""
+    size: dict[int, tuple[int, int]] = {}
+    for n in reversed(order):
+        if n.noise or n.firm:
+            size[id(n)] = (0, 0)
+            continue
+        own = sum(len(" ".join(k.split())) for k in n.kids if isinstance(k, str))
+        kids = [size[id(k)] for k in n.kids if not isinstance(k, str)]
+        whole = own + sum(k for k, _ in kids)
+        size[id(n)] = (whole, whole if n.tag == "a" else sum(k for _, k in kids))
+    whole = size[id(order[0])][0]
+    for n in order:
+        if n.soft and not n.firm:
+            held, linked = size[id(n)]
+            n.soft = not (2 * held > whole and 2 * linked <= held)
+
+
 def main_nodes(order: list[Node]) -> list[Node]:
     """The articles that hold the page's content: of the outermost ones outside of noise those in the fewest soft elements;
     without any, the root."""
@@ -228,6 +261,7 @@ def host_of(url) -> str:
 
 def page(source, url):
     order = hash_subtrees(parse(source if isinstance(source, str) else ""), host_of(url))
+    settle(order)
     return order, main_nodes(order)
 
 

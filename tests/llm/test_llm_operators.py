@@ -3,8 +3,9 @@
 import hashlib
 import html
 import random
-import tracemalloc
 import re
+import tracemalloc
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -542,6 +543,16 @@ def text_of(source):
         ("<p title=it's>The <b title=\"a>b\">text</b></p>", "The text"),
         ('<div class="widget"><p>All that there is</p></div>', "All that there is"),
         ('<div class="ad">Buy</div><p>Text</p>', "Text"),
+        ('<body><form id="aspnetForm"><article><p>Whole text here</p></article></form></body>', "Whole text here"),
+        ('<body><form id="aspnetForm"><p>Whole text here</p><label>Name</label><input><select><option>A</option></select></form></body>', "Whole text here"),
+        ('<p>The whole text stands here</p><form>Your name <input></form>', "The whole text stands here"),
+        ('<div class="page sidebar-left"><p>The article text</p></div><p>Copyright 2020</p>', "The article text Copyright 2020"),
+        ('<div class="page sidebar-left"><p>The article text</p><div class="sidebar"><a href="/">Home</a></div></div><p>More</p>', "The article text More"),
+        ('<div class="sidebar"><a href="/a">A long link text</a><a href="/b">And another one</a></div><p>Text</p>', "Text"),
+        ('<div class="comments"><p>A comment that is longer than all the text</p></div><p>Text</p>', "Text"),
+        ('<div class="cookie-notice">We use cookies and say so at length</div><p>Text</p>', "Text"),
+        ('<section id="widgets-explained"><p>One</p></section><section><p>Another part of it</p></section>', "One Another part of it"),
+        ('<div class="article-body related-none"><p>One</p></div><div><p>Another part of it</p></div>', "One Another part of it"),
         ("<p a='x", ""),
         ("<p title=\"unclosed>text</p>", "text"),
         ("&notanentity; &amp;lt; &#233;", "&notanentity; &lt; é".replace("&not", "¬")),
@@ -552,6 +563,50 @@ def test_noise_and_wrappers(source, wanted):
     assert text_of(source) == wanted
 
 
+class Reader(HTMLParser):
+    """Text of well-formed pages by the standard library's parser: the article's, without what is noise by tag or by a whole name."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.part = [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in site_templates.BLOCK:
+            self.flush()
+        if tag not in site_templates.VOID:
+            names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).split()
+            bad = tag in site_templates.DROP or tag == "form" or any(n in ("ad", "ads", "comments", "sidebar", "menu", "related", "share-buttons", "cookie-notice", "newsletter") for n in names)
+            self.stack.append((tag, bad))
+
+    def handle_endtag(self, tag):
+        if tag in site_templates.BLOCK:
+            self.flush()
+        while self.stack and self.stack.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        if not any(bad for _, bad in self.stack) and any(t in site_templates.MAIN for t, _ in self.stack):
+            self.part.append(data)
+
+    def flush(self):
+        if text := " ".join("".join(self.part).split()):
+            self.blocks.append(text)
+        self.part = []
+
+
+blocks_of = st.lists(st.sampled_from(["<p>One <b>two</b>\n three</p>", "<h2>A &amp; B</h2>", "<ul><li>x</li><li>y<em>z</em></li></ul>", "<div class='text'><p>deep &eacute;</p>tail</div>", "<form><p>Your name</p></form>", "<div class='share-buttons'>Share</div>", "<aside>Side</aside>", "<script>var a = '<p>no</p>';</script>", "<div class='ad'>Buy</div>", "<table><tr><td>1</td><td>2</td></tr></table>", "<pre>a\n  b</pre>", "text <a href='/'>link</a> on"]), max_size=8).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(blocks_of, blocks_of)
+def test_text_equals_another_parsers(inside, around):
+    source = f"<html><head><title>T</title></head><body><header>Head</header><div class='menu'>Menu</div>{around}<article><p>{'Long article text. ' * 20}</p>{inside}</article><footer>Foot</footer></body></html>"
+    reader = Reader()
+    reader.feed(source)
+    reader.flush()
+    assert text_of(source) == " ".join(reader.blocks)
+
+
 def brute_templates(pages, least, share, inner, many):
     """(host, subtree as written) of template subtrees, by comparing whole subtrees of nested tuples."""
     def tuples(n):
