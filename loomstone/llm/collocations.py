@@ -8,7 +8,7 @@ are added up, first those of 32 tasks, then all. A cell is never below the count
 falls in it (or is 255, which is above ``least``), so a phrase whose estimate is below ``least`` is rare.
 
 Second pass: a phrase survives if its own estimate and those of the phrases in it reach ``least``. Survivors, single words
-among them, are counted exactly: by text and language, after counts within a slice of a task, where 64-bit hashes tell words apart.
+among them, are counted exactly: by text and language, after counts within a task, where 128 bits of hash tell phrases apart.
 Only these counts decide. The sketches have a fixed size, at most 8 times 2^``MOST_BITS`` bytes on the driver and in a worker; on corpora beyond what they tell apart more
 phrases survive and are counted, with the same result.
 
@@ -38,9 +38,9 @@ from .common import Bounded, release, slices
 ORDERS, ROWS = (1, 2, 3, 4), 2
 LEAST_BITS, MOST_BITS = 16, 23
 #: Cells of a travelling block as a power of two; tasks whose blocks meet first; ways of the first ranking; different phrases of a task before it hands them on.
-BLOCK_BITS, TASKS, SALTS, FLUSH = 18, 32, 32, 300_000
-#: Rows and bytes of text in a slice.
-SLICE = (2048, 1 << 20)
+BLOCK_BITS, TASKS, SALTS, FLUSH = 18, 32, 32, 1_000_000
+#: Rows and bytes of text in a slice; bytes of text for a task, so that smaller partitions are read together and hand on each phrase once.
+SLICE, TASK_BYTES = (2048, 1 << 20), 256 << 20
 #: Ends of pieces become full stops, tabs become blanks, A-Z become a-z.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _ODD = np.array([xxhash.xxh3_64_intdigest(f"word {k}") | 1 for k in range(max(ORDERS))], np.uint64)
@@ -56,10 +56,14 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+def _other(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 7)
+
+
 class Tokens:
     """The tokens of some texts in a row, with a hash and a number for each; texts and pieces end at 0."""
 
-    def __init__(self, texts: list[str | None], langs: list[str | None], hashes: Bounded):
+    def __init__(self, texts: list[str | None], langs: list[str | None], hashes: Bounded, others: Bounded | None = None):
         self.words: list[bytes] = []
         lang = []
         for text, of in zip(texts, langs):
@@ -72,9 +76,17 @@ class Tokens:
         self.langs = names
         self.lang = np.repeat(np.array([number[n] for n, _ in lang], np.int64), [k for _, k in lang])
         self.hash = np.fromiter(map(hashes.__getitem__, self.words), np.uint64, len(self.words))
+        self.other = np.fromiter(map(others.__getitem__, self.words), np.uint64, len(self.words)) if others is not None else self.hash
         self.stop = np.fromiter((w == b"." for w in self.words), bool, len(self.words))
         self.salt = np.array([xxhash.xxh3_64_intdigest(n.encode()) for n in names], np.uint64)[self.lang]
 
+    def checks(self, order: int, start: np.ndarray) -> np.ndarray:
+        """Another hash of the phrases of a length at some places, from other hashes of their words."""
+        h = self.salt[start] * _MIX
+        for k in range(order):
+            h = (h ^ (h >> np.uint64(29))) * _ODD[k] + self.other[start + k]
+        return h
+
     def phrases(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, hash) of all phrases of a length, hashed with their language."""
         n = len(self.hash) - order + 1
@@ -152,42 +164,77 @@ def sketches(rows: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(len(ORDERS), ROWS, 1 << bits)
 
 
-def _survivors(sent, bits: int, least: int):
-    """(lang, size, phrase, n): counts within a task of the phrases that the sketches leave, and of all words under size 0."""
+class Counts:
+    """Counts of phrases by two 64-bit hashes of independent word hashes, in sorted arrays; the phrases themselves once each."""
+
+    def __init__(self):
+        self.langs: dict[str, int] = {}
+        self.clear()
 
-    def counted(t: Tokens, order: int, start: np.ndarray, h: np.ndarray, into: dict) -> None:
+    def clear(self) -> None:
+        self.key, self.check, self.n = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.lang, self.size, self.phrase = np.empty(0, np.int32), np.empty(0, np.int8), np.empty(0, object)
+        self.rest: dict[tuple[str, int, bytes], int] = {}
+
+    def add(self, t: Tokens, order: int, start: np.ndarray, h: np.ndarray) -> None:
+        """Counts the phrases of a length that start at some places."""
         if not len(start):
             return
-        _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        first = start[first]
-        # Equal hashes of different phrases, if they ever occur, are counted one by one.
-        odd = np.zeros(len(start), bool)
-        for k in range(order):
-            odd |= t.hash[start + k] != t.hash[first[back] + k]
-        odd |= t.lang[start] != t.lang[first[back]]
+        check = t.checks(order, start)
+        key, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        # Equal keys of different phrases, if they ever occur, are counted by the phrases.
+        odd = check != check[first][back]
         if odd.any():
-            n = np.bincount(back[~odd], minlength=len(first))
-        for at, many in [*zip(first.tolist(), n.tolist()), *((s, 1) for s in start[odd].tolist())]:
-            key = (t.langs[t.lang[at]], order, b" ".join(t.words[at : at + order]))
-            into[key] = into.get(key, 0) + many
+            n = np.bincount(back[~odd], minlength=len(key))
+            for at in start[odd].tolist():
+                self.one(t, order, at, 1)
+        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        met = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
+        same = met.copy()
+        same[met] = self.check[at[met]] == check[first[met]]
+        self.n[at[same]] += n[same]
+        for k in np.flatnonzero(met & ~same).tolist():
+            self.one(t, order, int(start[first[k]]), int(n[k]))
+        new = ~met
+        if new.any():
+            begins = start[first[new]]
+            into = np.searchsorted(self.key, key[new])
+            number = np.array([self.langs.setdefault(x, len(self.langs)) for x in t.langs], np.int32)
+            words = np.empty(len(begins), object)
+            words[:] = [b" ".join(t.words[b : b + order]) for b in begins.tolist()]
+            put = {"key": key[new], "check": check[first[new]], "n": n[new], "lang": number[t.lang[begins]], "size": np.full(len(begins), order, np.int8), "phrase": words}
+            for name, values in put.items():
+                setattr(self, name, np.insert(getattr(self, name), into, values))
+
+    def one(self, t: Tokens, order: int, at: int, n: int) -> None:
+        key = (t.langs[t.lang[at]], order, b" ".join(t.words[at : at + order]))
+        self.rest[key] = self.rest.get(key, 0) + n
+
+    def __len__(self) -> int:
+        return len(self.key) + len(self.rest)
+
+    def rows(self):
+        names = np.array([*self.langs, ""], object)
+        parts = [(names[self.lang].tolist(), self.size.tolist(), self.phrase.tolist(), self.n.tolist())]
+        if self.rest:
+            parts.append(([k[0] for k in self.rest], [k[1] for k in self.rest], [k[2] for k in self.rest], list(self.rest.values())))
+        for lang, size, phrase, n in parts:
+            for k in range(0, len(n), 20_000):
+                cut = slice(k, k + 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(lang[cut], pa.string()), pa.array(size[cut], pa.int32()), pa.array([p.decode() for p in phrase[cut]], pa.string()), pa.array(n[cut], pa.int64())], names=["lang", "size", "phrase", "n"])
+        self.clear()
 
-    def go(batches):
-        made = sent.value
-        hashes = Bounded(_hash)
-        held: dict[tuple[str, int, bytes], int] = {}
 
-        def out():
-            langs, orders, phrases = zip(*held)
-            for k in range(0, len(langs), 20_000):
-                cut = slice(k, k + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(langs[cut], pa.string()), pa.array(orders[cut], pa.int32()), pa.array([p.decode() for p in phrases[cut]], pa.string()), pa.array(list(held.values())[cut], pa.int64())], names=["lang", "size", "phrase", "n"])
-            held.clear()
+def _survivors(sent, bits: int, least: int):
+    """(lang, size, phrase, n): counts within a task of the phrases that the sketches leave, and of all words under size 0."""
 
+    def go(batches):
+        made, hashes, others, held = sent.value, Bounded(_hash), Bounded(_other), Counts()
         for whole in batches:
             for batch in slices(whole, *SLICE):
-                t = Tokens(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), hashes)
+                t = Tokens(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), hashes, others)
                 for lang, n in zip(t.langs, np.bincount(t.lang[~t.stop], minlength=len(t.langs)).tolist()):
-                    held[lang, 0, b""] = held.get((lang, 0, b""), 0) + n
+                    held.rest[lang, 0, b""] = held.rest.get((lang, 0, b""), 0) + n
                 inside = None  # whether the phrase of the length before survives at each place
                 for k, order in enumerate(ORDERS):
                     start, h = t.phrases(order)
@@ -196,13 +243,12 @@ def _survivors(sent, bits: int, least: int):
                     for row in range(ROWS):
                         alive = made[k, row, cells(h, row, bits)] >= least
                         start, h = start[alive], h[alive]
-                    counted(t, order, start, h, held)
+                    held.add(t, order, start, h)
                     inside = np.zeros(len(t.hash) + 1, bool)
                     inside[start] = True
                 if len(held) > FLUSH:
-                    yield from out()
-        if held:
-            yield from out()
+                    yield from held.rows()
+        yield from held.rows()
         release()
 
     return go
@@ -211,8 +257,9 @@ def _survivors(sent, bits: int, least: int):
 def frequent(docs: DataFrame, least: int, bits: int | None, step: Steps, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """((lang, size, phrase, n) of all phrases of 1 to 4 words that occur ``least`` times, (lang, n) of all words)."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES)))
     if bits is None:  # about 16 bytes of text for a cell
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(size / 16 + 1))))
     if least > 255:
         raise ValueError("cells stop at 255")

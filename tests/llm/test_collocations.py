@@ -91,6 +91,7 @@ def test_equal_hashes_of_different_phrases(monkeypatch):
 
     monkeypatch.setattr(co.Tokens, "phrases", lambda self, order: (lambda n: (n, np.zeros(len(n), np.uint64)))(np.array([s for s in range(len(self.words) - order + 1) if not self.stop[s : s + order].any()], np.int64)))
     batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 2, "text": ["a b c a b", "a b"]})
+    monkeypatch.setattr(co, "SLICE", (1, 1 << 20))
     got = Counter()
     for out in co._survivors(Sent, 2, 1)([batch]):
         for r in out.to_pylist():
