@@ -2,28 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import est_tokens
+from ..plans.shared import materialise
 
 PAD = 40
 
 
+def _labelled(hits: DataFrame, of) -> DataFrame:
+    """hits with ``symbol`` by ``of``, which adds it to rows (path, ln, ...); the hits of a line go through it as one row, so they are searched once."""
+    rest = [c for c in hits.columns if c not in ("path", "ln")]
+    row = F.struct(*rest) if rest else F.struct(F.lit(1).alias("_one"))
+    out = of(hits.groupBy("path", "ln").agg(F.collect_list(row).alias("_rows"))).withColumn("_row", F.explode("_rows"))
+    return out.select(*[F.col(f"_row.{c}") if c in rest else F.col(c) for c in hits.columns], "symbol")
+
+
 def enclosing(hits: DataFrame, symbols: DataFrame, keep_all: bool = True) -> DataFrame:
     """hits (path, ln, ...) with ``symbol``, the qualified name of the innermost symbol around ln.
 
     An equi-join on the path with the range as residual, so it hashes or sorts by path instead of looping over
-    pairs; then one partial aggregate for each (path, ln), and the hits' other columns are joined after it. Ties go to the later, shorter, last-extracted symbol.
-    Without a symbol the label is "" (or the hit goes, if not keep_all).
+    pairs; then one partial aggregate for each (path, ln). Ties go to the later, shorter, last-extracted symbol.
+    Without a symbol the label is "" (or the hit goes, if not keep_all). For files of very many symbols and hits see ``enclosing_dyadic``.
     """
     s = symbols.select(F.col("path").alias("sp"), "start_line", "end_line", "ord", "qualified")
     inside = (F.col("path") == F.col("sp")) & F.col("ln").between(F.col("start_line"), F.col("end_line"))
     rank = F.struct("start_line", -F.col("end_line"), F.col("ord"))
-    places = hits.select("path", "ln").distinct().join(s, inside)
-    inner = places.groupBy("path", "ln").agg(F.max_by("qualified", rank).alias("symbol"))
-    out = hits.join(inner, ["path", "ln"], "left" if keep_all else "inner").select(*hits.columns, "symbol")
-    return out.withColumn("symbol", F.coalesce("symbol", F.lit("")))
+
+    def of(lines: DataFrame) -> DataFrame:
+        found = lines.join(s, inside, "left" if keep_all else "inner")
+        return found.groupBy("path", "ln").agg(F.first("_rows").alias("_rows"), F.coalesce(F.max_by("qualified", rank), F.lit("")).alias("symbol"))
+
+    return _labelled(hits, of)
+
+
+def dyadic_cover(start: Column, end: Column) -> Column:
+    """The blocks (level, block) that make up the lines from start to end: block b of level k is lines b * 2^k up to (b + 1) * 2^k - 1.
+
+    At most two of each level, so some 2 log of the length; every line lies in one of them."""
+    levels = F.sequence(F.lit(0), F.floor(F.log2((end - start + 1).cast("double"))).cast("int"))
+
+    def of(k: Column) -> Column:
+        power = F.pow(F.lit(2.0), k).cast("long")
+        left, right = F.floor((start + power - 1) / power).cast("long"), F.floor((end + 1) / power).cast("long")
+        takes_left = (left < right) & (left % 2 == 1)
+        takes_right = (F.when(takes_left, left + 1).otherwise(left) < right) & (right % 2 == 1)
+        block = lambda b: F.struct(k.alias("level"), b.alias("block"))
+        return F.array(F.when(takes_left, block(left)), F.when(takes_right, block(right - 1)))
+
+    return F.filter(F.flatten(F.transform(levels, of)), lambda x: x.isNotNull())
+
+
+def enclosing_dyadic(hits: DataFrame, symbols: DataFrame, keep_all: bool = True) -> DataFrame:
+    """The same as ``enclosing`` by equal keys alone: symbols are cut into dyadic blocks of lines, hits looked up at the blocks around them.
+
+    A pair of a hit and a symbol around it meets in exactly one key (path, level, block), so nothing but answers is made, and
+    a huge file is dealt over many keys instead of being one task's product. Costs a row for each level of the longest symbol and hit.
+    """
+    valid = symbols.where("start_line >= 0 and end_line >= start_line")
+    cover = valid.select("path", F.explode(dyadic_cover(F.col("start_line"), F.col("end_line"))).alias("b"), "qualified", F.struct("start_line", -F.col("end_line"), F.col("ord")).alias("r"))
+    cover = cover.select("path", "b.level", "b.block", "qualified", "r").groupBy("path", "level", "block").agg(F.max("r").alias("r"), F.max_by("qualified", "r").alias("qualified"))
+    longest = valid.agg(F.max(F.col("end_line") - F.col("start_line") + 1)).first()[0] or 1  # one row
+    levels = F.sequence(F.lit(0), F.lit(int(longest).bit_length() - 1))
+
+    def of(lines: DataFrame) -> DataFrame:
+        at = lines.select("path", "ln", F.explode(levels).alias("level")).withColumn("block", F.floor(F.col("ln") / F.pow(F.lit(2.0), "level")).cast("long"))
+        inner = at.join(cover, ["path", "level", "block"]).groupBy("path", "ln").agg(F.max_by("qualified", "r").alias("symbol"))
+        return lines.join(inner, ["path", "ln"], "left" if keep_all else "inner").withColumn("symbol", F.coalesce("symbol", F.lit("")))
+
+    return _labelled(materialise(hits, "hits"), of)
 
 
 def enclosing_dense(hits: DataFrame, symbols: DataFrame) -> DataFrame:

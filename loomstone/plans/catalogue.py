@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import code, grammar, imports, policy, text
-from ..operators import graph, history, intervals, ranking, registry, search, usage
+from ..operators import binding, graph, history, intervals, ordered, ranking, registry, search, usage
 from ..sources import extract, hooks, index
 from . import carriers as C
+from .shared import materialise
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -62,6 +63,12 @@ def grep_enclosing_dense(spark, d):
     return intervals.enclosing_dense(hits, C.symbols(spark, d))
 
 
+@query(f"WITH {SQL_GREP_ENCLOSING} SELECT path, ln, trim(line) AS line, symbol FROM e")
+def grep_enclosing_dyadic(spark, d):
+    hits = search.grep(C.files(spark, d), "ation")
+    return intervals.enclosing_dyadic(hits, C.symbols(spark, d)).withColumn("line", F.trim("line"))
+
+
 @query(f"WITH {SQL_GREP_ENCLOSING} SELECT path, ln, trim(line) AS line, symbol, (SELECT count(*) FROM e) > 50 AS more FROM e ORDER BY path, ln LIMIT 50")
 def grep_top_with_flag(spark, d):
     hits = intervals.enclosing(search.grep(C.files(spark, d), "ation"), C.symbols(spark, d)).withColumn("line", F.trim("line"))
@@ -185,6 +192,22 @@ def rank_run_collapse(spark, d):
     return ranking.collapse_runs(rows, ["path"], [F.desc("fan_in"), "name"], ["hot", "long_"])
 
 
+@query(
+    f"""WITH {SQL_FAN}, r AS (SELECT *, CASE WHEN length(name) > 4 THEN 'type' ELSE 'fn' END AS kind, row_number() OVER (ORDER BY fan_in DESC, name, path) AS pos FROM fan),
+m AS (SELECT *, CASE WHEN lag(fan_in) OVER w IS DISTINCT FROM fan_in OR lag(name) OVER w IS DISTINCT FROM name OR lag(kind) OVER w IS DISTINCT FROM kind THEN 1 ELSE 0 END AS opens FROM r WINDOW w AS (ORDER BY pos)),
+g AS (SELECT *, sum(opens) OVER (ORDER BY pos) AS run_id FROM m), c AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n, min(pos) OVER (PARTITION BY run_id) AS f FROM g),
+l AS (SELECT *, CASE WHEN n < 3 THEN 1 ELSE n END AS run, greatest(4, length(fan_in::VARCHAR)) + strlen('×  ') + CASE WHEN n < 3 THEN strlen(kind || ' ' || name || '  ' || path || ':' || ln || '-' || (ln + 9)) ELSE strlen(kind || ' ' || name || '  (×' || n || ' files)') END + 1 AS bytes FROM c WHERE n < 3 OR pos = f),
+b AS (SELECT *, sum((bytes + 3) // 4) OVER (ORDER BY pos) AS spent, row_number() OVER (ORDER BY pos) AS line FROM l)
+SELECT line AS pos, fan_in, kind, name, name AS symbol, path, ln AS start_line, ln + 9 AS end_line, run::BIGINT AS run FROM b WHERE spent <= 20000"""
+)
+def tree_rank(spark, d):
+    i = C.idents(spark, d)
+    counts = materialise(ranking.occurrence_counts(i), "counts")
+    defs = _defs(i).withColumn("kind", F.when(F.char_length("name") > 4, "type").otherwise("fn"))
+    fan = ranking.fan_in(defs, i, counts).select("path", "name", F.col("name").alias("qualified"), "kind", F.col("ln").alias("start_line"), (F.col("ln") + 9).alias("end_line"), "fan_in")
+    return ordered.tree_rank(fan, 20_000)
+
+
 @query(f"WITH {C.SQL_LINES}, {C.SQL_IDENTS} SELECT path, name, min(ln) AS ln FROM idents GROUP BY path, name")
 def first_sighting(spark, d):
     return ranking.first_sighting(C.idents(spark, d), ["path", "name"], F.col("ln"))
@@ -756,3 +779,31 @@ def impact_sections(spark, d):
 
     hits = intervals.enclosing(search.grep(C.files(spark, d), "ation"), C.symbols(spark, d))
     return impact(hits, (F.char_length("path") + F.col("ln")) % 3 == 0).select("section", "path", "ln", "symbol")
+
+
+# Binding ---------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT p_partkey AS k, p_partkey + p_size AS o FROM part), t AS (SELECT k AS k0, k FROM p UNION SELECT t.k0, p.o FROM t JOIN p ON p.k = t.k AND p.k % 2 = 1),
+r AS (SELECT k0 AS k, 20 AS ln, 'f' AS names, p.k AS o, 1 AS def_line FROM t JOIN p ON p.k = t.k AND p.k % 2 = 0
+UNION ALL SELECT p.k, 21, 'Q.go', q.k, 4 FROM p JOIN p q ON q.k = p.o
+UNION ALL SELECT k, 8, 'x.go', k, 4 FROM p WHERE k % 2 = 0
+UNION ALL SELECT k, 9, 'x', k, 7 FROM p WHERE k % 2 = 0
+UNION ALL SELECT p.k, 22, 'lib.T.go', q.k, 4 FROM p JOIN p q ON q.k = p.o)
+SELECT 'm' || k AS path, ln, names, 'm' || o AS def_path, def_line FROM r"""
+)
+def name_binding(spark, d):
+    """Modules made of parts: each defines a type with a method, even ones a function as well, odd ones take it from another module."""
+    p = C.table(spark, d, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("path"), (F.col("p_partkey") % 2 == 0).alias("even"), F.concat(F.lit("m"), (F.col("p_partkey") + F.col("p_size")).cast("string")).alias("other"))
+    symbol = lambda name, qualified, parent, line: F.struct(F.lit(name).alias("name"), F.lit(qualified).alias("qualified"), F.lit(parent).cast("string").alias("parent"), F.lit(line).alias("start_line"))
+    both = F.array(symbol("T", "T", None, 3), symbol("go", "T.go", "T", 4))
+    symbols = p.select("path", F.inline(F.when(F.col("even"), F.concat(both, F.array(symbol("f", "f", None, 1)))).otherwise(both)))
+    taken = lambda names, alias: F.struct(F.array(*map(F.lit, names)).cast("array<string>").alias("names"), F.lit(alias).alias("alias"), F.lit(2).alias("line"))
+    always = F.array(taken(["T"], "Q"), taken([], "lib"))
+    taken_ = p.select(F.col("path").alias("importer"), F.col("other").alias("path"), F.inline(F.when(F.col("even"), always).otherwise(F.concat(always, F.array(taken(["f"], "f"))))))
+    found = taken_.join(p.select("path"), "path", "left_semi")
+    typed = p.where("even").select("path", F.lit("f").alias("within"), F.lit("x").alias("name"), F.array(F.lit("T")).alias("type"), F.lit(7).alias("line"))
+    use = lambda ln, within, *names: F.struct(F.lit(ln).alias("ln"), F.lit(within).cast("string").alias("within"), F.array(*map(F.lit, names)).alias("names"))
+    uses = p.select("path", F.inline(F.array(use(20, None, "f"), use(21, None, "Q", "go"), use(8, "f", "x", "go"), use(9, "f", "x"), use(22, None, "lib", "T", "go"))))
+    return binding.bind(uses, symbols, found, typed).withColumn("names", F.array_join("names", "."))
