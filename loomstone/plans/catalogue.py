@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import code, grammar, imports, policy, text
-from ..operators import binding, graph, history, intervals, ordered, ranking, registry, search, usage
+from ..operators import binding, graph, history, intervals, ordered, postings, ranking, registry, search, usage
 from ..sources import extract, hooks, index
 from . import carriers as C
-from .shared import materialise
+from .shared import materialise, shared_dir
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -46,6 +48,29 @@ def grep_regex(spark, d):
     return search.grep(C.files(spark, d), r"[0-9]{3}-[0-9]{4}$|^The .*ing\.$", regex=True)
 
 
+SQL_GREP_POSTINGS = r"(Licen[sc]ed|license[ds]?) (under|by)[^.]*(Apache|MIT)"
+
+
+@query(f"WITH {C.SQL_LINES} SELECT path, ln, line FROM lines WHERE regexp_matches(line, '{SQL_GREP_POSTINGS}')")
+def grep_regex_indexed(spark, d):
+    files = C.files(spark, d)
+    return postings.grep(files, postings.trigram_index(files), SQL_GREP_POSTINGS)
+
+
+def _held(*texts: str) -> str:
+    """Each text's trigrams are all there, for one of the texts."""
+    return " OR ".join("(" + " AND ".join(f"contains(t, '{x[k:k + 3]}')" for k in range(len(x) - 2)) + ")" for x in texts)
+
+
+@query(
+    f"""WITH {C.SQL_FILES}, c AS (SELECT size, {_held("apache license", "mit license", "mit licence", "gnu general")} AS hit FROM (SELECT size, {LIKE_ASCII.format("text")} AS t FROM files))
+SELECT count(*) FILTER (hit) AS files, coalesce(sum(size) FILTER (hit), 0)::BIGINT AS bytes, count(*) AS all_files, sum(size)::BIGINT AS all_bytes FROM c"""
+)
+def regex_scan_share(spark, d):
+    files = C.files(spark, d)
+    return postings.scan_share(files.select("path", "size"), postings.trigram_index(files), "Apache License|MIT Licen[sc]e|GNU General")
+
+
 SQL_GREP_ENCLOSING = f"""{C.SQL_SYMBOLS}, h AS (SELECT path, ln, line FROM lines WHERE contains(line, 'ation')),
 e AS (SELECT h.path, h.ln, h.line, coalesce(arg_max(qualified, struct_pack(a := start_line, b := -end_line, c := ord)), '') AS symbol
       FROM h LEFT JOIN symbols s ON s.path = h.path AND h.ln BETWEEN s.start_line AND s.end_line GROUP BY ALL)"""
@@ -129,6 +154,14 @@ def find_fuzzy(spark, d):
     return search.fuzzy(C.symbols(spark, d), "SB2").select("path", "qualified", "score")
 
 
+@query(f"WITH {C.SQL_SYMBOLS}, z AS (SELECT path, qualified, ord, greatest({_fuzzy_sql('sb2', 'name')}, {_fuzzy_sql('sb2', 'qualified')})::BIGINT AS score FROM symbols) SELECT path, qualified, score FROM z WHERE score IS NOT NULL ORDER BY score DESC, strlen(qualified), path, ord LIMIT 10")
+def find_fuzzy_indexed(spark, d):
+    """The same from postings by character, pair and length."""
+    path = f"{shared_dir(spark)}/names-{uuid.uuid4().hex}"
+    postings.write_name_index(C.symbols(spark, d), path)
+    return postings.fuzzy(spark, path, "SB2").select("path", "qualified", "score")
+
+
 @query(f"WITH {C.SQL_FILES} SELECT path, lang, size FROM files WHERE path = 'src1/en' OR starts_with(path, 'src1/en/')")
 def path_filter_dir(spark, d):
     return C.files(spark, d).where(code.path_filter(F.col("path"), "src1/en/", is_dir=True)).select("path", "lang", "size")
