@@ -118,3 +118,44 @@ def baseline_tokens(lines: DataFrame, hits: DataFrame, pad: int = PAD) -> DataFr
     near = F.coalesce(F.col("ln") - before <= pad, F.lit(False)) | F.coalesce(after - F.col("ln") <= pad, F.lit(False))
     cost = seen.withColumn("near", near).groupBy("path").agg(F.sum(F.when(F.col("near"), F.col("n_bytes") + 1)).alias("some"), F.sum(F.col("n_bytes") + 1).alias("whole"))
     return cost.select("path", est_tokens(F.coalesce("some", "whole")).alias("tokens"))
+
+
+#: Lines of a block of the stored sums.
+BLOCK = 64
+
+
+def line_sums(lines: DataFrame) -> DataFrame:
+    """(path, block, before, sizes) of lines (path, ln, n_bytes): bytes with line ends of the lines before each block of ``BLOCK`` lines, and of each
+    line in it. Made once, when a file is indexed; its rows are few, as are those that a window of it sees."""
+    at = F.floor((F.col("ln") - 1) / BLOCK).cast("int")
+    sizes = F.transform(F.array_sort(F.collect_list(F.struct("ln", (F.col("n_bytes") + 1).cast("long").alias("b")))), lambda x: x["b"])
+    blocks = lines.groupBy("path", at.alias("block")).agg(sizes.alias("sizes"))
+    own = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select("path", "block", F.coalesce(F.sum(own).over(earlier), F.lit(0)).alias("before"), "sizes")
+
+
+def merged_windows(hits: DataFrame, n_lines: DataFrame, pad: int = PAD) -> DataFrame:
+    """(path, lo, hi): the lines within ``pad`` of a hit (path, ln), as few closed intervals as make them up, cut to files (path, n)."""
+    near = hits.select("path", "ln").distinct().join(n_lines, "path").where((F.col("ln") + pad >= 1) & (F.col("ln") - pad <= F.col("n")))
+    order = Window.partitionBy("path").orderBy("ln")
+    opens = F.coalesce((F.col("ln") - F.lag("ln").over(order) > 2 * pad + 1).cast("int"), F.lit(1))
+    runs = near.withColumn("_o", opens).withColumn("_k", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("path", "_k").agg(F.min("ln").alias("a"), F.max("ln").alias("b"), F.first("n").alias("n"))
+    return spans.select("path", F.greatest(F.col("a") - pad, F.lit(1)).cast("int").alias("lo"), F.least(F.col("b") + pad, F.col("n")).cast("int").alias("hi"))
+
+
+def baseline_from_sums(sums: DataFrame, hits: DataFrame, pad: int = PAD) -> DataFrame:
+    """The same as ``baseline_tokens`` from ``line_sums``: a window costs the difference of two looked-up sums, and no line is read.
+
+    Windows are few for each file; each meets its first and last block by equal keys."""
+    last = sums.groupBy("path").agg(F.max_by(F.struct("block", "before", "sizes"), "block").alias("l"))
+    total = F.col("l.before") + F.aggregate("l.sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    files = last.select("path", (F.col("l.block") * BLOCK + F.size("l.sizes")).alias("n"), total.alias("whole"))
+    spans = merged_windows(hits, files.select("path", "n"), pad)
+    # The bytes up to a line: lo - 1 counts with a minus.
+    ends = spans.select("path", F.explode(F.array(F.struct((F.col("lo") - 1).alias("ln"), F.lit(-1).alias("sign")), F.struct(F.col("hi").alias("ln"), F.lit(1).alias("sign")))).alias("e")).select("path", "e.ln", "e.sign").where("ln > 0")
+    met = ends.withColumn("block", F.floor((F.col("ln") - 1) / BLOCK).cast("int")).join(sums, ["path", "block"])
+    upto = F.col("before") + F.aggregate(F.slice("sizes", F.lit(1), F.col("ln") - F.col("block") * BLOCK), F.lit(0).cast("long"), lambda a, x: a + x)
+    some = met.groupBy("path").agg(F.sum(upto * F.col("sign")).alias("some"))
+    return files.join(some, "path", "left").select("path", est_tokens(F.coalesce("some", "whole")).alias("tokens"))
