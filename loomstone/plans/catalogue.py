@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import code, grammar, imports, policy, text
-from ..operators import binding, graph, history, intervals, ordered, postings, ranking, registry, search, usage
+from ..operators import binding, deltas, graph, history, intervals, ordered, postings, ranking, registry, search, usage
 from ..sources import extract, hooks, index
 from . import carriers as C
 from .shared import materialise, shared_dir
@@ -113,6 +113,14 @@ def baseline_tokens(spark, d):
     return intervals.baseline_tokens(hit_files.select("path", "ln", F.octet_length("line").alias("n_bytes")), hits, pad=2)
 
 
+@query(ORACLE["baseline_tokens"])
+def baseline_tokens_sums(spark, d):
+    lines = C.file_lines(spark, d)
+    hits = lines.where(F.col("line").contains("on the")).select("path", "ln")
+    sums = materialise(intervals.line_sums(lines.select("path", "ln", F.octet_length("line").alias("n_bytes"))), "sums")
+    return intervals.baseline_from_sums(sums.join(hits.select("path").distinct(), "path", "left_semi"), hits, pad=2)
+
+
 @query(f"WITH {C.SQL_LINES}, m AS (SELECT DISTINCT path FROM lines WHERE contains(line, 'on the')) SELECT count(*) AS files, (sum(size)::BIGINT + 3) // 4 AS tokens FROM files WHERE path IN (SELECT path FROM m)")
 def baseline_bytes(spark, d):
     f = C.files(spark, d)
@@ -203,13 +211,19 @@ def _defs(i):
     return i.where("ln % 10 = 1").groupBy("path", "name").agg(F.min("ln").alias("ln"))
 
 
+def _counted(i):
+    """Occurrence counts, and the defined names, from one reading of the identifiers."""
+    counted = materialise(i.groupBy("path", "name").agg(F.count("*").alias("n"), F.min("ln").alias("ln"), F.min(F.when(F.col("ln") % 10 == 1, F.col("ln"))).alias("at")), "counts")
+    return counted.select("path", "name", "n", "ln"), counted.where("at is not null").select("path", "name", F.col("at").alias("ln"))
+
+
 SQL_FAN = f"{SQL_DEFS}, own AS (SELECT path, name, count(*) AS own FROM idents GROUP BY path, name), total AS (SELECT name, sum(own)::BIGINT AS total FROM own GROUP BY name), fan AS (SELECT defs.path, defs.name, ln, total - own AS fan_in FROM defs JOIN total USING (name) JOIN own USING (path, name))"
 
 
 @query(f"WITH {SQL_FAN} SELECT path, name, ln, fan_in FROM fan")
 def fan_in_rank(spark, d):
-    i = C.idents(spark, d)
-    return ranking.fan_in(_defs(i), i).select("path", "name", "ln", "fan_in")
+    own, defs = _counted(C.idents(spark, d))
+    return ranking.fan_in(defs, None, own).select("path", "name", "ln", "fan_in")
 
 
 @query(
@@ -219,8 +233,8 @@ s AS (SELECT *, count(*) OVER (PARTITION BY path, run_id) AS n, min(pos) OVER (P
 SELECT path, hot, long_, pos::INT AS first_pos, CASE WHEN n < 3 THEN 1 ELSE n END::BIGINT AS run FROM s WHERE n < 3 OR pos = f"""
 )
 def rank_run_collapse(spark, d):
-    i = C.idents(spark, d)
-    fan = ranking.fan_in(_defs(i), i)
+    own, defs = _counted(C.idents(spark, d))
+    fan = ranking.fan_in(defs, None, own)
     rows = fan.withColumn("hot", F.col("fan_in") > 100).withColumn("long_", F.char_length("name") > 4)
     return ranking.collapse_runs(rows, ["path"], [F.desc("fan_in"), "name"], ["hot", "long_"])
 
@@ -234,10 +248,9 @@ b AS (SELECT *, sum((bytes + 3) // 4) OVER (ORDER BY pos) AS spent, row_number()
 SELECT line AS pos, fan_in, kind, name, name AS symbol, path, ln AS start_line, ln + 9 AS end_line, run::BIGINT AS run FROM b WHERE spent <= 20000"""
 )
 def tree_rank(spark, d):
-    i = C.idents(spark, d)
-    counts = materialise(ranking.occurrence_counts(i), "counts")
-    defs = _defs(i).withColumn("kind", F.when(F.char_length("name") > 4, "type").otherwise("fn"))
-    fan = ranking.fan_in(defs, i, counts).select("path", "name", F.col("name").alias("qualified"), "kind", F.col("ln").alias("start_line"), (F.col("ln") + 9).alias("end_line"), "fan_in")
+    own, defs = _counted(C.idents(spark, d))
+    defs = defs.withColumn("kind", F.when(F.char_length("name") > 4, "type").otherwise("fn"))
+    fan = ranking.fan_in(defs, None, own).select("path", "name", F.col("name").alias("qualified"), "kind", F.col("ln").alias("start_line"), (F.col("ln") + 9).alias("end_line"), "fan_in")
     return ordered.tree_rank(fan, 20_000)
 
 
@@ -321,6 +334,15 @@ def path_bfs(spark, d):
     return graph.shortest_path(C.edges(spark, d), one(7), one(150), search.LIMITS["path_depth"])
 
 
+@query(ORACLE["path_bfs"])
+def path_from_both_ends(spark, d):
+    edges = graph.BucketedEdges(C.edges(spark, d))
+    try:
+        return graph.meet(edges, spark.createDataFrame([(7,)], "node long"), spark.createDataFrame([(150,)], "node long"))
+    finally:
+        edges.drop()
+
+
 @query(f"WITH {C.SQL_EDGES} SELECT DISTINCT a.src AS a, a.dst AS b FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
 def mutual_cycles(spark, d):
     return graph.mutual_pairs(C.edges(spark, d))
@@ -814,6 +836,24 @@ def impact_sections(spark, d):
     return impact(hits, (F.char_length("path") + F.col("ln")) % 3 == 0).select("section", "path", "ln", "symbol")
 
 
+# Upkeep ----------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {C.SQL_LINES}, {C.SQL_IDENTS}, gone AS (SELECT path FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)), own AS (SELECT path, name, count(*) AS n FROM idents WHERE path NOT IN (SELECT path FROM gone) GROUP BY path, name)
+SELECT name, sum(n)::BIGINT AS n, count(*) AS files FROM own GROUP BY name"""
+)
+def counts_after_removal(spark, d):
+    """Totals by name after the documents that are labelled poor went, by their signed rows alone."""
+    i = C.idents(spark, d)
+    own = materialise(ranking.occurrence_counts(i).select("path", "name", "n"), "own")
+    totals = own.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("files"))
+    gone = C.files(spark, d).join(C.table(spark, d, "labels").where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi").select("path")
+    change = deltas.signed(own.join(gone, "path", "left_semi"), own.where("false"), ["path", "name"], ["n"])
+    by_name = deltas.coarser(change, ["name"], ["n"], {"files": F.lit(-1)})
+    return deltas.applied(totals, by_name, ["name"], ["n", "files"], "n")
+
+
 # Binding ---------------------------------------------------------------------------------------------------------------
 
 
