@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.policy import fires, is_maintenance
+from ..functions.policy import NUDGE_EVERY, PARTIAL_STREAK, READ_STREAK, fires, is_maintenance
 
 # Retention.
 KEEP_SECONDS, KEEP_ROWS = 90 * 86_400, 200_000
@@ -73,6 +73,34 @@ def cadence(log: DataFrame, every: int) -> DataFrame:
     return log.withColumn("nth", n).withColumn("fires", fires(F.col("nth"), every))
 
 
+def session_policy(decided: DataFrame, every: int = 25) -> DataFrame:
+    """decided (session, seq, path, partial, tracked, fresh, again: see streaming.guard) with action, reads, calls and remind, as the stream gives them.
+
+    A redirect doesn't depend on earlier reads, so running values by path and by session say all: whether the path was denied before, whether a
+    read of it went through before, and then how many unadvised ones did."""
+    path, session = Window.partitionBy("session", "path").orderBy("seq"), Window.partitionBy("session").orderBy("seq")
+    before = path.rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    no = F.lit(False)
+    redirect = ~F.col("partial") & (F.col("fresh") == "redirect")
+    rows = decided.withColumn("_red", redirect).withColumn("_denied", F.coalesce(F.max("_red").over(before), no))
+    through = ~F.col("partial") & F.col("tracked") & (F.col("fresh").isin("allow", "advise") | (F.col("_red") & F.col("_denied")))
+    rows = rows.withColumn("_through", through).withColumn("_seen", F.coalesce(F.max("_through").over(before), no))
+    rows = rows.withColumn("_say", F.when(F.col("partial"), "slice").when(F.col("tracked") & F.col("_seen"), F.col("again")).otherwise(F.col("fresh")))
+    counted = (F.col("_say") == "allow") & F.col("tracked")
+    rows = rows.withColumn("_slices", F.sum(F.col("partial").cast("long")).over(upto(path))).withColumn("reads", F.sum(counted.cast("long")).over(upto(session)))
+    rows = rows.withColumn("_nudges", F.sum((F.col("_say") == "nudge").cast("long")).over(upto(session))).withColumn("calls", F.count("*").over(upto(session)))
+    action = (
+        F.when(F.col("partial"), F.when(fires(F.col("_slices"), PARTIAL_STREAK), "slices").otherwise("allow"))
+        .when(F.col("_say") == "redirect", F.when(F.col("_denied"), "advise").otherwise("deny"))
+        .when(F.col("_say") == "nudge", F.when((F.col("_nudges") == 1) | fires(F.col("_nudges") - 1, NUDGE_EVERY), "nudge").otherwise("allow"))
+        .when(counted & fires(F.col("reads"), READ_STREAK), "streak")
+        .otherwise(F.col("_say"))
+    )
+    out = rows.withColumn("action", action).withColumn("remind", fires(F.col("calls"), every))
+    return out.select(*decided.columns, "action", "reads", "calls", "remind")
+
+
 def expiry(log: DataFrame, ttl_seconds: float) -> DataFrame:
     """log (session, seq, ts, ...) with expired: a session's first event, or one whose predecessor is more than the time to live
     older, meets no state."""
