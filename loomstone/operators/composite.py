@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.code import external_name, file_match, is_test_path, is_test_symbol
 from ..functions.grammar import split_locator
-from ..functions.text import lines
+from ..functions.text import lines, name_tail
 from ..functions import imports
 from . import graph, ranking, search
 
@@ -26,15 +26,12 @@ def locate(symbols: DataFrame, name: str, file: str | None = None, kind: str | N
     hit = symbols.where((F.col("qualified") == name) | (F.col("name") == name))
     if kind:
         hit = hit.where(F.col("kind") == kind)
-    rank = lambda test: test.cast("int")
-    exact = rank(F.col("path") == file) if file else F.lit(0)
     if file:
         hit = hit.where(file_match(F.col("path"), file))
-        best = hit.agg(F.max(exact).alias("_e"))
-        hit = hit.join(F.broadcast(best), F.lit(True)).where(exact == F.col("_e")).drop("_e")  # one row
-    whole = rank(F.col("qualified") == name)
-    best = hit.agg(F.max(whole).alias("_q"))
-    return hit.join(F.broadcast(best), F.lit(True)).where(whole == F.col("_q")).drop("_q")  # one row
+    # The exact path counts before the qualified name: the greatest pair of both is what the answer has.
+    rank = F.struct((F.col("path") == file if file else F.lit(False)).alias("exact"), F.coalesce(F.col("qualified") == name, F.lit(False)).alias("whole"))
+    best = hit.agg(F.max(rank).alias("_best"))
+    return hit.join(F.broadcast(best), F.lit(True)).where(rank == F.col("_best")).drop("_best")  # one row
 
 
 def ambiguity(pool: DataFrame, show: int = 8) -> str | None:
@@ -104,6 +101,21 @@ def impact(hits: DataFrame, is_test: Column, refs: int = search.LIMITS["refs"])
     return first.unionByName(by_symbol(marked.where("symbol <> ''"), "callers")).unionByName(by_symbol(marked.where("_t"), "tests"))
 
 
+def tests_for(hits: DataFrame, definition: DataFrame) -> DataFrame:
+    """(path, symbol, ln, non_test_refs): the tests among the references (path, ln, symbol) of a defined symbol (path, start_line, end_line, name), each with its
+    first line, and how many other references there are.
+
+    The definition itself is no reference: lines of it whose innermost symbol has its name are left out, by place, so that
+    calls of itself from elsewhere and symbols of the same name in other files count."""
+    own = definition.select(F.col("path").alias("_p"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), F.col("name").alias("_n"))
+    inside = (F.col("path") == F.col("_p")) & F.col("ln").between(F.col("_s"), F.col("_e")) & (name_tail(F.col("symbol")) == F.col("_n"))
+    marked = hits.join(F.broadcast(own.limit(1)), inside, "left_anti").withColumn("_t", is_test_path(F.col("path")) | is_test_symbol(F.col("symbol")))  # one row
+    # One aggregate for both: other references are a group of their own, of partial sums.
+    groups = marked.groupBy(F.when(F.col("_t"), F.struct("path", "symbol")).alias("_g")).agg(F.min("ln").alias("ln"), F.count("*").alias("_n"))
+    others = groups.where("_g is null").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("non_test_refs"))
+    return groups.where("_g is not null").join(F.broadcast(others), F.lit(True)).select("_g.path", "_g.symbol", "ln", "non_test_refs")  # one row
+
+
 def dependencies(files: DataFrame, own: list[str] = ()) -> dict[str, DataFrame]:
     """Import edges, two-way pairs, most imported files and external packages of files (path, lang, text)."""
     specs = imports.specs_of(files).distinct()

@@ -39,10 +39,14 @@ def splice_insert(text: Column, at: Column, new: Column) -> Column:
     return _joined(F.concat(F.slice(old, F.lit(1), at), F.array(_code(new)), F.slice(old, at + 1, F.size(old) - at)), text)
 
 
-def rename_plan(files: DataFrame, old: str, new: str) -> DataFrame:
-    """(path, hits, new_text) of files that use ``old`` as an identifier; matches never overlap, so one pass replaces all."""
+def rename_plan(files: DataFrame, old: str, new: str, symbols: DataFrame | None = None) -> DataFrame:
+    """(path, hits, new_text) of files that use ``old`` as an identifier; matches never overlap, so one pass replaces all.
+
+    With ``symbols``, a new name that something already has is refused, as both would be one afterwards."""
     if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", new):
         raise ValueError(f"{new!r} is no identifier")
+    if symbols is not None and (taken := collisions(symbols, new).collect()):  # a few rows for a message
+        raise ValueError(f"{new!r} is already defined: " + ", ".join(f"{r.path}:{r.start_line}" for r in taken))
     pattern = word_pattern(old)
     hit = files.where(F.col("text").contains(old) & F.col("text").rlike(pattern))
     return hit.select("path", F.regexp_count("text", F.lit(pattern)).cast("long").alias("hits"), F.regexp_replace("text", pattern, new).alias("new_text"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.code import detect_lang
+from . import intervals
 
 
 def normalize_rename(path: Column) -> Column:
@@ -71,6 +72,26 @@ def known_only(ranges: DataFrame) -> DataFrame:
     return ranges.where(detect_lang(F.col("path")).isNotNull())
 
 
+def diff_report(changes: DataFrame, untracked: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file, status, kind, symbol, start, end, place): the innermost symbols that changed ranges (ord, path, lo, hi, deleted) touch, the top-level ones of
+    untracked files (path), and deleted files; of files in a known language. Files without such symbols have one row without one.
+
+    ``place`` orders the report: changed files as they come (``ord``), then new ones by name; in a file by start, outer symbols first.
+    """
+    known = known_only(changes)
+    modified = known.where("not deleted")
+    s = symbols.select("path", "kind", "qualified", "start_line", "end_line")
+    hit = intervals.uncovered(intervals.overlapping(s, modified), modified.select("path", "lo", "hi"))
+    new = known_only(untracked).select("path").distinct()
+    fresh = s.join(new, "path", "left_semi").where(F.instr("qualified", ".") == 0)
+    files = known.groupBy("path").agg(F.min("ord").cast("long").alias("_o"), F.max("deleted").alias("_d")).select("path", F.when(F.col("_d"), "deleted").otherwise("modified").alias("status"), F.lit(0).alias("_n"), "_o")
+    files = files.unionByName(new.select("path", F.lit("new").alias("status"), F.lit(1).alias("_n"), F.lit(0).cast("long").alias("_o")))
+    named = hit.withColumn("_s", F.lit("modified")).unionByName(fresh.withColumn("_s", F.lit("new"))).withColumnRenamed("path", "_p")
+    out = files.join(named, (F.col("path") == F.col("_p")) & (F.col("status") == F.col("_s")), "left")
+    place = F.struct("_n", "_o", "path", "start_line", (-F.col("end_line")).alias("_e"), "qualified")
+    return out.select(F.col("path").alias("file"), "status", "kind", F.col("qualified").alias("symbol"), F.col("start_line").alias("start"), F.col("end_line").alias("end"), place.alias("place"))
+
+
 def parse_hunks(diffs: DataFrame) -> DataFrame:
     """(id, path, lo, hi, deleted) of unified diffs (id, raw) without context lines.
 

@@ -94,12 +94,12 @@ def overlapping(symbols: DataFrame, ranges: DataFrame) -> DataFrame:
 def uncovered(touched: DataFrame, ranges: DataFrame) -> DataFrame:
     """Touched symbols without containers whose every changed line lies in a nested touched symbol.
 
-    Changed lines are expanded and looked up among nested symbols: a semi-join instead of interval arithmetic.
+    Symbols of the same lines don't hold each other. Changed lines are expanded and looked up among nested symbols: a semi-join instead of interval arithmetic.
     """
     changed = ranges.select(F.col("path").alias("cp"), F.explode(F.sequence("lo", "hi")).alias("cl")).distinct()
     lines = touched.join(changed, (F.col("path") == F.col("cp")) & F.col("cl").between(F.col("start_line"), F.col("end_line"))).drop("cp")
     nested = touched.select(F.col("path").alias("np"), F.col("qualified").alias("nq"), F.col("start_line").alias("ns"), F.col("end_line").alias("ne"))
-    inner = (F.col("path") == F.col("np")) & (F.col("nq") != F.col("qualified")) & (F.col("ns") >= F.col("start_line")) & (F.col("ne") <= F.col("end_line"))
+    inner = (F.col("path") == F.col("np")) & (F.col("nq") != F.col("qualified")) & (F.col("ns") >= F.col("start_line")) & (F.col("ne") <= F.col("end_line")) & ((F.col("ns") > F.col("start_line")) | (F.col("ne") < F.col("end_line")))
     bare = lines.join(nested, inner & F.col("cl").between(F.col("ns"), F.col("ne")), "left_anti")
     return bare.select(*touched.columns).distinct()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import code, grammar, imports, policy, text
@@ -479,7 +480,7 @@ def diff_touched(spark, d):
 @query(
     f"""WITH {SQL_RANGES}, cl AS (SELECT DISTINCT path, unnest(range(lo, hi + 1)) AS l FROM ranges)
 SELECT DISTINCT t.path, t.qualified, t.start_line, t.end_line FROM touched t JOIN cl ON cl.path = t.path AND cl.l BETWEEN t.start_line AND t.end_line
-WHERE NOT EXISTS (SELECT 1 FROM touched n WHERE n.path = t.path AND n.qualified <> t.qualified AND n.start_line >= t.start_line AND n.end_line <= t.end_line AND cl.l BETWEEN n.start_line AND n.end_line)"""
+WHERE NOT EXISTS (SELECT 1 FROM touched n WHERE n.path = t.path AND n.qualified <> t.qualified AND n.start_line >= t.start_line AND n.end_line <= t.end_line AND (n.start_line > t.start_line OR n.end_line < t.end_line) AND cl.l BETWEEN n.start_line AND n.end_line)"""
 )
 def diff_drop_covered(spark, d):
     ranges = _ranges(spark, d)
@@ -836,6 +837,66 @@ def impact_sections(spark, d):
     return impact(hits, (F.char_length("path") + F.col("ln")) % 3 == 0).select("section", "path", "ln", "symbol")
 
 
+@query(
+    f"""WITH {SQL_RANGES}, st AS (SELECT path, doc_id, CASE WHEN quality = 0 THEN 'deleted' WHEN quality = 1 THEN 'modified' ELSE 'new' END AS status FROM files LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)),
+cl AS (SELECT DISTINCT path, unnest(range(lo, hi + 1)) AS l FROM ranges), inner_ AS (SELECT DISTINCT t.path, t.qualified, t.start_line, t.end_line FROM touched t JOIN cl ON cl.path = t.path AND cl.l BETWEEN t.start_line AND t.end_line
+  WHERE NOT EXISTS (SELECT 1 FROM touched n WHERE n.path = t.path AND n.qualified <> t.qualified AND n.start_line >= t.start_line AND n.end_line <= t.end_line AND (n.start_line > t.start_line OR n.end_line < t.end_line) AND cl.l BETWEEN n.start_line AND n.end_line)),
+a AS (SELECT st.path, status, kind, s.qualified, s.start_line, s.end_line FROM st JOIN symbols s ON s.path = st.path WHERE status = 'new' AND s.parent IS NULL OR status = 'modified' AND EXISTS (SELECT 1 FROM inner_ i WHERE i.path = s.path AND i.qualified = s.qualified AND i.start_line = s.start_line AND i.end_line = s.end_line))
+SELECT st.path AS file, st.status, kind, qualified AS symbol, coalesce(start_line, 0) AS "start", coalesce(end_line, 0) AS "end", row_number() OVER (PARTITION BY st.path ORDER BY start_line, end_line DESC, qualified) AS nth FROM st LEFT JOIN a ON a.path = st.path"""
+)
+def diff_report(spark, d):
+    """Files of good documents are modified, of poor ones deleted, of unlabelled ones new. A document's path counts as one of a known language."""
+    f = C.files(spark, d)
+    q = C.table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    ext = lambda rows: rows.withColumn("path", F.concat("path", F.lit(".rs")))
+    marked = ext(f.select("doc_id", "path").join(q, "doc_id", "left"))
+    ranges = ext(_ranges(spark, d)).join(marked.select("path", "doc_id", "quality"), "path").where("quality is not null")
+    whole = marked.where("quality is not null").select("doc_id", "path", F.lit(0).alias("lo"), F.lit(0).alias("hi"), (F.col("quality") == 0).alias("deleted"))
+    changes = ranges.select(F.col("doc_id").alias("ord"), "path", "lo", "hi", (F.col("quality") == 0).alias("deleted")).unionByName(whole.withColumnRenamed("doc_id", "ord"))
+    out = history.diff_report(changes, marked.where("quality is null"), ext(C.symbols(spark, d)))
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("place")).cast("long")
+    return out.withColumn("nth", nth).select(F.regexp_replace("file", r"\.rs$", "").alias("file"), "status", "kind", "symbol", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("end", F.lit(0)).alias("end"), "nth")
+
+
+@query(
+    f"""WITH {C.SQL_LINES}, sy AS (SELECT path, ln AS start_line, ln + 9 AS end_line, CASE WHEN (ln // 10) % 2 = 0 THEN 'test_s' || (ln // 10) ELSE 's' || (ln // 10) END AS qualified FROM lines WHERE ln % 10 = 1),
+h AS (SELECT l.path, l.ln, coalesce(s.qualified, '') AS symbol FROM lines l LEFT JOIN sy s ON s.path = l.path AND l.ln BETWEEN s.start_line AND s.end_line WHERE regexp_matches(l.line, '(^|[^A-Za-z0-9_])that($|[^A-Za-z0-9_])')),
+t AS (SELECT *, starts_with(symbol, 'test_') AS test FROM h)
+SELECT path, symbol, min(ln) AS ln, (SELECT count(*) FROM t WHERE NOT test) AS non_test_refs FROM t WHERE test GROUP BY path, symbol"""
+)
+def tests_of_name(spark, d):
+    """References of a word from blocks of ten lines, every second of which is a test; its definition is elsewhere."""
+    from ..operators.composite import tests_for
+
+    starts = C.file_lines(spark, d).where("ln % 10 = 1").select("path", F.col("ln").alias("start_line"), (F.col("ln") + 9).alias("end_line"), F.floor(F.col("ln") / 10).cast("int").alias("ord"))
+    symbols = starts.withColumn("qualified", F.concat(F.when(F.col("ord") % 2 == 0, "test_s").otherwise("s"), F.col("ord").cast("string")))
+    hits = intervals.enclosing(search.refs(C.files(spark, d), "that"), symbols)
+    return tests_for(hits, spark.createDataFrame([("none", 1, 1, "that")], "path string, start_line int, end_line int, name string"))
+
+
+SQL_POLICY = """e AS (SELECT user_id AS session, event_id AS seq, coalesce(props, '') AS path, event_type = 'click' AS partial, event_type <> 'signup' AS is_code, event_type <> 'error' AS indexed, floor(abs(value) * 8)::INT AS lines FROM events),
+f AS (SELECT *, indexed AS tracked, CASE WHEN partial OR NOT is_code THEN 'allow' WHEN lines <= 300 THEN CASE WHEN indexed AND lines >= 120 THEN 'advise' ELSE 'allow' END WHEN indexed THEN 'redirect' ELSE 'nudge' END AS fresh,
+  CASE WHEN partial OR NOT is_code THEN 'allow' WHEN lines <= 300 THEN CASE WHEN indexed THEN 'advise' ELSE 'allow' END WHEN indexed THEN 'redirect' ELSE 'nudge' END AS again FROM e),
+g AS (SELECT *, coalesce(max((NOT partial AND fresh = 'redirect')::INT) OVER (PARTITION BY session, path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS denied FROM f),
+h AS (SELECT *, coalesce(max((NOT partial AND tracked AND (fresh IN ('allow', 'advise') OR fresh = 'redirect' AND denied))::INT) OVER (PARTITION BY session, path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS seen FROM g),
+i AS (SELECT *, CASE WHEN partial THEN 'slice' WHEN tracked AND seen THEN again ELSE fresh END AS say FROM h),
+j AS (SELECT *, sum(partial::INT) OVER (PARTITION BY session, path ORDER BY seq) AS slices, (sum((say = 'allow' AND tracked)::INT) OVER s)::BIGINT AS reads, sum((say = 'nudge')::INT) OVER s AS nudges, count(*) OVER s AS calls FROM i WINDOW s AS (PARTITION BY session ORDER BY seq))"""
+
+
+@query(
+    f"""WITH {SQL_POLICY} SELECT session, seq, path, CASE WHEN partial THEN CASE WHEN slices % 3 = 0 THEN 'slices' ELSE 'allow' END WHEN say = 'redirect' THEN CASE WHEN denied THEN 'advise' ELSE 'deny' END
+  WHEN say = 'nudge' THEN CASE WHEN nudges = 1 OR (nudges - 1) % 10 = 0 THEN 'nudge' ELSE 'allow' END WHEN say = 'allow' AND tracked AND reads % 4 = 0 THEN 'streak' ELSE say END AS action, reads, calls, calls % 25 = 0 AS remind FROM j"""
+)
+def session_policy(spark, d):
+    """Reads of a user's session: clicks are slices, sign-ups no code, errors in projects without index."""
+    from ..streaming.guard import decided
+
+    e = C.table(spark, d, "events")
+    kind, on = F.col("event_type"), F.lit(True)
+    reads = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.coalesce("props", F.lit("")).alias("path"), (kind == "click").alias("partial"), (kind != "signup").alias("is_code"), (kind != "error").alias("indexed"), on.alias("in_repo"), F.floor(F.abs("value") * 8).cast("int").alias("lines"), on.alias("callable"))
+    return usage.session_policy(decided(reads)).select("session", "seq", "path", "action", "reads", "calls", "remind")
+
+
 # Upkeep ----------------------------------------------------------------------------------------------------------------
 
 

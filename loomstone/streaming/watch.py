@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import delete
 from ..sources import extract
-from ..sources.index import Lock, changed, scan, texts, vanished
+from ..sources.index import Lock, changed, rules_of, scan, texts, vanished
 
 BUCKETS = 64
 STATE = "path string, size long, mtime_ns long, bucket int"
@@ -61,13 +61,16 @@ def read(spark: SparkSession, table: str, part: str = "symbols") -> DataFrame |
 
 
 def refresh(spark: SparkSession, root: str, table: str) -> int:
-    """Bring the table up to date; how many files were new, changed or gone. One writer at a time; another one returns 0."""
+    """Bring the table up to date; how many files were new, changed or gone. One writer at a time; another one returns 0.
+
+    A local tree's ignore rules hold as they are now, so files that become ignored count as gone."""
     lock = Lock(spark, f"{table}/LOCK")
     if not lock.acquire():
         return 0
     try:
         bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
-        disk = scan(spark, root).withColumn("bucket", bucket)
+        local = "://" not in root or root.startswith("file://")
+        disk = scan(spark, root, rules=rules_of(root) if local else None).withColumn("bucket", bucket)
         known = read(spark, table, "files")
         known = spark.createDataFrame([], STATE) if known is None else known
         listed = disk.select("path", "size", "mtime_ns", "bucket")
