@@ -2,7 +2,8 @@
 
 A file source tells of new files only, so each trigger lists the tree (metadata alone) and compares it with what is
 indexed. Only buckets of paths that changed are written, into new folders; then a small file that names each bucket's
-folder appears as the next version by one rename. So a reader sees the old or the new table, and a crash leaves the old one.
+folder appears as the next version by one rename. The number of buckets doubles as the tree grows, when all are written once anew, so a changed file
+costs a bounded number of rows whatever the tree's size. So a reader sees the old or the new table, and a crash leaves the old one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from ..plans.shared import delete
 from ..sources import extract
 from ..sources.index import Lock, changed, rules_of, scan, texts, vanished
 
-BUCKETS = 64
+#: Buckets of a small tree, and files of a bucket beyond which their number doubles.
+BUCKETS, PER_BUCKET = 64, 512
 STATE = "path string, size long, mtime_ns long, bucket int"
 
 
@@ -68,32 +70,47 @@ def refresh(spark: SparkSession, root: str, table: str) -> int:
     if not lock.acquire():
         return 0
     try:
-        bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
+        now = current(spark, table)
+        size = {"buckets": BUCKETS, "count": 0} | now.get("size", {})
+        of = lambda n: F.pmod(F.xxhash64("path"), F.lit(n)).cast("int")
+        bucket = of(size["buckets"])
         local = "://" not in root or root.startswith("file://")
         disk = scan(spark, root, rules=rules_of(root) if local else None).withColumn("bucket", bucket)
         known = read(spark, table, "files")
+        if known is not None and "size" not in now:
+            size["count"] = known.count()
         known = spark.createDataFrame([], STATE) if known is None else known
         listed = disk.select("path", "size", "mtime_ns", "bucket")
-        work = changed(listed, known).select("path", "bucket", F.lit(False).alias("gone")).unionByName(vanished(known, listed).select("path", "bucket", F.lit(True).alias("gone")))
+        work = changed(listed, known).select("path", "bucket", F.lit(False).alias("gone"), F.col("is_new").cast("int").alias("more")).unionByName(vanished(known, listed).select("path", bucket.alias("bucket"), F.lit(True).alias("gone"), F.lit(-1).alias("more")))
         work = work.persist()
         try:
-            touched = sorted(r[0] for r in work.select("bucket").distinct().collect())  # at most BUCKETS
+            touched = sorted(r[0] for r in work.select("bucket").distinct().collect())  # at most the number of buckets
             if not touched:
                 return 0
             here = F.col("bucket").isin(touched)
+            size["count"] += work.agg(F.sum("more")).first()[0]
+            regrown = size["count"] > size["buckets"] * PER_BUCKET
+            if regrown:
+                while size["count"] > size["buckets"] * PER_BUCKET // 2:
+                    size["buckets"] *= 2
+                bucket, here, touched = of(size["buckets"]), F.lit(True), list(range(size["buckets"]))
+                listed = listed.withColumn("bucket", bucket)
             new = texts(disk.where(here).join(work.where("not gone").select("path"), "path", "left_semi"))
             symbols = extract.symbols(new.drop("bucket")).withColumn("bucket", bucket)
             old = read(spark, table)
             if old is not None:
-                symbols = old.where(here).join(work.select("path"), "path", "left_anti").select(*symbols.columns).unionByName(symbols)
-            now, version, replaced = current(spark, table), uuid.uuid4().hex, set()
+                symbols = old.where(here).withColumn("bucket", bucket).join(work.select("path"), "path", "left_anti").select(*symbols.columns).unionByName(symbols)
+            version, replaced = uuid.uuid4().hex, set()
             for part, rows in (("files", listed.where(here)), ("symbols", symbols)):
                 rows.withColumn("part", F.col("bucket")).write.partitionBy("part").parquet(f"{table}/{part}-{version}")
-                written = {k: f"{part}-{version}/part={k}" for k in map(str, touched) if _fs(spark, f"{table}/{part}-{version}/part={k}")[1].exists(_fs(spark, f"{table}/{part}-{version}/part={k}")[0])}
-                replaced |= {now[part].pop(str(k), None) for k in touched} - {None}
+                where, fs = _fs(spark, f"{table}/{part}-{version}")
+                there = {n.removeprefix("part=") for x in fs.listStatus(where) if (n := x.getPath().getName()).startswith("part=")}
+                written = {k: f"{part}-{version}/part={k}" for k in map(str, touched) if k in there}
+                replaced |= set(now[part].values()) if regrown else {now[part].pop(str(k), None) for k in touched} - {None}
+                now[part] = {} if regrown else now[part]
                 now[part].update(written)
             # Folders that this version replaces are deleted with the next one, so that readers can end.
-            gone, now["before"] = now.get("before", []), sorted(replaced)
+            gone, now["before"], now["size"] = now.get("before", []), sorted(replaced), size
             found = work.count()
             _publish(spark, table, now)
             for folder in gone:

@@ -78,3 +78,27 @@ def test_watch_honours_ignore_rules(spark, tmp_path):
     assert watch.refresh(spark, str(root), table) == 2  # one is gone, one is new
     assert {r.path for r in watch.read(spark, table, "files").select("path").collect()} == {"made.py"}
     assert {r.name for r in watch.read(spark, table).where(F.col("path") == "made.py").collect()} == {"made"}
+
+
+def test_buckets_grow_with_the_tree(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(watch, "BUCKETS", 2)
+    monkeypatch.setattr(watch, "PER_BUCKET", 4)
+    root, table = tmp_path / "tree", str(tmp_path / "table")
+    root.mkdir()
+    for k in range(5):
+        (root / f"a{k}.py").write_text(f"def a{k}(): pass\n")
+    size = lambda: watch.current(spark, table)["size"]
+    names = lambda: sorted(r.name for r in watch.read(spark, table).collect())
+    assert watch.refresh(spark, str(root), table) == 5 and size() == {"buckets": 2, "count": 5}
+    for k in range(5):
+        (root / f"b{k}.py").write_text(f"def b{k}(): pass\n")
+    assert watch.refresh(spark, str(root), table) == 5 and size() == {"buckets": 8, "count": 10}
+    assert names() == sorted([f"{x}{k}" for x in "ab" for k in range(5)])
+    (root / "a0.py").unlink()
+    (root / "b0.py").write_text("def other(a, b): pass\n")
+    before = watch.current(spark, table)["files"]
+    assert watch.refresh(spark, str(root), table) == 2 and size() == {"buckets": 8, "count": 9}
+    after = watch.current(spark, table)["files"]
+    assert sum(before.get(k) != after.get(k) for k in set(before) | set(after)) <= 2  # the others stay where they are
+    assert names() == sorted([f"a{k}" for k in range(1, 5)] + [f"b{k}" for k in range(1, 5)] + ["other"])
+    assert {r.path for r in watch.read(spark, table, "files").collect()} == {f"a{k}.py" for k in range(1, 5)} | {f"b{k}.py" for k in range(5)}
