@@ -37,8 +37,8 @@ from .common import Bounded, release, slices
 
 ORDERS, ROWS = (1, 2, 3, 4), 2
 LEAST_BITS, MOST_BITS = 16, 23
-#: Cells of a travelling block as a power of two; tasks whose blocks meet first; ways of the first ranking; different phrases of a task before it hands them on.
-BLOCK_BITS, TASKS, SALTS, FLUSH = 18, 32, 32, 1_000_000
+#: Cells of a travelling block as a power of two; tasks whose blocks meet first; ways of the first ranking; different phrases of a task before it hands them on; words whose hashes it remembers.
+BLOCK_BITS, TASKS, SALTS, FLUSH, MEMO = 18, 32, 32, 800_000, 80_000
 #: Rows and bytes of text in a slice; bytes of text for a task, so that smaller partitions are read together and hand on each phrase once.
 SLICE, TASK_BYTES = (2048, 1 << 20), 256 << 20
 #: Ends of pieces become full stops, tabs become blanks, A-Z become a-z.
@@ -114,7 +114,7 @@ def _sketch(bits: int):
 
     def go(batches):
         made = np.zeros((len(ORDERS), ROWS, 1 << bits), np.uint8)
-        hashes = Bounded(_hash)
+        hashes = Bounded(_hash, MEMO)
         for whole in batches:
             for batch in slices(whole, *SLICE):
                 t = Tokens(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), hashes)
@@ -164,6 +164,10 @@ def sketches(rows: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(len(ORDERS), ROWS, 1 << bits)
 
 
+def _batch(lang: list, size: list, phrase: list[bytes], n: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array([p.decode() for p in phrase], pa.string()), pa.array(n, pa.int64())], names=["lang", "size", "phrase", "n"])
+
+
 class Counts:
     """Counts of phrases by two 64-bit hashes of independent word hashes, in sorted arrays; the phrases themselves once each."""
 
@@ -215,13 +219,13 @@ class Counts:
 
     def rows(self):
         names = np.array([*self.langs, ""], object)
-        parts = [(names[self.lang].tolist(), self.size.tolist(), self.phrase.tolist(), self.n.tolist())]
-        if self.rest:
-            parts.append(([k[0] for k in self.rest], [k[1] for k in self.rest], [k[2] for k in self.rest], list(self.rest.values())))
-        for lang, size, phrase, n in parts:
-            for k in range(0, len(n), 20_000):
-                cut = slice(k, k + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(lang[cut], pa.string()), pa.array(size[cut], pa.int32()), pa.array([p.decode() for p in phrase[cut]], pa.string()), pa.array(n[cut], pa.int64())], names=["lang", "size", "phrase", "n"])
+        rest = list(self.rest.items())
+        for k in range(0, len(self.n), 20_000):
+            cut = slice(k, k + 20_000)
+            yield _batch(names[self.lang[cut]].tolist(), self.size[cut].tolist(), self.phrase[cut].tolist(), self.n[cut].tolist())
+        for k in range(0, len(rest), 20_000):
+            keys, n = zip(*rest[k : k + 20_000])
+            yield _batch(*map(list, zip(*keys)), list(n))
         self.clear()
 
 
@@ -229,7 +233,7 @@ def _survivors(sent, bits: int, least: int):
     """(lang, size, phrase, n): counts within a task of the phrases that the sketches leave, and of all words under size 0."""
 
     def go(batches):
-        made, hashes, others, held = sent.value, Bounded(_hash), Bounded(_other), Counts()
+        made, hashes, others, held = sent.value, Bounded(_hash, MEMO), Bounded(_other, MEMO), Counts()
         for whole in batches:
             for batch in slices(whole, *SLICE):
                 t = Tokens(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), hashes, others)
