@@ -52,7 +52,7 @@ MAIL = re.compile(r"(?P<name>[A-Za-z0-9._%+-]+)(?:(?P<sign>@)|(?P<blanks>[ \t]+@
 ADDRESS = re.compile(_QUAD)
 GROUPS = re.compile(r"[0-9]{4}(?:(?P<gap>[ ./-]{1,3})[0-9]{4}(?:(?P=gap)[0-9]{4}){2}(?:(?P=gap)[0-9]{1,3})?)|(?P<run>[0-9]+)")
 CALL = re.compile(
-    r"(?P<abroad>(?:\(\+[0-9]{1,3}\)|\+[0-9]{1,3})(?:[ ./()-]{1,3}[0-9]{1,9}){1,6})|(?P<zeros>00[1-9][0-9]{0,2}(?:[ ./()-]{1,3}[0-9]{1,9}){1,6})"
+    r"(?P<abroad>(?:\(\+[0-9]{1,3}\)|\+[0-9]{1,3})(?:[ ./()-]{1,3}[0-9]{1,9}){1,6})|(?P<zeros>00[1-9][0-9]{0,2}(?:[ ./()-]{1,3}[0-9]{2,9}){1,6})"
     r"|(?P<area>\([0-9]{2,5}\)[ ./-]{0,2}[0-9]{3,4}[ ./-]?[0-9]{3,5})|(?P<triple>(?:1(?P<sep>[-. ]))?[2-9][0-9]{2}(?P<mid>[-. ])[0-9]{3}(?P=mid)[0-9]{4})"
 )
 #: The host after a sign, its dots as they are, in brackets or spelled out.
@@ -171,7 +171,7 @@ def forms(text: str, before: str, after: str) -> list[str | None]:
         out[2] = _name(m)
     if 8 <= len(digits) <= 15 and (m := CALL.fullmatch(text)):
         beside = re.search(r"[0-9][ \t]{1,2}$", before) or re.match(r"[ \t]{1,2}[0-9]", after)
-        if not beside or m["area"] or m["abroad"]:
+        if (not beside or m["area"] or m["abroad"]) and (not m["zeros"] or len(digits) >= 10):
             out[3] = _name(m)
     return out
 
