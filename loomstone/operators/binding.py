@@ -11,7 +11,7 @@ A reference (ref, scope, names) is a stack of names. A step pops the first one:
 around it, the nearest scope that binds it alone; the remaining names are looked up in what it leads to, and there only, as members. What
 is in flight is a table of distinct (scope, stack) pairs, whatever number of references share them, joined with the bindings on
 (scope, top of the stack) at each step; so a common name meets one row for each pair, not for each use. Pairs that came up
-before are dropped, so loops of imports end, and stacks beyond ``longest`` names as well, which only a growing loop has.
+before are dropped, so loops of imports end (chains of imports are shortened first), and stacks beyond ``longest`` names as well, which only a growing loop has.
 """
 
 from __future__ import annotations
@@ -38,12 +38,31 @@ def ancestors(parents: DataFrame, step: Steps) -> DataFrame:
             return all_
 
 
+def shortened(bindings: DataFrame, step: Steps, rounds: int = 6) -> DataFrame:
+    """bindings whose imports lead past other imports, where these are a name's only binding, by doubling: a chain of 2^k of them takes k joins.
+
+    What remains of longer chains, and of loops, is left to the stitching."""
+    one = bindings.groupBy("scope", "name").agg(F.count("*").alias("n"), F.first("kind").alias("kind"), F.first("to").alias("to"), F.first("push").alias("push"))
+    one = step(one.where("n = 1 and kind = 'import' and size(push) = 1").select("scope", "name", "to", F.element_at("push", 1).alias("next")), "imports")
+    for _ in range(rounds):
+        after = one.select(F.col("scope").alias("to"), F.col("name").alias("next"), F.col("to").alias("_to"), F.col("next").alias("_next"))
+        far = step(one.join(after, ["to", "next"], "left"), "jump")
+        if far.where("_to is not null and not (_to = to and _next = next)").isEmpty():
+            break
+        one = far.select("scope", "name", F.coalesce("_to", "to").alias("to"), F.coalesce("_next", "next").alias("next"))
+    ends = one.select(F.col("scope").alias("to"), F.col("name").alias("_name"), F.col("to").alias("_to"), F.col("next").alias("_next"))
+    single = (F.col("kind") == "import") & (F.size("push") == 1)
+    out = bindings.withColumn("_name", F.when(single, F.element_at("push", 1))).join(ends, ["to", "_name"], "left")
+    push = F.when(F.col("_next").isNotNull(), F.array("_next")).otherwise(F.col("push"))
+    return step(out.select("scope", "name", "kind", "path", "line", F.coalesce("_to", "to").alias("to"), push.alias("push")), "bindings")
+
+
 def stitch(refs: DataFrame, bindings: DataFrame, parents: DataFrame, longest: int = 16) -> DataFrame:
     """(ref, path, line): the definitions that each reference (ref, scope, names) reaches, all of them, each once."""
     step = Steps(refs.sparkSession)
     around = ancestors(parents, step)
     starts = refs.where("scope is not null and size(names) > 0").select("scope", "names").distinct()
-    bound = bindings.select(F.col("scope").alias("around"), F.col("name").alias("top"), "kind", "path", "line", "to", "push")
+    bound = shortened(bindings, step).select(F.col("scope").alias("around"), F.col("name").alias("top"), "kind", "path", "line", "to", "push")
     # (first scope, first names, scope now, names left, whether scopes around it count)
     flight = step(starts.select(F.col("scope").alias("s0"), F.col("names").alias("n0"), "scope", "names", F.lit(True).alias("outwards")), "flight")
     seen, found, n = flight, [], 0

@@ -81,6 +81,16 @@ def test_rules(spark):
     assert run(spark, [], symbols, imports, typed) == [] and run(spark, uses, [], [], []) == []
 
 
+def test_chains_of_imports_are_shortened(spark, monkeypatch):
+    symbols = [("m40", "f", "f", None, 1)]
+    imports = [(f"m{k}", f"m{k + 1}", ["f"], "f", 1) for k in range(40)] + [("x", "y", ["g"], "g", 1), ("y", "x", ["g"], "g", 1)]
+    tags, call = [], binding.Steps.__call__
+    monkeypatch.setattr(binding.Steps, "__call__", lambda self, df, tag="step": tags.append(tag) or call(self, df, tag))
+    uses = [("m0", 5, None, ["f"]), ("m39", 5, None, ["f"]), ("x", 5, None, ["g"])]
+    assert run(spark, uses, symbols, imports, []) == [("m0", 5, ("f",), "m40", 1), ("m39", 5, ("f",), "m40", 1)]
+    assert sum(t.startswith("flight") for t in tags) <= 6
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_generated_modules(spark, seed):
     r = random.Random(seed)
