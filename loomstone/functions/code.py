@@ -60,6 +60,16 @@ def has_callable_symbols(lang: Column) -> Column:
     return ~lang.isin(NOT_CALLABLE)
 
 
+def entries_prefix(path: Column, prefix: str) -> Column:
+    """Paths that begin with the prefix, ASCII case ignored; % and _ in it are wildcards, nothing escapes them."""
+    return F.like(ascii_lower(path), ascii_lower(F.lit(prefix + "%")), F.lit("\u0001"))
+
+
+def deps_prefix(path: Column, prefix: str) -> Column:
+    """Paths that begin with the very prefix."""
+    return path.startswith(prefix)
+
+
 def is_test_path(path: Column) -> Column:
     low = ascii_lower(path)
     name = basename(low)

@@ -90,6 +90,19 @@ def grouped(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
+def short_count(n: Column) -> Column:
+    """Whole number in thousands (k) or millions (M) with one decimal, halves to even; smaller ones as they are."""
+    size = lambda by, name: F.format_string(f"%.1f{name}", F.bround(n / F.lit(float(by)), 1))
+    return F.when(F.abs(n) >= 1_000_000, size(1_000_000, "M")).when(F.abs(n) >= 1_000, size(1_000, "k")).otherwise(n.cast("string"))
+
+
+def left_cut(text: Column, most: int) -> Column:
+    """A cell of so many characters: short texts with blanks behind, of longer ones the end after an ellipsis."""
+    if most <= 0:
+        return F.when(text.isNotNull(), F.lit(""))
+    return F.when(F.char_length(text) <= most, F.rpad(text, most, " ")).otherwise(F.concat(F.lit("…"), F.substring(text, F.char_length(text) - most + 2, F.lit(most - 1))))
+
+
 def param_count(signature: Column) -> Column:
     """Parameters in the first parenthesised group; null without one, 0 if it is blank.
 

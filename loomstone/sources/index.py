@@ -194,6 +194,17 @@ def crate_names(manifests: DataFrame) -> DataFrame:
     return manifests.select(F.replace(name, F.lit("-"), F.lit("_")).alias("name")).where("name <> ''").distinct()
 
 
+def manifests(spark: SparkSession, root: str, depth: int = 4) -> DataFrame:
+    """(path, value): the lines of the manifests (Cargo.toml) at most ``depth`` steps below root, outside of folders that are never indexed. Other
+    files aren't read."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "Cargo.toml").text(root)
+    base = root.rstrip("/").removeprefix("file://") + "/"
+    rel = F.substring_index(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/"), base, -1)
+    rows = lines.select(rel.alias("path"), "value")
+    parts = F.split("path", "/")
+    return rows.where((F.size(parts) <= depth) & ~F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.isin(*sorted(EXCLUDED_DIRS)) | p.startswith(".")))
+
+
 def storage_bytes(spark: SparkSession, root: str) -> DataFrame:
     """bytes: the size of all files below root, from metadata alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.operators import composite, editing, history, intervals
+from loomstone.sources import index
 from loomstone.streaming import watch
 
 
@@ -102,3 +103,26 @@ def test_buckets_grow_with_the_tree(spark, tmp_path, monkeypatch):
     assert sum(before.get(k) != after.get(k) for k in set(before) | set(after)) <= 2  # the others stay where they are
     assert names() == sorted([f"a{k}" for k in range(1, 5)] + [f"b{k}" for k in range(1, 5)] + ["other"])
     assert {r.path for r in watch.read(spark, table, "files").collect()} == {f"a{k}.py" for k in range(1, 5)} | {f"b{k}.py" for k in range(5)}
+
+
+def test_manifests_of_a_workspace(spark, tmp_path):
+    for place, name in (("", "top-one"), ("crates/a", "crate-a"), ("x/y/z", "deep_enough"), ("x/y/z/w", "too-deep"), ("target/p", "built"), ("node_modules/q", "vendored"), (".hidden", "hidden")):
+        (tmp_path / place).mkdir(parents=True, exist_ok=True)
+        (tmp_path / place / "Cargo.toml").write_text(f'[package]\nname = "{name}"\nversion = "1"\n')
+    (tmp_path / "other.toml").write_text('name = "other"\n')
+    found = index.crate_names(index.manifests(spark, str(tmp_path)).select("value"))
+    assert {r.name for r in found.collect()} == {"top_one", "crate_a", "deep_enough"}
+
+
+def test_small_formats(spark):
+    from loomstone.functions import code, text
+
+    n = spark.createDataFrame([(0,), (999,), (1000,), (1250,), (1350,), (-2500,), (999_999,), (1_000_000,), (12_345_678,)], "n long")
+    assert [r[0] for r in n.select(text.short_count(F.col("n"))).collect()] == ["0", "999", "1.0k", "1.2k", "1.4k", "-2.5k", "1000.0k", "1.0M", "12.3M"]
+    t = spark.createDataFrame([("abc",), ("abcdef",), ("äöüß",), (None,)], "t string")
+    assert [r[0] for r in t.select(text.left_cut(F.col("t"), 4)).collect()] == ["abc ", "…def", "äöüß", None]
+    assert [r[0] for r in t.select(text.left_cut(F.col("t"), 1)).collect()] == ["…", "…", "…", None] and t.select(text.left_cut(F.col("t"), 0)).first()[0] == ""
+    p = spark.createDataFrame([("Src/a_b.rs",), ("src/axb.rs",), ("src%/a",), ("lib/src",)], "p string")
+    hit = lambda c: [r[0] for r in p.where(c).collect()]
+    assert hit(code.entries_prefix(F.col("p"), "src/A_b")) == ["Src/a_b.rs", "src/axb.rs"] and hit(code.deps_prefix(F.col("p"), "src/a")) == ["src/axb.rs"]
+    assert hit(code.entries_prefix(F.col("p"), "s%c")) == ["Src/a_b.rs", "src/axb.rs", "src%/a"]
