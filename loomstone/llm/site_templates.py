@@ -245,6 +245,8 @@ def blocks(nodes: list[Node], dropped, soft: bool = True) -> list[str]:
                     flush()
                     todo.append((n, True))
                 todo.extend((k, False) for k in reversed(n.kids))
+            elif n.tag in BLOCK:  # what is left out still parts the texts around it
+                flush()
         flush()
     return out
 
