@@ -73,6 +73,11 @@ def test_humanised(spark):
     assert each(spark, [-3, 4, 59, 3599, 86399, 200000], text.ago, "long") == ["just now", "just now", "59s ago", "59m ago", "23h ago", "2d ago"]
 
 
+def test_halves_go_to_even(spark):
+    ties = [1280, 1792, 1022 * 1024**2 + 2**18, 2**18 * 7, 1024**3 + 2**28, -1]
+    assert each(spark, ties, text.human_bytes, "long") == ["1.2 KB", "1.8 KB", "1022.2 MB", "1.8 MB", "1.2 GB", "-1 B"]
+
+
 READ = {
     "base": ({}, "redirect"), "reread": ({"reread": True}, "redirect"), "prose": ({"callable_": False}, "redirect"), "partial": ({"partial": True, "reread": True}, "allow"), "not code": ({"is_code": False}, "allow"),
     "short": ({"lines": 42}, "allow"), "119": ({"lines": 119}, "allow"), "120": ({"lines": 120}, "advise"), "300": ({"lines": 300}, "advise"), "short reread": ({"lines": 12, "reread": True}, "advise"), "unindexed": ({"indexed": False}, "nudge"),
