@@ -173,12 +173,13 @@ def keys(files: DataFrame) -> DataFrame:
 def resolve(specs: DataFrame, files: DataFrame, own: list[str] = ()) -> DataFrame:
     """(importer, spec, path) of specs (importer, lang, spec) that name one of the files (path): the first candidate that exists.
 
-    Each key has one file, so the join adds no rows to the candidates, whatever many files end alike.
+    Each key has one file, so the join adds no rows to the candidates, whatever many files end alike. Both sides are exploded
+    from few columns, which their estimated sizes don't show, so neither is sent whole.
     """
     placed = specs.select("importer", "lang", "spec", start(F.col("lang"), F.col("spec"), F.col("importer")).alias("_start"))
     wanted = placed.select("importer", "spec", F.explode(candidates(F.col("lang"), F.col("spec"), F.col("_start"), own)).alias("c"))
     wanted = wanted.select("importer", "spec", F.col("c.prio").alias("prio"), F.col("c.key").alias("key"), F.col("c.mode").alias("mode"))
-    hit = wanted.join(keys(files), ["key", "mode"])
+    hit = wanted.join(keys(files).hint("merge"), ["key", "mode"])
     return hit.groupBy("importer", "spec").agg(F.min(F.struct("prio", F.length("path").alias("n"), F.col("path").alias("path")))["path"].alias("path"))
 
 
