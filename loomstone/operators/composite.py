@@ -121,7 +121,7 @@ def dependencies(files: DataFrame, own: list[str] = ()) -> dict[str, DataFrame]:
     specs = imports.specs_of(files).distinct()
     resolved = imports.resolve(specs, files, own)
     edges = resolved.where(F.col("path") != F.col("importer")).select(F.col("importer").alias("src"), F.col("path").alias("dst")).distinct()
-    unknown = specs.join(resolved.select("importer", "spec"), ["importer", "spec"], "left_anti")
+    unknown = specs.join(resolved.select("importer", "spec").hint("merge"), ["importer", "spec"], "left_anti")
     outside = unknown.select("importer", external_name(F.col("lang"), F.col("spec"), own).alias("package")).where("package is not null").distinct()
     return {
         "edges": edges,
