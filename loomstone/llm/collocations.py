@@ -5,11 +5,13 @@ Texts, A-Z lower-cased, fall into pieces at ``[.,;:!?\\x0A-\\x0D]`` and pieces i
 First pass: every task counts its words and its phrases of 2, 3 and 4 words, by language, into count-min sketches (Cormode and
 Muthukrishnan, 2005), two rows of 8-bit cells for each length, which stop at 255. The tasks' sketches travel in compressed blocks and
 are added up, first those of 32 tasks, then all. A cell is never below the count of a phrase that
-falls in it (or is 255, which is above ``least``), so a phrase whose estimate is below ``least`` is rare.
+falls in it (or is 255, which is above ``least``), so a phrase whose estimate is below ``least`` is rare. A task never holds whole
+sketches: it gathers the cells of some texts, sorts them and hands on the blocks that they fall in. What is kept of the sum is one bit for each
+cell, whether it reaches ``least``.
 
 Second pass: a phrase survives if its own estimate and those of the phrases in it reach ``least``. Survivors, single words
 among them, are counted exactly: by text and language, after counts within a task, where 128 bits of hash tell phrases apart.
-Only these counts decide. The sketches have a fixed size, at most 8 times 2^``MOST_BITS`` bytes on the driver and in a worker; on corpora beyond what they tell apart more
+Only these counts decide. The bits have a bounded size, at most 2^``MOST_BITS`` bytes for all lengths and rows on the driver and in a worker; on corpora beyond what they tell apart more
 phrases survive and are counted, with the same result.
 
 Every cut of a candidate looks up the exact counts of its two parts (frequent as well, as the whole is) by
@@ -36,7 +38,9 @@ from ..plans.shared import Steps
 from .common import Bounded, release, slices
 
 ORDERS, ROWS = (1, 2, 3, 4), 2
-LEAST_BITS, MOST_BITS = 16, 23
+LEAST_BITS, MOST_BITS = 16, 26
+#: Bytes of text for a cell; tokens whose cells a task gathers before it hands their blocks on.
+CELL_BYTES, GATHER = 64, 4_000_000
 #: Cells of a travelling block as a power of two; tasks whose blocks meet first; ways of the first ranking; different phrases of a task before it hands them on; words whose hashes it remembers.
 BLOCK_BITS, TASKS, SALTS, FLUSH, MEMO = 18, 32, 32, 800_000, 80_000
 #: Rows and bytes of text in a slice; bytes of text for a task, so that smaller partitions are read together and hand on each phrase once.
@@ -110,24 +114,38 @@ def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def _sketch(bits: int):
-    """Blocks (block, salt, data) of a task's sketches, without those that are all zero."""
+    """Blocks (block, salt, data) of a task's sketches, without those that are all zero; a block comes once for each gathering of texts."""
 
     def go(batches):
-        made = np.zeros((len(ORDERS), ROWS, 1 << bits), np.uint8)
+        size = 1 << min(bits, BLOCK_BITS)
+        per = (1 << bits) // size
         hashes = Bounded(_hash, MEMO)
+        salt = TaskContext.get().partitionId() // TASKS  # a task that runs again gives the same rows
+        held: list[list[np.ndarray]] = [[] for _ in ORDERS]
+        n = 0
+
+        def blocks():
+            for k in range(len(ORDERS)):
+                key = np.concatenate(held[k]) if held[k] else np.empty(0, np.uint64)
+                held[k].clear()
+                for row in range(ROWS):
+                    at = np.sort(cells(key, row, bits).astype(np.uint32))
+                    ends = np.searchsorted(at, np.arange(per + 1, dtype=np.int64) * size)
+                    for block in np.flatnonzero(np.diff(ends)).tolist():
+                        found = at[ends[block] : ends[block + 1]] - np.uint32(block * size)
+                        cells_ = np.minimum(255, np.bincount(found, minlength=size)).astype(np.uint8)
+                        yield pa.RecordBatch.from_pydict({"block": pa.array([(k * ROWS + row) * per + block], pa.int32()), "salt": pa.array([salt], pa.int32()), "data": pa.array([pa.compress(cells_.tobytes(), "zstd", asbytes=True)], pa.binary())})
+
         for whole in batches:
             for batch in slices(whole, *SLICE):
                 t = Tokens(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), hashes)
                 for k, order in enumerate(ORDERS):
-                    key, n = np.unique(t.phrases(order)[1], return_counts=True)
-                    for row in range(ROWS):
-                        at, back = np.unique(cells(key, row, bits), return_inverse=True)
-                        made[k, row, at] = np.minimum(255, made[k, row, at] + np.bincount(back, n, len(at))).astype(np.uint8)
-        size = 1 << min(bits, BLOCK_BITS)
-        salt = TaskContext.get().partitionId() // TASKS  # a task that runs again gives the same rows
-        for block, cells_ in enumerate(made.reshape(-1, size)):
-            if cells_.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "salt": pa.array([salt], pa.int32()), "data": pa.array([pa.compress(cells_.tobytes(), "zstd", asbytes=True)], pa.binary())})
+                    held[k].append(t.phrases(order)[1])
+                n += len(t.hash)
+                if n >= GATHER:
+                    yield from blocks()
+                    n = 0
+        yield from blocks()
         release()
 
     return go
@@ -151,19 +169,45 @@ def _merge(size: int):
 BLOCKS = "block int, salt int, data binary"
 
 
-def sketches(rows: DataFrame, bits: int) -> np.ndarray:
-    """The sketches of all texts, by length and row."""
+def _sums(rows: DataFrame, bits: int) -> tuple[DataFrame, int, int]:
+    """Added blocks of all texts, how many there are at most, and their cells."""
     size = 1 << min(bits, BLOCK_BITS)
     blocks = len(ORDERS) * ROWS * ((1 << bits) // size)
     parts = rows.mapInArrow(_sketch(bits), BLOCKS)
-    some = parts.repartition(blocks, "block", "salt").mapInArrow(_merge(size), BLOCKS)
-    whole = some.withColumn("salt", F.lit(0)).repartition(min(blocks, 32), "block").mapInArrow(_merge(size), BLOCKS)
+    some = parts.repartition(min(blocks, 1024), "block", "salt").mapInArrow(_merge(size), BLOCKS)
+    return some.withColumn("salt", F.lit(0)).repartition(min(blocks, 32), "block").mapInArrow(_merge(size), BLOCKS), blocks, size
+
+
+def sketches(rows: DataFrame, bits: int) -> np.ndarray:
+    """The sketches of all texts, by length and row."""
+    whole, blocks, size = _sums(rows, bits)
     out = np.zeros((blocks, size), np.uint8)
     for block, data in whole.select("block", "data").toLocalIterator():
         out[block] = np.frombuffer(pa.decompress(data, size, "zstd"), np.uint8)
     return out.reshape(len(ORDERS), ROWS, 1 << bits)
 
 
+def _bits(size: int, least: int):
+    """Of each added block, a bit for each cell that reaches ``least``."""
+
+    def go(batches):
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                packed = np.packbits(np.frombuffer(pa.decompress(data, size, "zstd"), np.uint8) >= least, bitorder="little")
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "salt": pa.array([0], pa.int32()), "data": pa.array([packed.tobytes()], pa.binary())})
+
+    return go
+
+
+def reached(rows: DataFrame, bits: int, least: int) -> np.ndarray:
+    """A bit for each cell of the sketches of all texts, by length and row: whether it reaches ``least``."""
+    whole, blocks, size = _sums(rows, bits)
+    out = np.zeros((blocks, -(-size // 8)), np.uint8)
+    for block, data in whole.mapInArrow(_bits(size, least), BLOCKS).select("block", "data").toLocalIterator():
+        out[block] = np.frombuffer(data, np.uint8)
+    return out.reshape(len(ORDERS), ROWS, -1)
+
+
 def _batch(lang: list, size: list, phrase: list[bytes], n: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array([p.decode() for p in phrase], pa.string()), pa.array(n, pa.int64())], names=["lang", "size", "phrase", "n"])
 
@@ -245,7 +289,8 @@ def _survivors(sent, bits: int, least: int):
                     alive = np.ones(len(start), bool) if inside is None else inside[start] & inside[start + 1]
                     start, h = start[alive], h[alive]
                     for row in range(ROWS):
-                        alive = made[k, row, cells(h, row, bits)] >= least
+                        at = cells(h, row, bits)
+                        alive = (made[k, row, at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
                         start, h = start[alive], h[alive]
                     held.add(t, order, start, h)
                     inside = np.zeros(len(t.hash) + 1, bool)
@@ -263,11 +308,11 @@ def frequent(docs: DataFrame, least: int, bits: int | None, step: Steps, lang_co
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES)))
-    if bits is None:  # about 16 bytes of text for a cell
-        bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(size / 16 + 1))))
+    if bits is None:
+        bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(size / CELL_BYTES + 1))))
     if least > 255:
         raise ValueError("cells stop at 255")
-    sent = rows.sparkSession.sparkContext.broadcast(sketches(rows, bits))
+    sent = rows.sparkSession.sparkContext.broadcast(reached(rows, bits, least))
     counts = step(rows.mapInArrow(_survivors(sent, bits, least), "lang string, size int, phrase string, n long").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")), "counts")
     return counts.where((F.col("size") > 0) & (F.col("n") >= least)), counts.where("size = 0").select("lang", "n")
 

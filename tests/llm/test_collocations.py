@@ -97,3 +97,15 @@ def test_equal_hashes_of_different_phrases(monkeypatch):
         for r in out.to_pylist():
             got[r["phrase"]] += r["n"] if r["size"] else 0
     assert +got == Counter({"a": 3, "b": 3, "c": 1, "a b": 3, "b c": 1, "c a": 1, "a b c": 1, "b c a": 1, "c a b": 1, "a b c a": 1, "b c a b": 1})
+
+
+def test_bits_say_which_cells_reach_the_least(spark, monkeypatch):
+    texts = ["one two three four five " * 20, "one two, three four " * 10, "x y z"] * 4
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(4)
+    for gather in (1, 1000):  # blocks for each slice of texts, and for all
+        monkeypatch.setattr(co, "GATHER", gather)
+        for bits in (2, 8, 19):
+            sent = co.reached(docs, bits, 60)
+            assert sent.nbytes <= max(1 << bits, 8)  # a byte before, eight times as much
+            got = np.unpackbits(sent, axis=-1, bitorder="little")[..., : 1 << bits].astype(bool)
+            assert (got == (co.sketches(docs, bits) >= 60)).all() and got.any()
