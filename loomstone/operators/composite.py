@@ -88,9 +88,15 @@ def context(files: DataFrame, symbols: DataFrame, idents: DataFrame, qualified:
 
 
 def referenced_types(used: DataFrame, types: DataFrame, per_name: int = 2) -> DataFrame:
-    """(of, name, path, ln) of the type symbols that identifiers of each symbol name, a few for each name."""
-    each = used.select("of", "name").distinct().join(types.select("name", "path", "ln"), "name").where(F.col("path") != F.col("of"))
-    return ranking.top_n(each, ["of", "name"], ["path", "ln"], per_name)
+    """(of, name, path, ln) of the type symbols that identifiers of each symbol name, a few for each name.
+
+    A file may be any one that is left out, so the first ``per_name`` of each file, of these the first two times as many, hold every
+    answer of a name. They are one row that each use meets; pairs of uses and types are never handed on.
+    """
+    each = ranking.top_n(types.where("path is not null").select("name", "path", "ln"), ["name", "path"], ["ln"], per_name)
+    few = ranking.top_n(each, ["name"], ["path", "ln"], 2 * per_name).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("path", "ln"))).alias("_t"))
+    met = used.select("of", "name").distinct().join(few.hint("merge"), "name")
+    return met.select("of", "name", F.inline(F.slice(F.filter("_t", lambda t: t["path"] != F.col("of")), 1, per_name)))
 
 
 def impact(hits: DataFrame, is_test: Column, refs: int = search.LIMITS["refs"]) -> DataFrame:

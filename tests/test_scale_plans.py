@@ -1,5 +1,7 @@
 """Plans that send no growing table whole and hand on no pairs."""
 
+import random
+
 from loomstone.functions import imports
 from loomstone.operators import composite
 
@@ -14,3 +16,15 @@ def test_imports_are_resolved_without_a_broadcast(spark):
     assert "Broadcast" not in plan(got) and sorted(map(tuple, got.collect())) == [("src/a.py", "b", "src/b.py"), ("src/b.py", "a", "src/a.py")]
     all_ = composite.dependencies(files)
     assert "Broadcast" not in plan(all_["edges"]) + plan(all_["external"]) and all_["edges"].count() == 2
+
+
+def test_types_of_uses_without_pairs(spark):
+    rnd = random.Random(4)
+    types = [(rnd.choice("AB"), rnd.choice([f"p{k}" for k in range(5)] + [None]), rnd.randrange(4)) for _ in range(60)]
+    used = [(f"p{k}", n) for k in range(7) for n in "ABC"]
+    for k in (1, 2, 3):
+        got = composite.referenced_types(spark.createDataFrame(used * 2, "of string, name string"), spark.createDataFrame(types, "name string, path string, ln int"), k)
+        wanted = [(of, n, p, ln) for of, n in used for p, ln in sorted((p, ln) for m, p, ln in types if m == n and p not in (None, of))[:k]]
+        assert sorted(map(tuple, got.collect())) == sorted(wanted)
+        text = plan(got)
+        assert text.index("Join") < text.index("Exchange")  # the joined rows are the result
