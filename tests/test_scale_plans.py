@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from loomstone.functions import imports
-from loomstone.operators import composite
+from loomstone.operators import composite, graph
 
 
 def plan(df) -> str:
@@ -28,3 +30,15 @@ def test_types_of_uses_without_pairs(spark):
         assert sorted(map(tuple, got.collect())) == sorted(wanted)
         text = plan(got)
         assert text.index("Join") < text.index("Exchange")  # the joined rows are the result
+
+
+def test_calls_are_narrowed_by_counts(spark):
+    rnd = random.Random(5)
+    pick = lambda *xs: rnd.choice([*xs, None])
+    calls = [(rnd.randrange(40), rnd.choice("abcd"), pick("s", "t", "u"), pick("d/x", "d/y", "e/z"), pick(0, 1, 2)) for _ in range(80)]
+    defs = [(rnd.choice("abcde"), k, pick("s", "t", "u"), pick("d/x", "e/z", "e/w", "g/h"), pick(0, 1, 2), rnd.random() < 0.5) for k in range(14)]
+    c = spark.createDataFrame(calls, "call_id long, name string, my_scope string, my_file string, argc int")
+    d = spark.createDataFrame(defs, "name string, callee long, scope string, file string, params int, is_method boolean")
+    wanted = graph.narrow_by_scope(c.join(d, "name")).select("call_id", "callee", "ambiguous")
+    got = graph.narrow_calls(c, d, "name").select("call_id", "callee", "ambiguous")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect())) and got.where(F.col("ambiguous")).count()
