@@ -12,6 +12,9 @@ around it, the nearest scope that binds it alone; the remaining names are looked
 is in flight is a table of distinct (scope, stack) pairs, whatever number of references share them, joined with the bindings on
 (scope, top of the stack) at each step; so a common name meets one row for each pair, not for each use. Pairs that came up
 before are dropped, so loops of imports end (chains of imports are shortened first), and stacks beyond ``longest`` names as well, which only a growing loop has.
+
+All tables here grow with the tree, and their columns compress well, so their files look smaller than they are: joins are by merging
+and send none whole.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ def ancestors(parents: DataFrame, step: Steps) -> DataFrame:
     all_, jump = self_.unionByName(hop), hop
     while True:
         far = jump.select(F.col("scope").alias("around"), F.col("around").alias("beyond"), F.col("depth").alias("more"))
-        all_ = step(all_.unionByName(all_.join(far, "around").select("scope", F.col("beyond").alias("around"), (F.col("depth") + F.col("more")).alias("depth"))).distinct(), "around")
-        jump = step(jump.join(far, "around").select("scope", F.col("beyond").alias("around"), (F.col("depth") + F.col("more")).alias("depth")), "jump")
+        all_ = step(all_.unionByName(all_.join(far.hint("merge"), "around").select("scope", F.col("beyond").alias("around"), (F.col("depth") + F.col("more")).alias("depth"))).distinct(), "around")
+        jump = step(jump.join(far.hint("merge"), "around").select("scope", F.col("beyond").alias("around"), (F.col("depth") + F.col("more")).alias("depth")), "jump")
         if jump.isEmpty():
             return all_
 
@@ -46,13 +49,13 @@ def shortened(bindings: DataFrame, step: Steps, rounds: int = 6) -> DataFrame:
     one = step(one.where("n = 1 and kind = 'import' and size(push) = 1").select("scope", "name", "to", F.element_at("push", 1).alias("next")), "imports")
     for _ in range(rounds):
         after = one.select(F.col("scope").alias("to"), F.col("name").alias("next"), F.col("to").alias("_to"), F.col("next").alias("_next"))
-        far = step(one.join(after, ["to", "next"], "left"), "jump")
+        far = step(one.join(after.hint("merge"), ["to", "next"], "left"), "jump")
         if far.where("_to is not null and not (_to = to and _next = next)").isEmpty():
             break
         one = far.select("scope", "name", F.coalesce("_to", "to").alias("to"), F.coalesce("_next", "next").alias("next"))
     ends = one.select(F.col("scope").alias("to"), F.col("name").alias("_name"), F.col("to").alias("_to"), F.col("next").alias("_next"))
     single = (F.col("kind") == "import") & (F.size("push") == 1)
-    out = bindings.withColumn("_name", F.when(single, F.element_at("push", 1))).join(ends, ["to", "_name"], "left")
+    out = bindings.withColumn("_name", F.when(single, F.element_at("push", 1))).join(ends.hint("merge"), ["to", "_name"], "left")
     push = F.when(F.col("_next").isNotNull(), F.array("_next")).otherwise(F.col("push"))
     return step(out.select("scope", "name", "kind", "path", "line", F.coalesce("_to", "to").alias("to"), push.alias("push")), "bindings")
 
@@ -67,9 +70,9 @@ def stitch(refs: DataFrame, bindings: DataFrame, parents: DataFrame, longest: in
     flight = step(starts.select(F.col("scope").alias("s0"), F.col("names").alias("n0"), "scope", "names", F.lit(True).alias("outwards")), "flight")
     seen, found, n = flight, [], 0
     while not flight.isEmpty():
-        out = flight.where("outwards").join(around, "scope")
+        out = flight.where("outwards").join(around.hint("merge"), "scope")
         own = flight.where("not outwards").withColumn("around", F.col("scope")).withColumn("depth", F.lit(0))
-        here = out.unionByName(own.select(*out.columns)).withColumn("top", F.element_at("names", 1)).join(bound, ["around", "top"])
+        here = out.unionByName(own.select(*out.columns)).withColumn("top", F.element_at("names", 1)).join(bound.hint("merge"), ["around", "top"])
         nearest = Window.partitionBy("s0", "n0", "scope", "names", "outwards").orderBy("depth")
         here = here.withColumn("_r", F.rank().over(nearest)).where("_r = 1").withColumn("rest", F.slice("names", 2, F.size("names")))
         here = step(here.select("s0", "n0", "around", "kind", "path", "line", "to", "push", "rest"), f"step{n}")
@@ -79,14 +82,14 @@ def stitch(refs: DataFrame, bindings: DataFrame, parents: DataFrame, longest: in
         # A typed name without members is itself the definition.
         found.append(here.where("kind = 'typed' and size(rest) = 0").select("s0", "n0", "path", "line"))
         new = inner.unionByName(named).where(F.size("names") <= longest).distinct()
-        flight = step(new.join(seen, ["s0", "n0", "scope", "names", "outwards"], "left_anti"), f"flight{n}")
+        flight = step(new.join(seen.hint("merge"), ["s0", "n0", "scope", "names", "outwards"], "left_anti"), f"flight{n}")
         seen, n = seen.unionByName(flight), n + 1
     if not found:
         return refs.sparkSession.createDataFrame([], refs.select("ref").schema.add("path", StringType()).add("line", IntegerType()))
     reached = found[0]
     for more in found[1:]:
         reached = reached.unionByName(more)
-    return refs.join(reached.distinct(), (F.col("scope") == F.col("s0")) & (F.col("names") == F.col("n0"))).select("ref", "path", "line").distinct()
+    return refs.join(reached.distinct().hint("merge"), (F.col("scope") == F.col("s0")) & (F.col("names") == F.col("n0"))).select("ref", "path", "line").distinct()
 
 
 def scope_graph(symbols: DataFrame, imports: DataFrame, typed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -115,6 +118,6 @@ def bind(uses: DataFrame, symbols: DataFrame, imports: DataFrame, typed: DataFra
     refs = uses.select(F.struct("path", "ln", "names").alias("ref"), scope.alias("scope"), "names").distinct()
     # Scopes without symbols of their own, such as files of imports alone, still stand for themselves.
     alone = refs.select("scope").union(bindings.select("scope")).distinct().select("scope", F.lit(ROOT).alias("parent"))
-    tops = alone.join(parents.select("scope"), "scope", "left_anti")
+    tops = alone.join(parents.select("scope").hint("merge"), "scope", "left_anti")
     got = stitch(refs, bindings, parents.unionByName(tops))
     return got.select("ref.path", "ref.ln", "ref.names", F.col("path").alias("def_path"), F.col("line").alias("def_line")).where("not (path = def_path and ln = def_line)").distinct()

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from loomstone.functions import imports
-from loomstone.operators import composite, graph
+from loomstone.operators import binding, composite, graph
 
 
 def plan(df) -> str:
@@ -20,6 +20,20 @@ def test_imports_are_resolved_without_a_broadcast(spark):
     assert "Broadcast" not in plan(all_["edges"]) + plan(all_["external"]) and all_["edges"].count() == 2
 
 
+def test_scopes_are_followed_without_a_broadcast(spark):
+    seen = []
+
+    def step(df, tag):
+        seen.append(plan(df))
+        return df
+
+    parents = spark.createDataFrame([("a#b#c", "a#b"), ("a#b", "a"), ("a", "/")], "scope string, parent string")
+    assert binding.ancestors(parents, step).count() == 10
+    bindings = spark.createDataFrame([("x", "f", "import", "x", 1, "y", ["f"]), ("y", "f", "import", "y", 1, "z", ["f"])], "scope string, name string, kind string, path string, line int, to string, push array<string>")
+    assert {r.to for r in binding.shortened(bindings, step).collect()} == {"z"}
+    assert len(seen) > 5 and not any("Broadcast" in p for p in seen)
+
+
 def test_types_of_uses_without_pairs(spark):
     rnd = random.Random(4)
     types = [(rnd.choice("AB"), rnd.choice([f"p{k}" for k in range(5)] + [None]), rnd.randrange(4)) for _ in range(60)]
