@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from loomstone.functions import imports
-from loomstone.operators import binding, composite, graph
+from loomstone.operators import binding, composite, graph, ranking
+from loomstone.plans import catalogue
 
 
 def plan(df) -> str:
@@ -56,3 +57,26 @@ def test_calls_are_narrowed_by_counts(spark):
     wanted = graph.narrow_by_scope(c.join(d, "name")).select("call_id", "callee", "ambiguous")
     got = graph.narrow_calls(c, d, "name").select("call_id", "callee", "ambiguous")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect())) and got.where(F.col("ambiguous")).count()
+
+
+def test_calls_and_definitions_share_one_shuffle(spark):
+    rnd = random.Random(6)
+    files = [(f"p{rnd.randrange(9)}", rnd.choice([None, "", *["\n".join(" ".join(rnd.choice(["alphabet", "betatron9", "Gammaray_", "tiny", "9alphabet"]) for _ in range(rnd.randrange(4))) for _ in range(25))] * 4])) for _ in range(30)]
+    apart = lambda ln: ln % 10 == 1
+    seen = ranking.sightings(spark.createDataFrame(files, "path string, text string"), 8, apart)
+    at = {}
+    for path, text in files:
+        for ln, line in enumerate((text or "").split("\n"), 1):
+            for name in line.split():
+                if len(name) >= 8 and not name[0].isdigit():
+                    at.setdefault((path, name), set()).add(ln)
+    defs = [(p, n, min(own)) for (p, n), lns in at.items() if (own := {k for k in lns if k % 10 == 1})]
+    wanted = [(c, n, min(lns), p, ln) for (c, n), lns in at.items() for p, m, ln in defs if m == n and p != c]
+    got = graph.callees_of_sightings(seen, apart).select("caller", "name", "ln", "callee_file", "start_line")
+    assert wanted and sorted(map(tuple, got.collect())) == sorted(wanted)
+    assert seen.count() < sum(len(lns) for lns in at.values())  # occurrences stay in their file
+
+    whole = catalogue.QUERIES["callees_join"](spark, "/root/testdata/sf0.001")
+    whole.collect()
+    final = plan(whole).split("== Initial Plan ==")[0]
+    assert final.count("- Exchange") == 1 and final.count("- ReusedExchange") == 1
