@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomstone.functions import imports
+from loomstone.functions import imports, text as text_
 from loomstone.operators import binding, composite, graph, ranking
 from loomstone.plans import catalogue
 
@@ -80,3 +80,27 @@ def test_calls_and_definitions_share_one_shuffle(spark):
     whole.collect()
     final = plan(whole).split("== Initial Plan ==")[0]
     assert final.count("- Exchange") == 1 and final.count("- ReusedExchange") == 1
+
+
+def test_pairs_of_one_name_are_dealt_over_tasks(spark):
+    rnd = random.Random(7)
+    apart = lambda ln: ln % 10 == 1
+    rows = [(f"p{k}", "frequent", ln) for k in range(60) for ln in (rnd.randrange(2, 9), *[11] * (k % 3 == 0))]
+    rows += [(f"p{rnd.randrange(60)}", f"name{rnd.randrange(40)}", rnd.randrange(1, 30)) for _ in range(300)] + [("p1", None, 1), ("p2", None, 1)]
+    got = graph.callees_of_sightings(spark.createDataFrame(rows, "path string, name string, ln int"), apart, block=8, pairs=200)
+    at = {}
+    for path, name, ln in rows:
+        at.setdefault((path, name), set()).add(ln)
+    defs = [(p, n, min(own)) for (p, n), lns in at.items() if (own := {k for k in lns if k % 10 == 1})]
+    wanted = [(c, n, min(lns), p, ln) for (c, n), lns in at.items() if n for p, m, ln in defs if m == n and p != c]
+    assert sorted(map(tuple, got.select("caller", "name", "ln", "callee_file", "start_line").collect())) == sorted(wanted)
+    made = [n for _, n in got.where("name = 'frequent'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 60 * 20 - 20 and len(made) > 3 and max(made) < sum(made) / 2  # before, one task had them all
+
+
+def test_long_identifiers_are_those_of_all_lines(spark):
+    texts = ["éalphabet9 9alphabet alphabet\r\n_x_x_x_x-alphabetalphabet", "short\n\n\nalphabet", "", None, "ab a _ 1a"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for least in (1, 2, 8):
+        for text, got, whole in df.select("text", text_.long_identifiers("text", least), text_.identifiers(F.col("text"))).collect():
+            assert got == (whole if text is None else [n for n in whole if len(n) >= least])
